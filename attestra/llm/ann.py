@@ -197,7 +197,7 @@ def search_index(index: DataFrame, queries: DataFrame, shards: int, k: int) -> D
             out += [(q, int(ids[found[i]]), float(scores[i])) for i in best]
         return pd.DataFrame(out, columns=["query_id", "_node", "score"])
 
-    each = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("int"))
+    each = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     return index.groupBy("shard").cogroup(each.groupBy("shard")).applyInPandas(search, "query_id long, _node long, score double")
 
 
