@@ -61,7 +61,7 @@ def until_terminal(events: DataFrame) -> DataFrame:
 def current_jobs(updates: DataFrame) -> DataFrame:
     """Last write wins, whole rows: a result or an error that the last write leaves unset is null."""
     columns = [c for c in updates.columns if c not in ("job_id", "seq")]
-    return updates.groupBy("job_id").agg(F.max_by(F.struct("seq", *columns), "seq").alias("j")).select("job_id", *[f"j.{c}" for c in columns])
+    return updates.groupBy("job_id").agg(F.max_by(F.struct("seq", *columns), "seq").alias("j")).select("job_id", "j.*")
 
 
 def monotone(events: DataFrame) -> DataFrame:

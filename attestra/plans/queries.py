@@ -315,3 +315,467 @@ def g3_g6_overall(spark, sf_dir):
     risk = scores.overall_risk(F.least("m", F.lit(99.0)), F.col("n"), F.abs("c_acctbal") / 1e6)
     out = c.select("c_custkey", risk.alias("risk"), F.coalesce("n", F.lit(0)).alias("n"))
     return out.withColumns({"label": scores.risk_label(F.col("risk")), "severity": scores.severity(F.col("risk")), "coverage": scores.analysis_coverage(F.col("c_custkey") % 2 == 0)})
+
+
+# Events as a job log: a user is a job, `error` ends one.
+LOG = """
+ev AS (SELECT user_id AS job_id, event_id AS source_id, event_type, ts AS timestamp, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS event_id FROM events)
+"""
+STAGES = "(VALUES " + ", ".join(f"({i}, '{s}', {p})" for i, (s, p) in enumerate(joblog.STAGE_PROGRESS, 1)) + ") AS st(stage_no, stage_id, progress)"
+
+
+def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("source_id"), "event_type", F.col("ts").cast("timestamp").alias("timestamp"))
+    return joblog.numbered(e)
+
+
+@query(f"WITH {LOG} SELECT job_id, source_id, event_id, stage_no, stage_id, progress FROM ev JOIN {STAGES} ON stage_no = least(event_id, 10)")
+def h1_h2_numbered(spark, sf_dir):
+    return joblog.with_stage(log(spark, sf_dir)).select("job_id", "source_id", "event_id", "stage_no", "stage_id", "progress")
+
+
+@query(f"WITH {LOG}, b AS (SELECT * FROM ev WHERE timestamp < TIMESTAMP '2024-01-16') SELECT job_id, source_id, event_id FROM ev WHERE timestamp >= TIMESTAMP '2024-01-16'")
+def h1_appended(spark, sf_dir):
+    """The second half of the month numbered behind the first."""
+    e = log(spark, sf_dir)
+    split = F.col("timestamp") < F.to_timestamp(F.lit("2024-01-16"))
+    return joblog.numbered(e.where(~split).drop("event_id"), e.where(split)).select("job_id", "source_id", "event_id")
+
+
+@query(f"WITH {LOG} SELECT job_id, event_id, event_type FROM ev WHERE event_id > 40")
+def h3_replay(spark, sf_dir):
+    return joblog.replay(log(spark, sf_dir), 40).select("job_id", "event_id", "event_type")
+
+
+@query("""SELECT event_id, CASE WHEN a IS NOT NULL AND a >= 0 AND user_id >= 0 THEN greatest(a, user_id) END AS "after", CASE WHEN a IS NULL OR a < 0 THEN 'invalid_event_cursor' END AS error
+FROM (SELECT event_id, user_id, CASE event_type WHEN 'click' THEN 7 WHEN 'view' THEN -1 WHEN 'error' THEN NULL WHEN 'signup' THEN 0 ELSE event_id END AS a FROM events)""")
+def h3_cursor(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    given = F.when(F.col("event_type") == "click", "7").when(F.col("event_type") == "view", "-1").when(F.col("event_type") == "error", "not-a-number").when(F.col("event_type") == "signup", None).otherwise(F.col("event_id").cast("string"))
+    return e.select("event_id", joblog.cursor(given, F.col("user_id").cast("string")).alias("c")).select("event_id", "c.after", "c.error")
+
+
+@query(f"WITH {LOG} SELECT job_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM ev GROUP BY job_id")
+def h4_latest(spark, sf_dir):
+    return joblog.latest(log(spark, sf_dir), "event_type")
+
+
+@query(f"WITH {LOG}, f AS (SELECT job_id, min(event_id) FILTER (WHERE event_type IN ('complete', 'error')) AS e FROM ev GROUP BY job_id) SELECT job_id, event_id, event_type FROM ev JOIN f USING (job_id) WHERE e IS NULL OR event_id <= e")
+def h5_until_terminal(spark, sf_dir):
+    return joblog.until_terminal(log(spark, sf_dir)).select("job_id", "event_id", "event_type")
+
+
+JOBS = """
+u AS (SELECT job_id, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'queued' ELSE 'running' END AS state,
+  CASE WHEN event_type = 'error' THEN 'analysis_failed' END AS error_code, timestamp AS updated_at FROM ev),
+jobs AS (SELECT job_id, seq, state, error_code, updated_at FROM u QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) = 1)
+"""
+
+
+def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    state = F.when(kind == "purchase", "completed").when(kind == "error", "failed").when(kind == "signup", "queued").otherwise("running")
+    return log(spark, sf_dir).select("job_id", F.col("event_id").alias("seq"), state.alias("state"), F.when(kind == "error", "analysis_failed").alias("error_code"), F.col("timestamp").alias("updated_at"))
+
+
+@query(f"WITH {LOG}, {JOBS} SELECT job_id, seq, state, error_code FROM jobs")
+def h6_current_jobs(spark, sf_dir):
+    return joblog.current_jobs(updates(spark, sf_dir)).select("job_id", "seq", "state", "error_code")
+
+
+@query(f"""WITH {LOG}, v AS (SELECT *, (source_id * 37) % 100 AS progress, CASE WHEN event_type = 'view' THEN 'u' || source_id END AS candidate_page_url FROM ev)
+SELECT job_id, event_id, max(progress) OVER o AS shown_progress, last_value(candidate_page_url IGNORE NULLS) OVER o AS shown_url FROM v WINDOW o AS (PARTITION BY job_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)""")
+def h7_monotone(spark, sf_dir):
+    e = log(spark, sf_dir).withColumns({"progress": F.col("source_id") * 37 % 100, "candidate_page_url": F.when(F.col("event_type") == "view", F.concat(F.lit("u"), F.col("source_id").cast("string")))})
+    return joblog.monotone(e).select("job_id", "event_id", "shown_progress", "shown_url")
+
+
+@query(f"WITH {LOG} SELECT job_id, event_id, min(source_id) AS source_id FROM ev GROUP BY job_id, event_id")
+def h8_deduplicated(spark, sf_dir):
+    """Every event sent twice, the second time an hour later."""
+    e = log(spark, sf_dir)
+    again = e.withColumn("timestamp", F.col("timestamp") + F.expr("INTERVAL 1 HOUR"))
+    return joblog.deduplicated(e.unionByName(again)).select("job_id", "event_id", "source_id")
+
+
+@query(f"WITH {LOG}, g AS (SELECT job_id, event_id, epoch_us(timestamp) - epoch_us(lag(timestamp) OVER (PARTITION BY job_id ORDER BY event_id)) AS us FROM ev) SELECT job_id, event_id, us / 1e6 AS gap_seconds FROM g WHERE us > 86400000000")
+def h9_idle_gaps(spark, sf_dir):
+    return joblog.idle_gaps(log(spark, sf_dir), 86_400).select("job_id", "event_id", "gap_seconds")
+
+
+@query(f"""WITH {LOG}, g AS (SELECT *, CASE WHEN timestamp - lag(timestamp) OVER (PARTITION BY job_id ORDER BY timestamp, event_id) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS opens FROM ev),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY job_id ORDER BY timestamp, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT job_id, epoch_us(min(timestamp)) AS start_us, epoch_us(max(timestamp)) + 43200000000 AS end_us, count(*) AS events FROM s GROUP BY job_id, k""")
+def h9_activity_spans(spark, sf_dir):
+    spans = joblog.activity_spans(log(spark, sf_dir), "12 hours")
+    return spans.select("job_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "events")
+
+
+@query(f"""WITH {LOG}, {JOBS}, l AS (SELECT job_id, max(event_id) AS last FROM ev GROUP BY job_id)
+SELECT job_id, CASE WHEN state IN ('queued', 'running') THEN 'failed' ELSE state END AS state, CASE WHEN state IN ('queued', 'running') THEN 'service_restarted' ELSE error_code END AS error_code,
+ CASE WHEN state IN ('queued', 'running') THEN last + 1 END AS new_event_id FROM jobs JOIN l USING (job_id)""")
+def h10_recovered(spark, sf_dir):
+    jobs, new = joblog.recover(joblog.current_jobs(updates(spark, sf_dir)), log(spark, sf_dir), "2024-02-01")
+    return jobs.join(new.select("job_id", F.col("event_id").alias("new_event_id")), "job_id", "left").select("job_id", "state", "error_code", "new_event_id")
+
+
+@query(f"""WITH {LOG}, {JOBS}, x AS (SELECT job_id FROM jobs WHERE state IN ('completed', 'failed') AND updated_at < TIMESTAMP '2024-01-30 12:00:00' AND job_id % 3 <> 0)
+SELECT job_id, count(*) AS n FROM ev WHERE job_id NOT IN (SELECT job_id FROM x) GROUP BY job_id""")
+def h11_h12_retention(spark, sf_dir):
+    """Events left after ended jobs are swept; the files of every third job are still there."""
+    jobs, events = joblog.current_jobs(updates(spark, sf_dir)), log(spark, sf_dir)
+    old = joblog.expired(jobs, F.to_timestamp(F.lit("2024-01-30 12:00:00")))
+    left, _ = joblog.cascade_delete(old, jobs.where("job_id % 3 <> 0"), events, jobs)
+    return left.groupBy("job_id").agg(F.count("*").alias("n"))
+
+
+ASSETS = "r AS (SELECT job_id, CASE source_id % 3 WHEN 0 THEN 'candidate-page' WHEN 1 THEN 'reference-page' ELSE 'finding-001-overlay' END AS asset_id, 'assets/' || source_id || '.png' AS relative_path, event_id AS seq FROM ev WHERE event_type = 'view' AND job_id % 2 = 0), assets AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY job_id, asset_id ORDER BY seq DESC) = 1)"
+
+
+def registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = log(spark, sf_dir).where("event_type = 'view' AND job_id % 2 = 0")
+    k = F.col("source_id") % 3
+    name = F.when(k == 0, "candidate-page").when(k == 1, "reference-page").otherwise("finding-001-overlay")
+    return e.select("job_id", name.alias("asset_id"), F.concat(F.lit("assets/"), F.col("source_id").cast("string"), F.lit(".png")).alias("relative_path"), F.lit("image/png").alias("media_type"), F.col("event_id").alias("seq"))
+
+
+@query(f"WITH {LOG}, {ASSETS} SELECT DISTINCT ev.job_id, 'candidate-page' AS asset_id, relative_path FROM ev LEFT JOIN assets a ON a.job_id = ev.job_id AND a.asset_id = 'candidate-page'")
+def h13_resolved_assets(spark, sf_dir):
+    wanted = log(spark, sf_dir).select("job_id").distinct().withColumn("asset_id", F.lit("candidate-page"))
+    return joblog.resolve(wanted, joblog.assets(registered(spark, sf_dir))).select("job_id", "asset_id", "relative_path")
+
+
+@query(f"WITH {LOG}, {ASSETS}, {JOBS} SELECT job_id, state, CASE WHEN job_id IN (SELECT job_id FROM assets WHERE asset_id = 'candidate-page') THEN '/api/v1/analyses/' || job_id || '/assets/candidate-page' END AS candidate_page_url FROM jobs")
+def h14_previews(spark, sf_dir):
+    jobs = joblog.current_jobs(updates(spark, sf_dir))
+    return joblog.with_preview(jobs, joblog.assets(registered(spark, sf_dir))).select("job_id", "state", "candidate_page_url")
+
+
+@query(f"""WITH {LOG}, s AS (SELECT job_id, least(event_id, 10) AS stage_no, (epoch_us(lead(timestamp) OVER (PARTITION BY job_id ORDER BY event_id)) - epoch_us(timestamp)) / 1e6 AS seconds FROM ev),
+t AS (SELECT job_id, (epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / 1e6 AS total FROM ev GROUP BY job_id)
+SELECT job_id, CAST(stage_no AS INT) AS stage_no, round(sum(seconds), 3) AS seconds, any_value(total) AS total FROM s JOIN t USING (job_id) GROUP BY job_id, stage_no""")
+def h15_durations(spark, sf_dir):
+    e = joblog.with_stage(log(spark, sf_dir))
+    each = joblog.stage_durations(e).groupBy("job_id", "stage_no").agg(F.round(F.sum("seconds"), 3).alias("seconds"))
+    return each.join(joblog.job_durations(e).select("job_id", F.col("seconds").alias("total")), "job_id")
+
+
+@query(f"WITH {LOG} SELECT epoch_us(date_trunc('day', timestamp)) AS start_us, event_type, count(*) AS n FROM ev GROUP BY ALL")
+def h16_windows(spark, sf_dir):
+    return joblog.tumbling_counts(log(spark, sf_dir), "1 day").select(F.unix_micros("window_start").alias("start_us"), "event_type", "n")
+
+
+@query(f"WITH {LOG} SELECT event_id, event_type, job_id, source_id FROM ev")
+def a10_event_records(spark, sf_dir):
+    """Events to their text form, all of a job as one stream, and back."""
+    e = log(spark, sf_dir).select("job_id", "event_id", "event_type", "source_id")
+    records = joblog.format_records(e)
+    streams = records.groupBy("job_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "record"))), lambda r: r.record), "").alias("stream"))
+    back = joblog.parse_records(streams)
+    data = F.from_json("data", "job_id long, event_id long, source_id long")
+    return back.withColumn("d", data).select("event_id", "event_type", "d.job_id", "d.source_id")
+
+
+@query(f"WITH {LOG} SELECT job_id, true AS contiguous, true AS in_order FROM ev GROUP BY job_id")
+def j5_conforming(spark, sf_dir):
+    return joblog.conforming(joblog.with_stage(log(spark, sf_dir)))
+
+
+# Vectors as 8x8 rasters, each against the one before it.
+CELLS = r"""
+vv AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+v2 AS (SELECT vec_id, v, list_min(v) AS lo, CASE WHEN list_max(v) > list_min(v) THEN list_max(v) - list_min(v) ELSE 1.0 END AS span FROM vv),
+c0 AS (SELECT vec_id, unnest(range(0, len(v))) AS i, unnest(v) AS x, lo, span FROM v2),
+cells AS (SELECT vec_id, i % 8 AS x, i // 8 AS y, CAST(floor(255 * (x - lo) / span + 0.5) AS INT) AS gray FROM c0),
+j AS (SELECT r.vec_id AS pair_id, r.x, r.y, r.gray AS gr, c.gray AS gc, abs(r.gray - c.gray) AS raw FROM cells r JOIN cells c ON c.vec_id = r.vec_id + 1 AND c.x = r.x AND c.y = r.y)
+"""
+BLUR = r"""
+b1 AS (SELECT *, coalesce(lag(gr) OVER o, lead(gr) OVER o) + 2 * gr + coalesce(lead(gr) OVER o, lag(gr) OVER o) AS hr, coalesce(lag(gc) OVER o, lead(gc) OVER o) + 2 * gc + coalesce(lead(gc) OVER o, lag(gc) OVER o) AS hc FROM j WINDOW o AS (PARTITION BY pair_id, y ORDER BY x)),
+b2 AS (SELECT *, floor((coalesce(lag(hr) OVER o, lead(hr) OVER o) + 2 * hr + coalesce(lead(hr) OVER o, lag(hr) OVER o) + 8) / 16.0) AS br, floor((coalesce(lag(hc) OVER o, lead(hc) OVER o) + 2 * hc + coalesce(lead(hc) OVER o, lag(hc) OVER o) + 8) / 16.0) AS bc FROM b1 WINDOW o AS (PARTITION BY pair_id, x ORDER BY y)),
+d AS (SELECT pair_id, x, y, gr, gc, raw, CAST(abs(br - bc) AS INT) AS delta FROM b2)
+"""
+MASK = """
+m0 AS (SELECT pair_id, x, y, raw FROM d WHERE delta >= 60 AND x >= 1 AND x < 7 AND y >= 1 AND y < 7)
+"""
+
+
+def raster_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = raster.vector_cells(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", SIDE)
+    r = cells.withColumnRenamed("vec_id", "pair_id")
+    c = cells.select((F.col("vec_id") - 1).alias("pair_id"), "x", "y", "gray")
+    return raster.joined_cells(r, c)
+
+
+def mask_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A threshold and border that suit 8x8 cells."""
+    d = raster.blurred_delta(raster_cells(spark, sf_dir)).withColumn("edge_delta", F.lit(0))
+    return d.where(raster.changed(delta=60) & raster.inside_border(F.lit(SIDE), F.lit(SIDE), 1)).select("pair_id", "x", "y", "raw", "edge_delta")
+
+
+@query(f"WITH {CELLS}, {BLUR} SELECT pair_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, raw, delta FROM d")
+def f1_f2_deltas(spark, sf_dir):
+    return raster.blurred_delta(raster_cells(spark, sf_dir)).select("pair_id", "x", "y", "raw", "delta")
+
+
+def _sobel(v: str) -> str:
+    return f"""
+s1{v} AS (SELECT pair_id, x, y, {v} AS v, coalesce(lag({v}) OVER o, lead({v}) OVER o) AS l, coalesce(lead({v}) OVER o, lag({v}) OVER o) AS r FROM j WINDOW o AS (PARTITION BY pair_id, y ORDER BY x)),
+s2{v} AS (SELECT *, coalesce(lag(r - l) OVER o, lead(r - l) OVER o) + 2 * (r - l) + coalesce(lead(r - l) OVER o, lag(r - l) OVER o) AS gx,
+  coalesce(lead(l + 2 * v + r) OVER o, lag(l + 2 * v + r) OVER o) - coalesce(lag(l + 2 * v + r) OVER o, lead(l + 2 * v + r) OVER o) AS gy FROM s1{v} WINDOW o AS (PARTITION BY pair_id, x ORDER BY y)),
+s3{v} AS (SELECT pair_id, x, y, abs(gx) + abs(gy) AS g FROM s2{v}),
+s4{v} AS (SELECT *, g >= coalesce(lag(g) OVER h, lead(g) OVER h) AND g >= coalesce(lead(g) OVER h, lag(g) OVER h) OR g >= coalesce(lag(g) OVER w, lead(g) OVER w) AND g >= coalesce(lead(g) OVER w, lag(g) OVER w) AS ridge FROM s3{v}
+  WINDOW h AS (PARTITION BY pair_id, y ORDER BY x), w AS (PARTITION BY pair_id, x ORDER BY y)),
+s5{v} AS (SELECT pair_id, x, y, CASE WHEN ridge AND g > 150 THEN 2 WHEN ridge AND g > 70 THEN 1 ELSE 0 END AS s FROM s4{v}),
+e{v} AS (SELECT a.pair_id, a.x, a.y, CASE WHEN any_value(a.s) = 2 OR (any_value(a.s) = 1 AND max(b.s) = 2) THEN 255 ELSE 0 END AS e FROM s5{v} a JOIN s5{v} b ON b.pair_id = a.pair_id AND abs(b.x - a.x) <= 1 AND abs(b.y - a.y) <= 1 GROUP BY a.pair_id, a.x, a.y)"""
+
+
+@query(f"WITH {CELLS}, {_sobel('gr')}, {_sobel('gc')} SELECT pair_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, abs(egr.e - egc.e) AS edge_delta FROM egr JOIN egc USING (pair_id, x, y)")
+def f3_edge_delta(spark, sf_dir):
+    return raster.edge_delta(raster_cells(spark, sf_dir)).select("pair_id", "x", "y", "edge_delta")
+
+
+@query(f"WITH {CELLS}, {BLUR}, {MASK} SELECT pair_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM m0")
+def f4_f5_mask(spark, sf_dir):
+    return mask_cells(spark, sf_dir).select("pair_id", "x", "y")
+
+
+GRID = "grid AS (SELECT a.x, b.y FROM range(0, 8) AS a(x), range(0, 8) AS b(y))"
+DILATED = "dl AS (SELECT DISTINCT m0.pair_id, g.x, g.y FROM m0 JOIN grid g ON abs(g.x - m0.x) <= 1 AND abs(g.y - m0.y) <= 1)"
+
+
+@query(f"WITH {CELLS}, {BLUR}, {MASK}, {GRID}, {DILATED}, n AS (SELECT d1.pair_id, d1.x, d1.y, count(*) AS n FROM dl d1 JOIN dl d2 ON d2.pair_id = d1.pair_id AND abs(d2.x - d1.x) <= 1 AND abs(d2.y - d1.y) <= 1 GROUP BY ALL) SELECT pair_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM n WHERE n = (least(x + 1, 7) - greatest(x - 1, 0) + 1) * (least(y + 1, 7) - greatest(y - 1, 0) + 1)")
+def f6_closed(spark, sf_dir):
+    return raster.close(mask_cells(spark, sf_dir).select("pair_id", "x", "y"), SIDE, SIDE, 1, 1)
+
+
+@query(f"WITH {CELLS}, {BLUR}, {MASK}, {GRID}, {DILATED} SELECT pair_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM dl")
+def f7_dilated(spark, sf_dir):
+    return raster.dilate(mask_cells(spark, sf_dir).select("pair_id", "x", "y"), 1, 1, SIDE, SIDE)
+
+
+COMPONENTS = """
+r(pair_id, x, y, k) AS (SELECT pair_id, x, y, y * 2147483648 + x FROM m0 UNION SELECT m.pair_id, m.x, m.y, r.k FROM r JOIN m0 m ON m.pair_id = r.pair_id AND abs(m.x - r.x) <= 1 AND abs(m.y - r.y) <= 1),
+cc AS (SELECT pair_id, x, y, min(k) AS k FROM r GROUP BY ALL),
+lb AS (SELECT cc.*, m0.raw, min(y * 2147483648 + x) OVER (PARTITION BY pair_id, k) AS label FROM cc JOIN m0 USING (pair_id, x, y)),
+stats AS (SELECT pair_id, CAST(label AS BIGINT) AS label, CAST(min(x) AS INT) AS x0, CAST(min(y) AS INT) AS y0, CAST(max(x) + 1 AS INT) AS x1, CAST(max(y) + 1 AS INT) AS y1, count(*) AS area, avg(raw) AS mean_delta, max(raw) AS max_delta FROM lb GROUP BY pair_id, label)
+"""
+
+
+@query(f"WITH RECURSIVE {CELLS}, {BLUR}, {MASK}, {COMPONENTS} SELECT * FROM stats")
+def f8_f9_components(spark, sf_dir):
+    spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/attestra-checkpoints"))
+    mask = mask_cells(spark, sf_dir)
+    labelled = raster.components(mask.select("pair_id", "x", "y")).join(mask, ["pair_id", "x", "y"])
+    return raster.component_stats(labelled).drop("edge_changed_pixels")
+
+
+@query(f"WITH RECURSIVE {CELLS}, {BLUR}, {MASK}, {COMPONENTS} SELECT pair_id, label, greatest(0, x0 - 1) AS x0, greatest(0, y0 - 1) AS y0, least(8, x1 + 1) AS x1, least(8, y1 + 1) AS y1, area FROM stats WHERE area >= 4 AND x1 - x0 >= 2 AND y1 - y0 >= 2 AND mean_delta >= 12")
+def f10_f11_kept(spark, sf_dir):
+    stats = f8_f9_components(spark, sf_dir)
+    return raster.padded(stats.where(raster.large_enough(SIDE, SIDE, 4, 2)), SIDE, SIDE, 1).select("pair_id", "label", "x0", "y0", "x1", "y1", "area")
+
+
+@query(f"WITH {CELLS}, {BLUR}, {MASK} SELECT vec_id AS pair_id, count(m.n) AS has, coalesce(any_value(m.n), 0) / 64.0::DOUBLE AS changed_ratio FROM (SELECT DISTINCT pair_id AS vec_id FROM j) LEFT JOIN (SELECT pair_id, count(*) AS n FROM m0 GROUP BY pair_id) m ON m.pair_id = vec_id GROUP BY vec_id")
+def f18_changed_ratio(spark, sf_dir):
+    counts = mask_cells(spark, sf_dir).groupBy("pair_id").agg(F.count("*").alias("n"))
+    pairs = raster_cells(spark, sf_dir).select("pair_id").distinct()
+    return pairs.join(counts, "pair_id", "left").groupBy("pair_id").agg(F.count("n").alias("has"), (F.coalesce(F.max("n"), F.lit(0)) / (SIDE * SIDE)).alias("changed_ratio"))
+
+
+@query(f"WITH {CELLS} SELECT pair_id, count(*) AS cells, CAST(sum(gc) AS BIGINT) AS total FROM j WHERE x >= pair_id % 3 AND x < 6 AND y >= 2 AND y < 7 GROUP BY pair_id")
+def f19_crops(spark, sf_dir):
+    cells = raster_cells(spark, sf_dir)
+    boxes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pair_id"), F.lit(1).alias("region_no"), (F.col("vec_id") % 3).alias("x0"), F.lit(2).alias("y0"), F.lit(6).alias("x1"), F.lit(7).alias("y1"))
+    return raster.crops(cells, boxes).groupBy("pair_id").agg(F.count("*").alias("cells"), F.sum("gray_c").alias("total"))
+
+
+@query(f"""WITH {CELLS}, {BLUR}, {MASK}, o AS (SELECT j.pair_id, j.x, j.y, j.gc, m0.x IS NOT NULL AS hit, j.x < 2 OR j.x >= 6 OR j.y < 2 OR j.y >= 6 AS rim FROM j LEFT JOIN m0 USING (pair_id, x, y))
+SELECT pair_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(CASE WHEN rim THEN 20 WHEN hit THEN floor(0.48 * gc + 0.52 * 30 + 0.5) ELSE gc END AS INT) AS b, CAST(CASE WHEN rim THEN 245 WHEN hit THEN floor(0.48 * gc + 0.52 * 235 + 0.5) ELSE gc END AS INT) AS r FROM o""")
+def f20_overlay(spark, sf_dir):
+    cells = raster_cells(spark, sf_dir).select("pair_id", "x", "y", *[F.col("gray_c").alias(c) for c in "bgr"], F.lit(0).alias("x0"), F.lit(0).alias("y0"), F.lit(SIDE).alias("x1"), F.lit(SIDE).alias("y1"))
+    return raster.overlay(cells, mask_cells(spark, sf_dir)).select("pair_id", "x", "y", "b", "r")
+
+
+# Keypoints from vectors: consecutive pairs of components are points, label groups are pages.
+@query("""WITH p AS (SELECT p_partkey AS pair_id, 400 + p_size * 10 AS rw, 300 + p_partkey % 200 AS rh, 420 + p_size * 9 AS cw, 310 + p_partkey % 190 AS ch, p_partkey % 5 = 0 AS identical FROM part)
+SELECT pair_id, CASE WHEN identical THEN 'exact_pixel_identity' ELSE 'page_dimension_fallback' END AS method,
+ CASE WHEN identical THEN 1.0 ELSE least(greatest(0.65 - 2.5 * abs(rw::DOUBLE / rh - cw::DOUBLE / ch) / greatest(rw::DOUBLE / rh, cw::DOUBLE / ch), 0.25), 0.65) END::DOUBLE AS quality,
+ CASE WHEN identical THEN 1.0 ELSE cw::DOUBLE / rw END::DOUBLE AS m00, CASE WHEN identical THEN 1.0 ELSE 0.0 END::DOUBLE AS inlier_ratio, CASE WHEN identical THEN 0.0::DOUBLE END AS reprojection_error FROM p""")
+def d1_d2_alignment(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("m", "array<double>"), ("match_count", "long"), ("inliers", "long"), ("inlier_ratio", "double"), ("error", "double"))]
+    k, n = F.col("p_partkey"), F.col("p_size")
+    pairs = p.select(k.alias("pair_id"), (400 + n * 10).alias("rw"), (300 + k % 200).alias("rh"), (420 + n * 9).alias("cw"), (310 + k % 190).alias("ch"), (k % 5 == 0).alias("identical"), *nothing)
+    return alignment.align(pairs).select("pair_id", "method", "quality", F.get("matrix", F.lit(0)).alias("m00"), "inlier_ratio", "reprojection_error")
+
+
+# Descriptors hashed from line numbers; orders are pages, so a page has few keypoints.
+DESC = """
+ds AS (SELECT l_orderkey AS pair_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS kp_id, l_partkey * 7919 AS d0, l_suppkey * 104729 AS d1, CAST(l_quantity AS BIGINT) * 611953 AS d2, l_linenumber * 15485863 AS d3 FROM lineitem),
+hm AS (SELECT r.pair_id, r.kp_id AS kp_r, c.kp_id AS kp_c, bit_count(xor(r.d0, c.d0 + c.kp_id % 2)) + bit_count(xor(r.d1, c.d1)) + bit_count(xor(r.d2, c.d2)) + bit_count(xor(r.d3, c.d3)) AS distance FROM ds r JOIN ds c ON c.pair_id = r.pair_id),
+rk AS (SELECT *, row_number() OVER o AS rn, lead(distance) OVER o AS second FROM hm WINDOW o AS (PARTITION BY pair_id, kp_r ORDER BY distance, kp_c))
+"""
+
+
+@query(f"WITH {DESC} SELECT pair_id, CAST(kp_r AS INT) AS kp_r, CAST(kp_c AS INT) AS kp_c, CAST(distance AS INT) AS distance FROM rk WHERE rn = 1 AND distance < 0.76 * second")
+def d3_ratio_matches(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    d = li.select(
+        F.col("l_orderkey").alias("pair_id"), F.row_number().over(order).alias("kp_id"), (F.col("l_partkey") * 7919).alias("d0"), (F.col("l_suppkey") * 104729).alias("d1"),
+        (F.col("l_quantity").cast("long") * 611953).alias("d2"), (F.col("l_linenumber").cast("long") * 15485863).alias("d3"),
+    )
+    return alignment.ratio_matches(d, d.withColumn("d0", F.col("d0") + F.col("kp_id") % 2))
+
+
+@query("""WITH p AS (SELECT l_orderkey AS pair_id, l_quantity AS rx, l_extendedprice / 1000 AS ry, l_quantity * 1.5 + 3 + l_discount * 60 AS cx, l_extendedprice / 1000 * 0.5 - 2 AS cy FROM lineitem),
+e AS (SELECT pair_id, sqrt(pow(1.5 * rx + 3 - cx, 2) + pow(0.5 * ry - 2 - cy, 2)) AS err FROM p),
+a AS (SELECT pair_id, count(*) AS match_count, count(*) FILTER (WHERE err <= 4.0) AS inliers, quantile_cont(err, 0.5) FILTER (WHERE err <= 4.0) AS med FROM e GROUP BY pair_id)
+SELECT pair_id, match_count, inliers, inliers / match_count::DOUBLE AS inlier_ratio, round(coalesce(med, 4.0), 6) AS reprojection_error, match_count >= 10 AND inliers >= 8 AS passes,
+ round(least(greatest(0.30 + 0.40 * (inliers / match_count::DOUBLE) + 0.15 * least(1.0, match_count / 100.0::DOUBLE) + 0.15 * greatest(0.0, 1.0 - coalesce(med, 4.0) / 8.0), 0.0), 1.0), 6) AS quality FROM a""")
+def d4_d9_reprojection(spark, sf_dir):
+    m = alignment.matrix(1.5, 0, 3, 0, 0.5, -2, 0, 0, 1)
+    ry = F.col("l_extendedprice") / 1000
+    points = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pair_id"), F.col("l_quantity").alias("rx"), ry.alias("ry"), (F.col("l_quantity") * 1.5 + 3 + F.col("l_discount") * 60).alias("cx"), (ry * 0.5 - 2).alias("cy"), m.alias("matrix"))
+    out = alignment.reprojection(points)
+    quality = alignment.match_quality(F.col("inlier_ratio"), F.col("match_count"), F.col("reprojection_error"))
+    return out.withColumns({"passes": alignment.passes_gates(F.col("match_count"), F.col("inliers")), "quality": F.round(quality, 6), "reprojection_error": F.round("reprojection_error", 6)})
+
+
+@query("""WITH p AS (SELECT p_partkey, p_size / 40.0::DOUBLE AS s, (p_partkey % 60)::DOUBLE AS t FROM part)
+SELECT p_partkey, t >= -60 AND 400 * s + t <= 460 AND 300 * s + t <= 345 AND s * s BETWEEN 0.65 AND 1.35 AS plausible,
+ round(greatest(sqrt(2 * t * t), sqrt(pow(400 * s + t - 400, 2) + t * t), sqrt(pow(400 * s + t - 400, 2) + pow(300 * s + t - 300, 2)), sqrt(t * t + pow(300 * s + t - 300, 2))), 6) AS displacement FROM p""")
+def d7_d8_plausible(spark, sf_dir):
+    s, t = F.col("p_size") / 40.0, (F.col("p_partkey") % 60).cast("double")
+    m = alignment.matrix(s, 0, t, 0, s, t, 0, 0, 1)
+    w, h = F.lit(400.0), F.lit(300.0)
+    return table(spark, sf_dir, "part").select("p_partkey", alignment.plausible(m, w, h, w, h).alias("plausible"), F.round(alignment.corner_displacement(m, w, h), 6).alias("displacement"))
+
+
+@query(f"""WITH {CELLS}, t AS (SELECT c.vec_id, x, y, gray FROM cells c)
+SELECT vec_id AS pair_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(floor(0.5 * coalesce(a.gray, 255) + 0.5 * coalesce(b.gray, 255) + 0.5) AS INT) AS gray FROM t
+ LEFT JOIN (SELECT vec_id, x + 1 AS x, y, gray FROM cells) a USING (vec_id, x, y) LEFT JOIN (SELECT vec_id, x, y, gray FROM cells) b USING (vec_id, x, y)""")
+def d10_warp(spark, sf_dir):
+    """Every raster half a cell to the right."""
+    cells = raster.vector_cells(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", SIDE).withColumnRenamed("vec_id", "pair_id")
+    frames = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pair_id"), F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height"), alignment.matrix(1, 0, -0.5, 0, 1, 0, 0, 0, 1).alias("inverse"))
+    return alignment.warp(cells, frames)
+
+
+@query()
+def a8_alignment_metadata(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pair_id"), alignment.identity().alias("matrix"), F.lit("exact_pixel_identity").alias("method"), F.lit(1.0).alias("quality"))
+    return sources.alignment_metadata(p)
+
+
+# Payloads of two producers from events.
+PAYLOAD = """CASE WHEN event_id % 2 = 0 THEN '{"job_id":"' || user_id || '","metrics":{"overall_tampering_risk":' || value || ',"label":"L","duration_seconds":2.5},"findings":[{"id":"f' || event_id || '","page":2,"bbox":[0.1,0.2,1.7,0.4],"risk":0.5,"evidence_sources":["a","","b"],"supporting_measurements":{"n":3,"x":[1],"ok":true}}]}'
+ ELSE '{"analysis_id":"' || user_id || '","risk_score":"' || value || '","pages":[{"findings":[{"bounding_box":{"left":0.25,"top":0.5,"x1":0.75,"y1":2.5},"confidence":87,"evidence_source":"E"},{}]}],"processing_duration_ms":1200}' END"""
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.expr(PAYLOAD.replace("'{", "r'{")).alias("payload"))
+
+
+@query("""SELECT event_id, CAST(user_id AS VARCHAR) AS result_job_id, CAST(least(100.0, greatest(0.0, CASE WHEN value > 0 AND value <= 1 THEN value * 100 ELSE value END)) AS DOUBLE) AS risk, CASE WHEN event_id % 2 = 0 THEN 'L' ELSE 'Tampering risk assessed' END AS risk_label,
+ CAST(CASE WHEN event_id % 2 = 0 THEN 1 ELSE 2 END AS DOUBLE) AS finding_count, CAST(CASE WHEN event_id % 2 = 0 THEN 2500 ELSE 1200 END AS DOUBLE) AS duration_ms, CASE WHEN event_id % 2 = 0 THEN 'f' || event_id ELSE 'finding-1' END AS first_id,
+ CAST(CASE WHEN event_id % 2 = 0 THEN 1.0 ELSE 0.5 END AS DOUBLE) AS first_width, CAST(CASE WHEN event_id % 2 = 0 THEN 0.4 ELSE 1.0 END AS DOUBLE) AS first_height, CASE WHEN event_id % 2 = 0 THEN 'a, b' ELSE 'E' END AS evidence, CASE WHEN event_id % 2 = 0 THEN 2 ELSE 0 END AS n_measures, 1 AS n_pages FROM events""")
+def i1_i9_results(spark, sf_dir):
+    r = harmonise.harmonise_results(payloads(spark, sf_dir), "payload")
+    f = F.get("findings", F.lit(0))
+    return r.select(
+        "event_id", "result_job_id", F.col("overall_tampering_risk").alias("risk"), "risk_label", "finding_count", F.col("processing_duration_ms").alias("duration_ms"), f.finding_id.alias("first_id"),
+        f.bounding_box.width.alias("first_width"), f.bounding_box.height.alias("first_height"), f.evidence_source.alias("evidence"), F.size(f.measurements).alias("n_measures"), F.size("pages").alias("n_pages"),
+    )
+
+
+@query("""SELECT event_id, CAST(user_id AS VARCHAR) AS job_id, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'queued' ELSE 'processing' END AS state, least(100.0, greatest(0.0, value))::DOUBLE AS progress,
+ CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'queued' ELSE 'processing' END AS current_stage, CASE WHEN event_type = 'error' THEN 'broken' END AS error_message, CASE WHEN event_type = 'error' THEN 'analysis_error' END AS error_code FROM events""")
+def i10_i12_jobs(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    word = F.when(F.col("event_type") == "purchase", "Success").when(F.col("event_type") == "error", "cancelled").when(F.col("event_type") == "signup", "pending").otherwise("run")
+    fault = F.when(F.col("event_type") == "error", "broken")
+    p = e.select("event_id", F.to_json(F.struct(F.col("user_id").cast("string").alias("id"), word.alias("status"), F.col("value").alias("progress"), fault.alias("error"))).alias("payload"))
+    j = harmonise.harmonise_jobs(p, "payload")
+    return j.select("event_id", "job_id", "state", "progress", "current_stage", F.col("error.message").alias("error_message"), F.col("error.code").alias("error_code"))
+
+
+@query("""SELECT event_id, CAST(event_id AS VARCHAR) AS progress_event_id, event_type AS stage_id, 'Analysing document' AS message, CAST(least(100.0, greatest(0.0, value)) AS DOUBLE) AS progress, CAST(greatest(1, user_id % 4) AS DOUBLE) AS page_number FROM events""")
+def i12_progress_events(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    p = e.select("event_id", F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("stage"), F.col("value").alias("progress"), (F.col("user_id") % 4).alias("page_number"))).alias("payload"))
+    return harmonise.harmonise_events(p, "payload").drop("payload", "finding_count")
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'https://h/x' WHEN 1 THEN 'B/x' WHEN 2 THEN 'B/y' ELSE '' END AS url, upper(event_type[1]) || event_type[2:] || ' Id' AS title, CASE WHEN value >= 75 THEN 'critical' WHEN value >= 50 THEN 'high' WHEN value >= 25 THEN 'moderate' ELSE 'low' END AS tone,
+ CASE WHEN event_id * 10 < 1024 THEN event_id * 10 || ' B' WHEN event_id * 10 < 1048576 THEN printf('%.1f KB', floor(event_id * 10 / 1024.0::DOUBLE * 10 + 0.5) / 10) ELSE printf('%.1f MB', event_id * 10 / 1048576.0::DOUBLE) END AS bytes,
+ CASE WHEN event_id * 7 < 1000 THEN event_id * 7 || ' ms' WHEN event_id * 7 < 10000 THEN printf('%.1f s', floor((event_id * 7 + 50) / 100.0::DOUBLE) / 10) ELSE printf('%.0f s', floor((event_id * 7 + 500) / 1000.0::DOUBLE)) END AS took FROM events""")
+def i13_i14_display(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    k = F.col("event_id") % 4
+    link = F.when(k == 0, "https://h/x").when(k == 1, "/x").when(k == 2, "y").otherwise("")
+    n = F.col("event_id")
+    return e.select(
+        "event_id", harmonise.asset_url(F.try_parse_json(F.concat(F.lit('"'), link, F.lit('"'))), "B").alias("url"),
+        harmonise.title_text(F.concat("event_type", F.lit("_id"))).alias("title"), harmonise.risk_tone(F.col("value")).alias("tone"), harmonise.bytes_text(n * 10).alias("bytes"), harmonise.duration_text(n * 7).alias("took"),
+    )
+
+
+# Boxes from orders: expected ones and found ones a little off.
+BOXED = """
+ex AS (SELECT o_orderkey AS pair_id, 1 AS alteration_no, CASE WHEN o_orderkey % 3 = 0 THEN 'a' ELSE 'b' END AS category, (o_custkey % 50) / 100.0::DOUBLE AS x, (o_orderkey % 40) / 100.0::DOUBLE AS y, 0.2::DOUBLE AS width, 0.1::DOUBLE AS height FROM orders),
+fo AS (SELECT o_orderkey AS pair_id, 'f' || k AS finding_id, 'a' AS category, o_totalprice / 5000 AS risk_score, ((o_custkey + 7 * k) % 50) / 100.0::DOUBLE AS x, ((o_orderkey + 3 * k) % 40) / 100.0::DOUBLE AS y, 0.2::DOUBLE AS width, 0.1::DOUBLE AS height FROM orders, range(1, 3) AS r(k))
+"""
+
+
+@query(f"""WITH {BOXED}, o AS (SELECT e.pair_id, e.alteration_no, e.category AS want, f.finding_id, f.category, f.risk_score, greatest(0.0, least(e.x + 0.2, f.x + 0.2) - greatest(e.x, f.x)) * greatest(0.0, least(e.y + 0.1, f.y + 0.1) - greatest(e.y, f.y)) AS i FROM ex e JOIN fo f ON f.pair_id = e.pair_id),
+u AS (SELECT *, i / (0.2 * 0.1 + 0.2 * 0.1 - i) AS iou FROM o), b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY round(iou, 12) DESC, finding_id DESC) = 1)
+SELECT pair_id, CAST(alteration_no AS INT) AS alteration_no, finding_id, CAST(round(iou, 9) AS DOUBLE) AS iou, want = category AS category_equal, iou >= 0.05 AS located, risk_score >= 50 AS risky FROM b""")
+def j1_j2_matched(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    box = [F.lit(0.2).alias("width"), F.lit(0.1).alias("height")]
+    expected = o.select(F.col("o_orderkey").alias("pair_id"), F.lit(1).alias("alteration_no"), F.when(F.col("o_orderkey") % 3 == 0, "a").otherwise("b").alias("category"), (F.col("o_custkey") % 50 / 100.0).alias("x"), (F.col("o_orderkey") % 40 / 100.0).alias("y"), *box)
+    k = o.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("k"))
+    found = k.select(F.col("o_orderkey").alias("pair_id"), F.concat(F.lit("f"), F.col("k").cast("string")).alias("finding_id"), F.lit("a").alias("category"), (F.col("o_totalprice") / 5000).alias("risk_score"), ((F.col("o_custkey") + 7 * F.col("k")) % 50 / 100.0).alias("x"), ((F.col("o_orderkey") + 3 * F.col("k")) % 40 / 100.0).alias("y"), *box)
+    return evaluation.matched(expected, found).withColumn("iou", F.round("iou", 9))
+
+
+@query("SELECT o_custkey AS reference_id, min(o_totalprice / 5000) FILTER (WHERE o_orderstatus = 'F') - max(o_totalprice / 5000) FILTER (WHERE o_orderstatus <> 'F') AS gap, coalesce(min(o_totalprice / 5000) FILTER (WHERE o_orderstatus = 'F') - max(o_totalprice / 5000) FILTER (WHERE o_orderstatus <> 'F') >= 40, false) AS separated FROM orders GROUP BY o_custkey")
+def j3_separation(spark, sf_dir):
+    return evaluation.separation(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("reference_id"), (F.col("o_orderstatus") == "F").alias("tampered"), (F.col("o_totalprice") / 5000).alias("risk")))
+
+
+@query("(SELECT o_orderkey, o_custkey, 'first' AS run FROM orders WHERE o_orderkey % 100 = 0) UNION ALL (SELECT o_orderkey, o_custkey + 1, 'second' FROM orders WHERE o_orderkey % 100 = 0)")
+def j4_differences(spark, sf_dir):
+    """Two runs that differ in every hundredth row."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return evaluation.differences_between(o, o.withColumn("o_custkey", F.when(F.col("o_orderkey") % 100 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey"))))
+
+
+@query(f"WITH {CELLS}, {BLUR}, {MASK}, w AS (SELECT DISTINCT pair_id FROM j) SELECT w.pair_id, 12::BIGINT AS expected_cells, count(m0.x) AS mask_cells, count(m0.x) FILTER (WHERE m0.x BETWEEN 2 AND 5 AND m0.y BETWEEN 3 AND 5) AS both_cells FROM w LEFT JOIN m0 ON m0.pair_id = w.pair_id GROUP BY w.pair_id")
+def j6_mask_overlap(spark, sf_dir):
+    pairs = raster_cells(spark, sf_dir).select("pair_id").distinct()
+    expected = pairs.select("pair_id", F.lit(2).alias("x0"), F.lit(3).alias("y0"), F.lit(6).alias("x1"), F.lit(6).alias("y1"))
+    return evaluation.mask_overlap(expected, mask_cells(spark, sf_dir))
+
+
+@query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount * 8 AS x, l_tax * 8 AS y, l_quantity / 50 - 0.1 AS width, 0.3::DOUBLE AS height, l_extendedprice / 900 AS score, l_returnflag FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, array_to_string(list_filter([CASE WHEN NOT (width > 0 AND height > 0) THEN 'box_extent_not_positive' END, CASE WHEN NOT (x + width <= 1.000001 AND y + height <= 1.000001) THEN 'box_outside_page' END,
+ CASE WHEN NOT (x BETWEEN 0 AND 1 AND y BETWEEN 0 AND 1 AND width BETWEEN 0 AND 1 AND height BETWEEN 0 AND 1) THEN 'box_not_unit' END, CASE WHEN NOT (score BETWEEN 0 AND 100) THEN 'score_out_of_range' END, CASE WHEN l_returnflag NOT IN ('A', 'R') THEN 'l_returnflag_not_allowed' END,
+ CASE WHEN NOT (l_linenumber - 2 >= 1) THEN 'page_number_below_one' END], lambda c: c IS NOT NULL), ',') AS codes FROM s""")
+def k1_k8_violations(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").withColumns({"x": F.col("l_discount") * 8, "y": F.col("l_tax") * 8, "width": F.col("l_quantity") / 50 - 0.1, "height": F.lit(0.3), "score": F.col("l_extendedprice") / 900, "page": F.col("l_linenumber") - 2})
+    rules = [*contracts.box_rules(), contracts.score_rule("score"), contracts.enum_rule("l_returnflag", ("A", "R")), *contracts.count_rules("page")]
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.array_join(contracts.violations(*rules), ",").alias("codes"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'unknown_field' WHEN event_id % 4 = 1 THEN 'missing_field' WHEN event_id % 4 = 2 THEN 'malformed' END AS contract_error, CASE WHEN event_id % 4 = 3 THEN user_id END AS job FROM events""")
+def a9_k7_contract(spark, sf_dir):
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("job", T.LongType(), False), T.StructField("state", T.StringType(), False), T.StructField("note", T.StringType(), True)])
+    k = F.col("event_id") % 4
+    job = F.col("user_id").cast("string")
+    payload = F.when(k == 0, F.concat(F.lit('{"job":'), job, F.lit(',"state":"x","more":1}'))).when(k == 1, F.concat(F.lit('{"job":'), job, F.lit("}"))).when(k == 2, F.lit('{"job":')).otherwise(F.concat(F.lit('{"job":'), job, F.lit(',"state":"x"}')))
+    read = contracts.read_contract(table(spark, sf_dir, "events").select("event_id", payload.alias("payload")), "payload", schema)
+    return read.select("event_id", "contract_error", F.col("record.job").alias("job"))
