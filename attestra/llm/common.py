@@ -37,8 +37,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:
@@ -77,3 +77,13 @@ def add_with_arrow(
             yield pa.RecordBatch.from_arrays(arrays, names=[*order, *[f.name for f in fields]][: n_kept + len(fields)])
 
     return df.mapInArrow(run, schema)
+
+
+_memories: dict[str, Callable[[], None]] = {}
+
+
+def claim(name: str, forget: Callable[[], None] = lambda: None) -> None:
+    """Within a Python worker, which Spark reuses: let go of what other operators' tasks have remembered there."""
+    for other in [k for k in _memories if k != name]:
+        _memories.pop(other)()
+    _memories[name] = forget
