@@ -48,28 +48,50 @@ def clamp(x: Column, low: float = 0.0, high: float = 100.0) -> Column:
 
 def as_score(v: Column) -> Column:
     """0 to 100; a value above 0 and at most 1 counts as a share of one."""
-    x = as_number(v)
+    return score_of(as_number(v))
+
+
+def score_of(x: Column) -> Column:
     return clamp(F.when((x > 0) & (x <= 1), x * 100).otherwise(x))
 
 
 def asset_url(v: Column, base: str = "") -> Column:
-    url = as_string(v)
+    return url_of(as_string(v), base)
+
+
+def url_of(url: Column, base: str = "") -> Column:
     kept = (url == "") | url.rlike("(?i)^(https?:|blob:|data:)")
     return F.when(kept, url).when(url.startswith("/"), F.concat(F.lit(base), url)).otherwise(F.concat(F.lit(f"{base}/"), url))
 
 
+def box_parts(v: Column) -> Column:
+    """What box() needs, each looked up once."""
+    get = lambda path: F.try_variant_get(v, path, "variant")
+    return F.struct(
+        kind(v).alias("kind"), *[get(f"$[{i}]").alias(f"i{i}") for i in range(4)], pick(v, "x", "left", "x0").alias("x"), pick(v, "y", "top", "y0").alias("y"),
+        pick(v, "width", "w").alias("w"), pick(v, "height", "h").alias("h"), get("$.x1").alias("x1"), get("$.y1").alias("y1"),
+    )
+
+
+def box_numbers(p: Column) -> Column:
+    """The parts as numbers, whether listed or named."""
+    number = lambda c: as_number(p[c]).alias(c)
+    return F.struct(
+        ((p.kind == "ARRAY") & p.i3.isNotNull()).alias("listed"), (p.kind == "OBJECT").alias("named"), p.x1.isNotNull().alias("has_x1"), p.y1.isNotNull().alias("has_y1"),
+        *[number(c) for c in ("i0", "i1", "i2", "i3", "x", "y", "w", "h", "x1", "y1")],
+    )
+
+
+def box_of(n: Column) -> Column:
+    w = F.when((n.w == 0) & n.has_x1, n.x1 - n.x).otherwise(n.w)
+    h = F.when((n.h == 0) & n.has_y1, n.y1 - n.y).otherwise(n.h)
+    side = lambda item, other: clamp(F.when(n.listed, item).when(n.named, other).otherwise(0.0), 0.0, 1.0)
+    return F.struct(side(n.i0, n.x).alias("x"), side(n.i1, n.y).alias("y"), side(n.i2, w).alias("width"), side(n.i3, h).alias("height"))
+
+
 def box(v: Column) -> Column:
     """x, y, width, height in 0..1 from an array of four or an object under any of its spellings."""
-    item = lambda i: as_number(F.try_variant_get(v, f"$[{i}]", "variant"))
-    x, y = as_number(pick(v, "x", "left", "x0")), as_number(pick(v, "y", "top", "y0"))
-    w, h = as_number(pick(v, "width", "w")), as_number(pick(v, "height", "h"))
-    x1, y1 = F.try_variant_get(v, "$.x1", "variant"), F.try_variant_get(v, "$.y1", "variant")
-    w = F.when((w == 0) & x1.isNotNull(), as_number(x1) - x).otherwise(w)
-    h = F.when((h == 0) & y1.isNotNull(), as_number(y1) - y).otherwise(h)
-    listed = (kind(v) == "ARRAY") & F.try_variant_get(v, "$[3]", "variant").isNotNull()
-    named = kind(v) == "OBJECT"
-    side = lambda i, other: clamp(F.when(listed, item(i)).when(named, other).otherwise(0.0), 0.0, 1.0)
-    return F.struct(side(0, x).alias("x"), side(1, y).alias("y"), side(2, w).alias("width"), side(3, h).alias("height"))
+    return box_of(box_numbers(box_parts(v)))
 
 
 def measurements(v: Column) -> Column:
@@ -97,29 +119,48 @@ def descriptor(v: Column) -> Column:
     )
 
 
-def finding(v: Column, index: Column) -> Column:
-    """One finding with its defaults. index counts from 0."""
-    d = FINDING_DEFAULTS
+def finding_parts(v: Column) -> Column:
+    """What finding() needs, each looked up once: the steps that follow only read fields."""
     links = F.try_variant_get(v, "$.assets", "variant")
-    asset = lambda *keys: F.when(kind(links) == "OBJECT", asset_url(pick(links, *keys))).otherwise(asset_url(pick(v, *keys)))
-    evidence = pick(v, "evidence_source", "evidence_sources")
-    listed = F.array_join(F.filter(F.transform(F.try_variant_get(evidence, "$", "array<variant>"), lambda e: as_string(e)), lambda s: s != ""), ", ")
+    asset = lambda *keys: F.when(kind(links) == "OBJECT", pick(links, *keys)).otherwise(pick(v, *keys))
     return F.struct(
-        as_string(pick(v, "finding_id", "id"), F.concat(F.lit("finding-"), (index + 1).cast("string"))).alias("finding_id"),
-        F.greatest(F.lit(1.0), as_number(pick(v, "page_number", "page"), 1.0)).cast("int").alias("page_number"),
-        as_string(pick(v, "category"), d["category"]).alias("category"),
-        as_string(pick(v, "title"), d["title"]).alias("title"),
-        as_string(pick(v, "explanation", "description"), d["explanation"]).alias("explanation"),
-        box(pick(v, "bounding_box", "candidate_bounding_box", "normalized_bbox", "bbox")).alias("bounding_box"),
-        as_score(pick(v, "risk_score", "risk")).alias("risk_score"),
-        as_score(pick(v, "confidence_score", "confidence")).alias("confidence_score"),
-        as_string(pick(v, "severity"), d["severity"]).alias("severity"),
-        F.when(kind(evidence) == "ARRAY", listed).otherwise(as_string(evidence, d["evidence"])).alias("evidence_source"),
-        asset("candidate_crop_url", "candidate_crop").alias("candidate_crop_url"),
-        asset("reference_crop_url", "reference_crop").alias("reference_crop_url"),
-        asset("difference_overlay_url", "diff_overlay_url", "difference_overlay").alias("difference_overlay_url"),
-        measurements(pick(v, "measurements", "supporting_measurements")).alias("measurements"),
-    )
+        pick(v, "finding_id", "id").alias("id"), pick(v, "page_number", "page").alias("page"), *[pick(v, c).alias(c) for c in ("category", "title", "severity")],
+        pick(v, "explanation", "description").alias("explanation"), pick(v, "bounding_box", "candidate_bounding_box", "normalized_bbox", "bbox").alias("box"),
+        pick(v, "risk_score", "risk").alias("risk"), pick(v, "confidence_score", "confidence").alias("confidence"), pick(v, "evidence_source", "evidence_sources").alias("evidence"),
+        asset("candidate_crop_url", "candidate_crop").alias("candidate"), asset("reference_crop_url", "reference_crop").alias("reference"),
+        asset("difference_overlay_url", "diff_overlay_url", "difference_overlay").alias("overlay"), pick(v, "measurements", "supporting_measurements").alias("measurements"),
+    )
+
+
+def finding_typed(r: Column, index: Column) -> Column:
+    """The parts as strings and numbers with their defaults; the box still in parts."""
+    d = FINDING_DEFAULTS
+    listed = F.array_join(F.filter(F.transform(F.try_variant_get(r.evidence, "$", "array<variant>"), lambda e: as_string(e)), lambda s: s != ""), ", ")
+    return F.struct(
+        as_string(r.id, F.concat(F.lit("finding-"), (index + 1).cast("string"))).alias("finding_id"),
+        F.greatest(F.lit(1.0), as_number(r.page, 1.0)).cast("int").alias("page_number"),
+        *[as_string(r[c], d[c]).alias(c) for c in ("category", "title", "explanation")],
+        box_parts(r.box).alias("box"), as_number(r.risk).alias("risk"), as_number(r.confidence).alias("confidence"), as_string(r.severity, d["severity"]).alias("severity"),
+        F.when(kind(r.evidence) == "ARRAY", listed).otherwise(as_string(r.evidence, d["evidence"])).alias("evidence_source"),
+        *[as_string(r[c]).alias(c) for c in ("candidate", "reference", "overlay")], measurements(r.measurements).alias("measurements"),
+    )
+
+
+def finding(t: Column) -> Column:
+    """One finding from its typed parts."""
+    return F.struct(
+        t.finding_id.alias("finding_id"), t.page_number.alias("page_number"), t.category.alias("category"), t.title.alias("title"), t.explanation.alias("explanation"),
+        box_of(t.box).alias("bounding_box"), score_of(t.risk).alias("risk_score"), score_of(t.confidence).alias("confidence_score"), t.severity.alias("severity"),
+        t.evidence_source.alias("evidence_source"), url_of(t.candidate).alias("candidate_crop_url"), url_of(t.reference).alias("reference_crop_url"),
+        url_of(t.overlay).alias("difference_overlay_url"), t.measurements.alias("measurements"),
+    )
+
+
+def findings_of(list_: Column) -> Column:
+    """An array of variants as findings, in steps so that no look-up is repeated."""
+    typed = F.transform(F.transform(list_, finding_parts), finding_typed)
+    boxed = F.transform(typed, lambda t: t.withField("box", box_numbers(t.box)))
+    return F.transform(boxed, finding)
 
 
 def listing(v: Column) -> Column:
@@ -157,12 +198,12 @@ def harmonise_results(df: DataFrame, payload: str, job_id: str | None = None) ->
     metrics = F.coalesce(F.when(kind(F.try_variant_get(v, "$.metrics", "variant")) == "OBJECT", F.try_variant_get(v, "$.metrics", "variant")), v)
     df = df.withColumn("_m", metrics)
     m = F.col("_m")
-    df = df.withColumn("_top", F.transform(listing(F.try_variant_get(v, "$.findings", "variant")), finding))
+    df = df.withColumn("_top", findings_of(listing(F.try_variant_get(v, "$.findings", "variant"))))
     page_no = lambda p, i: F.greatest(F.lit(1.0), as_number(pick(p, "page_number", "page"), (i + 1).cast("double"))).cast("int")
 
     def page(p: Column, i: Column) -> Column:
         own = F.try_variant_get(p, "$.findings", "variant")
-        found = F.when(kind(own) == "ARRAY", F.transform(listing(own), finding)).otherwise(F.filter("_top", lambda f: f.page_number == page_no(p, i)))
+        found = F.when(kind(own) == "ARRAY", findings_of(listing(own))).otherwise(F.filter("_top", lambda f: f.page_number == page_no(p, i)))
         return F.struct(
             page_no(p, i).alias("page_number"),
             asset_url(pick(p, "candidate_image_url", "candidate_page_url", "preview_url", "image_url")).alias("candidate_image_url"),
