@@ -4,13 +4,15 @@ Texts with equal shingle sets are one class. Shingles are ordered by how often
 the corpus has them (a counting sketch of fixed size over all texts) and then by hash; two
 classes that are similar enough share a shingle among the first few of each, the
 prefixes. Prefix entries meet by shingle; entries that no other class shares go at once.
-What is left is joined in two rounds, so that a large group of near copies never
+What is left is joined in rounds, so that a large group of near copies never
 emits all its pairs:
 
-1. each class with the least and the greatest class of each shingle it shares;
-2. classes of one shingle that round 1 left in different components.
+1. each class with two classes of each shingle it shares, picked by a hash of shingle and
+   class, so that a group's shingles pick many of its members; this is done STARS times,
+   each time only for shingles whose classes are in different components by now;
+2. classes of one shingle that are still in different components.
 
-In either round a pair passes the length filter, the positional filter (at its
+In any round a pair passes the length filter, the positional filter (at its
 first common shingle) once each, and is then verified once on the whole sets behind a suffix
 filter. A pair that round 2 skips lies inside one component, so components are
 those of all links. Any order of shingles gives right results; the sketch only
@@ -29,18 +31,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import small_batches, written
+from attestra.llm.common import claim, small_batches, written
 
 N = 5
 #: Two sets link when 9 * overlap >= 4 * (sum of their sizes): a Jaccard similarity of 0.8 or more.
 #: Counters of the sketch and how they are sent.
-SKETCH_BITS, BLOCK = 20, 4096
+SKETCH_BITS, BLOCK = 22, 16_384
+#: Rounds of stars before the classes that are left meet one another.
+STARS = 2
+#: Rows of a batch: a row may hold a long text or many entries.
+ROWS = 64
 #: Entries of a shingle that the sketch holds for this common are spread by class: it is shared for sure, or nearly so.
 COMMON = 50_000
-BUCKET_ENTRIES, FLUSH_ENTRIES = 400_000, 1_000_000
+BUCKET_ENTRIES, FLUSH_ENTRIES, SEEN_CLASSES = 400_000, 400_000, 200_000
+#: A set's outline: how many of its shingles lie in each of so many equal parts of the hash range.
+PARTS = 128
+#: Classes of one shingle that meet in one task at most; a larger group is cut into blocks, and blocks meet pairwise.
+GROUP = 2_048
 SEGMENT = 4 << 20
 #: Ids that may be broadcast; beyond them the texts are joined by shuffling.
 BROADCAST_IDS = 1_000_000
@@ -148,6 +158,14 @@ def class_keys(bounds: np.ndarray, values: np.ndarray) -> np.ndarray:
     return mix(total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)
 
 
+def outlines(bounds: np.ndarray, values: np.ndarray) -> pa.Array:
+    """The outline of each set, as bytes (255 stands for more)."""
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    part = (values >> np.uint64(57)).astype(np.int64)
+    table = np.bincount(owner * PARTS + part, minlength=(len(bounds) - 1) * PARTS).reshape(-1, PARTS)
+    return pa.array([row.tobytes() for row in table.clip(0, 255).astype(np.uint8)], pa.binary())
+
+
 def _text(batch: pa.RecordBatch) -> pa.Array:
     return batch.column(batch.schema.get_field_index("text"))
 
@@ -155,7 +173,10 @@ def _text(batch: pa.RecordBatch) -> pa.Array:
 def profile(docs: DataFrame) -> DataFrame:
     """A row for each document (doc_id, n, cls), and for each task its share of the sketch in blocks (block, counts)."""
 
+    names = ["doc_id", "n", "cls", "outline", "block", "counts"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("ngram_join")
         counts, waiting, held = np.zeros(1 << SKETCH_BITS, np.int64), [], 0
 
         def count():
@@ -168,23 +189,23 @@ def profile(docs: DataFrame) -> DataFrame:
             bounds, values = shingle_sets(_text(batch))
             waiting.append(values)
             held += len(values)
-            if held > 2_000_000:
+            if held > 1_000_000:
                 count()
             n = len(batch)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index("doc_id")), pa.array(np.diff(bounds)), pa.array(class_keys(bounds, values)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-                names=["doc_id", "n", "cls", "block", "counts"],
+                [batch.column(batch.schema.get_field_index("doc_id")), pa.array(np.diff(bounds)), pa.array(class_keys(bounds, values)), outlines(bounds, values), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                names=names,
             )
         count()
         blocks = [b for b in range(len(counts) // BLOCK) if counts[b * BLOCK : (b + 1) * BLOCK].any()]
         packed = [counts[b * BLOCK : (b + 1) * BLOCK].astype("<u4").tobytes() for b in blocks]
         n = len(blocks)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())],
-            names=["doc_id", "n", "cls", "block", "counts"],
+            [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())],
+            names=names,
         )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cls long, block int, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cls long, outline binary, block int, counts binary")
 
 
 def sketch(profiled: DataFrame) -> np.ndarray:
@@ -238,7 +259,7 @@ def prefix_entries(docs: DataFrame, ranks: np.ndarray, buckets: int) -> DataFram
                 n = int(b - a)
                 if not n or cls in seen:
                     continue
-                if len(seen) < 500_000:
+                if len(seen) < SEEN_CLASSES:
                     seen.add(cls)
                 p = n - (4 * n + 4) // 5 + 1
                 part = np.empty(p, ENTRY)
@@ -296,34 +317,93 @@ def shared_entries(packed: DataFrame, buckets: int, ranks: np.ndarray) -> DataFr
     return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "token long, cls long, n int, pos int")
 
 
+def may_meet() -> Column:
+    """The length and positional filters of x and y that share the shingle at positions i and j.
+
+    A pair that links passes at its first common shingle, so it is enough to let such meetings through.
+    """
+    length = (5 * F.col("nx") >= 4 * F.col("ny")) & (5 * F.col("ny") >= 4 * F.col("nx"))
+    need = 4 * (F.col("nx") + F.col("ny"))
+    return length & (9 * (F.col("nx") - F.col("i")) >= need) & (9 * (F.col("ny") - F.col("j")) >= need)
+
+
 def filtered_pairs(met: DataFrame) -> DataFrame:
-    """x, y once each from x, y, nx, ny, i, j: past the length and positional filters at their first common shingle."""
-    near = met.where((5 * F.col("nx") >= 4 * F.col("ny")) & (5 * F.col("ny") >= 4 * F.col("nx")))
-    first = near.groupBy("x", "y").agg(F.first("nx").alias("nx"), F.first("ny").alias("ny"), F.min("i").alias("i"), F.min("j").alias("j"))
-    most = F.least(F.col("nx") - F.col("i"), F.col("ny") - F.col("j"))
-    return first.where(9 * most >= 4 * (F.col("nx") + F.col("ny"))).select("x", "y")
+    """x, y once each from x, y, nx, ny, i, j, past the filters."""
+    return met.where(may_meet()).select("x", "y").distinct()
 
 
-def round_one(entries: DataFrame) -> DataFrame:
-    ends = entries.groupBy("token").agg(F.min(F.struct("cls", "n", "pos")).alias("low"), F.max(F.struct("cls", "n", "pos")).alias("high"))
-    met = entries.join(ends, "token").withColumn("other", F.explode(F.array("low", "high"))).where("cls <> other.cls")
+def star_pairs(entries: DataFrame, seed: int) -> DataFrame:
+    """Pairs of each class with the two classes of its shingle that a hash picks, if their components differ. entries: also comp."""
+    pick = F.struct(F.xxhash64("token", "cls", F.lit(seed)).alias("h"), "cls", "n", "pos", "comp")
+    ends = entries.groupBy("token").agg(F.min(pick).alias("low"), F.max(pick).alias("high"))
+    met = entries.join(ends, "token").withColumn("other", F.explode(F.array("low", "high"))).where("cls <> other.cls AND comp <> other.comp")
     x_first = F.col("cls") < F.col("other.cls")
-    pick = lambda a, b: F.when(x_first, F.col(a)).otherwise(F.col(b))
+    side = lambda a, b: F.when(x_first, F.col(a)).otherwise(F.col(b))
     columns = [("x", "cls", "other.cls"), ("y", "other.cls", "cls"), ("nx", "n", "other.n"), ("ny", "other.n", "n"), ("i", "pos", "other.pos"), ("j", "other.pos", "pos")]
-    return filtered_pairs(met.select(*[pick(a, b).alias(c) for c, a, b in columns]))
+    return filtered_pairs(met.select(*[side(a, b).alias(c) for c, a, b in columns]))
 
 
-def round_two(entries: DataFrame, components: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs of one shingle in different components. components: node, comp of classes with links."""
-    placed = entries.join(components.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    open_ = placed.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("token")
-    placed = written(placed.join(open_, "token", "left_semi"), "open")
-    left = placed.select("token", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("i"), F.col("comp").alias("cx"))
-    right = placed.select("token", F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("j"), F.col("comp").alias("cy"))
-    bound = F.least(F.col("nx") - F.col("i"), F.col("ny") - F.col("j")) + F.least("i", "j")
-    length = (5 * F.col("nx") >= 4 * F.col("ny")) & (5 * F.col("ny") >= 4 * F.col("nx"))
-    met = left.join(right, "token").where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & length & (9 * bound >= 4 * (F.col("nx") + F.col("ny"))))
-    return filtered_pairs(met.drop("token")).join(done, ["x", "y"], "left_anti")
+def open_entries(entries: DataFrame, links: DataFrame) -> DataFrame:
+    """entries with the components of the links so far, of shingles whose classes lie in more than one."""
+    placed = entries.drop("comp").join(components(links).withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    still = placed.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("token")
+    return written(placed.join(still, "token", "left_semi"), "open")
+
+
+def cross_pairs(placed: DataFrame, outlined: DataFrame) -> DataFrame:
+    """Pairs of one shingle in different components. outlined: cls, outline.
+
+    The classes of a shingle meet in Arrow tasks, which hand on what passes the length, positional and suffix filters;
+    the latter holds the outlines against each other: two sets share at most the sum of the smaller counts.
+    """
+    sizes = placed.groupBy("token").agg(F.count("*").alias("m"))
+    rows = placed.join(sizes, "token").join(outlined, "cls")
+    # Blocks of a large group: a row goes to the block pairs that its own block is in.
+    blocks = F.ceil(F.col("m") / (GROUP // 2)).cast("int")
+    own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("token", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "cls", "n", "pos", "comp", "outline")
+    n = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    meeting = rows.repartition(n, "token", "a", "b").sortWithinPartitions("token", "a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("ngram_join")
+        at, held = None, []
+        for batch in batches:
+            keys = list(zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True))
+            start = 0
+            for i in range(1, len(keys) + 1):
+                if i == len(keys) or keys[i] != keys[start]:
+                    if keys[start] != at and held:
+                        yield from meet(at, held)
+                        held = []
+                    at = keys[start]
+                    held.append(batch.slice(start, i - start))
+                    start = i
+        if held:
+            yield from meet(at, held)
+
+    def meet(key: tuple, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(parts)
+        own, cls, n, pos, comp = (table.column(c).to_numpy() for c in ("own", "cls", "n", "pos", "comp"))
+        n, pos = n.astype(np.int64), pos.astype(np.int64)
+        shape = np.frombuffer(b"".join(table.column("outline").to_pylist()), np.uint8).reshape(-1, PARTS)
+        for i in range(len(cls) - 1):
+            rest = slice(i + 1, None)
+            need = 4 * (n[i] + n[rest])
+            fine = (comp[rest] != comp[i]) & (5 * n[i] >= 4 * n[rest]) & (5 * n[rest] >= 4 * n[i]) & (9 * (n[i] - pos[i]) >= need) & (9 * (n[rest] - pos[rest]) >= need)
+            if key[1] != key[2]:
+                fine &= own[rest] != own[i]
+            j = np.flatnonzero(fine)
+            if len(j):
+                share = np.minimum(shape[i], shape[i + 1 + j])
+                full = (share == 255).any(axis=1)
+                j = j[full | (9 * share.sum(axis=1, dtype=np.int64) >= need[j])]
+            if len(j):
+                other, mine = cls[i + 1 + j], np.full(len(j), cls[i])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(mine, other)), pa.array(np.maximum(mine, other))], names=["x", "y"])
+
+    return meeting.mapInArrow(run, "x long, y long").distinct()
 
 
 def may_overlap(a: np.ndarray, b: np.ndarray, need: int, depth: int = 2) -> bool:
@@ -381,7 +461,6 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
 
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (the least node reachable) for every node of the edges x, y: alternating large and small stars."""
-    spark: SparkSession = edges.sparkSession
     at = written(edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u <> v").distinct(), "edges")
     state = None
     while True:
@@ -395,35 +474,41 @@ def components(edges: DataFrame) -> DataFrame:
         if now == state or not now["n"]:
             break
         state = now
-    del spark
     return at.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(at.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
 def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, ROWS)
     docs = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     profiled = written(profile(docs), "profile")
-    rows = profiled.where("block IS NULL").select("doc_id", "n", "cls")
-    classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("cls", "n").agg(F.min("doc_id").alias("rep"))
+    rows = profiled.where("block IS NULL").select("doc_id", "n", "cls", "outline")
+    classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("cls", "n").agg(F.min("doc_id").alias("rep"), F.first("outline").alias("outline"))
     classes = written(classes, "classes")
     ranks = sketch(profiled)
     total = rows.agg(F.sum("n")).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // 5 // BUCKET_ENTRIES))
     some = docs.where("doc_id IS NOT NULL")
     entries = written(shared_entries(prefix_entries(some, ranks, buckets), buckets, ranks), "entries")
-    first = written(round_one(entries), "pairs")
-    links = written(verified(some, classes, first), "links")
-    second = written(round_two(entries, components(links), first), "pairs")
-    if not second.isEmpty():
-        links = links.unionByName(written(verified(some, classes, second), "links"))
+    links, done = None, None
+    placed = entries.withColumn("comp", F.col("cls"))
+    for turn in range(STARS + 1):
+        pairs = star_pairs(placed, turn) if turn < STARS else cross_pairs(placed, classes.select("cls", "outline"))
+        pairs = written(pairs.join(done, ["x", "y"], "left_anti") if done is not None else pairs, "pairs")
+        if pairs.isEmpty() and links is not None:
+            break
+        new = written(verified(some, classes, pairs), "links")
+        links = new if links is None else links.unionByName(new)
+        done = pairs if done is None else done.unionByName(pairs)
+        if turn < STARS:
+            placed = open_entries(entries, links)
     reps = classes.select(F.col("cls"), F.col("rep"))
     edges = links.join(reps.select(F.col("cls").alias("x"), F.col("rep").alias("rx")), "x").join(reps.select(F.col("cls").alias("y"), F.col("rep").alias("ry")), "y")
     # Rows that share an id link their classes.
-    own = rows.where("n > 0").join(classes, ["cls", "n"]).select(F.col("doc_id"), "cls", "n", "rep")
+    own = rows.drop("outline").where("n > 0").join(classes.drop("outline"), ["cls", "n"]).select(F.col("doc_id"), "cls", "n", "rep")
     again = own.where("doc_id <> rep").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("x"), F.col("rep").alias("y"))
     found = components(edges.select(F.col("rx").alias("x"), F.col("ry").alias("y")).unionByName(again))
-    placed = rows.join(classes, ["cls", "n"], "left").withColumn("node", F.coalesce("rep", "doc_id"))
+    placed = rows.drop("outline").join(classes.drop("outline"), ["cls", "n"], "left").withColumn("node", F.coalesce("rep", "doc_id"))
     placed = placed.join(found, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "node"))
     return placed.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
