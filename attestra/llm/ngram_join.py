@@ -47,6 +47,8 @@ ROWS = 64
 #: Entries of a shingle that the sketch holds for this common are spread by class: it is shared for sure, or nearly so.
 COMMON = 50_000
 BUCKET_ENTRIES, FLUSH_ENTRIES, SEEN_CLASSES = 400_000, 400_000, 200_000
+#: Entries of one shingle up to which each is held against the others at once.
+LOOK = 48
 #: A set's outline: how many of its shingles lie in each of so many equal parts of the hash range.
 PARTS = 128
 #: Classes of one shingle that meet in one task at most; a larger group is cut into blocks, and blocks meet pairwise.
@@ -277,7 +279,7 @@ def prefix_entries(docs: DataFrame, ranks: np.ndarray, buckets: int) -> DataFram
 
 
 def shared_entries(packed: DataFrame, buckets: int, ranks: np.ndarray) -> DataFrame:
-    """token, cls, n, pos of the entries whose shingle two classes or more share."""
+    """token, cls, n, pos of the entries whose shingle another class shares within the length and positional filters."""
     spark = packed.sparkSession
     shared = spark.sparkContext.broadcast(ranks)
     common = np.uint8(min(255, round(8 * np.log2(COMMON))))
@@ -290,8 +292,19 @@ def shared_entries(packed: DataFrame, buckets: int, ranks: np.ndarray) -> DataFr
         e = e[new]
         cuts = np.flatnonzero(np.concatenate(([True], e["token"][1:] != e["token"][:-1], [True])))
         size = np.repeat(np.diff(cuts), np.diff(cuts))
-        how_common = shared.value[e["token"] >> np.uint64(64 - SKETCH_BITS)]
-        return e[(size > 1) | (how_common >= common)]
+        alive = (shared.value[e["token"] >> np.uint64(64 - SKETCH_BITS)] >= common) | (size > LOOK)
+        # Within a group that is small enough, an entry stays if some other passes the filters with it.
+        for d in range(1, LOOK):
+            a = np.flatnonzero(e["token"][d:] == e["token"][:-d])
+            if not len(a):
+                break
+            b = a + d
+            nx, ny = e["n"][a].astype(np.int64), e["n"][b].astype(np.int64)
+            need = 4 * (nx + ny)
+            good = (5 * nx >= 4 * ny) & (5 * ny >= 4 * nx) & (9 * (nx - e["pos"][a]) >= need) & (9 * (ny - e["pos"][b]) >= need)
+            alive[a[good]] = True
+            alive[b[good]] = True
+        return e[alive]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(parts):
