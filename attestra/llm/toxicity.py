@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestra.llm.common import add_with_arrow, without
+from attestra.llm.common import add_with_arrow, claim, without
 
 MAX_FIT_ROWS, MAX_TERMS = 16_000, 4_000
 MIN_DF, MIN_WEIGHT, FUZZY_FROM = 4, 2.0, 5
@@ -257,6 +257,7 @@ def _features(model: Model):
     parts = (model.terms, model.exceptions, model.beta)
 
     def make():
+        claim("toxicity", scorer_of.cache_clear)
         scorer = scorer_of(*parts)
 
         def step(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -273,6 +274,7 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score", k
     parts = (model.terms, model.exceptions, model.beta)
 
     def make():
+        claim("toxicity", scorer_of.cache_clear)
         scorer = scorer_of(*parts)
 
         def step(batch: pa.RecordBatch) -> list[pa.Array]:
