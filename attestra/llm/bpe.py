@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from attestra.llm.common import add_with_arrow, claim
 
 #: A worker remembers the ids of at most twice so many pre-tokens, none longer than so many characters: bounds its memory.
-MEMO_ENTRIES, MEMO_CHARS = 700_000, 48
+MEMO_ENTRIES, MEMO_CHARS = 450_000, 48
 
 BIT = [1 << k for k in range(256)]
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from attestra.llm.common import add_with_arrow
+from attestra.llm.common import add_with_arrow, claim
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "imei")
@@ -155,6 +155,8 @@ def mask(df: DataFrame, text: str = "text") -> DataFrame:
     """Replace every span in the text by its kind; null stays null and a text without spans is unchanged."""
 
     def make():
+        claim("pii")
+
         def step(batch: pa.RecordBatch) -> list[pa.Array]:
             out = []
             for t in batch.column(batch.schema.get_field_index(text)):
