@@ -12,7 +12,8 @@ Without given weights a source's share is proportional to its size to the power
 Defined results: a null source is a source of its own; a null id hashes like the
 text `null`; rows that repeat an id are drawn alike; a source without a given weight gets no
 row; an empty table gives no row; columns named like an added one are replaced.
-Rates up to MAX_RATE are allowed; a larger one is refused.
+Every rate is drawn: above PLAIN_RATE, where exp(-rate) nears the least double, the terms start
+LEFT_OUT standard deviations and 16 below the mean instead of at 0, scaled by their sum.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from attestra.llm.common import without
 
-ALPHA, SEED, MAX_RATE = 0.5, 17, 100.0
+ALPHA, SEED, PLAIN_RATE, LEFT_OUT, BLOCK = 0.5, 17, 700.0, 12, 10_000
 
 
 def uniform(*parts: Column | str) -> Column:
@@ -31,19 +32,33 @@ def uniform(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def poisson_count(u: Column, rate: Column, most: Column) -> Column:
-    """How many k from 0 on have a cumulative probability of at most u; terms up to `most` are added."""
-    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("below"), F.lit(0).alias("k"))
+def poisson_count(u: Column, rate: Column, most: Column, first: Column | None = None, p: Column | None = None) -> Column:
+    """How many k from 0 on have a cumulative probability of at most u, u of 52 bits; terms from `first`, whose probability is p, to `most` are added."""
+    first = F.lit(0).cast("long") if first is None else first
+    p = F.exp(-rate) if p is None else p
+    start = F.struct(p.alias("p"), p.alias("below"), first.alias("k"))
 
     def step(s: Column, i: Column) -> Column:
         p = s.p * rate / i
-        return F.struct(p.alias("p"), (s.below + p).alias("below"), F.when(u >= s.below, i.cast("int")).otherwise(s.k).alias("k"))
+        return F.struct(p.alias("p"), (s.below + p).alias("below"), F.when(u >= s.below, i).otherwise(s.k).alias("k"))
 
-    return F.aggregate(F.sequence(F.lit(1), most), start, step, lambda s: s.k)
+    # What lies below `first` is less than the least u above 0.
+    return F.when(u > 0, F.aggregate(F.sequence(first + 1, most.cast("long")), start, step, lambda s: s.k)).otherwise(F.lit(0).cast("long"))
+
+
+def terms(rate: Column, first: Column, most: Column) -> Column:
+    """The sum of the terms of the Poisson distribution from `first` to `most`, as multiples of the first one."""
+    start = F.struct(F.lit(1.0).alias("p"), F.lit(1.0).alias("whole"))
+
+    def step(s: Column, i: Column) -> Column:
+        p = s.p * rate / i
+        return F.struct(p.alias("p"), (s.whole + p).alias("whole"))
+
+    return F.aggregate(F.sequence(first + 1, most), start, step, lambda s: s.whole)
 
 
 def rates(df: DataFrame, source: str = "source", weights: dict[str, float] | None = None, total: int | None = None) -> DataFrame:
-    """_source, rate and the last term to add: one row a source, from counts over all rows."""
+    """_source, rate, the first and last term to add and the first one's probability: one row a source, from counts over all rows."""
     sizes = df.groupBy(F.col(f"`{source}`").alias("_source")).agg(F.count("*").alias("_n"))
     if weights is None:
         shares = sizes.withColumn("_w", F.pow(F.col("_n").cast("double"), F.lit(ALPHA)))
@@ -55,19 +70,23 @@ def rates(df: DataFrame, source: str = "source", weights: dict[str, float] | Non
     # whole is one row.
     rated = shares.join(F.broadcast(whole), F.col("_n") <= F.col("_ns"))
     rate = size * F.col("_w") / F.col("_ws") / F.col("_n")
-    checked = F.when(rate <= MAX_RATE, rate).otherwise(F.raise_error(F.concat(F.lit("repetition rate too large: "), rate.cast("string"))).cast("double"))
-    most = F.ceil(checked + 12 * F.sqrt(checked) + 16).cast("int")
-    return rated.select("_source", checked.alias("rate"), most.alias("_most"))
+    rated = rated.select("_source", rate.alias("rate"))
+    far = LEFT_OUT * F.sqrt("rate") + 16
+    plain = F.col("rate") <= PLAIN_RATE
+    rated = rated.withColumns({"_first": F.when(plain, F.lit(0)).otherwise(F.floor(F.col("rate") - far)).cast("long"), "_most": F.ceil(F.col("rate") + far).cast("long")})
+    return rated.withColumn("_p", F.when(plain, F.exp(-F.col("rate"))).otherwise(1 / terms(F.col("rate"), F.col("_first"), F.col("_most"))))
 
 
 def replicate(df: DataFrame, key: str = "doc_id", source: str = "source", weights: dict[str, float] | None = None, total: int | None = None, seed: int = SEED) -> DataFrame:
     """df's rows as often as drawn, with `copy` (from 0), `rate` and `mix_key`, the key of the global shuffle."""
     df = without(df, "copy", "rate", "mix_key")
     drawn = df.join(rates(df, source, weights, total), F.col(f"`{source}`").eqNullSafe(F.col("_source")))
-    count = poisson_count(uniform(str(seed), F.col(f"`{key}`")), F.col("rate"), F.col("_most"))
+    count = poisson_count(uniform(str(seed), F.col(f"`{key}`")), F.col("rate"), F.col("_most"), F.col("_first"), F.col("_p"))
     copies = drawn.withColumn("_count", count).where("_count > 0")
-    copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)))
-    return copies.withColumn("mix_key", uniform(str(seed), "mix", F.col(f"`{key}`"), F.col("copy"))).drop("_source", "_most", "_count")
+    # In blocks: no array of copies grows with a rate.
+    copies = copies.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_count - 1) div {BLOCK}"))))
+    copies = copies.withColumn("copy", F.explode(F.sequence(F.col("_block") * BLOCK, F.least("_count", (F.col("_block") + 1) * BLOCK) - 1)))
+    return copies.withColumn("mix_key", uniform(str(seed), "mix", F.col(f"`{key}`"), F.col("copy"))).drop("_source", "_first", "_most", "_p", "_count", "_block")
 
 
 def shuffled(mixed: DataFrame, key: str = "doc_id") -> DataFrame:

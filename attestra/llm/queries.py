@@ -145,7 +145,7 @@ def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mixing.shuffled(mixing.replicate(docs)).select("doc_id", "source", "copy", "mix_key")
+    return mixing.shuffled(mixing.replicate(docs)).select("doc_id", "source", F.col("copy").cast("int").alias("copy"), "mix_key")
 
 
 OP8_SQL = f"""

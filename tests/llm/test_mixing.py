@@ -1,8 +1,10 @@
 import math
 
+import duckdb
 from pyspark.sql import functions as F
 
-from attestra.llm import mixing
+from attestra.llm import mixing, queries
+from tests.compare import check
 
 
 def brute(u, rate):
@@ -40,3 +42,34 @@ def test_edges(spark):
     assert mixing.replicate(df.limit(0)).count() == 0
     ordered = mixing.shuffled(mixing.replicate(df, total=200)).collect()
     assert len(ordered) == len(rows)
+
+
+def test_small_source_beside_large(spark, tmp_path):
+    """One-row sources, a null one among them, beside one of 60,000 rows: rates near 240, as in SQL."""
+    source = F.when(F.col("id") == 7, "lone").when(F.col("id") == 8, "other").when(F.col("id") > 8, "hot")
+    docs = spark.range(7, 60_009).select(F.col("id").alias("doc_id"), source.alias("source")).unionByName(spark.sql("SELECT 1L AS doc_id, CAST(NULL AS STRING) AS source"))
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    assert mixing.rates(docs).agg(F.max("rate")).first()[0] > 200
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    check("op8_mixing", queries.QUERIES["op8_mixing"], queries.OP8_SQL, spark, con, str(tmp_path))
+
+
+def quantile(u, rate):
+    """How many k have a cumulative probability of at most u, in log space."""
+    k, below = 0, math.exp(-rate)
+    while u >= below:
+        k += 1
+        below += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+    return k
+
+
+def test_rates_beyond_the_least_double(spark):
+    """Rates around and above 745, where exp(-rate) is 0, and more copies than a block holds."""
+    for total in (699 * 5, 760 * 5, 13_000 * 5):
+        df = spark.range(5).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"))
+        u = {r.doc_id: r.u for r in df.select("doc_id", mixing.uniform(str(mixing.SEED), F.col("doc_id")).alias("u")).collect()}
+        out = mixing.replicate(df, weights={"a": 1.0}, total=total).groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("copy").alias("d"), F.max("copy").alias("last"))
+        rows = {r.doc_id: r for r in out.collect()}
+        for i in range(5):
+            assert rows[i].n == rows[i].d == rows[i].last + 1 == quantile(u[i], total / 5)
