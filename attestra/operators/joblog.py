@@ -12,6 +12,7 @@ STAGE_PROGRESS = (
 )
 TERMINAL_EVENTS, TERMINAL_STATES, ACTIVE_STATES = ("complete", "error"), ("completed", "failed"), ("queued", "running")
 IDLE_SECONDS = 10
+CHUNK_EVENTS = 1_000
 
 
 def stage_table(spark: SparkSession) -> DataFrame:
@@ -148,6 +149,13 @@ def format_records(events: DataFrame) -> DataFrame:
     return events.select("job_id", "event_id", text.alias("record"))
 
 
+def streams(records: DataFrame, size: int = CHUNK_EVENTS) -> DataFrame:
+    """job_id, chunk and stream: the records of a job by number, in texts of at most so many event numbers."""
+    chunks = records.withColumn("chunk", F.expr(f"event_id div {size}")).groupBy("job_id", "chunk")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "record"))), lambda r: r.record), "")
+    return chunks.agg(joined.alias("stream"))
+
+
 def parse_records(streams: DataFrame, text: str = "stream") -> DataFrame:
     """event_id, event_type and data of every record in texts of records."""
     parts = streams.select(F.explode(F.split(text, "\n\n")).alias("r")).where("trim(r) <> ''")
@@ -156,7 +164,8 @@ def parse_records(streams: DataFrame, text: str = "stream") -> DataFrame:
 
 
 def conforming(events: DataFrame) -> DataFrame:
-    """Per job: whether its numbers are gap free, and its stages in order."""
-    stages = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "stage_no"))), lambda s: s.stage_no)
-    out = events.groupBy("job_id").agg(F.max("event_id").alias("last"), F.min("event_id").alias("first"), F.count("*").alias("n"), F.array_distinct(stages).alias("seen"))
+    """Per job: whether its numbers are gap free, and its stages in order of their first events. An array holds a job's stages, not its events."""
+    each = events.groupBy("job_id", "stage_no").agg(F.min("event_id").alias("first"), F.max("event_id").alias("last"), F.count("*").alias("n"))
+    seen = F.transform(F.array_sort(F.collect_list(F.struct("first", "stage_no"))), lambda s: s.stage_no)
+    out = each.groupBy("job_id").agg(F.max("last").alias("last"), F.min("first").alias("first"), F.sum("n").alias("n"), seen.alias("seen"))
     return out.select("job_id", ((F.col("last") == F.col("n")) & (F.col("first") == 1)).alias("contiguous"), (F.col("seen") == F.array_sort("seen")).alias("in_order"))

@@ -467,11 +467,9 @@ def h16_windows(spark, sf_dir):
 
 @query(f"WITH {LOG} SELECT event_id, event_type, job_id, source_id FROM ev")
 def a10_event_records(spark, sf_dir):
-    """Events to their text form, all of a job as one stream, and back."""
+    """Events to their text form, a job's as streams of a bounded number of them, and back."""
     e = log(spark, sf_dir).select("job_id", "event_id", "event_type", "source_id")
-    records = joblog.format_records(e)
-    streams = records.groupBy("job_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "record"))), lambda r: r.record), "").alias("stream"))
-    back = joblog.parse_records(streams)
+    back = joblog.parse_records(joblog.streams(joblog.format_records(e)))
     data = F.from_json("data", "job_id long, event_id long, source_id long")
     return back.withColumn("d", data).select("event_id", "event_type", "d.job_id", "d.source_id")
 

@@ -164,6 +164,28 @@ def test_log_properties(spark):
     assert {(r.contiguous, r.in_order) for r in joblog.conforming(joblog.with_stage(log)).collect()} == {(True, True)}
 
 
+def test_large_job_in_chunks(spark):
+    """No text or array holds all events of a job."""
+    log = spark.range(1, 1_001).select(F.when(F.col("id") % 7 == 0, 2).otherwise(1).cast("long").alias("job_id"), F.col("id").alias("event_id"), F.lit("progress").alias("event_type"))
+    streams = joblog.streams(joblog.format_records(log), 100)
+    assert streams.select(F.max(F.size(F.split("stream", "\n\n")) - 1)).first()[0] <= 100
+    back = joblog.parse_records(streams).select(F.get_json_object("data", "$.job_id").cast("long").alias("job_id"), "event_id", "event_type")
+    assert back.count() == 1_000 and back.exceptAll(log).count() == 0
+    firsts = streams.where("job_id = 1").orderBy("chunk").first().stream.split("\n\n")[:2]
+    assert [r.split("\n")[0] for r in firsts] == ["id: 1", "id: 2"]
+
+
+def test_conforming_holds_stages_only(spark):
+    rng = random.Random(5)
+    rows = [(j, k, rng.choice((1, 2, 3)) if j < 30 else min(k, 3)) for j in range(40) for k in range(1, 9) if (j, k) != (35, 4)]
+    out = joblog.conforming(spark.createDataFrame(rows, "job_id long, event_id long, stage_no int"))
+    for r in out.collect():
+        mine = [s for j, _, s in rows if j == r.job_id]
+        assert r.contiguous == (r.job_id != 35) and r.in_order == (list(dict.fromkeys(mine)) == sorted(set(mine)))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [job_id" in plan.split("collect_list")[1] and ", stage_no" in plan.split("Aggregate [job_id")[2].split("]")[0]
+
+
 def test_streams(spark, tmp_path):
     src = str(tmp_path / "in")
     rows = [(j, k, "complete" if k == 4 else "progress", k) for j in (1, 2) for k in range(7)]
