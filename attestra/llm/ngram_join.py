@@ -509,7 +509,9 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         pairs = star_pairs(placed, turn) if turn < STARS else cross_pairs(placed, classes.select("cls", "outline"))
         pairs = written(pairs.join(done, ["x", "y"], "left_anti") if done is not None else pairs, "pairs")
         if pairs.isEmpty() and links is not None:
-            break
+            if placed.isEmpty():
+                break
+            continue  # the picks of a round may repeat; pairs that have not met are left to cross_pairs
         new = written(verified(some, classes, pairs), "links")
         links = new if links is None else links.unionByName(new)
         done = pairs if done is None else done.unionByName(pairs)

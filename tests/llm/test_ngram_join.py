@@ -97,3 +97,16 @@ def test_filters_never_lose_a_link():
         assert nj.linked(a, b) == want
         seen[want] += 1
     assert min(seen[True], seen[False]) > 100
+
+
+def test_repeated_picks_leave_pairs_to_the_last_round(spark, monkeypatch):
+    """Star rounds that pick the longer classes both times: the second one is empty, and the others still meet."""
+    rng = random.Random(3)
+    rows = []
+    for length in (40, 150):
+        words = [f"v{rng.randrange(10_000)}" for _ in range(length)]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join([*words[:-1], "changed"]))]
+    picked = nj.star_pairs
+    monkeypatch.setattr(nj, "star_pairs", lambda entries, seed: picked(entries.where("n > 100"), 0))
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in nj.join_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == brute(rows) and found[1][1] == 0 and found[3][1] == 2
