@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GRID_COLUMNS = 12
+NEAR_TENTHS = 3
 # Placeholders for an empty side of a change.
 MISSING, REMOVED = "(missing)", "(removed)"
 
@@ -61,6 +62,39 @@ def pair_by_shared_lines(docs: DataFrame, min_chars: int = 100) -> DataFrame:
     return best.select(F.col("doc_id").alias("pair_id"), (-F.col("m.r")).alias("reference_id"), F.col("doc_id").alias("candidate_id"))
 
 
+def word_trigrams(docs: DataFrame) -> DataFrame:
+    """doc_id and g: 64-bit hashes of each text's runs of three words, once each."""
+    ws = docs.select("doc_id", F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda w: w != "").alias("ws")).where(F.size("ws") >= 3)
+    two = F.zip_with("ws", F.slice("ws", 2, F.size("ws")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    three = F.zip_with(two, F.slice("ws", 3, F.size("ws")), lambda t, c: F.when(c.isNotNull(), F.xxhash64(t.a, t.b, c)))
+    return ws.select("doc_id", F.explode(F.array_distinct(F.array_compact(three))).alias("g"))
+
+
+def pair_near_copies(docs: DataFrame) -> DataFrame:
+    """pair_id, reference_id, candidate_id: each document with the least id of its text, and each first of a text with
+    the lower one whose word 3-grams are most alike, by a Jaccard index above NEAR_TENTHS tenths.
+
+    Rare-first prefixes: two texts that are alike enough share a 3-gram among the first n - ceil(0.3 n) + 1 of each.
+    No 3-gram is left out for being common.
+    """
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.sha2("text", 256))
+    firsts = texts.groupBy("h").agg(F.min("doc_id").alias("first"))
+    copies = texts.drop("text").join(firsts, "h").where("doc_id <> first").select("doc_id", F.col("first").alias("reference_id"))
+    grams = word_trigrams(texts.join(firsts.select(F.col("first").alias("doc_id")), "doc_id", "left_semi"))
+    common = grams.groupBy("g").agg(F.count("*").alias("df"))
+    rare_first = Window.partitionBy("doc_id").orderBy("df", "g")
+    ranked = grams.join(common, "g").withColumns({"k": F.row_number().over(rare_first), "n": F.count("*").over(Window.partitionBy("doc_id"))})
+    prefix = ranked.where((F.col("df") > 1) & (F.col("k") <= F.col("n") - F.ceil(F.col("n") * NEAR_TENTHS / 10) + 1))
+    side = lambda f, x: f.select("g", F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"))
+    fits = (10 * F.col("na") > NEAR_TENTHS * F.col("nb")) & (10 * F.col("nb") > NEAR_TENTHS * F.col("na"))
+    met = side(prefix, "a").join(side(prefix, "b"), "g").where((F.col("a") < F.col("b")) & fits).select("a", "b", "na", "nb").distinct()
+    shared = met.join(grams.select(F.col("doc_id").alias("a"), "g"), "a").join(grams.select(F.col("doc_id").alias("b"), "g"), ["b", "g"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    near = shared.where(10 * F.col("c") > NEAR_TENTHS * (F.col("na") + F.col("nb") - F.col("c")))
+    best = near.groupBy("b").agg(F.max(F.struct((F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("j"), (-F.col("a")).alias("r"))).alias("m"))
+    found = copies.unionByName(best.select(F.col("b").alias("doc_id"), (-F.col("m.r")).alias("reference_id")))
+    return found.select(F.col("doc_id").alias("pair_id"), "reference_id", F.col("doc_id").alias("candidate_id"))
+
+
 def pair_words(pairs: DataFrame, words: DataFrame) -> DataFrame:
     """pair_id, side (r or c) and the word columns, with tokens."""
     sides = pairs.select("pair_id", F.explode(F.array(F.struct(F.lit("r").alias("side"), F.col("reference_id").alias("doc_id")), F.struct(F.lit("c").alias("side"), F.col("candidate_id").alias("doc_id")))).alias("s"))

@@ -85,6 +85,25 @@ def a4_bound_pairs(spark, sf_dir):
     return verification.text_pairs(spark, sf_dir)[0]
 
 
+@query(r"""WITH k AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS (SELECT t, min(doc_id) AS doc_id FROM k GROUP BY t),
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '[ \x09-\x0D]+'), lambda x: x <> '') AS ws FROM f),
+g AS (SELECT DISTINCT doc_id, ws[i:i+2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+s AS (SELECT a, b, c, nx.n + ny.n - c AS u FROM o JOIN n nx ON nx.doc_id = a JOIN n ny ON ny.doc_id = b WHERE 10 * c > 3 * (nx.n + ny.n - c)),
+m AS (SELECT b, max(struct_pack(j := CAST(c AS DOUBLE) / u, r := -a)) AS m FROM s GROUP BY b)
+SELECT b AS pair_id, -m.r AS reference_id, b AS candidate_id FROM m UNION ALL SELECT k.doc_id, f.doc_id, k.doc_id FROM k JOIN f USING (t) WHERE k.doc_id <> f.doc_id""")
+def a4_near_copy_pairs(spark, sf_dir):
+    """Pairs as planned: exact copies and word 3-grams alike, whatever the length of lines."""
+    return text.pair_near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query()
+def g3_g6_near_copies(spark, sf_dir):
+    """The flagship on those pairs."""
+    return verification.verify(spark, sf_dir, text.pair_near_copies)[0].drop("pages")
+
+
 @query(f"WITH {PAIRS}, {WORDS} SELECT pair_id, side, count(*) AS n, count(DISTINCT token) AS n_tokens, CAST(sum(length(token)) AS BIGINT) AS token_chars, CAST(round(sum(x0), 3) AS DOUBLE) AS sx, CAST(round(sum(y1), 3) AS DOUBLE) AS sy FROM words GROUP BY pair_id, side")
 def a3_e2_words(spark, sf_dir):
     words = verification.changed_words(*verification.text_pairs(spark, sf_dir))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,10 +13,10 @@ from attestra.operators import alignment, regions, text
 PAGE_WIDTH, PAGE_HEIGHT = 1272, 1800
 
 
-def text_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def text_pairs(spark: SparkSession, sf_dir: str, pairing: Callable[[DataFrame], DataFrame] = text.pair_by_shared_lines) -> tuple[DataFrame, DataFrame]:
     """(pairs, docs) of the documents table; pairs also say whether both texts are the same."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    pairs = text.pair_by_shared_lines(docs)
+    pairs = pairing(docs)
     prints = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"), (F.length(F.trim(F.coalesce("text", F.lit("")))) > 0).alias("has"))
     r = prints.select(F.col("doc_id").alias("reference_id"), F.col("h").alias("hr"), F.col("has").alias("tr"))
     c = prints.select(F.col("doc_id").alias("candidate_id"), F.col("h").alias("hc"), F.col("has").alias("tc"))
@@ -27,9 +29,9 @@ def changed_words(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return text.pair_words(pairs.where("NOT identical"), text.words_from_text(docs))
 
 
-def verify(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def verify(spark: SparkSession, sf_dir: str, pairing: Callable[[DataFrame], DataFrame] = text.pair_by_shared_lines) -> tuple[DataFrame, DataFrame]:
     """(documents, findings) of all pairs: text evidence, merged regions, scores and labels."""
-    pairs, docs = text_pairs(spark, sf_dir)
+    pairs, docs = text_pairs(spark, sf_dir, pairing)
     words = changed_words(pairs, docs)
     gaps = text.hunks(words, text.token_align(words))
     changes = text.text_changes(words, gaps)

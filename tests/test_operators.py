@@ -164,6 +164,15 @@ def test_log_properties(spark):
     assert {(r.contiguous, r.in_order) for r in joblog.conforming(joblog.with_stage(log)).collect()} == {(True, True)}
 
 
+def test_pairs_without_long_lines(spark):
+    """Short lines, one altered word in a line, exact copies of short texts; a 3-gram that all share joins nothing."""
+    line = "the total to be paid by the tenant on the first day of each month is nine hundred and forty euro without costs"
+    texts = ["a b c\nd e f\ng h i", "a b c\nd e f\ng h i", "a b c\nd e f\ng h x", line, line.replace("forty", "sixty"), "the first day here", "", "", "one", None, *[f"all of us {i} here {i}" for i in range(60)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pairs = {r.candidate_id: r.reference_id for r in text.pair_near_copies(docs).collect()}
+    assert pairs == {1: 0, 2: 0, 4: 3, 7: 6, 9: 6}
+
+
 def test_large_job_in_chunks(spark):
     """No text or array holds all events of a job."""
     log = spark.range(1, 1_001).select(F.when(F.col("id") % 7 == 0, 2).otherwise(1).cast("long").alias("job_id"), F.col("id").alias("event_id"), F.lit("progress").alias("event_type"))
