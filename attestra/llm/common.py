@@ -12,14 +12,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Rows that one Arrow batch may hold on its way to Python; texts can be long, so the batches are small.
-BATCH_ROWS = 512
+#: Bytes at which an Arrow batch on its way to Python is closed; a longer row is a batch of its own.
+BATCH_BYTES = 2 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; a temporary one only where one machine runs everything."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="attestra-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -37,8 +40,45 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever Spark keeps it."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+class Workspace:
+    """The intermediate tables of one job, each written once; finish() writes the result and deletes the rest."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.root, self.paths = spark, name, scratch(spark, name), {}
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{len(self.paths)}-{name}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def dropped(self, *tables: DataFrame | None) -> None:
+        """Delete tables that nothing reads any more."""
+        for t in tables:
+            if t is not None and self.paths.get(id(t), (None, ""))[1]:
+                removed(self.spark, self.paths[id(t)][1])
+                self.paths[id(t)] = (t, "")
+
+    def finish(self, df: DataFrame) -> DataFrame:
+        out = written(df, f"{self.name}-result")
+        self.close()
+        return out
+
+    def close(self) -> None:
+        removed(self.spark, self.root)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Close the session's Arrow batches by their bytes, as texts can be long; a setting of the user's own stays."""
+    if BATCH_SETTING not in spark.conf.getAll:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:
@@ -47,6 +87,16 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
 
 
+def aside(df: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with the columns that an operator would replace (names, in any case) under other names, and the way back to
+    df's own columns."""
+    taken = {n.lower() for n in names}
+    new = {c: f"__aside_{i}" for i, c in enumerate(df.columns) if c.lower() in taken}
+    order = list(df.columns)
+    renamed = df.select(*[F.col(f"`{c}`").alias(new.get(c, c)) for c in order])
+    return renamed, lambda out: out.select(*[F.col(f"`{new.get(c, c)}`").alias(c) for c in order])
+
+
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -61,12 +111,12 @@ def add_with_arrow(
 
     keep: the columns to carry over (all by default); a column named like an added field is replaced.
     """
-    small_batches(df.sparkSession)
+    bounded_batches(df.sparkSession)
     names = {f.name.lower() for f in fields}
     kept = [f for f in df.schema.fields if f.name.lower() not in names and (keep is None or f.name in keep)]
     schema = T.StructType([*kept, *fields])
     types = [to_arrow_type(f.dataType) for f in fields]
-    n_kept, order = len(kept), [f.name for f in kept]
+    order = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
@@ -74,7 +124,7 @@ def add_with_arrow(
             added = step(batch)
             arrays = [batch.column(batch.schema.get_field_index(c)) for c in order]
             arrays += [a if a.type == t else a.cast(t) for a, t in zip(added, types, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*order, *[f.name for f in fields]][: n_kept + len(fields)])
+            yield pa.RecordBatch.from_arrays(arrays, names=[*order, *[f.name for f in fields]])
 
     return df.mapInArrow(run, schema)
 
@@ -86,4 +136,9 @@ def claim(name: str, forget: Callable[[], None] = lambda: None) -> None:
     """Within a Python worker, which Spark reuses: let go of what other operators' tasks have remembered there."""
     for other in [k for k in _memories if k != name]:
         _memories.pop(other)()
+        pa.default_memory_pool().release_unused()
     _memories[name] = forget
+
+
+def small_batches(spark: SparkSession, rows: int = 0) -> None:
+    bounded_batches(spark)
