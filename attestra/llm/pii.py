@@ -13,13 +13,15 @@ CONTEXT_LOSS if a word that speaks against it does. Base spans keep whatever the
 score is; it is reported for them too.
 
 Defined results: a null or empty text has no span; texts of any length are
-searched whole; repeated rows give the same spans; columns named like an added
+searched whole, each character a bounded number of times; repeated rows give the same spans; spans
+that start together are listed by kind; an empty table gives no row; columns named like an added
 one are replaced.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,14 +53,15 @@ AGAINST = {
 }
 
 PATTERN = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"),
+    # A match can't end inside a run of digits, so one that starts there could have started at the run's first digit.
+    "ip": re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"),
     "card": re.compile(r"[0-9](?:[\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"),
     "imei": re.compile(r"(?<![0-9-])[0-9]{2}-[0-9]{6}-[0-9]{6}-[0-9](?![0-9-])"),
 }
-_local = re.compile(r"[A-Za-z0-9._%+-]+\Z")
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_domain = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _not_digit = re.compile("[^0-9]")
 
 
@@ -76,6 +79,31 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost matches of LOCAL characters, `@` and a domain of two labels or more, found from each `@` outwards.
+
+    No LOCAL character is an `@`, so the run before one is walked once; it starts behind the match before.
+    """
+    behind, at = 0, text.find("@")
+    while at >= 0:
+        if at > behind and text[at - 1] in LOCAL and (domain := _domain.match(text, at + 1)):
+            start, step = at, 64
+            while start > behind:
+                low = max(behind, start - step)
+                run = len(text[low:start].rstrip(LOCAL))
+                start = low + run
+                if run:
+                    break
+                step *= 2
+            yield start, domain.end()
+            behind = domain.end()
+        at = text.find("@", max(at + 1, behind))
+
+
+def candidates(kind: str, text: str) -> Iterator[tuple[int, int]]:
+    return emails(text) if kind == "email" else (m.span() for m in PATTERN[kind].finditer(text))
+
+
 def confirmed(kind: str, found: str) -> bool:
     digits = _not_digit.sub("", found)
     if kind == "ip":
@@ -100,16 +128,16 @@ def spans_of(text: str | None) -> list[tuple[int, int, int, float]]:
     """(start, order of the kind, end, score) of every span, sorted."""
     if not text:
         return []
-    has = {"email": "@" in text, "ip": "." in text, "phone": "+" in text, "imei": "-" in text}
+    has = {"ip": "." in text, "phone": "+" in text, "imei": "-" in text}
     out = []
-    for kind, pattern in PATTERN.items():
+    for kind in KINDS:
         if not has.get(kind, True):
             continue
-        for m in pattern.finditer(text):
-            if (kind != "card" or m.end() - m.start() >= 14) and confirmed(kind, m[0]):
-                points = score(kind, text, *m.span())
+        for start, end in candidates(kind, text):
+            if (kind != "card" or end - start >= 14) and confirmed(kind, text[start:end]):
+                points = score(kind, text, start, end)
                 if kind in BASE or points >= MIN_SCORE:
-                    out.append((m.start(), ORDER[kind], m.end(), points))
+                    out.append((start, ORDER[kind], end, points))
     return sorted(out)
 
 

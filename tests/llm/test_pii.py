@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from attestra.llm import pii, queries
 
@@ -32,6 +33,25 @@ def test_base_by_brute_force():
         assert [s[:3] for s in pii.spans_of(text) if s[1] < 4] == brute(text), text
 
 
+def test_long_runs_in_linear_time():
+    """A megabyte of letters, digits, dots or signs ends soon; the same runs, shorter, agree with brute force."""
+    for n in (200, 1_000_000):
+        runs = ["a" * n + " x@y.z", "a" * n + "@b.c", "1" * n + " 1.1.1.1", "a@" * (n // 2), "@a" * (n // 2) + ".b", "+1" + "(" * n, "1 " * (n // 2), "A" * n]
+        for text in runs:
+            start = time.process_time()
+            found = [s[:3] for s in pii.spans_of(text) if s[1] < 4]
+            assert time.process_time() - start < 5, text[:20]
+            if n == 200:
+                assert found == brute(text), text[:20]
+
+
+def test_matches_that_touch():
+    rng = random.Random(8)
+    for _ in range(20_000):
+        text = "".join(rng.choice("a@.-_ 12%+") for _ in range(rng.randint(0, 24)))
+        assert [s[:3] for s in pii.spans_of(text) if s[1] < 4] == brute(text), text
+
+
 def test_checksums_and_context():
     assert pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB82WEST12345698765431")
     assert pii.luhn("4539148803436467") and not pii.luhn("4539148803436468")
