@@ -17,7 +17,7 @@ that is run again leaves at most an unread file behind.
 Defined results: a null html is an empty payload; a null url is the empty key;
 a null page_id is kept (it sorts first and can't be referred to); rows that repeat a page_id
 each have a record of their own, and those with the largest page_id of
-their payload are all responses; an empty table writes no file; other columns
+their payload are all responses; a page of any length is one record; an empty table writes no file; other columns
 are ignored.
 """
 
@@ -37,14 +37,14 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm.common import scratch, small_batches, written
+from attestra.llm.common import bounded_batches, scratch, written
 
 MIN_DEDUP = 1000
 BLOCK_CAPTURES = 256
 INDEX_SHARDS = 4096
 CAPTURES = "key string, page_id long, uid string, file string, offset long, length long"
 SHARDS = "shard_file string, first_key string, directory_offset long, directory_length long, n_captures long"
-RECORDS = "page_id long, uid string, record_type string, refers_to long, payload binary"
+RECORDS = "page_id long, uid string, record_type string, refers_to long, digest string, payload binary"
 
 
 def surt(url: Column) -> Column:
@@ -83,18 +83,18 @@ def _record(page_id, uid: str, url: str | None, payload: bytes, refers_to, diges
 
 
 def parse_record(member: bytes) -> tuple:
-    """(page_id, uid, record_type, refers_to, payload) of one gzip member; a damaged one raises."""
+    """(page_id, uid, record_type, refers_to, digest, payload) of one gzip member; a damaged one raises."""
     raw = gzip.decompress(member)
     head, _, rest = raw.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
     body = rest[: int(fields["Content-Length"])]
     payload = body.partition(b"\r\n\r\n")[2]
-    kind = fields["WARC-Type"]
-    if kind == "response" and "sha1:" + hashlib.sha1(payload).hexdigest() != fields["WARC-Payload-Digest"]:
+    kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
+    if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
         raise ValueError(f"the payload of page {fields['X-Page-ID']} does not match its digest")
     page = None if fields["X-Page-ID"] == "None" else int(fields["X-Page-ID"])
     refers = fields.get("X-Refers-To-Page")
-    return page, fields["WARC-Record-ID"][10:-1], kind, None if refers is None else int(refers), payload
+    return page, fields["WARC-Record-ID"][10:-1], kind, None if refers is None else int(refers), digest, payload
 
 
 def plan_records(pages: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def plan_records(pages: DataFrame) -> DataFrame:
 
 def write_archives(pages: DataFrame, root: str) -> DataFrame:
     """Write the records under root; the captures, one row a record, sorted by nothing yet."""
-    small_batches(pages.sparkSession)
+    bounded_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, out, at = f"{uuid.uuid4().hex}.warc.gz", None, 0
@@ -210,7 +210,7 @@ def read_captures(keys: DataFrame, shards: list[tuple], root: str) -> DataFrame:
     """
     shards = sorted(shards, key=lambda s: s[1])
     firsts = [s[1] for s in shards]
-    small_batches(keys.sparkSession)
+    bounded_batches(keys.sparkSession)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,7 +238,7 @@ def read_captures(keys: DataFrame, shards: list[tuple], root: str) -> DataFrame:
                         files[file] = _open_in(root, file)
                     files[file].seek(offset)
                     rows.append(parse_record(files[file].read(length)))
-                    held += len(rows[-1][4])
+                    held += len(rows[-1][5])
                     if len(rows) >= 256 or held > 16 << 20:
                         yield _records(rows)
                         rows, held = [], 0
@@ -253,7 +253,7 @@ def read_captures(keys: DataFrame, shards: list[tuple], root: str) -> DataFrame:
 
 
 def _records(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in RECORDS.split(", ")])
 
 
@@ -269,13 +269,11 @@ def archive(pages: DataFrame, root: str | None = None) -> tuple[str, list[tuple]
 
 
 def resolved(records: DataFrame) -> DataFrame:
-    """Length and digest of the full payload of every record: a revisit has those of the response it refers to."""
-    own = records.select("page_id", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("_bytes"), F.sha1("payload").alias("_digest"))
+    """Length and digest of the full payload of every record: a revisit has those of the response that it refers to by
+    page and digest, so pages that repeat an id with other payloads don't mix."""
+    own = records.select("page_id", "record_type", "refers_to", "digest", F.octet_length("payload").cast("long").alias("_bytes"))
     own = written(own, "records")
-    target = own.where("record_type = 'response'").groupBy("page_id").agg(F.first("_bytes").alias("_tb"), F.first("_digest").alias("_td"))
-    target = target.withColumnRenamed("page_id", "refers_to")
-    revisits = own.where("record_type = 'revisit'").join(target, "refers_to", "left")
-    out = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    first = own.where("record_type = 'response'").select("page_id", F.col("_bytes").alias("payload_bytes"), F.col("_digest").alias("payload_digest"), "record_type", "refers_to")
-    rest = revisits.select("page_id", F.col("_tb").alias("payload_bytes"), F.col("_td").alias("payload_digest"), "record_type", "refers_to")
-    return first.select(*out).unionByName(rest.select(*out))
+    target = own.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), "digest").agg(F.max("_bytes").alias("_tb"))
+    revisits = own.where("record_type = 'revisit'").join(target, ["refers_to", "digest"], "left")
+    out = lambda df, size: df.select("page_id", F.col(size).alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+    return out(own.where("record_type = 'response'"), "_bytes").unionByName(out(revisits, "_tb"))

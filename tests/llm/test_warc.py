@@ -1,4 +1,5 @@
 import gzip
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -26,6 +27,15 @@ def test_records_and_revisits(spark):
     assert texts[3] == LONG and texts[6] == "" and texts[8] == OTHER
 
 
+def test_repeated_page_with_other_payloads(spark):
+    """A page_id that two payloads share: revisits keep the length and digest of their own."""
+    records, out = read_back(spark, [(9, "a", LONG), (9, "b", OTHER), (1, "c", LONG), (2, "d", OTHER)])
+    got = {(r.page_id, r.record_type): (r.payload_bytes, r.payload_digest, r.refers_to) for r in out.where("page_id < 9").collect()}
+    sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    assert got == {(1, "revisit"): (1500, sha(LONG), 9), (2, "revisit"): (1200, sha(OTHER), 9)}
+    assert sorted(r.payload_bytes for r in out.where("page_id = 9 AND record_type = 'response'").collect()) == [1200, 1500]
+
+
 def test_empty_table(spark):
     records, out = read_back(spark, [])
     assert out.count() == 0
