@@ -1,25 +1,32 @@
 """Toxicity from a lexicon that tolerates misspelling, and from what stands around each hit.
 
-Fitting takes a bounded sample of labelled rows (MAX_FIT_ROWS, those with the
-smallest hashes of their ids). One half gives the lexicon: words far likelier in toxic
-than in clean rows, and beginnings of words that are (a term `abcd*`). The other half fits a logistic model on a handful of
-features. Scoring walks each word through the product of the lexicon's trie and
+Fitting takes a bounded sample of labelled rows (MAX_FIT_ROWS ids, those with the
+smallest hashes, one text each). A lexicon holds words far likelier in toxic than in
+clean rows, and beginnings of words that are (a term `abcd*`). A logistic model on a handful of
+features is fitted on one half of the sample with the lexicon of the other half, and used with the
+lexicon of the whole sample. Scoring walks each word through the product of the lexicon's trie and
 a Levenshtein automaton of distance 1, made deterministic as words need it, so a
-word costs a table step a character. A hit counts as quoted, not as abuse,
-when quotation marks open and close around it or a reporting word stands
-within CONTEXT_WORDS words before it; both kinds have features of their own.
+word costs a table step a character and ends where no term is near.
+
+A hit's context scores it between abuse (0) and quotation (1): QUOTED if it stands between
+quotation marks that pair up within QUOTE_WORDS words, else REPORTED if a reporting word stands among the
+CONTEXT_WORDS words before it. Its weight counts as abuse by what is left of 1.
 
 Defined results: a null or empty text has no hit and gets the score of such
-texts; rows without a label, with a null label or a null text are not fitted on;
-without any toxic or clean row to fit on, the lexicon is empty and every score
-is the share of toxic rows; repeated rows score alike; columns named like an
-added one are replaced.
+texts; texts of any length are scored whole, word by word, and a word longer than TERM_CHARS characters can
+meet a beginning only; rows without a label, with a null label or a null text are not fitted on; of
+rows that repeat an id the least text is, with the largest label; without any toxic or clean row to fit on,
+the lexicon is empty and every score is the share of toxic rows; of terms equally near the heaviest counts, and
+terms equally near and heavy count alike; an empty table gives no row; repeated rows score alike; columns named
+like an added one are replaced.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,19 +34,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestra.llm.common import add_with_arrow, claim, without
+from attestra.llm.common import Workspace, add_with_arrow, claim, without
 
-MAX_FIT_ROWS, MAX_TERMS = 16_000, 4_000
+#: The bound on what is learned from; nothing else of the fit grows beyond it.
+MAX_FIT_ROWS = 16_000
 MIN_DF, MIN_WEIGHT, FUZZY_FROM = 4, 2.0, 5
-#: Beginnings of words, of these lengths, are terms too: they hold for every word that starts so.
-STEMS = (4, 5, 6)
-CONTEXT_WORDS = 8
-MEMO_ENTRIES = 300_000
+#: Beginnings of words, of these lengths, are terms too: they hold for every word that starts so. The last one stands for words longer than itself.
+TERM_CHARS = 48
+STEMS = (4, 5, 6, TERM_CHARS)
+CONTEXT_WORDS, QUOTE_WORDS = 8, 64
+QUOTED, REPORTED = 1.0, 0.75
+MEMO_ENTRIES = 150_000
 THRESHOLD = 0.3
 #: Words that report what another says.
 REPORTING = frozenset("said says called quoted wrote term word phrase insult slur dit sagte dijo".split())
-OPENING, CLOSING = "\"'“„«‘(", "\"'”“»’)"
-EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“”„«»‘’…"
+#: Quotation marks that open, and those that close each.
+CLOSES = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«", "‘": "’", "‚": "‘’"}
+MARKS = "".join(dict.fromkeys("".join(CLOSES) + "".join(CLOSES.values())))
+EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“”„«»‘’‚…"
+_marks = re.compile(f"[{MARKS}]")
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Lower-cased words in UTF-8, cut at the six ASCII blanks: for fitting and for scoring."""
+    return text.lower().encode("utf-8", "replace").split() if text else []
+
+
+def bare(word: bytes) -> str:
+    return word.decode().strip(EDGES)
+
+
+def terms_in(text: str | None) -> list[str]:
+    """What a text holds that may be a term: its words without the marks around them, and their beginnings."""
+    words = {bare(w) for w in set(words_of(text))} - {""}
+    stems = {w[:k] + "*" for w in words for k in STEMS if len(w) > k or len(w) == k < TERM_CHARS}
+    return sorted({w for w in words if len(w) <= TERM_CHARS} | stems)
 
 
 class LexiconAutomaton:
@@ -102,7 +131,7 @@ class LexiconAutomaton:
     def find(self, word: str) -> tuple[float, int] | None:
         """(weight, edits) of the closest term, the heaviest of equally close ones; None if none is near."""
         node, known = 0, None
-        for c in word[: STEMS[-1]]:
+        for c in word[:TERM_CHARS]:
             node = self.children[node].get(c, -1)
             if node < 0:
                 break
@@ -120,6 +149,37 @@ class LexiconAutomaton:
         return self.accepts[state]
 
 
+def quotations(words: list[bytes]) -> list[tuple[int, int]]:
+    """First and last word of every pair of quotation marks: marks before a word open, marks behind it close the latest
+    open one that they fit; a mark on its own closes if it can. One that stays open for QUOTE_WORDS words opens nothing."""
+    open_: list[tuple[str, int]] = []
+    out = []
+
+    def close(mark: str, i: int) -> bool:
+        for k in range(len(open_) - 1, -1, -1):
+            if mark in CLOSES[open_[k][0]]:
+                out.append((open_[k][1], i))
+                del open_[k:]
+                return True
+        return False
+
+    for i, raw in enumerate(words):
+        word = raw.decode()
+        if not _marks.search(word):
+            continue
+        while open_ and i - open_[0][1] > QUOTE_WORDS:
+            open_.pop(0)
+        body = word.strip(EDGES)
+        lead, rest = word.partition(body)[::2] if body else (word, "")
+        for mark in dict.fromkeys(lead):
+            if mark in MARKS and not (not body and close(mark, i)) and mark in CLOSES:
+                open_.append((mark, i))
+        for mark in dict.fromkeys(rest):
+            if mark in MARKS:
+                close(mark, i)
+    return out
+
+
 class Scorer(dict):
     """Lower-cased raw word -> its hit or None; remembers MEMO_ENTRIES of them at most."""
 
@@ -128,29 +188,30 @@ class Scorer(dict):
         self.model, self.automaton = model, LexiconAutomaton(dict(model.terms))
         self.fine = frozenset(model.exceptions)
 
-    def __missing__(self, raw: str):
-        word = raw.strip(EDGES)
-        hit = None if len(word) > 40 or word in self.fine else self.automaton.find(word)
+    def __missing__(self, raw: bytes):
+        word = bare(raw)
+        hit = None if word in self.fine else self.automaton.find(word)
         if len(self) >= MEMO_ENTRIES:
             self.clear()
-        self[raw] = hit
+        if len(raw) <= TERM_CHARS:
+            self[raw] = hit
         return hit
 
     def features(self, text: str | None) -> list[float]:
-        words = text.lower().split() if text else []
-        direct = fuzzy = quoted = 0.0
-        heaviest, n_direct = 0.0, 0
-        for i, hit in enumerate(map(self.__getitem__, words)):
-            if hit is None:
-                continue
-            if is_quoted(words, i):
-                quoted += 1
-            elif hit[1]:
-                fuzzy += 1
-            else:
-                direct += hit[0]
-                n_direct += 1
-                heaviest = max(heaviest, hit[0])
+        words = words_of(text)
+        hits = [(i, hit) for i, hit in enumerate(map(self.__getitem__, words)) if hit is not None]
+        direct = fuzzy = quoted = heaviest = n_direct = 0.0
+        if hits:
+            inside = quoted_words(words) if _marks.search(text) else bytes(len(words))
+            for i, (weight, edits) in hits:
+                told = context(words, i, inside)
+                quoted += told
+                if edits:
+                    fuzzy += 1 - told
+                else:
+                    direct += weight * (1 - told)
+                    n_direct += 1 - told
+                    heaviest = max(heaviest, weight * (1 - told))
         share = 100 * (n_direct + fuzzy) / max(len(words), 1)
         return [1.0, math.log1p(direct), heaviest, math.log1p(fuzzy), math.log1p(quoted), math.log1p(share)]
 
@@ -159,12 +220,20 @@ class Scorer(dict):
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def is_quoted(words: list[str], i: int) -> bool:
-    """Whether the word at i stands in quotation marks or shortly after a reporting word."""
-    low, high = max(0, i - CONTEXT_WORDS), min(len(words), i + CONTEXT_WORDS + 1)
-    opened = any(words[k][0] in OPENING and (k == i or words[k][-1] not in CLOSING) for k in range(i, low - 1, -1))
-    closed = opened and any(words[k].rstrip(".,!?;:")[-1:] in CLOSING for k in range(i, high) if words[k].rstrip(".,!?;:"))
-    return closed or any(w.strip(EDGES) in REPORTING for w in words[low:i])
+def quoted_words(words: list[bytes]) -> bytearray:
+    """1 for each word inside a quotation."""
+    steps = [0] * (len(words) + 1)
+    for a, b in quotations(words):
+        steps[a] += 1
+        steps[b + 1] -= 1
+    return bytearray(depth > 0 for depth in accumulate(steps[:-1]))
+
+
+def context(words: list[bytes], i: int, inside: bytes) -> float:
+    """How far the word at i is quoted or reported, 0 to 1."""
+    if inside[i]:
+        return QUOTED
+    return REPORTED if any(bare(w) in REPORTING for w in words[max(0, i - CONTEXT_WORDS) : i]) else 0.0
 
 
 class Model:
@@ -196,50 +265,60 @@ def in_fit(doc_id: Column) -> Column:
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4 != 2
 
 
-def _stems(words: Column, length: int) -> Column:
-    """Terms `abcd*` of the words that are at least so long."""
-    return F.transform(F.filter(words, lambda w: F.length(w) >= length), lambda w: F.concat(F.substring(w, 1, length), F.lit("*")))
-
-
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Learn from the labelled rows that in_fit() lets through, MAX_FIT_ROWS of them at most."""
+    """Learn from the labelled rows that in_fit() lets through, MAX_FIT_ROWS ids at most."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & in_fit(F.col(key)))
-    known = known.groupBy(F.col(key).alias("_k")).agg(F.max(label).alias("_y"))
+    known = known.groupBy(F.col(key).alias("_k")).agg(F.max(label).cast("int").alias("_y"))
     known = known.withColumn("_h", F.xxhash64(F.col("_k"), F.lit(11))).orderBy("_h", "_k").limit(MAX_FIT_ROWS)
-    # MAX_FIT_ROWS bounds the broadcast side.
-    rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(known), "_k")
-    rows = rows.where(F.col("_t").isNotNull()).withColumn("_half", F.pmod(F.col("_h"), F.lit(2)))
-    half = rows.where("_half = 0")
-    totals = half.agg(F.count("*").alias("n"), F.sum("_y").alias("tox")).first()
-    n, tox = totals["n"], int(totals["tox"] or 0)
-    if not n or not tox or tox == n:
-        share = min(max(tox / n if n else 0.0, 1e-3), 1 - 1e-3)
-        return Model((), (), (math.log(share / (1 - share)), 0.0, 0.0, 0.0, 0.0, 0.0))
-    words = F.transform(F.array_distinct(F.split(F.lower(F.col("_t")), r"[\s\x1c-\x1f]+")), lambda w: F.trim(w, F.lit(EDGES)))
-    half = half.select("_y", words.alias("_ws"))
-    stems = [_stems(F.col("_ws"), k) for k in STEMS]
-    counts = half.select("_y", F.explode(F.array_distinct(F.concat("_ws", *stems))).alias("_w"))
-    counts = counts.where("_w <> ''").groupBy("_w").agg(F.sum("_y").alias("t"), F.sum(1 - F.col("_y")).alias("c"))
-    weight = F.log((F.col("t") + 0.5) / (tox + 1)) - F.log((F.col("c") + 0.5) / (n - tox + 1))
-    counts = counts.withColumn("weight", weight).where(F.length("_w") <= 40).persist()
+    # MAX_FIT_ROWS bounds the broadcast side, and the ids that the rest is grouped by.
+    rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(known), "_k").where(F.col("_t").isNotNull())
+    rows = rows.groupBy("_k", "_y", (F.pmod(F.col("_h"), F.lit(2)) == 0).alias("_first")).agg(F.min("_t").alias("_t"))
+    space = Workspace(docs.sparkSession, "toxicity-fit")
     try:
-        top = counts.where((F.col("t") >= MIN_DF) & (F.col("weight") >= MIN_WEIGHT)).orderBy(F.desc("t"), "_w").limit(MAX_TERMS)
-        terms = tuple(sorted((r["_w"], round(r["weight"], 6)) for r in top.collect()))
-        exceptions = near_words(counts.where((F.col("c") > 0) & (F.col("weight") < MIN_WEIGHT) & ~F.col("_w").endswith("*")), terms)
+        return _fitted(space.written(rows, "sample"), space)
     finally:
-        counts.unpersist()
-    base = Model(terms, exceptions, (0.0,) * 6)
-    got = add_with_arrow(rows.where("_half = 1").select("_y", "_t"), [T.StructField("f", T.ArrayType(T.DoubleType()))], _features(base), ["_y"])
-    sample = got.collect()  # MAX_FIT_ROWS short rows at most
-    if len({r["_y"] for r in sample}) < 2:
-        share = tox / n
-        return Model(terms, exceptions, (math.log(share / (1 - share)), 0.0, 0.0, 0.0, 0.0, 0.0))
-    beta = logistic(np.array([r["f"] for r in sample]), np.array([float(r["_y"]) for r in sample]))
-    return Model(terms, exceptions, tuple(float(b) for b in beta))
+        space.close()
+
+
+def _fitted(sample: DataFrame, space: Workspace) -> Model:
+    sums = lambda y, first: F.coalesce(F.sum(F.when(F.col("_first") == first, y)), F.lit(0))
+    toxic, clean = F.col("_y"), 1 - F.col("_y")
+    tallies = [sums(toxic, True).alias("t1"), sums(clean, True).alias("c1"), (sums(toxic, True) + sums(toxic, False)).alias("t"), (sums(clean, True) + sums(clean, False)).alias("c")]
+    n = sample.agg(*tallies).first()
+    share = min(max(n["t"] / (n["t"] + n["c"]) if n["t"] + n["c"] else 0.0, 1e-3), 1 - 1e-3)
+    constant = (math.log(share / (1 - share)), 0.0, 0.0, 0.0, 0.0, 0.0)
+    if not n["t"] or not n["c"]:
+        return Model((), (), constant)
+    held = add_with_arrow(sample, [T.StructField("_ws", T.ArrayType(T.StringType()))], _terms, ["_y", "_first"])
+    counts = space.written(held.select("_y", "_first", F.explode("_ws").alias("_w")).groupBy("_w").agg(*tallies), "counts")
+    half = Model(*_lexicon(counts, "t1", "c1", n["t1"], n["c1"]), constant)
+    other = add_with_arrow(sample.where(~F.col("_first")), [T.StructField("f", T.ArrayType(T.DoubleType()))], _features(half), ["_y"])
+    rows = other.select("_y", "f").collect()  # one short row an id, MAX_FIT_ROWS at most
+    fits = len({r["_y"] for r in rows}) > 1
+    beta = tuple(map(float, logistic(np.array([r["f"] for r in rows]), np.array([float(r["_y"]) for r in rows])))) if fits else constant
+    return Model(*_lexicon(counts, "t", "c", n["t"], n["c"]), beta)
+
+
+def _terms():
+    def step(batch: pa.RecordBatch) -> list[pa.Array]:
+        return [pa.array([terms_in(t.as_py()) for t in batch.column(batch.schema.get_field_index("_t"))], pa.list_(pa.string()))]
+
+    return step
+
+
+def _lexicon(counts: DataFrame, t: str, c: str, n_toxic: int, n_clean: int) -> tuple[tuple, tuple]:
+    """(term, weight) pairs, and the words of clean rows that look like a misspelled term but are not one."""
+    if not n_toxic or not n_clean:
+        return (), ()
+    weight = F.log((F.col(t) + 0.5) / (n_toxic + 1)) - F.log((F.col(c) + 0.5) / (n_clean + 1))
+    weighed = counts.withColumn("weight", weight)
+    heavy = weighed.where((F.col(t) >= MIN_DF) & (F.col("weight") >= MIN_WEIGHT))
+    terms = tuple(sorted((r["_w"], round(r["weight"], 6)) for r in heavy.select("_w", "weight").collect()))
+    return terms, near_words(weighed.where((F.col(c) > 0) & (F.col("weight") < MIN_WEIGHT) & ~F.col("_w").endswith("*")), terms)
 
 
-def near_words(counts: DataFrame, terms: tuple) -> tuple:
-    """Words of clean rows that the automaton would take for a misspelled term; MAX_TERMS, the commonest first."""
+def near_words(words: DataFrame, terms: tuple) -> tuple:
+    """Those of the words that the automaton would take for a misspelled term."""
 
     def make():
         automaton = LexiconAutomaton(dict(terms))
@@ -249,8 +328,8 @@ def near_words(counts: DataFrame, terms: tuple) -> tuple:
 
         return step
 
-    near = add_with_arrow(counts.select("_w", "c"), [T.StructField("near", T.BooleanType())], make)
-    return tuple(sorted(r["_w"] for r in near.where("near").orderBy(F.desc("c"), "_w").limit(MAX_TERMS).collect()))
+    near = add_with_arrow(words.select("_w"), [T.StructField("near", T.BooleanType())], make)
+    return tuple(sorted(r["_w"] for r in near.where("near").collect()))
 
 
 def _features(model: Model):

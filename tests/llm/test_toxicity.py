@@ -1,6 +1,9 @@
 import random
+import zlib
 
-from attestra.llm import toxicity
+import pytest
+
+from attestra.llm import queries, toxicity
 
 
 def distance(a, b):
@@ -26,10 +29,60 @@ def test_automaton_by_brute_force():
             assert (got[1], -got[0]) == want
 
 
+def inside(text):
+    words = toxicity.words_of(text)
+    return [w.decode() for w, q in zip(words, toxicity.quoted_words(words), strict=True) if q]
+
+
 def test_quotation():
-    words = 'he said that "you utter fool" was not kind'.split()
-    assert toxicity.is_quoted(words, words.index('fool"'))
-    assert not toxicity.is_quoted("you are a fool and always were".split(), 3)
+    assert inside('he said that "you utter fool" was not kind') == ['"you', "utter", 'fool"']
+    assert inside('"foo bar" you idiot and then he "left"') == ['"foo', 'bar"', '"left"']
+    assert inside("er rief \u201edu idiot\u201c und \u00ab sale type \u00bb, don't (you fool)") == ["\u201edu", "idiot\u201c", "\u00ab", "sale", "type", "\u00bb,"]
+    assert inside('an "open mark ' + "x " * toxicity.QUOTE_WORDS + 'closed" late') == []
+    assert inside('"a \u201cb c" d') == ['"a', "\u201cb", 'c"'] and inside('"' * 5_000 + " x " + '"' * 5_000) == ['"' * 5_000, "x", '"' * 5_000]
+    words = toxicity.words_of("they called him a fool and you are a fool now")
+    assert toxicity.context(words, 4, bytes(11)) == toxicity.REPORTED and toxicity.context(words, 10, bytes(11)) == 0
+
+
+def test_words_are_cut_alike_for_fit_and_score():
+    """Blanks of Unicode that are none of the six stay in a word for both."""
+    text = "A\u00a0fool\u3000here \x1cthen\x0bnow \u0130"
+    words = [w.decode() for w in toxicity.words_of(text)]
+    assert words == ["a\u00a0fool\u3000here", "\x1cthen", "now", "i\u0307"]
+    assert {t for t in toxicity.terms_in(text) if not t.endswith("*")} == {toxicity.bare(w.encode()) for w in words}
+
+
+def test_long_words_and_texts(spark):
+    """A word beyond TERM_CHARS meets a beginning; a long text with one hit is searched to its end."""
+    long = "badword" * 200
+    scorer = toxicity.Scorer(toxicity.Model((("blorgig", 5.0), (long[: toxicity.TERM_CHARS] + "*", 3.0)), (), (-4.0, 1.0, 1.0, 1.0, 0.0, 1.0)))
+    assert scorer[long.encode()] == (3.0, 0) and scorer[b"x" * 2_000_000] is None
+    assert long[: toxicity.TERM_CHARS] + "*" in toxicity.terms_in(long) and max(map(len, toxicity.terms_in(long))) <= toxicity.TERM_CHARS + 1
+    text = "word " * 300_000
+    assert scorer.score(text + "blorgig") > scorer.score(text)
+    assert scorer.score("you blorgig") > scorer.score('they said "you blorgig"')
+
+
+@pytest.mark.parametrize(("sf", "recall", "precision"), [("sf0.01", 0.5, 0.7), ("sf0.1", 0.9, 0.9)])
+def test_query_on_held_out_labels(spark, sf, recall, precision):
+    """With the 37 toxic rows that sf0.01 has to learn from, words of rare languages are not learned."""
+    folder = f"/root/testdata/{sf}"
+    docs, out = spark.read.parquet(f"{folder}/documents.parquet").count(), queries.op10_toxicity(spark, folder).collect()
+    assert len(out) == docs and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in out)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in out)
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    held = [(toxic[r.doc_id], r.predicted) for r in out if r.held_out and r.doc_id in toxic]
+    both = sum(a & b for a, b in held)
+    assert both >= recall * sum(a for a, _ in held) and both >= precision * sum(b for _, b in held)
+
+
+def test_repeated_ids_are_one_row_of_the_fit(spark):
+    rows, labels = table(300, random.Random(2))
+    docs = spark.createDataFrame([*rows, *[(0, f"again {i} blorgig") for i in range(500)]], "doc_id long, text string")
+    once = spark.createDataFrame([(i, min(t, "again 0 blorgig") if i == 0 else t) for i, t in rows], docs.schema)
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    a, b = toxicity.fit(docs, marks), toxicity.fit(once, marks)
+    assert (a.terms, a.exceptions, a.beta) == (b.terms, b.exceptions, b.beta)
 
 
 def table(n, rng):
