@@ -2,7 +2,7 @@ import collections
 
 import pytest
 
-from attestra.llm import sharding
+from attestra.llm import queries, sharding
 
 
 def brute(shards, size):
@@ -55,3 +55,14 @@ def test_written_shards(spark, tmp_path):
     df = sharding.assign_shards(spark.range(1_000).withColumnRenamed("id", "doc_id"), "doc_id", ["a", "b", "c"])
     sharding.write_shards(df, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1_000
+
+
+def test_query_by_brute_force(spark, sf_dir):
+    """Every document of the table, each at the slot of its hash in the table filled turn by turn."""
+    table = sharding.fill_table(queries.SHARD_NAMES)
+    ids = sorted(r.doc_id for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
+    out = queries.op5_sharding(spark, sf_dir)
+    rows = out.collect()
+    assert sorted(r.doc_id for r in rows) == ids and all(table[r.slot] == r.shard for r in rows)
+    slots = {r.doc_id: r.slot for r in spark.createDataFrame([(i,) for i in ids], "doc_id long").transform(lambda d: sharding.assign_shards(d, "doc_id", queries.SHARD_NAMES)).collect()}
+    assert slots == {r.doc_id: r.slot for r in rows}
