@@ -19,8 +19,9 @@ def brute(u, rate):
 def test_inversion(spark):
     rows = [(i / 97, rate) for i in range(97) for rate in (0.01, 0.5, 1.0, 3.7, 20.0)]
     df = spark.createDataFrame(rows, "u double, rate double")
-    most = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 16).cast("int")
-    for r in df.withColumn("k", mixing.poisson_count(F.col("u"), F.col("rate"), most)).collect():
+    first, most = F.lit(0).cast("long"), F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 16).cast("long")
+    below = mixing.cumulative(F.col("rate"), first, most, F.exp(-F.col("rate")))
+    for r in df.withColumn("k", mixing.poisson_count(F.col("u"), first, below)).collect():
         assert r.k == brute(r.u, r.rate)
 
 
@@ -33,6 +34,23 @@ def test_targets(spark):
     assert out.select("doc_id", "copy", "mix_key").exceptAll(again.select("doc_id", "copy", "mix_key")).count() == 0
 
 
+def test_beyond_the_broadcast(spark, monkeypatch):
+    df = spark.range(3_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.col("id") % 11).cast("string").alias("source"))
+    small = mixing.replicate(df)
+    monkeypatch.setattr(mixing, "BROADCAST_TERMS", 0)
+    large = mixing.replicate(df)
+    plan = large._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" not in plan and "strategy=broadcast" in small._jdf.queryExecution().optimizedPlan().toString()
+    assert small.count() == large.count() and small.exceptAll(large).count() == 0
+
+
+def test_global_order(spark):
+    """Equal ranges of the key, sorted within: one order over all partitions."""
+    df = spark.range(2_000).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"))
+    keys = [r.mix_key for r in mixing.shuffled(mixing.replicate(df)).collect()]
+    assert keys == sorted(keys) and len(set(keys)) == len(keys) > 1_000
+
+
 def test_edges(spark):
     df = spark.createDataFrame([(1, None), (None, "a"), (2, "a"), (2, "a")], "doc_id long, source string")
     rows = mixing.replicate(df, total=200).collect()
