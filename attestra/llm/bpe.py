@@ -9,8 +9,8 @@ a megabyte without a space is no special case.
 
 Defined results: a null or empty text has no ids and decodes to no bytes; ids
 outside the vocabulary or null fail the decode; text columns may be of any
-length; repeated rows are encoded alike; columns named like an added one are
-replaced.
+length; repeated rows are encoded alike; an empty table gives no row; of equal ranks the leftmost
+pair merges first; columns named like an added one are replaced.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from attestra.llm.common import add_with_arrow, claim
 
 #: A worker remembers the ids of at most twice so many pre-tokens, none longer than so many characters: bounds its memory.
-MEMO_ENTRIES, MEMO_CHARS = 450_000, 48
+MEMO_ENTRIES, MEMO_CHARS = 250_000, 48
 
 BIT = [1 << k for k in range(256)]
 
@@ -160,39 +160,55 @@ def encoder_of(rank_file: str, pattern: str) -> Encoder:
     return Encoder(load_ranks(rank_file), pattern)
 
 
-def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Add the ids of each whole text as array<int>. rank_file must exist on every executor."""
+@lru_cache(maxsize=2)
+def tokens_of(rank_file: str) -> list[bytes]:
+    """The bytes of each id."""
+    ranks = load_ranks(rank_file)
+    tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, r in ranks.items():
+        tokens[r] = token
+    return tokens
+
+
+def forget() -> None:
+    encoder_of.cache_clear()
+    tokens_of.cache_clear()
+
+
+def joined(tokens: list[bytes], column: pa.Array) -> pa.Array:
+    """The bytes that each list of ids stands for."""
+    ends, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return pa.array([b"".join(map(tokens.__getitem__, flat[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+
+
+def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Add the ids of each whole text as array<int>; with `decoded`, also the bytes that these ids decode to, in the
+    same pass. rank_file must exist on every executor."""
+    fields = [T.StructField(ids, T.ArrayType(T.IntegerType()))]
+    fields += [T.StructField(decoded, T.BinaryType())] if decoded else []
 
     def make():
-        claim("bpe", encoder_of.cache_clear)
-        encoder = encoder_of(rank_file, pattern)
+        claim("bpe", forget)
+        encoder, tokens = encoder_of(rank_file, pattern), tokens_of(rank_file) if decoded else []
 
         def step(batch: pa.RecordBatch) -> list[pa.Array]:
             packed = [encoder(t.as_py()) for t in batch.column(batch.schema.get_field_index(text))]
             offsets = np.zeros(len(packed) + 1, np.int32)
             np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
-            return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))]
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+            return [lists, joined(tokens, lists)] if decoded else [lists]
 
         return step
 
-    return add_with_arrow(df, [T.StructField(ids, T.ArrayType(T.IntegerType()))], make)
+    return add_with_arrow(df, fields, make, keep)
 
 
 def decode(df: DataFrame, rank_file: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add the bytes that the ids stand for. Null ids give no bytes."""
 
     def make():
-        ranks = load_ranks(rank_file)
-        token = [b""] * (max(ranks.values(), default=-1) + 1)
-        for k, r in ranks.items():
-            token[r] = k
-
-        def step(batch: pa.RecordBatch) -> list[pa.Array]:
-            column = batch.column(batch.schema.get_field_index(ids))
-            ends, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
-            back = [b"".join(map(token.__getitem__, flat[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            return [pa.array(back, pa.binary())]
-
-        return step
+        claim("bpe", forget)
+        tokens = tokens_of(rank_file)
+        return lambda batch: [joined(tokens, batch.column(batch.schema.get_field_index(ids)))]
 
     return add_with_arrow(df, [T.StructField(out, T.BinaryType())], make)

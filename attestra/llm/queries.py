@@ -15,9 +15,7 @@ SHARD_NAMES = [f"shard-{i:03d}" for i in range(sharding.N_SHARDS)]
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.encode(docs, RANK_FILE, public_tokenizers.PATTERN).drop("text")
-    decoded = bpe.decode(encoded, RANK_FILE)
-    return decoded.select(
+    return bpe.encode(docs, RANK_FILE, public_tokenizers.PATTERN, decoded="decoded", keep=["doc_id"]).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
