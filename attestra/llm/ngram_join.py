@@ -1,7 +1,7 @@
 """Jaccard self-join on word n-grams: rare-first prefixes, length, positional and suffix filters, components.
 
 Texts with equal shingle sets are one class. Shingles are ordered by how often
-the corpus has them (a counting sketch of fixed size over all texts) and then by hash; two
+the corpus has them (a counting sketch over all texts, which grows with them up to 2**MOST_BITS counters) and then by hash; two
 classes that are similar enough share a shingle among the first few of each, the
 prefixes. Prefix entries meet by shingle; entries that no other class shares go at once.
 What is left is joined in rounds, so that a large group of near copies never
@@ -21,7 +21,8 @@ decides how few candidates there are.
 Defined results: null texts and texts without words have no shingles and are components of
 their own; a text of fewer than five words is one shingle, all of it; rows that share
 an id are one document, linked; a row without an id has a null component; an empty table
-gives no rows; columns other than id and text are ignored. Shingles are 64-bit
+gives no rows; texts of any length are cut into shingles whole; sets of equal size and shingles of equal rank need no
+order of their own, as hashes decide; columns other than id and text are ignored. Shingles are 64-bit
 hashes; classes are 64-bit sums of them together with the size of the set.
 """
 
@@ -31,29 +32,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import claim, small_batches, written
+from attestra.llm.common import Workspace, bounded_batches, claim, written
 
+#: Words of a shingle. Two sets link when 9 * overlap >= 4 * (sum of their sizes): a Jaccard similarity of 0.8 or more.
 N = 5
-#: Two sets link when 9 * overlap >= 4 * (sum of their sizes): a Jaccard similarity of 0.8 or more.
-#: Counters of the sketch and how they are sent.
-SKETCH_BITS, BLOCK = 22, 16_384
+#: The sketch has a counter for every SHINGLES_A_COUNTER shingles of the corpus, 2**MOST_BITS at most; tasks send counts at that
+#: finest resolution, by blocks of 2**BLOCK_BITS counters, and they are added up at the one the corpus needs.
+MOST_BITS, BLOCK_BITS, SHINGLES_A_COUNTER = 26, 16, 16
 #: Rounds of stars before the classes that are left meet one another.
 STARS = 2
-#: Rows of a batch: a row may hold a long text or many entries.
-ROWS = 64
-#: Entries of a shingle that the sketch holds for this common are spread by class: it is shared for sure, or nearly so.
-COMMON = 50_000
-BUCKET_ENTRIES, FLUSH_ENTRIES, SEEN_CLASSES = 400_000, 400_000, 200_000
+#: A shingle gets so many parts as there are SPREAD entries in what the sketch counts above its mean; joins by shingle go by parts.
+SPREAD, MOST_PARTS = 1_024, 4_096
+#: Entries of a shingle with so many parts are dealt by class as well before they meet: some other class shares it for sure.
+COMMON_PARTS = 48
+BUCKET_ENTRIES, FLUSH_ENTRIES, SEEN_CLASSES, FLUSH_SHINGLES = 200_000, 200_000, 200_000, 1_000_000
 #: Entries of one shingle up to which each is held against the others at once.
 LOOK = 48
 #: A set's outline: how many of its shingles lie in each of so many equal parts of the hash range.
 PARTS = 128
 #: Classes of one shingle that meet in one task at most; a larger group is cut into blocks, and blocks meet pairwise.
 GROUP = 2_048
-SEGMENT = 4 << 20
+SEGMENT = 256 << 10
 #: Ids that may be broadcast; beyond them the texts are joined by shuffling.
 BROADCAST_IDS = 1_000_000
 
@@ -80,12 +83,14 @@ class _Powers:
         self.up = self.down = np.ones(1, np.uint64)
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            for name, base in (("up", _P), ("down", _P_INV)):
-                p = np.full(n, base, np.uint64)
-                p[0] = 1
-                setattr(self, name, np.cumprod(p, dtype=np.uint64))
-        return self.up[:n], self.down[:n]
+        up, down = self.up, self.down
+        if len(up) < n:
+            ps = np.full((2, n), [[_P], [_P_INV]], np.uint64)
+            ps[:, 0] = 1
+            up, down = np.cumprod(ps, axis=1, dtype=np.uint64)
+            if n <= 2 * SEGMENT:  # those of a longer word are not kept
+                self.up, self.down = up, down
+        return up[:n], down[:n]
 
 
 _powers = _Powers()
@@ -172,79 +177,100 @@ def _text(batch: pa.RecordBatch) -> pa.Array:
     return batch.column(batch.schema.get_field_index("text"))
 
 
+def packed_counts(values: np.ndarray) -> tuple[list[int], list[bytes], list[bytes]]:
+    """Block, positions in it and their counts of the counters that the shingles fall on; counts above 255 take several rows."""
+    counter, count = np.unique((values >> np.uint64(64 - MOST_BITS)).astype(np.uint32), return_counts=True)
+    blocks, at, many = [], [], []
+    while len(counter):
+        cuts = np.flatnonzero(np.diff((counter >> np.uint32(BLOCK_BITS)).astype(np.int64), prepend=-1, append=-2))
+        place, some = (counter & np.uint32((1 << BLOCK_BITS) - 1)).astype("<u2"), np.minimum(count, 255).astype(np.uint8)
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            blocks.append(int(counter[a] >> np.uint32(BLOCK_BITS)))
+            at.append(place[a:b].tobytes())
+            many.append(some[a:b].tobytes())
+        counter, count = counter[count > 255], count[count > 255] - 255
+    return blocks, at, many
+
+
 def profile(docs: DataFrame) -> DataFrame:
-    """A row for each document (doc_id, n, cls), and for each task its share of the sketch in blocks (block, counts)."""
+    """A row for each document (doc_id, n, cls, outline), and what its task adds to the sketch (block, places, counts)."""
+    names = ["doc_id", "n", "cls", "outline", "block", "places", "counts"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
 
-    names = ["doc_id", "n", "cls", "outline", "block", "counts"]
+    def batch_of(**columns) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        arrays = [columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(names, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("ngram_join")
-        counts, waiting, held = np.zeros(1 << SKETCH_BITS, np.int64), [], 0
+        waiting, held = [], 0
 
-        def count():
-            nonlocal waiting, held
-            if held:
-                counts[:] += np.bincount(np.concatenate(waiting) >> np.uint64(64 - SKETCH_BITS), minlength=len(counts))
-            waiting, held = [], 0
+        def sent() -> pa.RecordBatch:
+            blocks, places, counts = packed_counts(np.concatenate(waiting))
+            return batch_of(block=blocks, places=places, counts=counts)
 
         for batch in batches:
             bounds, values = shingle_sets(_text(batch))
             waiting.append(values)
             held += len(values)
-            if held > 1_000_000:
-                count()
-            n = len(batch)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index("doc_id")), pa.array(np.diff(bounds)), pa.array(class_keys(bounds, values)), outlines(bounds, values), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-                names=names,
-            )
-        count()
-        blocks = [b for b in range(len(counts) // BLOCK) if counts[b * BLOCK : (b + 1) * BLOCK].any()]
-        packed = [counts[b * BLOCK : (b + 1) * BLOCK].astype("<u4").tobytes() for b in blocks]
-        n = len(blocks)
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())],
-            names=names,
-        )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cls long, outline binary, block int, counts binary")
-
-
-def sketch(profiled: DataFrame) -> np.ndarray:
-    """How common the shingles of each counter are, in eighths of a power of two: 2**SKETCH_BITS bytes at any input size."""
+            yield batch_of(doc_id=batch.column(batch.schema.get_field_index("doc_id")), n=np.diff(bounds), cls=class_keys(bounds, values), outline=outlines(bounds, values))
+            if held > FLUSH_SHINGLES:
+                yield sent()
+                waiting, held = [], 0
+        if held:
+            yield sent()
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cls long, outline binary, block int, places binary, counts binary")
+
+
+class Sketch:
+    """How common shingles are, in eighths of a power of two by their leading bits, and the parts that each such rank gets."""
+
+    def __init__(self, ranks: np.ndarray, load: float):
+        self.ranks, self.shift = ranks, np.uint64(65 - len(ranks).bit_length())
+        above = np.exp2(np.arange(256) / 8) - 1 - load
+        self.parts = np.clip(np.ceil(above / SPREAD), 1, MOST_PARTS).astype(np.int32)
+
+    def rank(self, shingles: np.ndarray) -> np.ndarray:
+        return self.ranks[shingles >> self.shift]
+
+
+def sketch(profiled: DataFrame, total: int) -> Sketch:
+    """The sketch of all shingles, total in number: a byte a counter, 2**MOST_BITS at most."""
+    bits = min(MOST_BITS, max(MOST_BITS - BLOCK_BITS, (total // SHINGLES_A_COUNTER).bit_length()))
+    fold, width = MOST_BITS - bits, 1 << (BLOCK_BITS - (MOST_BITS - bits))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for block, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(packed, "<u4").astype(np.int64)
+            for block, places, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                part = np.bincount(np.frombuffer(places, "<u2") >> fold, weights=np.frombuffer(counts, np.uint8), minlength=width)
                 sums[block] = sums[block] + part if block in sums else part
         ranks = [np.round(8 * np.log2(s + 1.0)).clip(0, 255).astype(np.uint8).tobytes() for s in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(ranks, pa.binary())], names=["block", "ranks"])
 
-    blocks = profiled.where("block IS NOT NULL").select("block", "counts")
-    n = min(64, int(profiled.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    out = np.zeros(1 << SKETCH_BITS, np.uint8)
-    for row in blocks.repartition(n, "block").mapInArrow(add, "block int, ranks binary").collect():
-        out[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row["ranks"], np.uint8)
-    return out
+    blocks = profiled.where("block IS NOT NULL").select("block", "places", "counts")
+    n = min(1 << (MOST_BITS - BLOCK_BITS), int(profiled.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    out = np.zeros(1 << bits, np.uint8)
+    for row in blocks.repartitionById(n, F.col("block") % n).mapInArrow(add, "block int, ranks binary").collect():
+        out[row["block"] * width : (row["block"] + 1) * width] = np.frombuffer(row["ranks"], np.uint8)
+    return Sketch(out, total / len(out))
 
 
-def prefix_entries(docs: DataFrame, ranks: np.ndarray, buckets: int) -> DataFrame:
-    """Packed prefix entries by bucket of their shingle. A task sends a class once only."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(ranks)
-    common = np.uint8(min(255, round(8 * np.log2(COMMON))))
+def prefix_entries(docs: DataFrame, shared: Broadcast, buckets: int) -> DataFrame:
+    """Packed prefix entries by bucket of their shingle. A task sends a class once only. shared: the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, seen = shared.value, set()
+        claim("ngram_join")
+        known, seen = shared.value, set()
         waiting: list[np.ndarray] = []
         held = 0
 
         def send():
             entries = np.concatenate(waiting)
-            how_common = rank[entries["token"] >> np.uint64(64 - SKETCH_BITS)]
-            dealt = np.where(how_common >= common, mix(entries["token"] + entries["cls"].view(np.uint64)), entries["token"])
+            common = known.parts[known.rank(entries["token"])] >= COMMON_PARTS
+            dealt = np.where(common, mix(entries["token"] + entries["cls"].view(np.uint64)), entries["token"])
             bucket = (mix(dealt) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             entries, bucket = entries[order], bucket[order]
@@ -255,7 +281,7 @@ def prefix_entries(docs: DataFrame, ranks: np.ndarray, buckets: int) -> DataFram
         for batch in batches:
             bounds, values = shingle_sets(_text(batch))
             keys = class_keys(bounds, values)
-            how = rank[values >> np.uint64(64 - SKETCH_BITS)]
+            how = known.rank(values)
             for i, cls in enumerate(keys.tolist()):
                 a, b = bounds[i], bounds[i + 1]
                 n = int(b - a)
@@ -278,21 +304,20 @@ def prefix_entries(docs: DataFrame, ranks: np.ndarray, buckets: int) -> DataFram
     return docs.select("text").mapInArrow(run, "bucket int, entries binary")
 
 
-def shared_entries(packed: DataFrame, buckets: int, ranks: np.ndarray) -> DataFrame:
-    """token, cls, n, pos of the entries whose shingle another class shares within the length and positional filters."""
-    spark = packed.sparkSession
-    shared = spark.sparkContext.broadcast(ranks)
-    common = np.uint8(min(255, round(8 * np.log2(COMMON))))
+def shared_entries(packed: DataFrame, buckets: int, shared: Broadcast) -> DataFrame:
+    """token, cls, n, pos of the entries whose shingle another class shares within the length and positional filters, the
+    number of parts of the shingle and the part of the entry."""
 
-    def distinct(parts: list[bytes]) -> np.ndarray:
-        e = np.frombuffer(b"".join(parts), ENTRY)
+    def distinct(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        e = np.frombuffer(b"".join(rows), ENTRY)
         e = e[np.lexsort((e["cls"], e["token"]))]
         new = np.ones(len(e), bool)
         new[1:] = (e["token"][1:] != e["token"][:-1]) | (e["cls"][1:] != e["cls"][:-1])
         e = e[new]
         cuts = np.flatnonzero(np.concatenate(([True], e["token"][1:] != e["token"][:-1], [True])))
         size = np.repeat(np.diff(cuts), np.diff(cuts))
-        alive = (shared.value[e["token"] >> np.uint64(64 - SKETCH_BITS)] >= common) | (size > LOOK)
+        parts = shared.value.parts[shared.value.rank(e["token"])]
+        alive = (parts >= COMMON_PARTS) | (size > LOOK)
         # Within a group that is small enough, an entry stays if some other passes the filters with it.
         for d in range(1, LOOK):
             a = np.flatnonzero(e["token"][d:] == e["token"][:-d])
@@ -304,17 +329,17 @@ def shared_entries(packed: DataFrame, buckets: int, ranks: np.ndarray) -> DataFr
             good = (5 * nx >= 4 * ny) & (5 * ny >= 4 * nx) & (9 * (nx - e["pos"][a]) >= need) & (9 * (ny - e["pos"][b]) >= need)
             alive[a[good]] = True
             alive[b[good]] = True
-        return e[alive]
+        return e[alive], parts[alive]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(parts):
-            e = distinct(parts)
+        claim("ngram_join")
+
+        def out(rows):
+            e, parts = distinct(rows)
+            own = (mix(e["cls"].view(np.uint64)) % parts.astype(np.uint64)).astype(np.int32)
+            columns = [e["token"].astype(np.int64), e["cls"], e["n"], e["pos"], parts, own]
             for a in range(0, len(e), 100_000):
-                x = e[a : a + 100_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x["token"].view(np.int64) if x["token"].flags.c_contiguous else x["token"].astype(np.int64)), pa.array(x["cls"].copy()), pa.array(x["n"].copy()), pa.array(x["pos"].copy())],
-                    names=["token", "cls", "n", "pos"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c[a : a + 100_000])) for c in columns], names=["token", "cls", "n", "pos", "parts", "part"])
 
         at, parts = None, []
         for batch in batches:
@@ -327,7 +352,7 @@ def shared_entries(packed: DataFrame, buckets: int, ranks: np.ndarray) -> DataFr
         if parts:
             yield from out(parts)
 
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "token long, cls long, n int, pos int")
+    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "token long, cls long, n int, pos int, parts int, part int")
 
 
 def may_meet() -> Column:
@@ -345,22 +370,31 @@ def filtered_pairs(met: DataFrame) -> DataFrame:
     return met.where(may_meet()).select("x", "y").distinct()
 
 
+def by_parts(entries: DataFrame, of_tokens: DataFrame, how: str = "inner") -> DataFrame:
+    """entries joined with a row a shingle (token and parts), which goes to each part of a common shingle."""
+    spread = of_tokens.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return entries.join(spread, ["token", "part"], how)
+
+
 def star_pairs(entries: DataFrame, seed: int) -> DataFrame:
     """Pairs of each class with the two classes of its shingle that a hash picks, if their components differ. entries: also comp."""
     pick = F.struct(F.xxhash64("token", "cls", F.lit(seed)).alias("h"), "cls", "n", "pos", "comp")
-    ends = entries.groupBy("token").agg(F.min(pick).alias("low"), F.max(pick).alias("high"))
-    met = entries.join(ends, "token").withColumn("other", F.explode(F.array("low", "high"))).where("cls <> other.cls AND comp <> other.comp")
+    ends = entries.groupBy("token").agg(F.min(pick).alias("low"), F.max(pick).alias("high"), F.max("parts").alias("parts"))
+    met = by_parts(entries.drop("parts"), ends).withColumn("other", F.explode(F.array("low", "high"))).where("cls <> other.cls AND comp <> other.comp")
     x_first = F.col("cls") < F.col("other.cls")
     side = lambda a, b: F.when(x_first, F.col(a)).otherwise(F.col(b))
     columns = [("x", "cls", "other.cls"), ("y", "other.cls", "cls"), ("nx", "n", "other.n"), ("ny", "other.n", "n"), ("i", "pos", "other.pos"), ("j", "other.pos", "pos")]
     return filtered_pairs(met.select(*[side(a, b).alias(c) for c, a, b in columns]))
 
 
-def open_entries(entries: DataFrame, links: DataFrame) -> DataFrame:
+def open_entries(entries: DataFrame, links: DataFrame, space: Workspace) -> DataFrame:
     """entries with the components of the links so far, of shingles whose classes lie in more than one."""
-    placed = entries.drop("comp").join(components(links).withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    still = placed.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("token")
-    return written(placed.join(still, "token", "left_semi"), "open")
+    found = components(links, space)
+    placed = entries.drop("comp").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    still = placed.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.max("parts").alias("parts")).where("a <> b").select("token", "parts")
+    out = space.written(by_parts(placed, still, "left_semi"), "open")
+    space.dropped(found)
+    return out
 
 
 def cross_pairs(placed: DataFrame, outlined: DataFrame) -> DataFrame:
@@ -369,8 +403,8 @@ def cross_pairs(placed: DataFrame, outlined: DataFrame) -> DataFrame:
     The classes of a shingle meet in Arrow tasks, which hand on what passes the length, positional and suffix filters;
     the latter holds the outlines against each other: two sets share at most the sum of the smaller counts.
     """
-    sizes = placed.groupBy("token").agg(F.count("*").alias("m"))
-    rows = placed.join(sizes, "token").join(outlined, "cls")
+    sizes = placed.groupBy("token").agg(F.count("*").alias("m"), F.max("parts").alias("parts"))
+    rows = by_parts(placed.drop("parts"), sizes).join(outlined, "cls")
     # Blocks of a large group: a row goes to the block pairs that its own block is in.
     blocks = F.ceil(F.col("m") / (GROUP // 2)).cast("int")
     own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
@@ -444,10 +478,10 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return int((both[1:] == both[:-1]).sum()) >= need
 
 
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs that link. pairs: x, y of classes, once each; classes: cls, rep."""
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, space: Workspace) -> DataFrame:
+    """The pairs that link, as a table. pairs: x, y of classes, once each; classes: cls, rep."""
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct().join(classes.select("cls", "rep"), "cls")
-    wanted = written(wanted.select("cls", F.col("rep").alias("doc_id")), "wanted")
+    wanted = space.written(wanted.select("cls", F.col("rep").alias("doc_id")), "wanted")
     ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     texts = docs.select("doc_id", "text").join(ids, "doc_id")
 
@@ -459,7 +493,7 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
             rows = [i for i in range(len(keys)) if keys[i] == cls[i]]  # a row that repeats the id may hold another text
             yield pa.RecordBatch.from_arrays([pa.array(cls[rows]), pa.array([values[bounds[i] : bounds[i + 1]].tobytes() for i in rows], pa.binary())], names=["cls", "values"])
 
-    found = written(texts.mapInArrow(sets, "cls long, values binary"), "sets")
+    found = space.written(texts.mapInArrow(sets, "cls long, values binary"), "sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -469,12 +503,14 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
 
     one = found.dropDuplicates(["cls"])
     both = pairs.join(one.select(F.col("cls").alias("x"), F.col("values").alias("vx")), "x").join(one.select(F.col("cls").alias("y"), F.col("values").alias("vy")), "y")
-    return both.select("x", "y", "vx", "vy").mapInArrow(check, "x long, y long")
+    links = space.written(both.select("x", "y", "vx", "vy").mapInArrow(check, "x long, y long"), "links")
+    space.dropped(wanted, found)
+    return links
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, space: Workspace) -> DataFrame:
     """node, comp (the least node reachable) for every node of the edges x, y: alternating large and small stars."""
-    at = written(edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u <> v").distinct(), "edges")
+    at = space.written(edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u <> v").distinct(), "edges")
     state = None
     while True:
         both = at.unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -482,48 +518,78 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        at = written(small.select("e.u", "e.v").where("u <> v").distinct(), "stars")
+        before, at = at, space.written(small.select("e.u", "e.v").where("u <> v").distinct(), "stars")
+        space.dropped(before)
         now = at.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == state or not now["n"]:
             break
         state = now
-    return at.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(at.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+    found = at.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(at.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+    out = space.written(found, "components")
+    space.dropped(at)
+    return out
 
 
-def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
-    small_batches(docs.sparkSession, ROWS)
+def prepared(docs: DataFrame, key: str, text: str, space: Workspace) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(docs, rows, classes, entries): doc_id and text; doc_id, n and cls of each row; cls, n, rep and outline of each class with an id;
+    prefix entries that another class shares."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    profiled = written(profile(docs), "profile")
+    profiled = space.written(profile(docs), "profile")
     rows = profiled.where("block IS NULL").select("doc_id", "n", "cls", "outline")
-    classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("cls", "n").agg(F.min("doc_id").alias("rep"), F.first("outline").alias("outline"))
-    classes = written(classes, "classes")
-    ranks = sketch(profiled)
+    classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("cls", "n").agg(F.min("doc_id").alias("rep"), F.min("outline").alias("outline"))
+    classes = space.written(classes, "classes")
     total = rows.agg(F.sum("n")).first()[0] or 0
+    shared = docs.sparkSession.sparkContext.broadcast(sketch(profiled, total))
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // 5 // BUCKET_ENTRIES))
     some = docs.where("doc_id IS NOT NULL")
-    entries = written(shared_entries(prefix_entries(some, ranks, buckets), buckets, ranks), "entries")
+    entries = space.written(shared_entries(prefix_entries(some, shared, buckets), buckets, shared), "entries")
+    kept = space.written(rows.drop("outline"), "rows")
+    space.dropped(profiled)
+    return some, kept, classes, entries
+
+
+def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id of every row."""
+    space = Workspace(docs.sparkSession, "ngram-join")
+    some, rows, classes, entries = prepared(docs, key, text, space)
     links, done = None, None
     placed = entries.withColumn("comp", F.col("cls"))
     for turn in range(STARS + 1):
         pairs = star_pairs(placed, turn) if turn < STARS else cross_pairs(placed, classes.select("cls", "outline"))
-        pairs = written(pairs.join(done, ["x", "y"], "left_anti") if done is not None else pairs, "pairs")
+        pairs = space.written(pairs.join(done, ["x", "y"], "left_anti") if done is not None else pairs, "pairs")
         if pairs.isEmpty() and links is not None:
             if placed.isEmpty():
                 break
             continue  # the picks of a round may repeat; pairs that have not met are left to cross_pairs
-        new = written(verified(some, classes, pairs), "links")
+        new = verified(some, classes, pairs, space)
         links = new if links is None else links.unionByName(new)
         done = pairs if done is None else done.unionByName(pairs)
         if turn < STARS:
-            placed = open_entries(entries, links)
+            before, placed = placed, open_entries(entries, links, space)
+            space.dropped(before)
     reps = classes.select(F.col("cls"), F.col("rep"))
     edges = links.join(reps.select(F.col("cls").alias("x"), F.col("rep").alias("rx")), "x").join(reps.select(F.col("cls").alias("y"), F.col("rep").alias("ry")), "y")
     # Rows that share an id link their classes.
-    own = rows.drop("outline").where("n > 0").join(classes.drop("outline"), ["cls", "n"]).select(F.col("doc_id"), "cls", "n", "rep")
+    own = rows.where("n > 0").join(classes.drop("outline"), ["cls", "n"]).select(F.col("doc_id"), "cls", "n", "rep")
     again = own.where("doc_id <> rep").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("x"), F.col("rep").alias("y"))
-    found = components(edges.select(F.col("rx").alias("x"), F.col("ry").alias("y")).unionByName(again))
-    placed = rows.drop("outline").join(classes.drop("outline"), ["cls", "n"], "left").withColumn("node", F.coalesce("rep", "doc_id"))
+    found = components(edges.select(F.col("rx").alias("x"), F.col("ry").alias("y")).unionByName(again), space)
+    placed = rows.join(classes.drop("outline"), ["cls", "n"], "left").withColumn("node", F.coalesce("rep", "doc_id"))
     placed = placed.join(found, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "node"))
-    return placed.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return space.finish(placed.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")))
+
+
+def similar_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(x, y of each pair of representatives that links, least first; doc_id and rep of each row with shingles and an id).
+
+    All links between different sets, those inside a component too: as many rows as there are such links.
+    """
+    space = Workspace(docs.sparkSession, "ngram-pairs")
+    some, rows, classes, entries = prepared(docs, key, text, space)
+    pairs = space.written(cross_pairs(entries.withColumn("comp", F.col("cls")), classes.select("cls", "outline")), "pairs")
+    links = verified(some, classes, pairs, space)
+    reps = classes.select("cls", "rep")
+    named = links.join(reps.select(F.col("cls").alias("x"), F.col("rep").alias("a")), "x").join(reps.select(F.col("cls").alias("y"), F.col("rep").alias("b")), "y")
+    members = written(rows.where("n > 0 AND doc_id IS NOT NULL").join(classes.drop("outline"), ["cls", "n"]).select("doc_id", "rep"), "ngram-members")
+    return space.finish(named.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))), members

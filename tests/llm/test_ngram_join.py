@@ -1,5 +1,6 @@
 import random
 from collections import defaultdict
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
@@ -67,6 +68,59 @@ def test_components_by_brute_force(spark, seed, monkeypatch):
     assert got == brute(rows)
 
 
+def test_pairs_by_brute_force(spark):
+    rows = corpus(5)
+    sets = {i: shingles(t) for i, t in rows}
+    pairs, members = nj.similar_pairs(spark.createDataFrame(rows, "doc_id long, text string"))
+    rep = {r.doc_id: r.rep for r in members.collect()}
+    first = {}
+    for i, s in sorted(sets.items()):
+        if s:
+            first.setdefault(frozenset(s), i)
+    assert rep == {i: first[frozenset(s)] for i, s in sets.items() if s}
+    reps = sorted(first.values())
+    want = [(a, b) for a in reps for b in reps if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert len(want) > 20 and sorted((r.x, r.y) for r in pairs.collect()) == want
+
+
+def test_common_shingles_go_by_parts(spark, monkeypatch):
+    """Every shingle in parts, dealt by class: the same components."""
+    monkeypatch.setattr(nj, "SPREAD", 1)
+    monkeypatch.setattr(nj, "COMMON_PARTS", 3)
+    monkeypatch.setattr(nj, "SHINGLES_A_COUNTER", 1)
+    rows = corpus(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nj.join_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
+def test_sketch_counts(spark, monkeypatch):
+    """Ranks are the counts of all shingles with the same leading bits, over several sendings of a task."""
+    monkeypatch.setattr(nj, "FLUSH_SHINGLES", 300)
+    texts = [f"a b c d e {i % 7} f g h i j" for i in range(700)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    total = sum(len(shingles(t)) for t in texts)
+    made = nj.sketch(nj.profile(docs), total)
+    each = nj.np.concatenate([nj.shingle_sets(pa.array([t]))[1] for t in texts])
+    counts = nj.np.bincount((each >> made.shift).astype(int), minlength=len(made.ranks))
+    assert (made.ranks == nj.np.round(8 * nj.np.log2(counts + 1.0)).astype(int)).all()
+    once = nj.shingle_sets(pa.array([texts[0]]))[1][:1]
+    assert nj.packed_counts(nj.np.repeat(once, 600))[2] == [b"\xff", b"\xff", b"Z"]
+
+
+def test_very_long_text(spark):
+    words = [f"w{i}" for i in range(150_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-9], "x"])), (3, "y" * 2_000_000), (4, "y" * 2_000_000 + " "), (5, "z")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nj.join_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (149_996, 1), 2: (149_988, 1), 3: (1, 3), 4: (1, 3), 5: (1, 5)}
+
+
+def test_only_the_result_is_left(spark):
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = {p.name for p in shared.iterdir()}
+    out = nj.join_components(spark.createDataFrame(corpus(4), "doc_id long, text string"))
+    assert [p.name.rsplit("-", 1)[0] for p in shared.iterdir() if p.name not in before] == ["ngram-join-result"] and out.count() > 0
+
+
 def test_edges(spark):
     schema = "doc_id long, text string"
     assert nj.join_components(spark.createDataFrame([], schema)).count() == 0
