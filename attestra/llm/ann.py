@@ -1,37 +1,43 @@
 """Approximate nearest neighbours: a navigable small-world graph per shard, shard results merged.
 
 Vectors that are equal are one node (its smallest ids stand for the group when
-results are spread out again). Nodes are dealt to shards by a hash of their id. Each shard is
-built by one task into flat arrays: its vectors, and for each level the neighbour lists as one
-integer matrix padded with -1. A search descends greedily through the upper levels and
-keeps the best EF_SEARCH nodes on the lowest one; every query visits every shard.
+results are spread out again). Nodes are dealt to shards by a hash of their id, a shard to a partition. Each shard is
+built by one task into flat arrays, stored in chunks of its nodes: their ids, their vectors, and for each level their neighbour
+lists as one integer matrix padded with -1. Nodes are inserted, and queries answered, a block at a time: the block's searches
+go down the upper levels together and keep the best EF_BUILD or EF_SEARCH nodes each on the lowest one. Every query visits every
+shard; a shard's queries are cut into blocks of tasks, each of which has the shard's arrays.
 
 Nearness is the inner product in double precision. Graphs are built on vectors
 extended by one component, sqrt(largest squared norm - squared norm), which makes
-the order by distance the order by inner product; results are scored on the original vectors.
+the order by distance the order by inner product; what a search keeps is scored on the original vectors.
 
 Defined results: vectors that are null or zero, or hold null or non-finite
 components, take no part, neither do rows without an id or with a number of
-components other than the commonest; a query that takes no part has no rows; ties go to the
-smaller id; if there are fewer than k candidates, all are returned; rows that repeat an id with
+components other than the commonest (of equally common ones the smallest); a query that takes no part has no rows; ties go to the
+smaller id, in any shard; if there are fewer than k candidates, all are returned; rows that repeat an id with
 equal vectors count once; columns other than id and vector are ignored.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestra.llm.common import small_batches, written
+from attestra.llm.common import Workspace, bounded_batches
 
-SHARD_ROWS = 6_000
-M, M0, EF_BUILD, EF_SEARCH = 16, 32, 80, 120
-INDEX = "shard int, ids binary, vectors binary, n long, dims int, levels array<binary>, entry int"
+#: A shard has so many nodes or bytes of vectors at most.
+SHARD_ROWS, SHARD_BYTES, MIN_SHARDS = 50_000, 32 << 20, 4
+#: Links of a node on upper levels and on the lowest; a list grows by SPARE before it is chosen anew.
+M, M0, SPARE = 16, 32, 16
+EF_BUILD, EF_SEARCH = 80, 128
+#: Nodes inserted or queries answered together, neighbours looked for within such a block, queries of a task, nodes of a stored chunk.
+BLOCK, WITHIN, TASK_QUERIES, CHUNK = 256, 16, 16_384, 4_096
+INDEX = "shard int, part int, n long, entry int, ids binary, vectors binary, levels array<binary>"
 
 
 def usable(vector: Column) -> Column:
@@ -41,197 +47,258 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & fine & F.exists(v, lambda x: x != 0)
 
 
-class Graph:
-    """A hierarchical navigable small world over the rows of a float64 matrix."""
+def extended(vectors: np.ndarray, largest: float) -> np.ndarray:
+    """Vectors with the component that brings each to the largest squared norm, in single precision."""
+    rest = np.sqrt(np.maximum(0.0, largest - np.einsum("ij,ij->i", vectors, vectors)))
+    return np.column_stack((vectors, rest)).astype(np.float32)
+
 
-    def __init__(self, points: np.ndarray, seed: int = 7):
-        self.x, self.n = points, len(points)
+class Graph:
+    """A hierarchical navigable small world over the rows of a matrix, worked on by blocks of rows."""
+
+    def __init__(self, points: np.ndarray, levels: list[np.ndarray] | None = None, entry: int = -1, seed: int = 7):
+        self.x, self.n = np.ascontiguousarray(points, np.float32), len(points)
+        self.squares = np.einsum("ij,ij->i", self.x, self.x)
+        self.entry, self.top = entry, -1
+        if levels is not None:
+            self.levels, self.top = levels, len(levels) - 1
+            return
         self.heights = np.minimum((-np.log(np.random.default_rng(seed).random(self.n) + 1e-12) / np.log(M)).astype(int), 8)
-        self.levels = [np.full((self.n, M0 if k == 0 else M), -1, np.int32) for k in range(int(self.heights.max(initial=0)) + 1)]
+        self.levels = [np.full((self.n, (M if k else M0) + SPARE), -1, np.int32) for k in range(int(self.heights.max(initial=0)) + 1)]
         self.degree = [np.zeros(self.n, np.int32) for _ in self.levels]
-        self.entry = -1
 
-    @classmethod
-    def stored(cls, points: np.ndarray, levels: list[np.ndarray], entry: int) -> Graph:
-        graph = cls.__new__(cls)
-        graph.x, graph.n, graph.levels, graph.entry = points, len(points), levels, entry
-        return graph
-
-    def _distance(self, q: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-        gap = self.x[nodes] - q
-        return np.einsum("ij,ij->i", gap, gap)
-
-    def _greedy(self, q: np.ndarray, at: int, level: int) -> int:
-        here = self._distance(q, np.array([at]))[0]
+    def beam(self, q: np.ndarray, start: np.ndarray, level: int, ef: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ef nearest nodes that a search from start meets for each row of q, and their distances (less the query's own
+        square), nearest first; padded with -1 and infinity."""
+        links, rows = self.levels[level], np.arange(len(q))
+        met = np.zeros((len(q), self.n), bool)
+        met[rows, start] = True
+        ids = np.full((len(q), ef), -1, np.int32)
+        near = np.full((len(q), ef), np.inf, np.float32)
+        done = np.ones((len(q), ef), bool)
+        ids[:, 0], done[:, 0] = start, False
+        near[:, 0] = self.squares[start] - 2 * np.einsum("ij,ij->i", self.x[start], q)
+        active = rows
         while True:
-            near = self.levels[level][at]
-            near = near[near >= 0]
-            if not len(near):
-                return at
-            d = self._distance(q, near)
-            k = int(d.argmin())
-            if d[k] >= here:
-                return at
-            at, here = int(near[k]), d[k]
-
-    def _beam(self, q: np.ndarray, at: int, level: int, ef: int) -> list[tuple[float, int]]:
-        """The ef nearest nodes met, nearest first."""
-        links = self.levels[level]
-        seen = np.zeros(self.n, bool)
-        seen[at] = True
-        first = float(self._distance(q, np.array([at]))[0])
-        open_, best = [(first, at)], [(-first, at)]
-        while open_:
-            d, node = heapq.heappop(open_)
-            if d > -best[0][0] and len(best) >= ef:
+            waiting = np.where(done[active], np.inf, near[active])
+            pick = waiting.argmin(axis=1)
+            some = np.isfinite(waiting[np.arange(len(active)), pick])
+            active, pick = active[some], pick[some]
+            if not len(active):
                 break
-            near = links[node]
-            near = near[near >= 0]
-            near = near[~seen[near]]
-            if not len(near):
-                continue
-            seen[near] = True
-            ds = self._distance(q, near)
-            if len(best) >= ef:
-                good = ds < -best[0][0]
-                near, ds = near[good], ds[good]
-            for dn, m in zip(ds.tolist(), near.tolist(), strict=True):
-                if len(best) < ef:
-                    heapq.heappush(best, (-dn, m))
-                    heapq.heappush(open_, (dn, m))
-                elif dn < -best[0][0]:
-                    heapq.heapreplace(best, (-dn, m))
-                    heapq.heappush(open_, (dn, m))
-        return sorted((-d, m) for d, m in best)
-
-    def _diverse(self, found: list[tuple[float, int]], most: int) -> list[int]:
-        """Of the nodes found, nearest first, those nearer to the new one than to any kept; filled up with the nearest."""
-        nodes = np.array([m for _, m in found], np.int32)
-        between = self.x[nodes]
-        squares = np.einsum("ij,ij->i", between, between)
-        pairwise = squares[:, None] + squares[None, :] - 2 * between @ between.T
-        kept: list[int] = []
-        for i, (d, _) in enumerate(found):
-            if len(kept) == most:
-                break
-            if not kept or (pairwise[i, kept] > d).all():
-                kept.append(i)
-        rest = [i for i in range(len(found)) if i not in set(kept)][: most - len(kept)]
-        return nodes[kept + rest].tolist()
-
-    def _link(self, level: int, a: int, b: int) -> None:
-        """Add b to a's list; a full list is chosen anew."""
+            done[active, pick] = True
+            found = links[ids[active, pick]]
+            r, c = np.nonzero((found >= 0) & ~met[active[:, None], found])
+            to, own = found[r, c], active[r]
+            met[own, to] = True
+            d = np.full(found.shape, np.inf, np.float32)
+            d[r, c] = self.squares[to] - 2 * np.einsum("ij,ij->i", self.x[to], q[own])
+            better = (d < near[active].max(axis=1)[:, None]).any(axis=1)
+            changed = active[better]
+            if len(changed):
+                all_d = np.concatenate((near[changed], d[better]), axis=1)
+                best = np.argpartition(all_d, ef - 1, axis=1)[:, :ef]
+                near[changed] = np.take_along_axis(all_d, best, axis=1)
+                ids[changed] = np.take_along_axis(np.concatenate((ids[changed], found[better]), axis=1), best, axis=1)
+                done[changed] = np.take_along_axis(np.concatenate((done[changed], np.zeros_like(found[better], bool)), axis=1), best, axis=1)
+                ids[~np.isfinite(near)] = -1
+                done[~np.isfinite(near)] = True
+        order = np.argsort(near, axis=1, kind="stable")
+        return np.take_along_axis(ids, order, axis=1), np.take_along_axis(near, order, axis=1)
+
+    def diverse(self, found: np.ndarray, d: np.ndarray, most: int) -> np.ndarray:
+        """Of each row's nodes, nearest first at true distances d: those nearer to the row than to any kept, filled up with the nearest."""
+        x, sq = self.x[found], self.squares[found]
+        between = sq[:, :, None] + sq[:, None, :] - 2 * x @ x.transpose(0, 2, 1)
+        kept, valid, n = np.zeros(found.shape, bool), np.isfinite(d), np.zeros(len(found), np.int64)
+        for i in range(found.shape[1]):
+            hidden = ((between[:, i, :] <= d[:, i, None]) & kept).any(axis=1)
+            kept[:, i] = valid[:, i] & ~hidden & (n < most)
+            n += kept[:, i]
+        place = np.arange(found.shape[1]) + found.shape[1] * (~kept + 2 * ~valid)
+        first = np.argsort(place, axis=1, kind="stable")[:, :most]
+        return np.where(np.take_along_axis(valid, first, axis=1), np.take_along_axis(found, first, axis=1), -1)
+
+    def _nearest_first(self, of: np.ndarray, found: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """found (rows of candidates for the nodes `of`, -1 for none) by true distance, the nearest `most` of them."""
+        x = self.x[found]
+        d = self.squares[of][:, None] + self.squares[found] - 2 * np.einsum("ijk,ik->ij", x, self.x[of])
+        d[found < 0] = np.inf
+        order = np.argsort(d, axis=1, kind="stable")[:, :most]
+        return np.take_along_axis(found, order, axis=1), np.take_along_axis(d, order, axis=1)
+
+    def _link(self, level: int, nodes: np.ndarray, chosen: np.ndarray) -> None:
+        """Set the lists of new nodes and add them to those of the chosen ones; a list that is full is chosen anew."""
         links, degree = self.levels[level], self.degree[level]
-        most = links.shape[1]
-        if degree[a] < most:
-            links[a, degree[a]] = b
-            degree[a] += 1
-            return
-        nodes = np.append(links[a], b)
-        d = self._distance(self.x[a], nodes)
-        order = np.argsort(d, kind="stable")
-        chosen = self._diverse([(float(d[i]), int(nodes[i])) for i in order], most)
-        links[a, : len(chosen)], links[a, len(chosen) :] = chosen, -1
-        degree[a] = len(chosen)
+        links[nodes, : chosen.shape[1]], degree[nodes] = chosen, (chosen >= 0).sum(axis=1)
+        to, source = chosen.ravel(), np.repeat(nodes, chosen.shape[1])
+        new = (to >= 0) & ~(links[to] == source[:, None]).any(axis=1)
+        order = np.argsort(to[new], kind="stable")
+        to, source = to[new][order], source[new][order]
+        owner, first, count = np.unique(to, return_index=True, return_counts=True)
+        place = degree[to] + np.arange(len(to)) - np.repeat(first, count)
+        room = np.repeat(degree[owner] + count <= links.shape[1], count)
+        links[to[room], place[room]] = source[room]
+        degree[owner] += np.where(degree[owner] + count <= links.shape[1], count, 0)
+        full = ~np.isin(owner, to[room])
+        width, most = links.shape[1], links.shape[1] - SPARE
+        for a in range(0, full.sum(), BLOCK):
+            mine, start, n = owner[full][a : a + BLOCK], first[full][a : a + BLOCK], count[full][a : a + BLOCK]
+            more = np.full((len(mine), n.max()), -1, np.int32)
+            more[np.arange(n.max()) < n[:, None]] = source[np.concatenate([np.arange(s, s + k) for s, k in zip(start, n, strict=True)])]
+            found, d = self._nearest_first(mine, np.concatenate((links[mine], more), axis=1), 2 * width)
+            again = self.diverse(found, d, most)
+            links[mine, :most], links[mine, most:], degree[mine] = again, -1, (again >= 0).sum(axis=1)
 
     def build(self) -> Graph:
-        for node in range(self.n):
-            height = int(self.heights[node])
-            if self.entry < 0:
-                self.entry = node
-                continue
-            q, at, top = self.x[node], self.entry, int(self.heights[self.entry])
-            for level in range(top, height, -1):
-                at = self._greedy(q, at, level)
-            for level in range(min(height, top), -1, -1):
-                found = self._beam(q, at, level, EF_BUILD)
-                at = found[0][1]
-                for other in self._diverse(found, M):
-                    self._link(level, node, other)
-                    self._link(level, other, node)
-            if height > top:
-                self.entry = node
+        a = 0
+        while a < self.n:
+            b = min(self.n, a + min(BLOCK, max(a, 16)))
+            nodes = np.arange(a, b)
+            at, q = np.full(b - a, self.entry), self.x[a:b]
+            for level in range(max(self.top, int(self.heights[a:b].max())), -1, -1):
+                mine = self.heights[a:b] >= level
+                if level <= self.top:
+                    if (~mine).any():
+                        at[~mine] = self.beam(q[~mine], at[~mine], level, 1)[0][:, 0]
+                    far = self.beam(q[mine], at[mine], level, EF_BUILD)[0] if mine.any() else np.empty((0, EF_BUILD), np.int32)
+                    at[mine] = far[:, 0]
+                else:
+                    far = np.empty((mine.sum(), 0), np.int32)
+                own = nodes[mine]
+                if len(own):
+                    among = np.full((len(own), len(own)), -1, np.int32)
+                    among[:] = own
+                    np.fill_diagonal(among, -1)
+                    close = self._nearest_first(own, among, WITHIN)[0]
+                    found, d = self._nearest_first(own, np.concatenate((far, close), axis=1), EF_BUILD)
+                    self._link(level, own, self.diverse(found, d, M))
+            if self.heights[a:b].max() > self.top:
+                self.top, self.entry = int(self.heights[a:b].max()), a + int(self.heights[a:b].argmax())
+            a = b
         return self
 
-    def search(self, q: np.ndarray, ef: int = EF_SEARCH) -> list[int]:
-        at = self.entry
-        for level in range(len(self.levels) - 1, 0, -1):
-            at = self._greedy(q, at, level)
-        return [m for _, m in self._beam(q, at, 0, ef)]
-
-
-def build_index(nodes: DataFrame, shards: int) -> DataFrame:
-    """One row a shard. nodes: _node long, _v array<double>, _w array<double> (_v extended)."""
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_node")
-        points = np.stack(pdf["_w"].to_numpy()).astype(np.float64)
-        # Insertion in a hashed order, so that runs of near vectors are not inserted together.
-        order = np.random.default_rng(3).permutation(len(points))
-        graph = Graph(points[order]).build()
-        ids, original = pdf["_node"].to_numpy(np.int64)[order], np.stack(pdf["_w"].to_numpy()).astype(np.float64)[order]
-        row = {"shard": int(pdf["shard"].iloc[0]), "ids": ids.tobytes(), "vectors": original.tobytes(), "n": len(ids)}
-        row |= {"dims": original.shape[1], "levels": [x.tobytes() for x in graph.levels], "entry": graph.entry}
-        return pd.DataFrame([row])
-
-    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("_node"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInPandas(build, INDEX)
-
-
-def search_index(index: DataFrame, queries: DataFrame, shards: int, k: int) -> DataFrame:
-    """query_id, _node and score: the k + 1 best nodes of each shard for every query (_q long, _v, _w)."""
-
-    def search(index_rows: pd.DataFrame, query_rows: pd.DataFrame) -> pd.DataFrame:
-        if index_rows.empty or query_rows.empty:
-            return pd.DataFrame({"query_id": [], "_node": [], "score": []})
-        row = index_rows.iloc[0]
-        points = np.frombuffer(row["vectors"], np.float64).reshape(int(row["n"]), int(row["dims"]))
-        levels = [np.frombuffer(x, np.int32).reshape(int(row["n"]), -1) for x in row["levels"]]
-        graph = Graph.stored(points, levels, int(row["entry"]))
-        ids, out = np.frombuffer(row["ids"], np.int64), []
-        for q, v in zip(query_rows["_q"], query_rows["_v"], strict=True):
-            v = np.asarray(v, np.float64)
-            found = np.array(graph.search(np.append(v, 0.0)))
-            scores = points[found, :-1] @ v
-            best = np.lexsort((ids[found], -scores))[: k + 1]
-            out += [(q, int(ids[found[i]]), float(scores[i])) for i in best]
-        return pd.DataFrame(out, columns=["query_id", "_node", "score"])
-
-    each = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    return index.groupBy("shard").cogroup(each.groupBy("shard")).applyInPandas(search, "query_id long, _node long, score double")
+    def search(self, q: np.ndarray, ef: int = EF_SEARCH) -> np.ndarray:
+        """The ef nodes that a search keeps for each row of q, -1 for none."""
+        at = np.full(len(q), self.entry)
+        for level in range(self.top, 0, -1):
+            at = self.beam(q, at, level, 1)[0][:, 0]
+        return self.beam(q, at, 0, ef)[0]
+
+
+def matrix(column: pa.Array, dims: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+
+
+def build_index(nodes: DataFrame, shards: int, dims: int, largest: float) -> DataFrame:
+    """The chunks of each shard. nodes: _node long, _v array<double> of dims components, squared norms up to largest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors, shard = [], [], None
+        for batch in batches:
+            if len(batch):
+                shard = batch.column(0)[0].as_py()
+                ids.append(batch.column(1).to_numpy())
+                vectors.append(matrix(batch.column(2), dims))
+        if shard is None:
+            return
+        ids, vectors = np.concatenate(ids), np.concatenate(vectors)
+        # Insertion in a hashed order, so that runs of near vectors are not inserted together, whatever order rows came in.
+        order = np.argsort(ids, kind="stable")[np.random.default_rng(3).permutation(len(ids))]
+        ids, vectors = ids[order], np.ascontiguousarray(vectors[order])
+        graph = Graph(extended(vectors, largest)).build()
+        for part, a in enumerate(range(0, len(ids), CHUNK)):
+            cut = slice(a, a + CHUNK)
+            row = [[shard], [part], [len(ids)], [graph.entry], [ids[cut].tobytes()], [vectors[cut].tobytes()], [[x[cut].tobytes() for x in graph.levels]]]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], names=[c.split()[0] for c in INDEX.split(", ")])
+
+    dealt = nodes.select(F.pmod(F.xxhash64("_node"), F.lit(shards)).cast("int").alias("shard"), "_node", "_v")
+    return dealt.repartitionById(shards, F.col("shard")).mapInArrow(run, INDEX)
+
+
+def search_index(index: DataFrame, queries: DataFrame, shards: int, tasks: int, k: int, dims: int, largest: float) -> DataFrame:
+    """query_id, _node and score: the k + 1 best nodes of each shard for every query (_q long, _v). tasks: blocks that a shard's queries
+    are cut into."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks, graph, waiting_q, waiting_v = [], None, [], []
+
+        def answers() -> pa.RecordBatch:
+            q, v = np.concatenate(waiting_q), np.concatenate(waiting_v)
+            out: list[tuple] = []
+            for a in range(0, len(q), BLOCK):
+                part = v[a : a + BLOCK]
+                kept = graph.search(np.column_stack((part, np.zeros(len(part)))).astype(np.float32))
+                scores = np.einsum("ijk,ik->ij", points[kept], part)
+                scores[kept < 0] = -np.inf
+                node = ids[kept]
+                best = np.lexsort((node, -scores), axis=1)[:, : k + 1]
+                valid = np.take_along_axis(kept, best, axis=1) >= 0
+                out.append((np.repeat(q[a : a + BLOCK], valid.sum(axis=1)), np.take_along_axis(node, best, axis=1)[valid], np.take_along_axis(scores, best, axis=1)[valid]))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "_node", "score"])
+
+        for batch in batches:
+            kind = batch.column(1).to_numpy()
+            stored, asked = batch.filter(pa.array(kind == 0)), batch.filter(pa.array(kind == 1))
+            chunks += stored.select([3, 4, 5, 6, 7]).to_pylist()
+            if len(asked) and chunks:
+                if graph is None:
+                    ids = np.frombuffer(b"".join(c["ids"] for c in chunks), np.int64)
+                    points = np.frombuffer(b"".join(c["vectors"] for c in chunks), np.float64).reshape(-1, dims)
+                    levels = [np.frombuffer(b"".join(c["levels"][i] for c in chunks), np.int32).reshape(len(ids), -1) for i in range(len(chunks[0]["levels"]))]
+                    graph = Graph(extended(points, largest), levels, chunks[0]["entry"])
+                    chunks = [None]
+                waiting_q.append(asked.column(8).to_numpy())
+                waiting_v.append(matrix(asked.column(9), dims))
+                if sum(map(len, waiting_q)) >= BLOCK:
+                    yield answers()
+                    waiting_q, waiting_v = [], []
+        if waiting_q:
+            yield answers()
+
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    each = index.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    stored = each.select((F.col("shard") * tasks + F.col("_t")).alias("unit"), F.lit(0).alias("kind"), "part", "n", "entry", "ids", "vectors", "levels", none("long", "_q"), none("array<double>", "_v"))
+    there = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    unit = F.col("shard") * tasks + F.pmod(F.xxhash64("_q"), F.lit(tasks)).cast("int")
+    missing = [none(t, c) for t, c in (("int", "part"), ("long", "n"), ("int", "entry"), ("binary", "ids"), ("binary", "vectors"), ("array<binary>", "levels"))]
+    asked = there.select(unit.alias("unit"), F.lit(1).alias("kind"), *missing, "_q", "_v")
+    both = stored.unionByName(asked).repartitionById(shards * tasks, F.col("unit")).sortWithinPartitions("kind", "part")
+    return both.mapInArrow(run, "query_id long, _node long, score double")
 
 
 def nearest(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", shards: int | None = None) -> DataFrame:
     """query_id, rank, vec_id and score of each query's k nearest rows found, itself left out."""
     spark = df.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     rows = df.select(F.col(key).alias("_id"), F.col(vector).cast("array<double>").alias("_v"), is_query.alias("_is_query"))
     rows = rows.where(F.col("_id").isNotNull() & usable(F.col("_v")))
-    rows = rows.withColumn("_norm", F.aggregate("_v", F.lit(0.0), lambda s, x: s + x * x))
-    totals = rows.groupBy(F.size("_v").alias("d")).agg(F.count("*").alias("n"), F.max("_norm").alias("m")).orderBy(F.desc("n"), "d").first()
+    norm = F.aggregate("_v", F.lit(0.0), lambda s, x: s + x * x)
+    totals = rows.groupBy(F.size("_v").alias("d")).agg(F.count("*").alias("n"), F.max(norm).alias("m"), F.count_if("_is_query").alias("q")).orderBy(F.desc("n"), "d").first()
     if totals is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    shards = shards or max(4, -(-totals["n"] // SHARD_ROWS))
-    rows = rows.where(F.size("_v") == totals["d"])
+    dims, space = totals["d"], Workspace(spark, "ann")
+    shards = shards or max(MIN_SHARDS, -(-totals["n"] // max(1_000, min(SHARD_ROWS, SHARD_BYTES // (8 * dims)))))
+    tasks = max(1, -(-totals["q"] // TASK_QUERIES), -(-spark.sparkContext.defaultParallelism // shards))
+    rows = rows.where(F.size("_v") == dims)
     # Equal vectors: one node; hashing first keeps the grouping key short.
     print_ = F.sha1(F.array_join(F.col("_v").cast("array<string>"), ","))
-    rows = written(rows.withColumn("_same", print_).dropDuplicates(["_id", "_same"]), "vectors")
-    first = rows.groupBy("_same").agg(F.min_by(F.struct("_id", "_v", "_norm"), "_id").alias("r"))
-    extended = F.concat(F.col("r._v"), F.array(F.sqrt(F.greatest(F.lit(0.0), F.lit(totals["m"]) - F.col("r._norm")))))
-    nodes = first.select(F.col("r._id").alias("_node"), F.col("r._v").alias("_v"), extended.alias("_w"))
-    index = written(build_index(nodes, shards), "graphs")
+    rows = space.written(rows.withColumn("_same", print_).dropDuplicates(["_id", "_same"]), "vectors")
+    first = rows.groupBy("_same").agg(F.min_by(F.struct("_id", "_v"), "_id").alias("r"))
+    index = space.written(build_index(first.select(F.col("r._id").alias("_node"), F.col("r._v").alias("_v")), shards, dims, totals["m"]), "graphs")
     queries = rows.where("_is_query").select(F.col("_id").alias("_q"), "_v")
-    found = search_index(index, queries, shards, k)
+    found = search_index(index, queries, shards, tasks, k, dims, totals["m"])
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "_node")
     found = found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1).drop("_r")
     # The k + 1 smallest ids of each group of equal vectors are all that a result can hold.
-    members = rows.join(first.select("_same", F.col("r._id").alias("_node")), "_same")
+    members = rows.join(rows.groupBy("_same").agg(F.min("_id").alias("_node")), "_same")
     order = Window.partitionBy("_node").orderBy("_id")
     members = members.select("_node", "_id").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k + 1).drop("_r")
     spread = found.join(members, "_node").where(F.col("_id") != F.col("query_id"))
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "_id")
     ranked = spread.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", F.col("_id").alias("vec_id"), "score")
+    return space.finish(ranked.select("query_id", "rank", F.col("_id").alias("vec_id"), "score"))
 
 
 def exact(batches: Iterator[pd.DataFrame], candidates: pd.DataFrame, k: int) -> Iterator[pd.DataFrame]:

@@ -30,13 +30,45 @@ def test_graph_finds_near_copies():
     rng = np.random.default_rng(1)
     points = np.vstack([rng.normal(size=(1, 16)) + 0.01 * rng.normal(size=(800, 16)), rng.normal(size=(800, 16))])
     graph = ann.Graph(points).build()
+    asked = np.arange(0, 1_600, 40)
     hits = 0
-    for i in range(0, 1_600, 40):
+    for i, found in zip(asked, graph.search(points[asked].astype(np.float32)), strict=True):
         d = ((points - points[i]) ** 2).sum(1)
-        hits += len(set(graph.search(points[i])[:10]) & set(np.argsort(d)[:10].tolist()))
+        hits += len(set(found[:10].tolist()) & set(np.argsort(d)[:10].tolist()))
     assert hits >= 0.9 * 400
 
 
+def test_lists_are_bounded_and_have_no_node_twice():
+    rng = np.random.default_rng(2)
+    graph = ann.Graph(np.vstack([rng.normal(size=(900, 8)), 3 + 0.001 * rng.normal(size=(400, 8))])).build()
+    for level, links in enumerate(graph.levels):
+        assert links.shape == (1_300, (ann.M if level else ann.M0) + ann.SPARE)
+        for node, row in enumerate(links):
+            own = row[row >= 0].tolist()
+            assert len(own) == len(set(own)) and node not in own and (row[len(own) :] == -1).all()
+            assert all(graph.heights[m] >= level for m in own) and (graph.heights[node] >= level or not own)
+
+
+def test_recall_over_shards_of_thousands(spark):
+    """Plain and clustered vectors in shards of 3,000 nodes, far more than a search keeps."""
+    rng = np.random.default_rng(3)
+    points = np.vstack([rng.normal(size=(4_000, 24)), np.repeat(rng.normal(size=(40, 24)), 50, axis=0) + 0.05 * rng.normal(size=(2_000, 24))])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(points.tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 100 == 0, shards=2).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = sum(len(got[i] & {v for v, _ in brute(np.arange(6_000), points, i, 20)}) for i in range(0, 6_000, 100))
+    assert hits >= 0.95 * 20 * 60
+
+
+def test_ties_across_shards(spark):
+    """Vectors on a line of equal inner products in eight shards: the smallest ids win."""
+    rows = [(i, [1.0, float(i + 1)]) for i in range(200)] + [(1_000, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = ann.nearest(df, F.col("vec_id") == 1_000, k=200, shards=8).orderBy("rank").collect()
+    assert [r.vec_id for r in out] == list(range(200)) and {r.score for r in out} == {1.0}
+
+
 def test_ties_copies_and_unfit_vectors(spark):
     rows = [(i, [1.0, 0.0]) for i in range(30)] + [(100, [0.5, 0.5]), (101, [0.0, 0.0]), (102, None), (103, [float("nan"), 1.0]), (104, [None, 1.0]), (None, [1.0, 1.0]), (5, [1.0, 0.0]), (105, [1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit(0))
