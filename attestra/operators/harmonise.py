@@ -1,274 +1,350 @@
-"""Result payloads of many producers brought to one shape, as variant expressions."""
+"""Result payloads of many producers brought to one shape, as variant expressions.
+
+Each part of a payload is a table of fields: name, the keys that may hold it, its type and its default. One evaluator
+reads a table: an object is taken apart once, by a single cast to a struct of all keys; then the first key that is neither
+missing nor null is picked, and its kind and text are read once. Steps are bound to lambda variables, as Spark repeats what is
+written twice inside nested lambdas.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fallbacks and synonyms of the payload contract.
+# The payload contract. A field: name, keys in order, type, default. Types: text; url; number; score (0..100, a share
+# of one counts as such); percent (0..100); natural (0 or more); positive (1 or more); part and list (kept as they are).
+FINDING = (
+    ("finding_id", ("finding_id", "id"), "text", None),
+    ("page_number", ("page_number", "page"), "positive", 1.0),
+    ("category", ("category",), "text", "visual_difference"),
+    ("title", ("title",), "text", "Document difference"),
+    ("explanation", ("explanation", "description"), "text", "This region differs from the trusted reference."),
+    ("bounding_box", ("bounding_box", "candidate_bounding_box", "normalized_bbox", "bbox"), "part", None),
+    ("risk_score", ("risk_score", "risk"), "score", 0.0),
+    ("confidence_score", ("confidence_score", "confidence"), "score", 0.0),
+    ("severity", ("severity",), "text", "review"),
+    ("evidence_source", ("evidence_source", "evidence_sources"), "part", "Visual comparison"),
+    ("measurements", ("measurements", "supporting_measurements"), "part", None),
+    ("assets", ("assets",), "part", None),
+)
+LINKS = (
+    ("candidate_crop_url", ("candidate_crop_url", "candidate_crop"), "url", ""),
+    ("reference_crop_url", ("reference_crop_url", "reference_crop"), "url", ""),
+    ("difference_overlay_url", ("difference_overlay_url", "diff_overlay_url", "difference_overlay"), "url", ""),
+)
+BOX = tuple((n, k, "number", 0.0) for n, k in (("x", ("x", "left", "x0")), ("y", ("y", "top", "y0")), ("w", ("width", "w")), ("h", ("height", "h")), ("x1", ("x1",)), ("y1", ("y1",))))
+PAGE = (
+    ("page_number", ("page_number", "page"), "positive", None),
+    ("width", ("width",), "size", None),
+    ("height", ("height",), "size", None),
+    ("candidate_image_url", ("candidate_image_url", "candidate_page_url", "preview_url", "image_url"), "url", ""),
+    ("reference_image_url", ("reference_image_url", "reference_page_url"), "url", ""),
+    ("findings", ("findings",), "list", None),
+)
+DESCRIPTOR = (
+    *((n, (n,), "text", "") for n in ("filename", "content_type", "sha256")),
+    ("page_count", ("page_count",), "positive", 1.0),
+    ("width", ("width",), "natural", 0.0),
+    ("height", ("height",), "natural", 0.0),
+    ("preview_url", ("preview_url",), "url", ""),
+    ("transform", ("transform",), "part", None),
+)
+TRANSFORM = (
+    *((n, (n,), "natural", 0.0) for n in ("original_width", "original_height", "normalized_width", "normalized_height")),
+    ("scale_x", ("scale_x",), "number", 1.0),
+    ("scale_y", ("scale_y",), "number", 1.0),
+    ("orientation_degrees", ("orientation_degrees",), "number", 0.0),
+)
+RESULT = (
+    ("result_job_id", ("job_id", "analysis_id"), "text", None),
+    ("schema_version", ("schema_version",), "text", "1.0"),
+    ("comparison_mode", ("comparison_mode",), "text", "exact"),
+    ("reference", ("reference",), "part", None),
+    ("candidate", ("candidate",), "part", None),
+    ("candidate_image_url", ("candidate_image_url", "candidate_page_url", "preview_url"), "url", ""),
+    ("reference_image_url", ("reference_image_url", "reference_page_url"), "url", ""),
+    ("findings", ("findings",), "list", None),
+    ("pages", ("pages",), "list", None),
+    ("metrics", ("metrics",), "part", None),
+)
+METRICS = (
+    ("overall_tampering_risk", ("overall_tampering_risk", "tampering_risk", "risk_score"), "score", 0.0),
+    ("risk_label", ("risk_label", "label"), "text", "Tampering risk assessed"),
+    ("assessment_confidence", ("assessment_confidence", "confidence"), "score", 0.0),
+    ("analysis_coverage", ("analysis_coverage", "coverage"), "score", 0.0),
+    ("alignment_quality", ("alignment_quality",), "score", 0.0),
+    ("finding_count", ("finding_count",), "natural", None),
+    ("seconds", ("processing_duration", "duration_seconds"), "number", 0.0),
+    ("processing_duration_ms", ("processing_duration_ms", "duration_ms"), "natural", None),
+)
+JOB = (
+    ("job_id", ("job_id", "id"), "text", ""),
+    ("state", ("state", "status"), "text", ""),
+    ("progress", ("progress",), "percent", 0.0),
+    ("current_stage", ("current_stage", "stage_id", "stage"), "text", None),
+    ("message", ("message", "current_stage_message", "stage_message"), "text", ""),
+    ("finding_count", ("finding_count", "current_finding_count"), "natural", None),
+    ("candidate_page_url", ("candidate_page_url", "candidate_image_url", "preview_url"), "url", ""),
+    ("error", ("error",), "part", None),
+    ("result", ("result", "document_result"), "part", None),
+)
+ERROR = (("code", ("code", "error_code"), "text", "analysis_error"), ("message", ("message", "detail"), "text", "Analysis could not be completed."), ("field", ("field",), "text", ""))
+EVENT = (
+    ("progress_event_id", ("event_id", "id"), "part", None),
+    ("job_id", ("job_id",), "text", ""),
+    ("stage_id", ("stage_id", "current_stage", "stage"), "text", "processing"),
+    ("message", ("message", "stage_message"), "text", "Analysing document"),
+    ("progress", ("progress",), "percent", 0.0),
+    ("page_number", ("page_number",), "positive", 1.0),
+    ("total_pages", ("total_pages",), "positive", 1.0),
+    ("timestamp", ("timestamp",), "text", None),
+    ("finding_count", ("finding_count", "current_finding_count"), "natural", 0.0),
+    ("candidate_page_url", ("candidate_page_url", "candidate_image_url", "preview_url"), "url", ""),
+)
 STATE_SYNONYMS = {
     "completed": ("complete", "completed", "succeeded", "success"),
     "failed": ("failed", "error", "cancelled"),
     "queued": ("queued", "pending", "created"),
 }
-FINDING_DEFAULTS = {
-    "category": "visual_difference", "title": "Document difference", "explanation": "This region differs from the trusted reference.",
-    "severity": "review", "evidence": "Visual comparison",
-}
-FAILED_MESSAGE, FAILED_CODE, ASSESSED = "Analysis could not be completed.", "analysis_error", "Tampering risk assessed"
+ABSOLUTE = "(?i)^(https?:|blob:|data:)"
 
+Field = tuple[str, tuple[str, ...], str, object]
 
-def pick(v: Column, *keys: str) -> Column:
-    """The first key with a value that is neither missing nor null."""
-    found = [F.try_variant_get(v, f"$.{k}", "variant") for k in keys]
-    return F.coalesce(*[F.when(~F.is_variant_null(x), x) for x in found])
+
+def bound(v: Column, f: Callable[[Column], Column]) -> Column:
+    """f of v, with v worked out once."""
+    return F.get(F.transform(F.array(v), lambda x: f(x)), F.lit(0))
 
 
 def kind(v: Column) -> Column:
-    """STRING, OBJECT, ARRAY or a number's type, as the variant has it."""
-    return F.regexp_extract(F.schema_of_variant(v), r"^\w+", 0)
+    """STRING, OBJECT<...>, ARRAY<...> or a number's type, as the variant has it."""
+    return F.schema_of_variant(v)
 
 
-def as_string(v: Column, fallback: str | Column | None = "") -> Column:
-    other = fallback if isinstance(fallback, Column) else F.lit(fallback)
-    return F.coalesce(F.when(kind(v) == "STRING", F.try_variant_get(v, "$", "string")), other)
+def is_object(v: Column) -> Column:
+    return F.coalesce(F.startswith(kind(v), F.lit("OBJECT")), F.lit(False))
+
+
+def is_array(v: Column) -> Column:
+    return F.coalesce(F.startswith(kind(v), F.lit("ARRAY")), F.lit(False))
+
 
+def keys_of(v: Column, fields: tuple[Field, ...]) -> Column:
+    """All keys of the fields by one cast; nulls where v is no object or lacks them."""
+    keys = dict.fromkeys(k for _, ks, _, _ in fields for k in ks)
+    return F.try_variant_get(v, "$", "struct<" + ",".join(f"{k}:variant" for k in keys) + ">")
 
-def as_number(v: Column, fallback: float | Column = 0.0) -> Column:
-    """A number or a numeric string; blank strings and null are 0, true is 1; what is not finite gives the fallback."""
-    other = fallback if isinstance(fallback, Column) else F.lit(float(fallback))
-    text = F.trim(F.try_variant_get(v, "$", "string"))
-    number = F.when(kind(v) == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double")).when(text == "", 0.0).otherwise(text.try_cast("double"))
-    return F.coalesce(F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number), other)
+
+def first_present(s: Column, fields: tuple[Field, ...]) -> Column:
+    """For each field the first of its keys that is neither missing nor null: parts as variants, the rest as kind and text."""
+
+    def one(v: Column, type_: str) -> Column:
+        if type_ in ("part", "list"):
+            return v
+        return F.struct(kind(v).alias("k"), F.try_variant_get(v, "$", "string").alias("t"))
+
+    pick = lambda ks: F.coalesce(*[F.when(~F.is_variant_null(s[k]), s[k]) for k in ks])
+    chosen = lambda ks, t: one(pick(ks), t) if len(ks) == 1 or t in ("part", "list") else bound(pick(ks), lambda v: one(v, t))
+    return F.struct(*[chosen(ks, t).alias(n) for n, ks, t, _ in fields])
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 100.0) -> Column:
     return F.least(F.lit(high), F.greatest(F.lit(low), x))
 
 
-def as_score(v: Column) -> Column:
-    """0 to 100; a value above 0 and at most 1 counts as a share of one."""
-    return score_of(as_number(v))
+def number_of(x: Column, fallback: object) -> Column:
+    """A number or a numeric string; blank strings are 0, true is 1; what is not finite gives the fallback."""
+    number = F.when(x.k == "BOOLEAN", (x.t == "true").cast("double")).when(F.trim(x.t) == "", 0.0).otherwise(F.trim(x.t).try_cast("double"))
+    other = fallback if isinstance(fallback, Column) else F.lit(None if fallback is None else float(fallback)).cast("double")
+    return bound(number, lambda n: F.when(~F.isnan(n) & (F.abs(n) < float("inf")), n).otherwise(other))
+
+
+def text_of(x: Column, fallback: object) -> Column:
+    other = fallback if isinstance(fallback, Column) else F.lit(fallback)
+    return F.when(x.k == "STRING", x.t).otherwise(other)
 
 
 def score_of(x: Column) -> Column:
+    """0 to 100; a value above 0 and at most 1 counts as a share of one."""
     return clamp(F.when((x > 0) & (x <= 1), x * 100).otherwise(x))
 
 
+def url_of(url: Column, base: str = "") -> Column:
+    kept = (url == "") | url.rlike(ABSOLUTE)
+    return F.when(kept, url).when(url.startswith("/"), F.concat(F.lit(base), url)).otherwise(F.concat(F.lit(f"{base}/"), url))
+
+
 def asset_url(v: Column, base: str = "") -> Column:
-    return url_of(as_string(v), base)
+    return bound(F.struct(kind(v).alias("k"), F.try_variant_get(v, "$", "string").alias("t")), lambda x: url_of(text_of(x, ""), base))
 
 
-def url_of(url: Column, base: str = "") -> Column:
-    kept = (url == "") | url.rlike("(?i)^(https?:|blob:|data:)")
-    return F.when(kept, url).when(url.startswith("/"), F.concat(F.lit(base), url)).otherwise(F.concat(F.lit(f"{base}/"), url))
+def value_of(x: Column, type_: str, default: object) -> Column:
+    if type_ in ("part", "list"):
+        return x
+    if type_ in ("text", "url"):
+        return text_of(x, default) if type_ == "text" else bound(text_of(x, default), url_of)
+    number = number_of(x, default)
+    return {
+        "number": lambda: number,
+        "size": lambda: F.when(x.k.isNotNull(), number_of(x, 0.0)),
+        "score": lambda: bound(number, score_of),
+        "percent": lambda: clamp(number),
+        "natural": lambda: F.greatest(F.lit(0.0), number) if default is not None else number,
+        "positive": lambda: F.greatest(F.lit(1.0), number) if default is not None else number,
+    }[type_]()
 
 
-def box_parts(v: Column) -> Column:
-    """What box() needs, each looked up once."""
-    get = lambda path: F.try_variant_get(v, path, "variant")
-    return F.struct(
-        kind(v).alias("kind"), *[get(f"$[{i}]").alias(f"i{i}") for i in range(4)], pick(v, "x", "left", "x0").alias("x"), pick(v, "y", "top", "y0").alias("y"),
-        pick(v, "width", "w").alias("w"), pick(v, "height", "h").alias("h"), get("$.x1").alias("x1"), get("$.y1").alias("y1"),
-    )
+def values(p: Column, fields: tuple[Field, ...], **defaults: Column) -> Column:
+    return F.struct(*[value_of(p[n], t, defaults.get(n, d)).alias(n) for n, _, t, d in fields])
 
 
-def box_numbers(p: Column) -> Column:
-    """The parts as numbers, whether listed or named."""
-    number = lambda c: as_number(p[c]).alias(c)
-    return F.struct(
-        ((p.kind == "ARRAY") & p.i3.isNotNull()).alias("listed"), (p.kind == "OBJECT").alias("named"), p.x1.isNotNull().alias("has_x1"), p.y1.isNotNull().alias("has_y1"),
-        *[number(c) for c in ("i0", "i1", "i2", "i3", "x", "y", "w", "h", "x1", "y1")],
-    )
+def read(v: Column, fields: tuple[Field, ...], **defaults: Column) -> Column:
+    """The fields of an object as a struct."""
+    return bound(bound(keys_of(v, fields), lambda s: first_present(s, fields)), lambda p: values(p, fields, **defaults))
 
 
-def box_of(n: Column) -> Column:
-    w = F.when((n.w == 0) & n.has_x1, n.x1 - n.x).otherwise(n.w)
-    h = F.when((n.h == 0) & n.has_y1, n.y1 - n.y).otherwise(n.h)
-    side = lambda item, other: clamp(F.when(n.listed, item).when(n.named, other).otherwise(0.0), 0.0, 1.0)
-    return F.struct(side(n.i0, n.x).alias("x"), side(n.i1, n.y).alias("y"), side(n.i2, w).alias("width"), side(n.i3, h).alias("height"))
+def read_all(list_: Column, fields: tuple[Field, ...]) -> Column:
+    """The fields of every element, unfinished: kinds and texts."""
+    return F.transform(F.transform(list_, lambda v: keys_of(v, fields)), lambda s: first_present(s, fields))
 
 
 def box(v: Column) -> Column:
     """x, y, width, height in 0..1 from an array of four or an object under any of its spellings."""
-    return box_of(box_numbers(box_parts(v)))
+    none = F.lit(None).cast("double")
+    listed = F.try_variant_get(v, "$", "array<variant>")
+    item = lambda a, i: number_of(F.struct(kind(F.get(a, F.lit(i))).alias("k"), F.try_variant_get(F.get(a, F.lit(i)), "$", "string").alias("t")), 0.0)
+    of_list = bound(listed, lambda a: F.struct(*[F.when(F.size(a) > 3, item(a, i)).otherwise(0.0).alias(c) for i, c in enumerate(("x", "y", "width", "height"))]))
+    size = lambda n, at, end: F.when((n == 0) & end.isNotNull(), end - at).otherwise(n)
+    ends = tuple((n, k, t, None if n in ("x1", "y1") else d) for n, k, t, d in BOX)
+    of_object = bound(read(v, ends), lambda b: F.struct(b.x.alias("x"), b.y.alias("y"), size(b.w, b.x, b.x1).alias("width"), size(b.h, b.y, b.y1).alias("height")))
+    empty = F.struct(*[none.alias(c) for c in ("x", "y", "width", "height")])
+    found = F.when(is_array(v), of_list).when(is_object(v), of_object).otherwise(empty)
+    return bound(found, lambda b: F.struct(*[clamp(F.coalesce(b[c], F.lit(0.0)), 0.0, 1.0).alias(c) for c in ("x", "y", "width", "height")]))
 
 
 def measurements(v: Column) -> Column:
     """Scalar and null entries of an object, as strings."""
     entries = F.coalesce(F.try_variant_get(v, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
-    scalar = F.map_filter(entries, lambda _, x: F.coalesce(~kind(x).isin("OBJECT", "ARRAY"), F.lit(True)))
+    scalar = F.map_filter(entries, lambda _, x: ~(is_object(x) | is_array(x)))
     return F.transform_values(scalar, lambda _, x: F.try_variant_get(x, "$", "string"))
 
 
 def descriptor(v: Column) -> Column:
     """A document's description with its defaults; null unless an object."""
-    get = lambda k: F.try_variant_get(v, f"$.{k}", "variant")
-    least = lambda x, low: F.greatest(F.lit(float(low)), x)
-    t = lambda k, d=0.0: as_number(F.try_variant_get(v, f"$.transform.{k}", "variant"), d)
-    transform = F.struct(
-        *[least(t(k), 0).alias(k) for k in ("original_width", "original_height", "normalized_width", "normalized_height")],
-        t("scale_x", 1.0).alias("scale_x"), t("scale_y", 1.0).alias("scale_y"), t("orientation_degrees").alias("orientation_degrees"),
-    )
-    return F.when(
-        kind(v) == "OBJECT",
-        F.struct(
-            *[as_string(get(k)).alias(k) for k in ("filename", "content_type", "sha256")], least(as_number(get("page_count"), 1.0), 1).alias("page_count"),
-            least(as_number(get("width")), 0).alias("width"), least(as_number(get("height")), 0).alias("height"), asset_url(get("preview_url")).alias("preview_url"), transform.alias("transform"),
-        ),
-    )
+    return F.when(is_object(v), bound(read(v, DESCRIPTOR), lambda d: d.withField("transform", read(d["transform"], TRANSFORM))))
 
 
-def finding_parts(v: Column) -> Column:
-    """What finding() needs, each looked up once: the steps that follow only read fields."""
-    links = F.try_variant_get(v, "$.assets", "variant")
-    asset = lambda *keys: F.when(kind(links) == "OBJECT", pick(links, *keys)).otherwise(pick(v, *keys))
-    return F.struct(
-        pick(v, "finding_id", "id").alias("id"), pick(v, "page_number", "page").alias("page"), *[pick(v, c).alias(c) for c in ("category", "title", "severity")],
-        pick(v, "explanation", "description").alias("explanation"), pick(v, "bounding_box", "candidate_bounding_box", "normalized_bbox", "bbox").alias("box"),
-        pick(v, "risk_score", "risk").alias("risk"), pick(v, "confidence_score", "confidence").alias("confidence"), pick(v, "evidence_source", "evidence_sources").alias("evidence"),
-        asset("candidate_crop_url", "candidate_crop").alias("candidate"), asset("reference_crop_url", "reference_crop").alias("reference"),
-        asset("difference_overlay_url", "diff_overlay_url", "difference_overlay").alias("overlay"), pick(v, "measurements", "supporting_measurements").alias("measurements"),
-    )
-
-
-def finding_typed(r: Column, index: Column) -> Column:
-    """The parts as strings and numbers with their defaults; the box still in parts."""
-    d = FINDING_DEFAULTS
-    listed = F.array_join(F.filter(F.transform(F.try_variant_get(r.evidence, "$", "array<variant>"), lambda e: as_string(e)), lambda s: s != ""), ", ")
-    return F.struct(
-        as_string(r.id, F.concat(F.lit("finding-"), (index + 1).cast("string"))).alias("finding_id"),
-        F.greatest(F.lit(1.0), as_number(r.page, 1.0)).cast("int").alias("page_number"),
-        *[as_string(r[c], d[c]).alias(c) for c in ("category", "title", "explanation")],
-        box_parts(r.box).alias("box"), as_number(r.risk).alias("risk"), as_number(r.confidence).alias("confidence"), as_string(r.severity, d["severity"]).alias("severity"),
-        F.when(kind(r.evidence) == "ARRAY", listed).otherwise(as_string(r.evidence, d["evidence"])).alias("evidence_source"),
-        *[as_string(r[c]).alias(c) for c in ("candidate", "reference", "overlay")], measurements(r.measurements).alias("measurements"),
-    )
+def evidence(v: Column) -> Column:
+    listed = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda e: F.when(kind(e) == "STRING", F.try_variant_get(e, "$", "string")).otherwise(""))
+    one = F.when(kind(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(F.lit(dict((f[0], f[3]) for f in FINDING)["evidence_source"]))
+    return F.when(is_array(v), F.array_join(F.filter(listed, lambda s: s != ""), ", ")).otherwise(one)
 
 
-def finding(t: Column) -> Column:
-    """One finding from its typed parts."""
-    return F.struct(
-        t.finding_id.alias("finding_id"), t.page_number.alias("page_number"), t.category.alias("category"), t.title.alias("title"), t.explanation.alias("explanation"),
-        box_of(t.box).alias("bounding_box"), score_of(t.risk).alias("risk_score"), score_of(t.confidence).alias("confidence_score"), t.severity.alias("severity"),
-        t.evidence_source.alias("evidence_source"), url_of(t.candidate).alias("candidate_crop_url"), url_of(t.reference).alias("reference_crop_url"),
-        url_of(t.overlay).alias("difference_overlay_url"), t.measurements.alias("measurements"),
-    )
+def findings_of(list_: Column) -> Column:
+    """An array of variants as findings, step by step over the whole array. Links are read from `assets` where that is an object."""
+    own = F.transform(list_, lambda v: F.struct(keys_of(v, FINDING + LINKS).alias("s")))
+    picked = F.transform(own, lambda o: F.struct(first_present(o.s, FINDING).alias("p"), F.when(is_object(o.s.assets), bound(keys_of(o.s.assets, LINKS), lambda s: first_present(s, LINKS))).otherwise(first_present(o.s, LINKS)).alias("l")))
 
+    def finished(x: Column, i: Column) -> Column:
+        name = F.concat(F.lit("finding-"), (i + 1).cast("string"))
+        part = {"bounding_box": box, "evidence_source": evidence, "measurements": measurements}
+        cells = []
+        for n, _, t, d in FINDING:
+            if n == "measurements":
+                cells += [value_of(x.l[m], u, e).alias(m) for m, _, u, e in LINKS]
+            if n != "assets":
+                cell = part[n](x.p[n]) if n in part else value_of(x.p[n], t, name if n == "finding_id" else d)
+                cells.append((cell.cast("int") if n == "page_number" else cell).alias(n))
+        return F.struct(*cells)
 
-def findings_of(list_: Column) -> Column:
-    """An array of variants as findings, in steps so that no look-up is repeated."""
-    typed = F.transform(F.transform(list_, finding_parts), finding_typed)
-    boxed = F.transform(typed, lambda t: t.withField("box", box_numbers(t.box)))
-    return F.transform(boxed, finding)
+    return F.transform(picked, finished)
 
 
 def listing(v: Column) -> Column:
     """The elements of an array, none of anything else."""
     none = F.array().cast("array<variant>")
-    return F.coalesce(F.when(kind(v) == "ARRAY", F.try_variant_get(v, "$", "array<variant>")), none)
+    return F.coalesce(F.when(is_array(v), F.try_variant_get(v, "$", "array<variant>")), none)
 
 
-def state(v: Column) -> Column:
-    text = F.lower(as_string(v))
+def state_of(text: Column) -> Column:
     out = F.when(text.isin(*STATE_SYNONYMS["completed"]), "completed")
     return out.when(text.isin(*STATE_SYNONYMS["failed"]), "failed").when(text.isin(*STATE_SYNONYMS["queued"]), "queued").otherwise("processing")
 
 
 def error(v: Column) -> Column:
     """code, message and field from a string or an object."""
-    plain = kind(v) == "STRING"
-    return F.struct(
-        F.when(plain, F.lit(FAILED_CODE)).otherwise(as_string(pick(v, "code", "error_code"), FAILED_CODE)).alias("code"),
-        F.when(plain, as_string(v)).otherwise(as_string(pick(v, "message", "detail"), FAILED_MESSAGE)).alias("message"),
-        F.when(~plain, F.nullif(as_string(F.try_variant_get(v, "$.field", "variant")), F.lit(""))).alias("field"),
-    )
+    default = {n: d for n, _, _, d in ERROR}
+    plain = F.struct(F.lit(default["code"]).alias("code"), F.try_variant_get(v, "$", "string").alias("message"), F.lit(None).cast("string").alias("field"))
+    return F.when(kind(v) == "STRING", plain).otherwise(bound(read(v, ERROR), lambda e: e.withField("field", F.nullif(e.field, F.lit("")))))
+
+
+def result_of(v: Column, other_id: Column) -> Column:
+    """The whole result of a payload as one struct."""
+
+    def pages_of(list_: Column, top: Column) -> Column:
+        def one(p: Column, i: Column) -> Column:
+            number = F.greatest(F.lit(1.0), number_of(p.page_number, (i + 1).cast("double"))).cast("int")
+            own = bound(number, lambda n: F.when(is_array(p.findings), findings_of(listing(p.findings))).otherwise(F.filter(top, lambda f: f.page_number == n)))
+            rest = [value_of(p[n], t, d).alias(n) for n, _, t, d in PAGE[1:-1]]
+            return F.struct(number.alias("page_number"), *rest, own.alias("findings"))
+
+        return F.transform(read_all(list_, PAGE), one)
 
+    def whole(r: Column) -> Column:
+        return bound(F.struct(r.alias("r"), findings_of(listing(r.findings)).alias("top"), read(F.when(is_object(r.metrics), r.metrics).otherwise(v), METRICS).alias("m")), paged)
 
-def duration_ms(v: Column) -> Column:
-    seconds = as_number(pick(v, "processing_duration", "duration_seconds")) * 1000
-    return F.greatest(F.lit(0.0), as_number(pick(v, "processing_duration_ms", "duration_ms"), seconds))
+    def paged(x: Column) -> Column:
+        return bound(F.struct(x.r.alias("r"), x.top.alias("top"), x.m.alias("m"), pages_of(listing(x.r.pages), x.top).alias("pages")), flat)
+
+    def flat(x: Column) -> Column:
+        found = F.when(F.size(x.top) > 0, x.top).otherwise(F.flatten(F.transform(x.pages, lambda p: p.findings)))
+        return bound(F.struct(x.r.alias("r"), x.m.alias("m"), x.pages.alias("pages"), found.alias("findings")), finished)
+
+    def finished(x: Column) -> Column:
+        r, m = x.r, x.m
+        nothing = F.lit(None).cast("double")
+        lone = F.struct(F.lit(1).alias("page_number"), nothing.alias("width"), nothing.alias("height"), r.candidate_image_url.alias("candidate_image_url"), r.reference_image_url.alias("reference_image_url"), x.findings.alias("findings"))
+        return F.struct(
+            F.coalesce(r.result_job_id, other_id).alias("result_job_id"), r.schema_version.alias("schema_version"), r.comparison_mode.alias("comparison_mode"),
+            descriptor(r.reference).alias("reference"), descriptor(r.candidate).alias("candidate"),
+            *[m[n].alias(n) for n in ("overall_tampering_risk", "risk_label", "assessment_confidence", "analysis_coverage", "alignment_quality")],
+            F.greatest(F.lit(0.0), F.coalesce(m.finding_count, F.size(x.findings).cast("double"))).alias("finding_count"),
+            F.greatest(F.lit(0.0), F.coalesce(m.processing_duration_ms, m.seconds * 1000)).alias("processing_duration_ms"),
+            F.when(F.size(x.pages) > 0, x.pages).otherwise(F.array(lone)).alias("pages"), x.findings.alias("findings"),
+        )
+
+    return bound(read(v, RESULT), whole)
 
 
 def harmonise_results(df: DataFrame, payload: str, job_id: str | None = None) -> DataFrame:
     """df with one column for each part of the result in its JSON payload; a payload that isn't an object gives defaults."""
-    v = F.try_parse_json(payload)
-    df = df.withColumn("_v", v)
-    v = F.col("_v")
-    metrics = F.coalesce(F.when(kind(F.try_variant_get(v, "$.metrics", "variant")) == "OBJECT", F.try_variant_get(v, "$.metrics", "variant")), v)
-    df = df.withColumn("_m", metrics)
-    m = F.col("_m")
-    df = df.withColumn("_top", findings_of(listing(F.try_variant_get(v, "$.findings", "variant"))))
-    page_no = lambda p, i: F.greatest(F.lit(1.0), as_number(pick(p, "page_number", "page"), (i + 1).cast("double"))).cast("int")
-
-    def page(p: Column, i: Column) -> Column:
-        own = F.try_variant_get(p, "$.findings", "variant")
-        found = F.when(kind(own) == "ARRAY", findings_of(listing(own))).otherwise(F.filter("_top", lambda f: f.page_number == page_no(p, i)))
-        return F.struct(
-            page_no(p, i).alias("page_number"),
-            asset_url(pick(p, "candidate_image_url", "candidate_page_url", "preview_url", "image_url")).alias("candidate_image_url"),
-            asset_url(pick(p, "reference_image_url", "reference_page_url")).alias("reference_image_url"),
-            found.alias("findings"),
-        )
-
-    df = df.withColumn("_pages", F.transform(listing(F.try_variant_get(v, "$.pages", "variant")), page))
-    df = df.withColumn("findings", F.when(F.size("_top") > 0, F.col("_top")).otherwise(F.flatten(F.transform("_pages", lambda p: p.findings))))
-    lone = F.struct(
-        F.lit(1).alias("page_number"), asset_url(pick(v, "candidate_image_url", "candidate_page_url", "preview_url")).alias("candidate_image_url"),
-        asset_url(pick(v, "reference_image_url", "reference_page_url")).alias("reference_image_url"), F.col("findings"),
-    )
     other_id = F.col(job_id).cast("string") if job_id else F.lit("")
-    return df.select(
-        *[c for c in df.columns if not c.startswith("_") and c != "findings"],
-        as_string(pick(v, "job_id", "analysis_id"), other_id).alias("result_job_id"),
-        as_string(pick(v, "schema_version"), "1.0").alias("schema_version"),
-        as_string(pick(v, "comparison_mode"), "exact").alias("comparison_mode"),
-        descriptor(F.try_variant_get(v, "$.reference", "variant")).alias("reference"),
-        descriptor(F.try_variant_get(v, "$.candidate", "variant")).alias("candidate"),
-        as_score(pick(m, "overall_tampering_risk", "tampering_risk", "risk_score")).alias("overall_tampering_risk"),
-        as_string(pick(m, "risk_label", "label"), ASSESSED).alias("risk_label"),
-        as_score(pick(m, "assessment_confidence", "confidence")).alias("assessment_confidence"),
-        as_score(pick(m, "analysis_coverage", "coverage")).alias("analysis_coverage"),
-        as_score(pick(m, "alignment_quality")).alias("alignment_quality"),
-        F.greatest(F.lit(0.0), as_number(pick(m, "finding_count"), F.size("findings").cast("double"))).alias("finding_count"),
-        duration_ms(m).alias("processing_duration_ms"),
-        F.when(F.size("_pages") > 0, F.col("_pages")).otherwise(F.array(lone)).alias("pages"),
-        "findings",
-    )
+    found = df.withColumn("_r", result_of(F.try_parse_json(payload), other_id))
+    return found.select(*[F.col(f"`{c}`") for c in df.columns], "_r.*")
 
 
 def harmonise_jobs(df: DataFrame, payload: str) -> DataFrame:
-    """State, progress, stage, message and error of job payloads."""
-    df = df.withColumn("_v", F.try_parse_json(payload))
-    v = F.col("_v")
-    df = df.withColumn("_s", state(pick(v, "state", "status")))
-    raw = F.try_variant_get(v, "$.error", "variant")
+    """State, progress, stage, message, error and nested result of job payloads; findings are counted from the result where no count is given."""
+    df = df.withColumn("_v", F.try_parse_json(payload)).withColumn("_j", read(F.col("_v"), JOB))
+    df = df.withColumn("_result", F.when(F.col("_j.result").isNotNull(), result_of(F.col("_j.result"), F.col("_j.job_id"))))
+    j, status = F.col("_j"), F.col("_s")
+    df = df.withColumn("_s", state_of(F.lower(j.state)))
     return df.select(
-        *[c for c in df.columns if not c.startswith("_")],
-        as_string(pick(v, "job_id", "id")).alias("job_id"),
-        F.col("_s").alias("state"),
-        clamp(as_number(F.try_variant_get(v, "$.progress", "variant"))).alias("progress"),
-        as_string(pick(v, "current_stage", "stage_id", "stage"), F.col("_s")).alias("current_stage"),
-        as_string(pick(v, "message", "current_stage_message", "stage_message")).alias("message"),
-        F.greatest(F.lit(0.0), as_number(pick(v, "finding_count", "current_finding_count"))).alias("finding_count"),
-        F.nullif(asset_url(pick(v, "candidate_page_url", "candidate_image_url", "preview_url")), F.lit("")).alias("candidate_page_url"),
-        F.when(raw.isNotNull() | (F.col("_s") == "failed"), error(raw)).alias("error"),
-    )
+        *[f"`{c}`" for c in df.columns if not c.startswith("_")],
+        j.job_id.alias("job_id"), status.alias("state"), j.progress.alias("progress"), F.coalesce(j.current_stage, status).alias("current_stage"), j.message.alias("message"),
+        F.greatest(F.lit(0.0), F.coalesce(j.finding_count, F.col("_result.finding_count"), F.lit(0.0))).alias("finding_count"),
+        F.nullif(j.candidate_page_url, F.lit("")).alias("candidate_page_url"), F.when(j.error.isNotNull() | (status == "failed"), error(j.error)).alias("error"), F.col("_result").alias("result"),
+    )
 
 
 def harmonise_events(df: DataFrame, payload: str) -> DataFrame:
-    """Progress events with their defaults."""
-    df = df.withColumn("_v", F.try_parse_json(payload))
-    v = F.col("_v")
-    return df.select(
-        *[c for c in df.columns if not c.startswith("_")],
-        F.coalesce(F.try_variant_get(pick(v, "event_id", "id"), "$", "string"), F.lit("")).alias("progress_event_id"),
-        as_string(pick(v, "stage_id", "current_stage", "stage"), "processing").alias("stage_id"),
-        as_string(pick(v, "message", "stage_message"), "Analysing document").alias("message"),
-        clamp(as_number(F.try_variant_get(v, "$.progress", "variant"))).alias("progress"),
-        F.greatest(F.lit(1.0), as_number(F.try_variant_get(v, "$.page_number", "variant"), 1.0)).alias("page_number"),
-        F.greatest(F.lit(0.0), as_number(pick(v, "finding_count", "current_finding_count"))).alias("finding_count"),
-    )
+    """Progress events with their defaults; an event without a time of its own has none."""
+    found = df.withColumn("_e", read(F.try_parse_json(payload), EVENT))
+    e = F.col("_e")
+    cells = {"progress_event_id": F.coalesce(F.try_variant_get(e.progress_event_id, "$", "string"), F.lit("")), "candidate_page_url": F.nullif(e.candidate_page_url, F.lit(""))}
+    return found.select(*[F.col(f"`{c}`") for c in df.columns], *[cells.get(n, e[n]).alias(n) for n, _, _, _ in EVENT])
 
 
 def duration_text(ms: Column) -> Column:

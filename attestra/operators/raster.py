@@ -11,8 +11,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.functions.geometry import gray
+from attestra.sources.tables import Workspace
 
 PK = ["pair_id"]
+# Thresholds of changed cells and edges, and the windows of closing and dilation.
+CHANGED_DELTA, CHANGED_EDGE, CHANGED_RAW = 24, 200, 8
+EDGE_LOW, EDGE_HIGH = 70, 150
+CLOSE_BY, DILATE_BY = (6, 2), (2, 1)
+# Least border, area, side, mean difference and padding of a component, and their shares of the page.
+BORDER, BORDER_SHARE, MIN_AREA, AREA_SHARE, MIN_SIDE, MIN_MEAN, PAD, PAD_SHARE = 3, 0.004, 45, 0.000012, 3, 12.0, 6, 0.006
 
 
 def image_cells(images: DataFrame) -> DataFrame:
@@ -81,22 +88,23 @@ def gradient(cells: DataFrame, value: str, out: str) -> DataFrame:
     return c.withColumn(out, (F.abs(a + 2 * F.col("_dx") + b) + F.abs(e - d)).cast("int")).drop("_dx", "_sx")
 
 
-def edges(cells: DataFrame, value: str, out: str, low: int = 70, high: int = 150) -> DataFrame:
-    """0/255 edge map: gradient ridges above high, and those above low that touch one (one step of hysteresis).
+def edges(cells: DataFrame, value: str, out: str, low: int = EDGE_LOW, high: int = EDGE_HIGH) -> DataFrame:
+    """0/255 edge map: gradient ridges above high, and those above low that a chain of such cells links to one.
 
-    A ridge is a local maximum along its row or its column.
+    A ridge is a local maximum along its row or its column. The ridges above low are taken apart into components, few cells of a page,
+    and those with a strong cell stay.
     """
     g = gradient(cells, value, "_g")
     left, right = _around("_g", "y", "x")
     g = g.withColumn("_h", (F.col("_g") >= left) & (F.col("_g") >= right))
     up, down = _around("_g", "x", "y")
     ridge = F.col("_h") | ((F.col("_g") >= up) & (F.col("_g") >= down))
-    g = g.withColumn("_s", F.when(ridge & (F.col("_g") > high), 2).when(ridge & (F.col("_g") > low), 1).otherwise(0)).drop("_h")
-    a, b = _around("_s", "y", "x")
-    g = g.withColumn("_m", F.greatest(a, F.col("_s"), b))
-    a, b = _around("_m", "x", "y")
-    strong = (F.col("_s") == 2) | ((F.col("_s") == 1) & (F.greatest(a, F.col("_m"), b) == 2))
-    return g.withColumn(out, F.when(strong, 255).otherwise(0)).drop("_g", "_s", "_m")
+    weak = g.select(*PK, "x", "y", F.col("_g") > high, (ridge & (F.col("_g") > low)).alias("_w")).toDF(*PK, "x", "y", "_strong", "_w")
+    weak = weak.where("_w").drop("_w")
+    labelled = components(weak.select(*PK, "x", "y")).join(weak, [*PK, "x", "y"])
+    strong = labelled.where("_strong").select(*PK, "label").distinct()
+    found = labelled.join(strong, [*PK, "label"], "left_semi").select(*PK, "x", "y", F.lit(255).alias("_e"))
+    return cells.join(found, [*PK, "x", "y"], "left").withColumn(out, F.coalesce("_e", F.lit(0))).drop("_e")
 
 
 def edge_delta(cells: DataFrame) -> DataFrame:
@@ -104,12 +112,16 @@ def edge_delta(cells: DataFrame) -> DataFrame:
     return both.withColumn("edge_delta", F.abs(F.col("_er") - F.col("_ec"))).drop("_er", "_ec")
 
 
-def changed(delta: int = 24, edge: int = 200, raw: int = 8) -> Column:
+def changed(delta: int = CHANGED_DELTA, edge: int = CHANGED_EDGE, raw: int = CHANGED_RAW) -> Column:
     return (F.col("delta") >= delta) | ((F.col("edge_delta") >= edge) & (F.col("raw") >= raw))
 
 
+def border_of(width: int, height: int) -> int:
+    return max(BORDER, int(min(width, height) * BORDER_SHARE + 0.5))
+
+
 def inside_border(width: Column, height: Column, border: int | None = None) -> Column:
-    b = F.lit(border) if border is not None else F.greatest(F.lit(3), F.round(F.least(width, height) * 0.004)).cast("int")
+    b = F.lit(border) if border is not None else F.greatest(F.lit(BORDER), F.round(F.least(width, height) * BORDER_SHARE)).cast("int")
     return (F.col("x") >= b) & (F.col("x") < width - b) & (F.col("y") >= b) & (F.col("y") < height - b)
 
 
@@ -129,36 +141,50 @@ def erode(mask: DataFrame, dx: int, dy: int, width: int, height: int) -> DataFra
     return rows.withColumn("_n", F.count("*").over(column)).where(F.col("_n") == want).drop("_n")
 
 
-def close(mask: DataFrame, width: int, height: int, dx: int = 6, dy: int = 2) -> DataFrame:
+def close(mask: DataFrame, width: int, height: int, dx: int = CLOSE_BY[0], dy: int = CLOSE_BY[1]) -> DataFrame:
     """Two closings by 7x3 are one by 13x5."""
     return erode(dilate(mask, dx, dy, width, height), dx, dy, width, height)
 
 
-def components(mask: DataFrame, rounds: int = 64) -> DataFrame:
-    """pair_id, x, y, label: 8-connected components, labelled by the least (y, x) of a run in them.
-
-    Works on runs of a row, joined to runs of the next row that touch them; labels spread by least neighbour and pointer
-    jumping, each round checkpointed, until none changes.
-    """
+def mask_runs(mask: DataFrame) -> DataFrame:
+    """pair_id, y, x0, x1 (inclusive) of the runs of mask cells (pair_id, x, y)."""
     line = Window.partitionBy(*PK, "y").orderBy("x")
     runs = mask.withColumn("_r", F.col("x") - F.row_number().over(line))
-    spans = runs.groupBy(*PK, "y", "_r").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).withColumn("id", F.col("y").cast("long") * (1 << 31) + F.col("x0"))
-    spans = spans.checkpoint()
+    return runs.groupBy(*PK, "y", "_r").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("_r")
+
+
+def run_labels(runs: DataFrame) -> DataFrame:
+    """pair_id, y, x0, label of each run (pair_id, y, x0, x1): 8-connected components, labelled by the least (y, x0) of a run in them.
+
+    Runs are joined to those of the next row that touch them; each round is written, until none changes a link.
+    """
+    space = Workspace(runs.sparkSession, "components")
+    spans = space.written(runs.select(*PK, "y", "x0", "x1", (F.col("y").cast("long") * (1 << 31) + F.col("x0")).alias("id")), "spans")
     a, b = spans.alias("a"), spans.alias("b")
     touch = (F.col("a.pair_id") == F.col("b.pair_id")) & (F.col("b.y") == F.col("a.y") + 1) & (F.col("b.x0") <= F.col("a.x1") + 1) & (F.col("b.x1") >= F.col("a.x0") - 1)
     down = a.join(b, touch).select(F.col("a.pair_id").alias("pair_id"), F.col("a.id").alias("u"), F.col("b.id").alias("v"))
-    links = down.unionByName(down.select("pair_id", F.col("v").alias("u"), F.col("u").alias("v"))).checkpoint()
-    labels = spans.select("pair_id", "id", F.col("id").alias("label"))
-    for _ in range(rounds):
-        near = links.join(labels.select("pair_id", F.col("id").alias("v"), "label"), ["pair_id", "v"]).groupBy("pair_id", F.col("u").alias("id")).agg(F.min("label").alias("m"))
-        step = labels.join(near, ["pair_id", "id"], "left").select("pair_id", "id", F.least("label", "m").alias("label"), F.col("label").alias("old"))
-        up = step.select("pair_id", F.col("id").alias("label"), F.col("label").alias("top"))
-        step = step.join(up, ["pair_id", "label"], "left").select("pair_id", "id", F.least("label", "top").alias("label"), "old").checkpoint()
-        labels = step.drop("old")
-        if step.where("label <> old").isEmpty():
+    # Alternating large and small stars: every node ends up linked to the least of its component.
+    at, state = space.written(down.select("pair_id", F.col("v").alias("u"), F.col("u").alias("v")), "links"), None
+    while True:
+        both = at.unionByName(at.select("pair_id", F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("pair_id", "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, ["pair_id", "u"]).where("v > u AND v <> m").select("pair_id", F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("pair_id", "u").agg(F.min("v").alias("m"))
+        ends = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = large.join(low, ["pair_id", "u"]).select("pair_id", F.explode(ends).alias("e")).select("pair_id", "e.u", "e.v").where("u <> v").distinct()
+        before, at = at, space.written(small, "stars")
+        space.dropped(before)
+        now = at.agg(F.count("*"), F.sum(F.xxhash64("pair_id", "u", "v").cast("decimal(38,0)"))).first()
+        if now == state or not now[0]:
             break
-    named = spans.join(labels, ["pair_id", "id"])
-    return named.select("pair_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"), "label").select("pair_id", "x", "y", "label")
+        state = now
+    named = spans.join(at.withColumnRenamed("u", "id"), ["pair_id", "id"], "left")
+    return space.finish(named.select("pair_id", "y", "x0", "x1", F.coalesce("v", "id").alias("label")))
+
+
+def components(mask: DataFrame) -> DataFrame:
+    """pair_id, x, y, label: 8-connected components of mask cells, labelled by the least (y, x) of a run in them."""
+    return run_labels(mask_runs(mask)).select("pair_id", F.explode(F.sequence("x0", "x1")).alias("x"), "y", "label")
 
 
 def component_stats(labelled: DataFrame) -> DataFrame:
@@ -169,16 +195,22 @@ def component_stats(labelled: DataFrame) -> DataFrame:
     )
 
 
-def large_enough(width: int, height: int, min_area: int | None = None, min_side: int = 3, min_mean: float = 12.0) -> Column:
-    least = min_area if min_area is not None else max(45, round(width * height * 0.000012))
+def large_enough(width: int, height: int, min_area: int | None = None, min_side: int = MIN_SIDE, min_mean: float = MIN_MEAN) -> Column:
+    least = min_area if min_area is not None else max(MIN_AREA, round(width * height * AREA_SHARE))
     return (F.col("area") >= least) & (F.col("x1") - F.col("x0") >= min_side) & (F.col("y1") - F.col("y0") >= min_side) & (F.col("mean_delta") >= min_mean)
 
 
 def padded(stats: DataFrame, width: int, height: int, pad: int | None = None) -> DataFrame:
-    p = pad if pad is not None else max(6, round(min(width, height) * 0.006))
+    p = pad if pad is not None else max(PAD, round(min(width, height) * PAD_SHARE))
     return stats.withColumns({"x0": F.greatest(F.lit(0), F.col("x0") - p), "y0": F.greatest(F.lit(0), F.col("y0") - p), "x1": F.least(F.lit(width), F.col("x1") + p), "y1": F.least(F.lit(height), F.col("y1") + p)})
 
 
+def changed_ratio(pages: DataFrame, kept: DataFrame) -> DataFrame:
+    """pair_id and the share of each page's cells that lie in its kept components. pages: pair_id, width, height; kept: pair_id, area."""
+    sums = kept.groupBy("pair_id").agg(F.sum("area").alias("_n"))
+    return pages.join(sums, "pair_id", "left").select("pair_id", (F.coalesce("_n", F.lit(0)) / (F.col("width") * F.col("height"))).alias("changed_ratio"))
+
+
 def crops(cells: DataFrame, boxes: DataFrame) -> DataFrame:
     """Cells inside each box of their pair. boxes: pair_id, region_no, x0, y0, x1, y1."""
     met = cells.join(boxes, "pair_id")

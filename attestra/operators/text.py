@@ -102,15 +102,17 @@ def pair_words(pairs: DataFrame, words: DataFrame) -> DataFrame:
     return sides.join(words, "doc_id").withColumn("token", token(F.col("text")))
 
 
-def _uncrossed(pairs: DataFrame) -> DataFrame:
-    """Rows (pair_id, rp, cp) that no other row of the pair crosses or shares a position with."""
+def _uncrossed(pairs: DataFrame, once: bool) -> DataFrame:
+    """Rows (pair_id, rp, cp) that no other row of the pair crosses or shares a position with; once: no two rows share one anyway."""
     before = Window.partitionBy("pair_id").orderBy("rp").rangeBetween(Window.unboundedPreceding, -1)
-    behind = Window.partitionBy("pair_id").orderBy("rp").rangeBetween(1, Window.unboundedFollowing)
-    here = Window.partitionBy("pair_id", "rp")
-    there = Window.partitionBy("pair_id", "cp")
-    marked = pairs.withColumns({"hi": F.max("cp").over(before), "lo": F.min("cp").over(behind), "nr": F.count("*").over(here), "nc": F.count("*").over(there)})
+    behind = Window.partitionBy("pair_id").orderBy(F.desc("rp")).rangeBetween(Window.unboundedPreceding, -1)
+    marked = pairs.withColumn("hi", F.max("cp").over(before)).withColumn("lo", F.min("cp").over(behind))
     fits = (F.col("hi").isNull() | (F.col("cp") > F.col("hi"))) & (F.col("lo").isNull() | (F.col("cp") < F.col("lo")))
-    return marked.where(fits & (F.col("nr") == 1) & (F.col("nc") == 1)).select("pair_id", "rp", "cp")
+    if not once:
+        for c in ("rp", "cp"):
+            marked = marked.withColumn(f"n{c}", F.count("*").over(Window.partitionBy("pair_id", c)))
+            fits = fits & (F.col(f"n{c}") == 1)
+    return marked.where(fits).select("pair_id", "rp", "cp")
 
 
 def token_align(words: DataFrame) -> DataFrame:
@@ -134,11 +136,11 @@ def token_align(words: DataFrame) -> DataFrame:
     once = grams.groupBy("pair_id", "g").agg(
         F.count_if(F.col("side") == "r").alias("nr"), F.count_if(F.col("side") == "c").alias("nc"), F.max(F.when(F.col("side") == "r", F.col("p"))).alias("rp"), F.max(F.when(F.col("side") == "c", F.col("p"))).alias("cp")
     )
-    anchors = _uncrossed(once.where("nr = 1 AND nc = 1").select("pair_id", "rp", "cp"))
+    anchors = _uncrossed(once.where("nr = 1 AND nc = 1").select("pair_id", "rp", "cp"), once=True)
     each = anchors.select("pair_id", F.explode(F.array(F.struct((F.col("rp") - 1).alias("rp"), (F.col("cp") - 1).alias("cp")), F.struct("rp", "cp"))).alias("t")).select("pair_id", "t.rp", "t.cp").distinct()
     n = words.groupBy("pair_id").agg(F.count_if(F.col("side") == "r").alias("n_r"), F.count_if(F.col("side") == "c").alias("n_c"))
     inside = each.join(n, "pair_id").where("rp >= 0 AND cp >= 0 AND rp < n_r AND cp < n_c").select("pair_id", "rp", "cp")
-    return _uncrossed(inside)
+    return _uncrossed(inside, once=False)
 
 
 def hunks(words: DataFrame, matched: DataFrame) -> DataFrame:
@@ -168,18 +170,40 @@ def text_changes(words: DataFrame, gaps: DataFrame) -> DataFrame:
     return merged.join(gaps.select("pair_id", "hunk_no", "kind"), ["pair_id", "hunk_no"])
 
 
+def character_counts(text: Column) -> Column:
+    """map<character, count> of a text, counted within the row: a sorted text's runs."""
+    runs = F.regexp_extract_all(F.array_join(F.array_sort(F.split(text, "")), ""), F.lit(r"(?s)(.)\1*"), F.lit(0))
+    return F.map_from_entries(F.transform(F.when(text == "", F.array().cast("array<string>")).otherwise(runs), lambda r: F.struct(F.substring(r, 1, 1).alias("c"), F.length(r).alias("n"))))
+
+
 def similarity(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """pair_id, similarity and lengths: twice the shared characters over all, as bags; null if both texts are empty."""
     text = docs.select("doc_id", normalized_text(F.coalesce("text", F.lit(""))).alias("t"))
-    sides = pairs.select("pair_id", F.explode(F.array(F.struct(F.lit("r").alias("side"), F.col("reference_id").alias("doc_id")), F.struct(F.lit("c").alias("side"), F.col("candidate_id").alias("doc_id")))).alias("s")).select("pair_id", "s.*")
-    both = sides.join(text, "doc_id")
-    chars = both.select("pair_id", "side", F.explode(F.filter(F.split("t", ""), lambda c: c != "")).alias("ch"))
-    counts = chars.groupBy("pair_id", "ch").agg(F.count_if(F.col("side") == "r").alias("r"), F.count_if(F.col("side") == "c").alias("c"))
-    sums = counts.groupBy("pair_id").agg(F.sum(F.least("r", "c")).alias("shared"), F.sum("r").alias("reference_characters"), F.sum("c").alias("candidate_characters"))
-    total = F.col("reference_characters") + F.col("candidate_characters")
-    return pairs.select("pair_id").join(sums, "pair_id", "left").select(
-        "pair_id", F.when(total > 0, F.round(2.0 * F.col("shared") / total, 6)).alias("similarity"), F.coalesce("reference_characters", F.lit(0)).alias("reference_characters"), F.coalesce("candidate_characters", F.lit(0)).alias("candidate_characters")
-    )
+    counted = text.select("doc_id", F.length("t").cast("long").alias("n"), character_counts(F.col("t")).alias("m"))
+    side = lambda role, x: counted.select(F.col("doc_id").alias(f"{role}_id"), F.col("n").alias(f"n{x}"), F.col("m").alias(f"m{x}"))
+    both = pairs.select("pair_id", "reference_id", "candidate_id").join(side("reference", "r"), "reference_id").join(side("candidate", "c"), "candidate_id")
+    shared = F.aggregate(F.map_entries("mr"), F.lit(0).cast("long"), lambda s, e: s + F.least(e.value, F.coalesce(F.element_at("mc", e.key), F.lit(0))))
+    total = F.col("nr") + F.col("nc")
+    return both.select("pair_id", F.when(total > 0, F.round(2.0 * shared / total, 6)).alias("similarity"), F.col("nr").alias("reference_characters"), F.col("nc").alias("candidate_characters"))
+
+
+def matched_similarity(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """pair_id and the exact ratio of the standard library's matcher over whole texts: an option, as it costs the square of a text's length."""
+    from difflib import SequenceMatcher
+
+    import pyarrow as pa
+
+    text = docs.select("doc_id", normalized_text(F.coalesce("text", F.lit(""))).alias("t"))
+    side = lambda role: text.select(F.col("doc_id").alias(f"{role}_id"), F.col("t").alias(role))
+    both = pairs.select("pair_id", "reference_id", "candidate_id").join(side("reference"), "reference_id").join(side("candidate"), "candidate_id")
+
+    def run(batches):
+        for batch in batches:
+            r, c = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            ratios = [SequenceMatcher(None, a, b).ratio() if a or b else None for a, b in zip(r, c, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ratios, pa.float64())], names=["pair_id", "similarity"])
+
+    return both.select("pair_id", "reference", "candidate").mapInArrow(run, "pair_id long, similarity double")
 
 
 def text_source(kind: Column, text: Column) -> Column:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attestra.functions import geometry, scores
-from attestra.operators import alignment, contracts, evaluation, harmonise, joblog, raster, regions, text, validation
+from attestra.operators import alignment, contracts, evaluation, harmonise, joblog, raster, text, validation
 from attestra.plans import verification
 from attestra.sources import files as sources
+from attestra.sources.tables import written
 
 SIDE = 8
 
@@ -120,7 +121,7 @@ def e6_token_align(spark, sf_dir):
 @query(f"WITH {PAIRS}, {WORDS}, {MATCHED}, {HUNKS}, {CHANGES} SELECT * REPLACE (CAST(hunk_no AS INT) AS hunk_no) FROM changes")
 def e7_e9_text_changes(spark, sf_dir):
     words = verification.changed_words(*verification.text_pairs(spark, sf_dir))
-    return text.text_changes(words, text.hunks(words, text.token_align(words)))
+    return text.text_changes(words, written(text.hunks(words, text.token_align(words)), "gaps"))
 
 
 @query(f'WITH {PAIRS}, {WORDS}, {MATCHED}, {HUNKS} SELECT pair_id, count(*) FILTER (WHERE kind = \'delete\') AS "delete", count(*) FILTER (WHERE kind = \'insert\') AS "insert", count(*) FILTER (WHERE kind = \'replace\') AS "replace" FROM hunks GROUP BY pair_id')
@@ -178,7 +179,7 @@ def c3_c4_g1_g5_hunk_scores(spark, sf_dir):
 
 @query()
 def f12_f17_regions(spark, sf_dir):
-    """Merged text regions of every pair, ranked."""
+    """Text and visual regions of every pair, merged, measured again and ranked."""
     return verification.verify(spark, sf_dir)[1].select("pair_id", "finding_id", "risk_score", "confidence_score", "severity", "category", "bounding_box.*")
 
 
@@ -254,6 +255,25 @@ def b1_b10_validate(spark, sf_dir):
     return _validated(spark, sf_dir).select("page_id", "filename", "extension", "sha256", F.col("error.code").alias("code"), "kind", "content_type")
 
 
+@query(r"""WITH f AS (SELECT page_id, page_id % 4 AS k, page_id % 11 AS m, coalesce(html, '') AS h FROM pages),
+g AS (SELECT *, CASE WHEN m = 7 THEN '00' WHEN k = 0 THEN '89504E470D0A1A0A' WHEN k = 3 THEN '255044462D' ELSE 'FFD8FF' END AS head, CASE WHEN m = 2 THEN 2 ELSE 1 END AS page_count,
+  CASE m WHEN 4 THEN -1 WHEN 5 THEN 0 WHEN 6 THEN 8000 ELSE 800 END AS width, CASE m WHEN 6 THEN 8000 ELSE 600 END AS height FROM f)
+SELECT page_id, CASE WHEN m = 7 THEN 'content_type_mismatch' WHEN page_count > 1 THEN 'single_page_required' WHEN k <> 3 AND width < 0 THEN 'corrupt_image'
+  WHEN k <> 3 AND (width = 0 OR height <= 0 OR CAST(width AS BIGINT) * height > 40000000) THEN 'invalid_image_dimensions' END AS code, sha256(unhex(head) || encode(h)) AS sha256,
+  CASE WHEN k = 3 THEN 'pdf' ELSE 'image' END AS kind FROM g""")
+def b6_b8_images(spark, sf_dir):
+    """Pages as image and document files with signatures, sizes and page counts."""
+    f = table(spark, sf_dir, "pages").withColumns({"k": F.col("page_id") % 4, "m": F.col("page_id") % 11})
+    of_k = lambda values: F.get(F.array(*map(F.lit, values)), F.col("k").cast("int"))
+    head = F.unhex(F.when(F.col("m") == 7, "00").otherwise(of_k(("89504E470D0A1A0A", "FFD8FF", "FFD8FF", "255044462D"))))
+    size = lambda rest, **odd: F.when(F.col("m") == 4, odd.get("a", rest)).when(F.col("m") == 5, odd.get("b", rest)).when(F.col("m") == 6, 8000).otherwise(rest)
+    files = f.select(
+        "page_id", F.lit("reference").alias("role"), of_k(("a.png", "b.jpg", "c.jpeg", "d.pdf")).alias("filename"), of_k(("image/png", "image/jpeg", "image/jpg", "application/pdf")).alias("content_type"),
+        F.concat(head, F.encode(F.coalesce("html", F.lit("")), "UTF-8")).alias("content"), F.when(F.col("m") == 2, 2).otherwise(1).alias("page_count"), size(800, a=-1, b=0).alias("width"), size(600).alias("height"),
+    )
+    return validation.validate_files(files).select("page_id", F.col("error.code").alias("code"), "sha256", "kind")
+
+
 @query(f"WITH {VALIDATED} SELECT code, CASE WHEN code IS NULL THEN 0 WHEN code = 'file_too_large' THEN 413 ELSE 422 END AS status, count(*) AS n FROM v GROUP BY ALL")
 def b14_routed(spark, sf_dir):
     good, bad = validation.routed(_validated(spark, sf_dir))
@@ -336,6 +356,14 @@ def g3_g6_overall(spark, sf_dir):
     return out.withColumns({"label": scores.risk_label(F.col("risk")), "severity": scores.severity(F.col("risk")), "coverage": scores.analysis_coverage(F.col("c_custkey") % 2 == 0)})
 
 
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(least(99.0, 65.0 + 27.0 * (1 - l_discount * 9) + CASE WHEN l_returnflag = 'R' THEN 7.0 ELSE 0.0 END)::DOUBLE, 1) AS confidence FROM lineitem""")
+def g6_confidence(spark, sf_dir):
+    """Discounts stand for the quality of an alignment, returned lines for pages with text."""
+    li = table(spark, sf_dir, "lineitem")
+    sure = scores.assessment_confidence(1 - F.col("l_discount") * 9, F.col("l_returnflag") == "R")
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", sure.alias("confidence"))
+
+
 # Events as a job log: a user is a job, `error` ends one.
 LOG = """
 ev AS (SELECT user_id AS job_id, event_id AS source_id, event_type, ts AS timestamp, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS event_id FROM events)
@@ -498,6 +526,18 @@ def j5_conforming(spark, sf_dir):
     return joblog.conforming(joblog.with_stage(log(spark, sf_dir)))
 
 
+@query(f"""WITH {LOG}, b AS (SELECT job_id, event_id, CASE WHEN job_id % 5 = 2 AND event_id <= 2 THEN 3 - event_id ELSE least(event_id, 10) END AS stage_no FROM ev WHERE NOT (job_id % 5 = 1 AND event_id = 3)),
+f AS (SELECT job_id, stage_no, min(event_id) AS first FROM b GROUP BY ALL),
+o AS (SELECT job_id, bool_and(later) AS in_order FROM (SELECT job_id, stage_no > coalesce(lag(stage_no) OVER (PARTITION BY job_id ORDER BY first), 0) AS later FROM f) GROUP BY job_id)
+SELECT b.job_id, max(event_id) = count(*) AND min(event_id) = 1 AS contiguous, any_value(in_order) AS in_order FROM b JOIN o ON o.job_id = b.job_id GROUP BY b.job_id""")
+def j5_broken_logs(spark, sf_dir):
+    """Every fifth job has lost its third event; in another fifth the first two stages came in the wrong order."""
+    e = joblog.with_stage(log(spark, sf_dir))
+    job, number = F.col("job_id") % 5, F.col("event_id")
+    e = e.where(~((job == 1) & (number == 3)))
+    return joblog.conforming(e.withColumn("stage_no", F.when((job == 2) & (number <= 2), 3 - number).otherwise(F.col("stage_no"))))
+
+
 # Vectors as 8x8 rasters, each against the one before it.
 CELLS = r"""
 vv AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
@@ -543,10 +583,11 @@ s3{v} AS (SELECT pair_id, x, y, abs(gx) + abs(gy) AS g FROM s2{v}),
 s4{v} AS (SELECT *, g >= coalesce(lag(g) OVER h, lead(g) OVER h) AND g >= coalesce(lead(g) OVER h, lag(g) OVER h) OR g >= coalesce(lag(g) OVER w, lead(g) OVER w) AND g >= coalesce(lead(g) OVER w, lag(g) OVER w) AS ridge FROM s3{v}
   WINDOW h AS (PARTITION BY pair_id, y ORDER BY x), w AS (PARTITION BY pair_id, x ORDER BY y)),
 s5{v} AS (SELECT pair_id, x, y, CASE WHEN ridge AND g > 150 THEN 2 WHEN ridge AND g > 70 THEN 1 ELSE 0 END AS s FROM s4{v}),
-e{v} AS (SELECT a.pair_id, a.x, a.y, CASE WHEN any_value(a.s) = 2 OR (any_value(a.s) = 1 AND max(b.s) = 2) THEN 255 ELSE 0 END AS e FROM s5{v} a JOIN s5{v} b ON b.pair_id = a.pair_id AND abs(b.x - a.x) <= 1 AND abs(b.y - a.y) <= 1 GROUP BY a.pair_id, a.x, a.y)"""
+t{v}(pair_id, x, y) AS (SELECT pair_id, x, y FROM s5{v} WHERE s = 2 UNION SELECT b.pair_id, b.x, b.y FROM t{v} a JOIN s5{v} b ON b.pair_id = a.pair_id AND abs(b.x - a.x) <= 1 AND abs(b.y - a.y) <= 1 AND b.s = 1),
+e{v} AS (SELECT a.pair_id, a.x, a.y, CASE WHEN t.x IS NOT NULL THEN 255 ELSE 0 END AS e FROM s5{v} a LEFT JOIN t{v} t ON t.pair_id = a.pair_id AND t.x = a.x AND t.y = a.y)"""
 
 
-@query(f"WITH {CELLS}, {_sobel('gr')}, {_sobel('gc')} SELECT pair_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, abs(egr.e - egc.e) AS edge_delta FROM egr JOIN egc USING (pair_id, x, y)")
+@query(f"WITH RECURSIVE {CELLS}, {_sobel('gr')}, {_sobel('gc')} SELECT pair_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, abs(egr.e - egc.e) AS edge_delta FROM egr JOIN egc USING (pair_id, x, y)")
 def f3_edge_delta(spark, sf_dir):
     return raster.edge_delta(raster_cells(spark, sf_dir)).select("pair_id", "x", "y", "edge_delta")
 
@@ -580,8 +621,7 @@ stats AS (SELECT pair_id, CAST(label AS BIGINT) AS label, CAST(min(x) AS INT) AS
 
 @query(f"WITH RECURSIVE {CELLS}, {BLUR}, {MASK}, {COMPONENTS} SELECT * FROM stats")
 def f8_f9_components(spark, sf_dir):
-    spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/attestra-checkpoints"))
-    mask = mask_cells(spark, sf_dir)
+    mask = written(mask_cells(spark, sf_dir), "mask")
     labelled = raster.components(mask.select("pair_id", "x", "y")).join(mask, ["pair_id", "x", "y"])
     return raster.component_stats(labelled).drop("edge_changed_pixels")
 
@@ -606,6 +646,14 @@ def f19_crops(spark, sf_dir):
     return raster.crops(cells, boxes).groupBy("pair_id").agg(F.count("*").alias("cells"), F.sum("gray_c").alias("total"))
 
 
+@query(f"WITH {CELLS} SELECT pair_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, gr AS reference, gc AS candidate FROM j WHERE x >= pair_id % 3 AND x < 6 AND y >= 2 AND y < 7")
+def f19_both_sides(spark, sf_dir):
+    """Crops of the reference and the candidate at the same box."""
+    cells = raster_cells(spark, sf_dir)
+    boxes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pair_id"), F.lit(1).alias("region_no"), (F.col("vec_id") % 3).alias("x0"), F.lit(2).alias("y0"), F.lit(6).alias("x1"), F.lit(7).alias("y1"))
+    return raster.crops(cells, boxes).select("pair_id", "x", "y", F.col("gray_r").alias("reference"), F.col("gray_c").alias("candidate"))
+
+
 @query(f"""WITH {CELLS}, {BLUR}, {MASK}, o AS (SELECT j.pair_id, j.x, j.y, j.gc, m0.x IS NOT NULL AS hit, j.x < 2 OR j.x >= 6 OR j.y < 2 OR j.y >= 6 AS rim FROM j LEFT JOIN m0 USING (pair_id, x, y))
 SELECT pair_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(CASE WHEN rim THEN 20 WHEN hit THEN floor(0.48 * gc + 0.52 * 30 + 0.5) ELSE gc END AS INT) AS b, CAST(CASE WHEN rim THEN 245 WHEN hit THEN floor(0.48 * gc + 0.52 * 235 + 0.5) ELSE gc END AS INT) AS r FROM o""")
 def f20_overlay(spark, sf_dir):
@@ -679,7 +727,7 @@ def d10_warp(spark, sf_dir):
     return alignment.warp(cells, frames)
 
 
-@query()
+@query("""SELECT p_partkey AS pair_id, '{"schema_version":"1.0","job_id":"' || p_partkey || '","reference_to_candidate_homography":[[1.0,0.0,0.0],[0.0,1.0,0.0],[0.0,0.0,1.0]],"alignment_method":"exact_pixel_identity","alignment_quality":1.0}' AS metadata FROM part""")
 def a8_alignment_metadata(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pair_id"), alignment.identity().alias("matrix"), F.lit("exact_pixel_identity").alias("method"), F.lit(1.0).alias("quality"))
     return sources.alignment_metadata(p)
@@ -721,7 +769,50 @@ def i10_i12_jobs(spark, sf_dir):
 def i12_progress_events(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     p = e.select("event_id", F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("stage"), F.col("value").alias("progress"), (F.col("user_id") % 4).alias("page_number"))).alias("payload"))
-    return harmonise.harmonise_events(p, "payload").drop("payload", "finding_count")
+    return harmonise.harmonise_events(p, "payload").select("event_id", "progress_event_id", "stage_id", "message", "progress", "page_number")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 > 0 THEN 'file ' || event_id END AS filename, CASE WHEN event_id % 3 > 0 THEN '' END AS sha256, CASE WHEN event_id % 3 > 0 THEN greatest(1, event_id % 5 - 1)::DOUBLE END AS page_count,
+ CASE WHEN event_id % 3 > 0 THEN greatest(0.0, value)::DOUBLE END AS width, CASE WHEN event_id % 3 > 0 THEN 0.0::DOUBLE END AS height, CASE WHEN event_id % 3 > 0 THEN '/p/' || user_id END AS preview_url,
+ CASE WHEN event_id % 3 > 0 THEN CASE WHEN event_id % 3 = 1 THEN 0.5 ELSE 1.0 END::DOUBLE END AS scale_x, CASE WHEN event_id % 3 > 0 THEN CASE WHEN event_id % 3 = 1 THEN 90 ELSE 0 END::DOUBLE END AS orientation_degrees,
+ CASE WHEN event_id % 3 > 0 THEN CASE WHEN event_id % 3 = 1 THEN user_id ELSE 0 END::DOUBLE END AS original_width FROM events""")
+def i6_descriptors(spark, sf_dir):
+    """Descriptions with and without a transform, and something that is none."""
+    e, k = table(spark, sf_dir, "events"), F.col("event_id") % 3
+    turned = F.to_json(F.struct((F.lit(0.5)).alias("scale_x"), F.lit("90").alias("orientation_degrees"), F.col("user_id").alias("original_width")))
+    own = F.format_string('{"filename":"file %d","sha256":7,"page_count":%d,"width":"%s","height":-3,"preview_url":"p/%d","transform":%s}', "event_id", F.col("event_id") % 5 - 1, F.col("value").cast("string"), "user_id", F.when(k == 1, turned).otherwise('"none"'))
+    payload = F.concat(F.lit('{"candidate":'), F.when(k == 0, '"no"').otherwise(own), F.lit("}"))
+    c = harmonise.harmonise_results(e.select("event_id", payload.alias("payload")), "payload").select("event_id", "candidate.*")
+    return c.select("event_id", "filename", "sha256", "page_count", "width", "height", "preview_url", "transform.scale_x", "transform.orientation_degrees", "transform.original_width")
+
+
+@query("""SELECT event_id, CAST(user_id AS VARCHAR) AS job_id, CAST(CASE WHEN event_id % 2 = 0 THEN 2 ELSE 9 END AS DOUBLE) AS finding_count, CAST(CASE WHEN value > 0 AND value <= 1 THEN least(100.0, value * 100) ELSE least(100.0, greatest(0.0, value)) END AS DOUBLE) AS risk,
+ 'j' || user_id AS result_job_id, '/x/' || event_id AS candidate_page_url, 2 AS n_findings, 640.0::DOUBLE AS page_width, CAST(NULL AS DOUBLE) AS page_height FROM events""")
+def i12_nested_results(spark, sf_dir):
+    """Jobs with their result inside; findings are counted from it where the job has no count of its own."""
+    e = table(spark, sf_dir, "events")
+    count = F.when(F.col("event_id") % 2 == 1, '"finding_count":9,').otherwise("")
+    payload = F.concat(F.lit('{"id":"'), F.col("user_id").cast("string"), F.lit('","preview_url":"x/'), F.col("event_id").cast("string"), F.lit('",'), count, F.lit('"result":{"analysis_id":"j'), F.col("user_id").cast("string"),
+        F.lit('","risk_score":'), F.col("value").cast("string"), F.lit(',"pages":[{"width":"640","findings":[{},{"id":"z"}]}]}}'))
+    j = harmonise.harmonise_jobs(e.select("event_id", payload.alias("payload")), "payload")
+    page = F.get("result.pages", F.lit(0))
+    return j.select("event_id", "job_id", "finding_count", F.col("result.overall_tampering_risk").alias("risk"), "result.result_job_id", "candidate_page_url", F.size("result.findings").alias("n_findings"), page.width.alias("page_width"), page.height.alias("page_height"))
+
+
+@query("""SELECT event_id, 'j' || user_id AS job_id, CAST(greatest(1, user_id % 3) AS DOUBLE) AS total_pages, CASE WHEN event_id % 2 = 0 THEN '2024-01-01T00:00:00Z' END AS timestamp, CASE WHEN event_id % 3 = 0 THEN '/a/' || event_id END AS candidate_page_url FROM events""")
+def i12_event_links(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    p = F.to_json(F.struct(F.concat(F.lit("j"), F.col("user_id").cast("string")).alias("job_id"), (F.col("user_id") % 3).alias("total_pages"), F.when(F.col("event_id") % 2 == 0, "2024-01-01T00:00:00Z").alias("timestamp"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("a/"), F.col("event_id").cast("string"))).alias("preview_url")))
+    return harmonise.harmonise_events(e.select("event_id", p.alias("payload")), "payload").select("event_id", "job_id", "total_pages", "timestamp", "candidate_page_url")
+
+
+@query("""SELECT doc_id, array_to_string(list_filter([CASE WHEN doc_id % 3 > 0 THEN 'h_not_sha256' END, CASE WHEN n_chars % 2 > 0 OR n_chars > 200 THEN 'p_out_of_range' END, CASE WHEN doc_id % 4 = 0 THEN 'u_out_of_range' END], lambda c: c IS NOT NULL), ',') AS codes FROM documents""")
+def k3_k4_formats(spark, sf_dir):
+    """Hashes in lower and upper case and cut short, halves as progress, shares above 1."""
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id") % 3
+    sha = F.sha2(F.concat(F.lit("a"), F.col("doc_id").cast("string")), 256)
+    d = d.select("doc_id", F.when(k == 0, sha).when(k == 1, F.concat(F.lit("A"), F.substring(sha, 2, 63))).otherwise(F.substring(sha, 1, 63)).alias("h"), (F.col("n_chars") / 2).alias("p"), F.when(F.col("doc_id") % 4 == 0, 1.5).otherwise(0.5).alias("u"))
+    return d.select("doc_id", F.array_join(contracts.violations(contracts.sha256_rule("h"), contracts.progress_rule("p"), contracts.unit_rule("u")), ",").alias("codes"))
 
 
 @query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'https://h/x' WHEN 1 THEN 'B/x' WHEN 2 THEN 'B/y' ELSE '' END AS url, upper(event_type[1]) || event_type[2:] || ' Id' AS title, CASE WHEN value >= 75 THEN 'critical' WHEN value >= 50 THEN 'high' WHEN value >= 25 THEN 'moderate' ELSE 'low' END AS tone,

@@ -1,4 +1,4 @@
-"""The whole verification of a table of document pairs, from texts to scored documents."""
+"""The whole verification of a table of document pairs, from texts and page rasters to scored documents."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.operators import alignment, regions, text
+from attestra.operators import alignment, pages, raster, regions, text
+from attestra.sources.tables import Workspace, written
 
 #: Cells of a normalized page.
 PAGE_WIDTH, PAGE_HEIGHT = 1272, 1800
@@ -25,27 +26,80 @@ def text_pairs(spark: SparkSession, sf_dir: str, pairing: Callable[[DataFrame],
 
 
 def changed_words(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Words of both sides of the pairs that differ; identical pairs never reach the token joins."""
-    return text.pair_words(pairs.where("NOT identical"), text.words_from_text(docs))
-
-
-def verify(spark: SparkSession, sf_dir: str, pairing: Callable[[DataFrame], DataFrame] = text.pair_by_shared_lines) -> tuple[DataFrame, DataFrame]:
-    """(documents, findings) of all pairs: text evidence, merged regions, scores and labels."""
-    pairs, docs = text_pairs(spark, sf_dir, pairing)
-    words = changed_words(pairs, docs)
-    gaps = text.hunks(words, text.token_align(words))
-    changes = text.text_changes(words, gaps)
-    sized = [F.lit(v).alias(c) for c, v in (("rw", PAGE_WIDTH), ("rh", PAGE_HEIGHT), ("cw", PAGE_WIDTH), ("ch", PAGE_HEIGHT))]
-    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("m", "array<double>"), ("match_count", "long"), ("inliers", "long"), ("inlier_ratio", "double"), ("error", "double"))]
-    aligned = alignment.align(pairs.select("pair_id", "identical", *sized, *nothing))
-    pages = pairs.select("pair_id", "has_text", F.lit(PAGE_WIDTH).alias("width"), F.lit(PAGE_HEIGHT).alias("height"), F.lit(0.0).alias("changed_ratio"))
-    pages = pages.join(aligned.select("pair_id", F.col("method").alias("alignment_method"), F.col("quality").alias("alignment_quality"), "inlier_ratio"), "pair_id")
-    told = regions.text_regions(changes, PAGE_WIDTH, PAGE_HEIGHT)
+    """Words of both sides of the pairs that differ, written once; identical pairs never reach the token joins."""
+    return written(text.pair_words(pairs.where("NOT identical"), text.words_from_text(docs)), "words")
+
+
+def align_by_words(pairs: DataFrame, words: DataFrame, matched: DataFrame, width: int, height: int) -> DataFrame:
+    """Alignment of each pair's pages: the centres of matched words stand for matched keypoints, and the identity for the fitted
+    matrix, as both pages are laid out in one frame."""
+    middle = lambda a, b, n: (F.col(a) + F.col(b)) / 2 * n
+    spots = words.select("pair_id", "side", "pos", middle("x0", "x1", width).alias("x"), middle("y0", "y1", height).alias("y"))
+    r = spots.where("side = 'r'").select("pair_id", F.col("pos").alias("rp"), F.col("x").alias("rx"), F.col("y").alias("ry"))
+    c = spots.where("side = 'c'").select("pair_id", F.col("pos").alias("cp"), F.col("x").alias("cx"), F.col("y").alias("cy"))
+    points = matched.join(r, ["pair_id", "rp"]).join(c, ["pair_id", "cp"]).withColumn("matrix", alignment.identity())
+    measured = alignment.reprojection(points).select("pair_id", alignment.identity().alias("m"), "match_count", "inliers", "inlier_ratio", F.col("reprojection_error").alias("error"))
+    sized = [F.lit(v).alias(c) for c, v in (("rw", width), ("rh", height), ("cw", width), ("ch", height))]
+    return alignment.align(pairs.select("pair_id", "identical", *sized).join(measured, "pair_id", "left"))
+
+
+def page_evidence(runs: DataFrame, width: int, height: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(components, kept runs, changed share) of each page from its runs of changed cells: components that are large and different
+    enough, padded, as an array of regions by label; their runs; the share of the page that they cover."""
+    stats = pages.run_stats(runs)
+    kept = stats.where(raster.large_enough(width, height))
+    region = F.struct(
+        *[F.col(c).cast("int") for c in ("x0", "y0", "x1", "y1")], F.col("area"), "mean_delta", "max_delta", "edge_changed_pixels",
+        F.array(F.lit(regions.VISUAL)), F.array().cast("array<struct<hunk_no:int,before:string,after:string>>"),
+    ).cast(regions.REGION)
+    boxed = raster.padded(kept, width, height).select("pair_id", F.struct("label", region.alias("r")).alias("k"))
+    components = boxed.groupBy("pair_id").agg(F.transform(F.array_sort(F.collect_list("k")), lambda k: k.r).alias("components"))
+    own = runs.join(kept.select("pair_id", "label"), ["pair_id", "label"], "left_semi").select("pair_id", "y", "x0", "x1", "raw", "edge")
+    return components, own, kept.select("pair_id", "area")
+
+
+def verified(pairs: DataFrame, changes: DataFrame, aligned: DataFrame, runs: DataFrame | None, width: int, height: int, space: Workspace) -> tuple[DataFrame, DataFrame]:
+    """(documents, findings) of pairs (pair_id, has_text) from text changes, alignment and the runs of changed cells (none: text alone)."""
+    sheets = pairs.select("pair_id", "has_text", F.lit(width).alias("width"), F.lit(height).alias("height"))
+    told = regions.text_regions(changes, width, height)
     none = F.array().cast(f"array<{regions.REGION}>")
-    located = regions.localize(told.select("pair_id", F.lit(PAGE_WIDTH).alias("width"), F.lit(PAGE_HEIGHT).alias("height"), none.alias("components"), "text_regions"))
-    each = located.select("pair_id", F.posexplode("regions").alias("region_no", "r")).select("pair_id", "region_no", "r.*")
-    found = regions.findings(regions.ranked(each), pages)
-    return regions.documents(pages, found), found
+    if runs is None:
+        both, own, ratio = told.withColumn("components", none), None, sheets.select("pair_id", F.lit(0.0).alias("changed_ratio"))
+    else:
+        seen, own, kept = (space.written(t, n) for t, n in zip(page_evidence(runs, width, height), ("seen", "own", "kept"), strict=True))
+        both, ratio = seen.join(told, "pair_id", "full"), raster.changed_ratio(sheets, kept)
+    located = regions.localize(both.select("pair_id", F.lit(width).alias("width"), F.lit(height).alias("height"), "components", "text_regions"))
+    each = space.written(located.select("pair_id", F.posexplode("regions").alias("region_no", "r")), "regions")
+    if own is None:
+        measured = each.select("pair_id", "region_no", "r.*")
+    else:
+        boxes = each.select("pair_id", "region_no", "r.x0", "r.y0", "r.x1", "r.y1")
+        measured = regions.raised(each, pages.box_measures(boxes, own))
+    sheets = sheets.join(ratio, "pair_id").join(aligned.select("pair_id", F.col("method").alias("alignment_method"), F.col("quality").alias("alignment_quality"), "inlier_ratio"), "pair_id")
+    sheets = space.written(sheets, "sheets")
+    found = space.written(regions.findings(regions.ranked(measured), sheets), "findings")
+    return regions.documents(sheets, found), found
+
+
+def verify_pairs(pairs: DataFrame, docs: DataFrame, width: int = PAGE_WIDTH, height: int = PAGE_HEIGHT, visual: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(documents, findings) of pairs (pair_id, reference_id, candidate_id, identical, has_text) of docs (doc_id, text): words aligned,
+    pages drawn from them, compared and localized, text and visual regions merged, measured, ranked and scored."""
+    space = Workspace(pairs.sparkSession, "verification")
+    pairs = space.written(pairs, "pairs")
+    words = space.written(text.pair_words(pairs.where("NOT identical"), text.words_from_text(docs)), "words")
+    matched = space.written(text.token_align(words), "matched")
+    changes = text.text_changes(words, space.written(text.hunks(words, matched), "gaps"))
+    aligned = space.written(align_by_words(pairs, words, matched, width, height), "aligned")
+    runs = space.written(pages.changed_runs(pages.word_rasters(words, width, height), aligned), "runs") if visual else None
+    documents, found = verified(pairs, space.written(changes, "changes"), aligned, runs, width, height, space)
+    documents, found = written(documents, "documents"), written(found, "findings")
+    space.close()
+    return documents, found
+
+
+def verify(spark: SparkSession, sf_dir: str, pairing: Callable[[DataFrame], DataFrame] = text.pair_by_shared_lines, visual: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(documents, findings) of all pairs of the documents table."""
+    return verify_pairs(*text_pairs(spark, sf_dir, pairing), visual=visual)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
