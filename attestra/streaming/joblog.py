@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from attestra.operators.joblog import IDLE_SECONDS, TERMINAL_EVENTS
 
+#: Parts of the table of current jobs that are rewritten on their own.
+BUCKETS = 64
 NUMBERED = "job_id long, event_id long, event_type string, timestamp timestamp, kind string"
 
 
@@ -23,15 +25,15 @@ def _number(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
         return
     last, ended = state.get if state.exists else (0, False)
     for frame in frames:
-        rows = []
-        for row in frame.sort_values(["timestamp", "source_id"]).itertuples(index=False):
-            if ended:
-                break
-            last += 1
-            ended = row.event_type in TERMINAL_EVENTS
-            rows.append((key[0], last, row.event_type, row.timestamp, "event"))
-        if rows:
-            yield pd.DataFrame(rows, columns=["job_id", "event_id", "event_type", "timestamp", "kind"])
+        if ended:
+            continue
+        frame = frame.sort_values(["timestamp", "source_id"])
+        ends = frame["event_type"].isin(TERMINAL_EVENTS).to_numpy().nonzero()[0]
+        ended = len(ends) > 0
+        frame = frame.iloc[: ends[0] + 1] if ended else frame
+        numbers = range(last + 1, last + 1 + len(frame))
+        last += len(frame)
+        yield pd.DataFrame({"job_id": key[0], "event_id": numbers, "event_type": frame["event_type"].to_numpy(), "timestamp": frame["timestamp"].to_numpy(), "kind": "event"})
     state.update((last, ended))
     if not ended:
         state.setTimeoutDuration(IDLE_SECONDS * 1000)
@@ -59,16 +61,43 @@ def sessions_stream(events: DataFrame, gap: str, delay: str = "1 hour") -> DataF
     return spans.select("job_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "events")
 
 
+def _latest(spark: SparkSession, path: str, before: int) -> DataFrame | None:
+    """The rows of each bucket's newest version below `before`, with bucket and version; None where there is nothing yet."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    rows = spark.read.parquet(path).where(F.col("version") < before)
+    newest = rows.groupBy("bucket").agg(F.max("version").alias("version"))
+    return rows.join(F.broadcast(newest), ["bucket", "version"])  # BUCKETS rows at most
+
+
+def read_jobs(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest row of each job that upsert_jobs() has written."""
+    rows = _latest(spark, path, 1 << 62)
+    return None if rows is None else rows.drop("bucket", "version")
+
+
 def upsert_jobs(path: str):
-    """A foreachBatch writer: the newest row of each job so far, as a folder for each batch; readers take the last one."""
+    """A foreachBatch writer: the newest row of each job so far, by buckets of jobs. A batch writes a new version of the buckets that it
+    touches, BUCKETS at most, and then deletes all older versions but one, so that a batch that runs again finds what it began with."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        newest = batch
-        if number:
-            newest = spark.read.parquet(f"{path}/{number - 1}").unionByName(batch)
         columns = [c for c in batch.columns if c != "job_id"]
-        merged = newest.groupBy("job_id").agg(F.max_by(F.struct(*columns), "seq").alias("j")).select("job_id", "j.*")
-        merged.write.mode("overwrite").parquet(f"{path}/{number}")
+        newer = batch.withColumn("bucket", F.pmod(F.xxhash64("job_id"), F.lit(BUCKETS)).cast("int"))
+        touched = sorted(r["bucket"] for r in newer.select("bucket").distinct().collect())
+        if not touched:
+            return
+        before = _latest(spark, path, number)
+        if before is not None:
+            newer = newer.unionByName(before.where(F.col("bucket").isin(touched)).select(*newer.columns))
+        merged = newer.groupBy("bucket", "job_id").agg(F.max_by(F.struct(*columns), "seq").alias("j")).select("bucket", F.lit(number).cast("long").alias("version"), "job_id", "j.*")
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(path)
+        for bucket in touched:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={bucket}")
+            files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+            versions = sorted(int(name[8:]) for e in files.listStatus(folder) if (name := e.getPath().getName()).startswith("version="))
+            for version in [v for v in versions if v < number][:-1]:
+                files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={bucket}/version={version}"), True)
 
     return write

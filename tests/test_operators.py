@@ -4,6 +4,7 @@ import random
 import struct
 import zlib
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,12 +216,60 @@ def test_streams(spark, tmp_path):
         assert own == list(range(1, len(own) + 1)) and [r.event_type for r in counted if r.job_id == job][-1] in ("complete", None)
     assert run(streaming.windowed_stream(stream(), "1 day"), "windowed_events", "complete")[0].n > 0
 
+    sessions = run(streaming.sessions_stream(stream(), "2 seconds"), "session_events", "complete")
+    assert {(r.job_id, r.events) for r in sessions} == {(1, 14), (2, 14)}
+    assert all((r.end - r.start).total_seconds() == 8 for r in sessions)
+
+
+def test_current_jobs_of_a_stream(spark, tmp_path):
+    """A batch rewrites the buckets it touches, older versions go, a batch that runs again changes nothing."""
     path = str(tmp_path / "jobs")
+    assert streaming.read_jobs(spark, path) is None
     write = streaming.upsert_jobs(path)
-    batch = spark.createDataFrame([(1, 1, "running"), (2, 1, "running")], "job_id long, seq long, state string")
+    batch = spark.createDataFrame([(k, 1, "running") for k in range(300)], "job_id long, seq long, state string")
     write(batch, 0)
-    write(spark.createDataFrame([(1, 2, None)], batch.schema), 1)
-    assert sorted((r.job_id, r.state) for r in spark.read.parquet(f"{path}/1").collect()) == [(1, None), (2, "running")]
+    second = spark.createDataFrame([(1, 2, None), (999, 1, "queued"), (1, 1, "late")], batch.schema)
+    for _ in range(2):
+        write(second, 1)
+        got = {r.job_id: (r.seq, r.state) for r in streaming.read_jobs(spark, path).collect()}
+        assert got == {**{k: (1, "running") for k in range(300)}, 1: (2, None), 999: (1, "queued")}
+    versions = [v.name for b in (tmp_path / "jobs").glob("bucket=*") for v in b.glob("version=*")]
+    assert versions.count("version=1") <= 2 and len(versions) == 64 + versions.count("version=1")
+    write(second.limit(0), 2)
+    assert streaming.read_jobs(spark, path).count() == 301
+    write(batch, 3)
+    versions = [v.name for b in (tmp_path / "jobs").glob("bucket=*") for v in b.glob("version=*")]
+    assert versions.count("version=3") == 64 and len(versions) == 128
+
+
+class State:
+    def __init__(self, held=None, timed_out=False):
+        self.held, self.hasTimedOut, self.timeout = held, timed_out, None
+
+    exists = property(lambda self: self.held is not None)
+    get = property(lambda self: self.held)
+
+    def update(self, held):
+        self.held = held
+
+    def remove(self):
+        self.held = None
+
+    def setTimeoutDuration(self, ms):
+        self.timeout = ms
+
+
+def test_numbering_and_keep_alive():
+    frame = lambda *kinds: pd.DataFrame({"job_id": 7, "source_id": range(len(kinds)), "event_type": kinds, "timestamp": pd.Timestamp("2024-01-01")})
+    state = State()
+    first = list(streaming._number((7,), iter([frame("progress", "progress"), frame("progress")]), state))
+    assert [i for f in first for i in f["event_id"]] == [1, 2, 3] and state.held == (3, False) and state.timeout == 10_000
+    last = list(streaming._number((7,), iter([frame("progress", "complete", "progress"), frame("progress")]), state))
+    assert [(i, k) for f in last for i, k in zip(f["event_id"], f["event_type"], strict=True)] == [(4, "progress"), (5, "complete")] and state.held == (5, True)
+    idle = State((3, False), True)
+    rows = list(streaming._number((7,), iter([]), idle))
+    assert [(r["job_id"][0], r["event_id"][0], r["kind"][0]) for r in rows] == [(7, 3, "keep_alive")] and idle.held is None
+    assert not list(streaming._number((7,), iter([]), State((5, True), True)))
 
 
 def test_log_files(spark, tmp_path):
