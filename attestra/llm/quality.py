@@ -5,8 +5,9 @@ are removed, and a document that loses too large a part of its word characters,
 or fails the base rules, is rejected.
 
 * navigation: three or more `|`, `»` or `›` separators in the line;
-* boilerplate: a stock phrase (cookie, sign-in, share and licence notices) in a
-  line of at most MAX_NOTICE_WORDS words, or that make up over a tenth of the word characters;
+* boilerplate: a stock phrase (cookie, sign-in, share and licence notices, in
+  English, German, French and Spanish) in a line of at most MAX_NOTICE_WORDS words, or
+  symbols (`#*$%&|<>`) that number over a tenth of the line's word characters;
 * punctuation: at least NEEDS_STOP words without a sentence end (`.`, `!`, `?`,
   `…`, `。`, perhaps followed by quotes or brackets, before white space or the
   end), or over a fifth of the words ending in `!!` or `??`.
@@ -16,7 +17,8 @@ other than space and U+0009..U+000D; a line ends at \n.
 
 Defined results: a null or empty text has no words, so it fails the base rules
 and its cleaned text is empty; a text of one long line is one line; repeated
-rows get the same verdict; columns named like an added one are replaced.
+rows get the same verdict; of equal lines the first is no duplicate; an empty table gives no row; columns
+named like an added one are replaced.
 """
 
 from __future__ import annotations
@@ -43,7 +45,9 @@ BOILERPLATE = (
     r"(?i)(all rights reserved|terms of (use|service)|privacy policy|cookie (policy|settings)|accept (all )?cookies|"
     r"enable javascript|javascript is (disabled|required)|sign in to|log in to|subscribe to our|share on (facebook|twitter)|"
     r"click here|lorem ipsum|skip to (main )?content|back to top|powered by|^copyright |^licensed under |^released under |"
-    r"^this work is licensed)"
+    r"^this work is licensed|alle rechte vorbehalten|datenschutzerklärung|cookie-einstellungen|nach oben springen|"
+    r"tous droits réservés|politique de confidentialité|accepter (tous )?les cookies|retour en haut|"
+    r"todos los derechos reservados|política de privacidad|aceptar (todas )?las cookies|volver arriba)"
 )
 SENTENCE_END = r"[.!?…。][\"'”’»)\]]*([ \x09-\x0D]|$)"
 

@@ -36,3 +36,12 @@ def test_long_conversation(spark):
     rows = [(1, i, "assistant" if i % 3 else "user", f"text {i}") for i in range(5_000)]
     back = chat.parse_conversations(formatted(spark, rows)).first()
     assert len(back.turns) == 5_000 and "".join(back.loss_texts) == "".join(f"text {i}" for i in range(5_000) if i % 3)
+
+
+def test_columns_of_other_names(spark):
+    """Columns named like the operator's own change nothing."""
+    rows = [(1, 0, "user", "hi ###", "a"), (1, 1, "assistant", None, "b"), (None, 0, "assistant", "alone", "c")]
+    plain = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, extra string")
+    own = plain.select("*", *[plain.extra.alias(c) for c in ("ts", "starts", "pieces", "formatted", "loss_spans", "t", "pos", "_id")])
+    read = lambda df: sorted((str(r.conv_id), r.formatted, str(r.loss_spans)) for r in chat.format_conversations(df).collect())
+    assert read(own) == read(plain) and len(read(own)) == 2

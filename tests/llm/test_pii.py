@@ -68,6 +68,11 @@ def test_mask_and_edges(spark):
     assert pii.find_spans(df.limit(0)).count() == 0 and pii.mask(df).columns == df.columns
 
 
+def test_mask_keeps_other_columns(spark):
+    df = spark.createDataFrame([(1, "a@b.cd", "own", "x"), (None, None, None, None)], "doc_id long, text string, pii string, spans string")
+    assert [tuple(r) for r in pii.mask(df).collect()] == [(1, "[EMAIL]", "own", "x"), (None, None, None, None)]
+
+
 def test_query(spark, sf_dir):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = queries.op6_pii(spark, sf_dir).collect()
