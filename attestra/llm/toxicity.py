@@ -25,6 +25,8 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
 
@@ -34,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestra.llm.common import Workspace, add_with_arrow, claim, without
+from attestra.llm.common import Workspace, add_with_arrow, bounded_batches, claim, without
 
 #: The bound on what is learned from; nothing else of the fit grows beyond it.
 MAX_FIT_ROWS = 16_000
@@ -273,6 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     # MAX_FIT_ROWS bounds the broadcast side, and the ids that the rest is grouped by.
     rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(known), "_k").where(F.col("_t").isNotNull())
     rows = rows.groupBy("_k", "_y", (F.pmod(F.col("_h"), F.lit(2)) == 0).alias("_first")).agg(F.min("_t").alias("_t"))
+    bounded_batches(docs.sparkSession)
     space = Workspace(docs.sparkSession, "toxicity-fit")
     try:
         return _fitted(space.written(rows, "sample"), space)
@@ -289,8 +292,9 @@ def _fitted(sample: DataFrame, space: Workspace) -> Model:
     constant = (math.log(share / (1 - share)), 0.0, 0.0, 0.0, 0.0, 0.0)
     if not n["t"] or not n["c"]:
         return Model((), (), constant)
-    held = add_with_arrow(sample, [T.StructField("_ws", T.ArrayType(T.StringType()))], _terms, ["_y", "_first"])
-    counts = space.written(held.select("_y", "_first", F.explode("_ws").alias("_w")).groupBy("_w").agg(*tallies), "counts")
+    names = ("t1", "c1", "t", "c")
+    each = sample.select("_y", "_first", "_t").mapInArrow(_tallied, "_w string, t1 long, c1 long, t long, c long")
+    counts = space.written(each.groupBy("_w").agg(*[F.sum(c).alias(c) for c in names]), "counts")
     half = Model(*_lexicon(counts, "t1", "c1", n["t1"], n["c1"]), constant)
     other = add_with_arrow(sample.where(~F.col("_first")), [T.StructField("f", T.ArrayType(T.DoubleType()))], _features(half), ["_y"])
     rows = other.select("_y", "f").collect()  # one short row an id, MAX_FIT_ROWS at most
@@ -299,11 +303,18 @@ def _fitted(sample: DataFrame, space: Workspace) -> Model:
     return Model(*_lexicon(counts, "t", "c", n["t"], n["c"]), beta)
 
 
-def _terms():
-    def step(batch: pa.RecordBatch) -> list[pa.Array]:
-        return [pa.array([terms_in(t.as_py()) for t in batch.column(batch.schema.get_field_index("_t"))], pa.list_(pa.string()))]
-
-    return step
+def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many toxic and clean texts of the first half, and of all, a term is found; a row a term of each batch."""
+    claim("toxicity", scorer_of.cache_clear)
+    for batch in batches:
+        tallies: list[Counter] = [Counter() for _ in range(4)]
+        for y, first, t in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            terms = terms_in(t)
+            tallies[2 if y else 3].update(terms)
+            if first:
+                tallies[0 if y else 1].update(terms)
+        words = list(dict.fromkeys([*tallies[2], *tallies[3]]))
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *[pa.array([n[w] for w in words], pa.int64()) for n in tallies]], names=["_w", "t1", "c1", "t", "c"])
 
 
 def _lexicon(counts: DataFrame, t: str, c: str, n_toxic: int, n_clean: int) -> tuple[tuple, tuple]:
