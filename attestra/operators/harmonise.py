@@ -2,13 +2,14 @@
 
 Each part of a payload is a table of fields: name, the keys that may hold it, its type and its default. One evaluator
 reads a table: an object is taken apart once, by a single cast to a struct of all keys; then the first key that is neither
-missing nor null is picked, and its kind and text are read once. Steps are bound to lambda variables, as Spark repeats what is
-written twice inside nested lambdas.
+missing nor null is picked, and its kind and text are read once. Expressions are put together as SQL text, one for a payload;
+steps are bound to lambda variables, as Spark repeats what is written twice inside nested lambdas.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,240 +112,263 @@ STATE_SYNONYMS = {
 ABSOLUTE = "(?i)^(https?:|blob:|data:)"
 
 Field = tuple[str, tuple[str, ...], str, object]
+NO_NUMBER = "CAST(NULL AS DOUBLE)"
+_names = count()
 
 
-def bound(v: Column, f: Callable[[Column], Column]) -> Column:
+class Sql(str):
+    """An expression, where a plain value would be a literal."""
+
+
+def literal(value: object) -> str:
+    if isinstance(value, Sql):
+        return value
+    if value is None:
+        return "NULL"
+    return f"{value!r}D" if isinstance(value, float) else "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def bound(v: str, f: Callable[[str], str]) -> str:
     """f of v, with v worked out once."""
-    return F.get(F.transform(F.array(v), lambda x: f(x)), F.lit(0))
+    x = f"v{next(_names)}"
+    return f"get(transform(array({v}), {x} -> {f(x)}), 0)"
 
 
-def kind(v: Column) -> Column:
+def mapped(list_: str, f: Callable[[str, str], str]) -> str:
+    x, i = f"v{next(_names)}", f"i{next(_names)}"
+    return f"transform({list_}, ({x}, {i}) -> {f(x, i)})"
+
+
+def struct(**cells: str) -> str:
+    return "named_struct(" + ", ".join(f"'{n}', {c}" for n, c in cells.items()) + ")"
+
+
+def of(v: str, field: str) -> str:
+    return f"{v}.`{field}`"
+
+
+def kind_of(v: str) -> str:
     """STRING, OBJECT<...>, ARRAY<...> or a number's type, as the variant has it."""
-    return F.schema_of_variant(v)
+    return f"schema_of_variant({v})"
 
 
-def is_object(v: Column) -> Column:
-    return F.coalesce(F.startswith(kind(v), F.lit("OBJECT")), F.lit(False))
+def string_of(v: str) -> str:
+    return f"try_variant_get({v}, '$', 'string')"
 
 
-def is_array(v: Column) -> Column:
-    return F.coalesce(F.startswith(kind(v), F.lit("ARRAY")), F.lit(False))
+def is_object(v: str) -> str:
+    return f"coalesce(startswith({kind_of(v)}, 'OBJECT'), false)"
 
 
-def keys_of(v: Column, fields: tuple[Field, ...]) -> Column:
+def is_array(v: str) -> str:
+    return f"coalesce(startswith({kind_of(v)}, 'ARRAY'), false)"
+
+
+def keys_of(v: str, fields: tuple[Field, ...]) -> str:
     """All keys of the fields by one cast; nulls where v is no object or lacks them."""
     keys = dict.fromkeys(k for _, ks, _, _ in fields for k in ks)
-    return F.try_variant_get(v, "$", "struct<" + ",".join(f"{k}:variant" for k in keys) + ">")
+    return f"try_variant_get({v}, '$', 'struct<{','.join(f'{k}:variant' for k in keys)}>')"
 
 
-def first_present(s: Column, fields: tuple[Field, ...]) -> Column:
-    """For each field the first of its keys that is neither missing nor null: parts as variants, the rest as kind and text."""
+def scalar(v: str) -> str:
+    return struct(k=kind_of(v), t=string_of(v))
 
-    def one(v: Column, type_: str) -> Column:
-        if type_ in ("part", "list"):
-            return v
-        return F.struct(kind(v).alias("k"), F.try_variant_get(v, "$", "string").alias("t"))
 
-    pick = lambda ks: F.coalesce(*[F.when(~F.is_variant_null(s[k]), s[k]) for k in ks])
-    chosen = lambda ks, t: one(pick(ks), t) if len(ks) == 1 or t in ("part", "list") else bound(pick(ks), lambda v: one(v, t))
-    return F.struct(*[chosen(ks, t).alias(n) for n, ks, t, _ in fields])
+def first_present(s: str, fields: tuple[Field, ...]) -> str:
+    """For each field the first of its keys that is neither missing nor null: parts as variants, the rest as kind and text."""
+    pick = lambda ks: "coalesce(" + ", ".join(f"if(is_variant_null({of(s, k)}), NULL, {of(s, k)})" for k in ks) + ")"
+    return struct(**{n: pick(ks) if t in ("part", "list") else bound(pick(ks), scalar) for n, ks, t, _ in fields})
 
 
-def clamp(x: Column, low: float = 0.0, high: float = 100.0) -> Column:
-    return F.least(F.lit(high), F.greatest(F.lit(low), x))
+def clamp(x: str, low: float = 0.0, high: float = 100.0) -> str:
+    return f"least({high}D, greatest({low}D, {x}))"
 
 
-def number_of(x: Column, fallback: object) -> Column:
+def number_of(x: str, fallback: object) -> str:
     """A number or a numeric string; blank strings are 0, true is 1; what is not finite gives the fallback."""
-    number = F.when(x.k == "BOOLEAN", (x.t == "true").cast("double")).when(F.trim(x.t) == "", 0.0).otherwise(F.trim(x.t).try_cast("double"))
-    other = fallback if isinstance(fallback, Column) else F.lit(None if fallback is None else float(fallback)).cast("double")
-    return bound(number, lambda n: F.when(~F.isnan(n) & (F.abs(n) < float("inf")), n).otherwise(other))
+    k, t = of(x, "k"), f"trim({of(x, 't')})"
+    number = f"CASE WHEN {k} = 'BOOLEAN' THEN CAST({t} = 'true' AS DOUBLE) WHEN {t} = '' THEN 0D ELSE try_cast({t} AS DOUBLE) END"
+    other = NO_NUMBER if fallback is None else literal(fallback)
+    return bound(number, lambda n: f"if(NOT isnan({n}) AND abs({n}) < double('infinity'), {n}, {other})")
 
 
-def text_of(x: Column, fallback: object) -> Column:
-    other = fallback if isinstance(fallback, Column) else F.lit(fallback)
-    return F.when(x.k == "STRING", x.t).otherwise(other)
+def text_of(x: str, fallback: object) -> str:
+    return f"if({of(x, 'k')} = 'STRING', {of(x, 't')}, {literal(fallback)})"
 
 
-def score_of(x: Column) -> Column:
+def score_of(x: str) -> str:
     """0 to 100; a value above 0 and at most 1 counts as a share of one."""
-    return clamp(F.when((x > 0) & (x <= 1), x * 100).otherwise(x))
-
+    return clamp(f"if({x} > 0 AND {x} <= 1, {x} * 100, {x})")
 
-def url_of(url: Column, base: str = "") -> Column:
-    kept = (url == "") | url.rlike(ABSOLUTE)
-    return F.when(kept, url).when(url.startswith("/"), F.concat(F.lit(base), url)).otherwise(F.concat(F.lit(f"{base}/"), url))
 
-
-def asset_url(v: Column, base: str = "") -> Column:
-    return bound(F.struct(kind(v).alias("k"), F.try_variant_get(v, "$", "string").alias("t")), lambda x: url_of(text_of(x, ""), base))
+def url_of(url: str, base: str = "") -> str:
+    return f"CASE WHEN {url} = '' OR {url} RLIKE {literal(ABSOLUTE)} THEN {url} WHEN startswith({url}, '/') THEN concat({literal(base)}, {url}) ELSE concat({literal(base + '/')}, {url}) END"
 
 
-def value_of(x: Column, type_: str, default: object) -> Column:
+def value_of(x: str, type_: str, default: object) -> str:
     if type_ in ("part", "list"):
         return x
-    if type_ in ("text", "url"):
-        return text_of(x, default) if type_ == "text" else bound(text_of(x, default), url_of)
+    if type_ == "text":
+        return text_of(x, default)
+    if type_ == "url":
+        return bound(text_of(x, default), url_of)
+    if type_ == "size":
+        return f"if({of(x, 'k')} IS NOT NULL, {number_of(x, 0.0)}, {NO_NUMBER})"
     number = number_of(x, default)
-    return {
-        "number": lambda: number,
-        "size": lambda: F.when(x.k.isNotNull(), number_of(x, 0.0)),
-        "score": lambda: bound(number, score_of),
-        "percent": lambda: clamp(number),
-        "natural": lambda: F.greatest(F.lit(0.0), number) if default is not None else number,
-        "positive": lambda: F.greatest(F.lit(1.0), number) if default is not None else number,
-    }[type_]()
+    if type_ == "score":
+        return bound(number, score_of)
+    if type_ == "percent":
+        return clamp(number)
+    least = {"natural": "0D", "positive": "1D"}.get(type_)
+    return f"greatest({least}, {number})" if least and default is not None else number
 
 
-def values(p: Column, fields: tuple[Field, ...], **defaults: Column) -> Column:
-    return F.struct(*[value_of(p[n], t, defaults.get(n, d)).alias(n) for n, _, t, d in fields])
-
-
-def read(v: Column, fields: tuple[Field, ...], **defaults: Column) -> Column:
+def read(v: str, fields: tuple[Field, ...]) -> str:
     """The fields of an object as a struct."""
-    return bound(bound(keys_of(v, fields), lambda s: first_present(s, fields)), lambda p: values(p, fields, **defaults))
+    values = lambda p: struct(**{n: value_of(of(p, n), t, d) for n, _, t, d in fields})
+    return bound(bound(keys_of(v, fields), lambda s: first_present(s, fields)), values)
 
 
-def read_all(list_: Column, fields: tuple[Field, ...]) -> Column:
-    """The fields of every element, unfinished: kinds and texts."""
-    return F.transform(F.transform(list_, lambda v: keys_of(v, fields)), lambda s: first_present(s, fields))
+SIDES = ("x", "y", "width", "height")
 
 
-def box(v: Column) -> Column:
+def box(v: str) -> str:
     """x, y, width, height in 0..1 from an array of four or an object under any of its spellings."""
-    none = F.lit(None).cast("double")
-    listed = F.try_variant_get(v, "$", "array<variant>")
-    item = lambda a, i: number_of(F.struct(kind(F.get(a, F.lit(i))).alias("k"), F.try_variant_get(F.get(a, F.lit(i)), "$", "string").alias("t")), 0.0)
-    of_list = bound(listed, lambda a: F.struct(*[F.when(F.size(a) > 3, item(a, i)).otherwise(0.0).alias(c) for i, c in enumerate(("x", "y", "width", "height"))]))
-    size = lambda n, at, end: F.when((n == 0) & end.isNotNull(), end - at).otherwise(n)
+    item = lambda a, i: number_of(scalar(f"get({a}, {i})"), 0.0)
+    of_list = bound(f"try_variant_get({v}, '$', 'array<variant>')", lambda a: struct(**{c: f"if(size({a}) > 3, {item(a, i)}, 0D)" for i, c in enumerate(SIDES)}))
+    size = lambda n, at, end: f"if({n} = 0 AND {end} IS NOT NULL, {end} - {at}, {n})"
     ends = tuple((n, k, t, None if n in ("x1", "y1") else d) for n, k, t, d in BOX)
-    of_object = bound(read(v, ends), lambda b: F.struct(b.x.alias("x"), b.y.alias("y"), size(b.w, b.x, b.x1).alias("width"), size(b.h, b.y, b.y1).alias("height")))
-    empty = F.struct(*[none.alias(c) for c in ("x", "y", "width", "height")])
-    found = F.when(is_array(v), of_list).when(is_object(v), of_object).otherwise(empty)
-    return bound(found, lambda b: F.struct(*[clamp(F.coalesce(b[c], F.lit(0.0)), 0.0, 1.0).alias(c) for c in ("x", "y", "width", "height")]))
+    of_object = bound(read(v, ends), lambda b: struct(x=f"{b}.x", y=f"{b}.y", width=size(f"{b}.w", f"{b}.x", f"{b}.x1"), height=size(f"{b}.h", f"{b}.y", f"{b}.y1")))
+    found = f"CASE WHEN {is_array(v)} THEN {of_list} WHEN {is_object(v)} THEN {of_object} ELSE {struct(**dict.fromkeys(SIDES, NO_NUMBER))} END"
+    return bound(found, lambda b: struct(**{c: clamp(f"coalesce({b}.{c}, 0D)", 0.0, 1.0) for c in SIDES}))
 
 
-def measurements(v: Column) -> Column:
+def measurements(v: str) -> str:
     """Scalar and null entries of an object, as strings."""
-    entries = F.coalesce(F.try_variant_get(v, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
-    scalar = F.map_filter(entries, lambda _, x: ~(is_object(x) | is_array(x)))
-    return F.transform_values(scalar, lambda _, x: F.try_variant_get(x, "$", "string"))
+    entries = f"coalesce(try_variant_get({v}, '$', 'map<string,variant>'), CAST(map() AS map<string,variant>))"
+    return f"transform_values(map_filter({entries}, (k, x) -> NOT ({is_object('x')} OR {is_array('x')})), (k, x) -> {string_of('x')})"
 
 
-def descriptor(v: Column) -> Column:
+def descriptor(v: str) -> str:
     """A document's description with its defaults; null unless an object."""
-    return F.when(is_object(v), bound(read(v, DESCRIPTOR), lambda d: d.withField("transform", read(d["transform"], TRANSFORM))))
+    names = [f[0] for f in DESCRIPTOR]
+    return f"if({is_object(v)}, " + bound(read(v, DESCRIPTOR), lambda d: struct(**{n: read(of(d, n), TRANSFORM) if n == "transform" else of(d, n) for n in names})) + ", NULL)"
 
 
-def evidence(v: Column) -> Column:
-    listed = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda e: F.when(kind(e) == "STRING", F.try_variant_get(e, "$", "string")).otherwise(""))
-    one = F.when(kind(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(F.lit(dict((f[0], f[3]) for f in FINDING)["evidence_source"]))
-    return F.when(is_array(v), F.array_join(F.filter(listed, lambda s: s != ""), ", ")).otherwise(one)
+def evidence(v: str) -> str:
+    default = dict((f[0], f[3]) for f in FINDING)["evidence_source"]
+    listed = mapped(f"try_variant_get({v}, '$', 'array<variant>')", lambda e, _: f"if({kind_of(e)} = 'STRING', {string_of(e)}, '')")
+    return f"CASE WHEN {is_array(v)} THEN array_join(filter({listed}, s -> s <> ''), ', ') WHEN {kind_of(v)} = 'STRING' THEN {string_of(v)} ELSE {literal(default)} END"
 
 
-def findings_of(list_: Column) -> Column:
+def findings_of(list_: str) -> str:
     """An array of variants as findings, step by step over the whole array. Links are read from `assets` where that is an object."""
-    own = F.transform(list_, lambda v: F.struct(keys_of(v, FINDING + LINKS).alias("s")))
-    picked = F.transform(own, lambda o: F.struct(first_present(o.s, FINDING).alias("p"), F.when(is_object(o.s.assets), bound(keys_of(o.s.assets, LINKS), lambda s: first_present(s, LINKS))).otherwise(first_present(o.s, LINKS)).alias("l")))
 
-    def finished(x: Column, i: Column) -> Column:
-        name = F.concat(F.lit("finding-"), (i + 1).cast("string"))
+    def picked(s: str, _: str) -> str:
+        links = of(s, "assets")
+        inner = bound(keys_of(links, LINKS), lambda k: first_present(k, LINKS))
+        return struct(p=first_present(s, FINDING), l=f"if({is_object(links)}, {inner}, {first_present(s, LINKS)})")
+
+    def finished(x: str, i: str) -> str:
         part = {"bounding_box": box, "evidence_source": evidence, "measurements": measurements}
-        cells = []
+        cells = {}
         for n, _, t, d in FINDING:
+            own = of(f"{x}.p", n)
             if n == "measurements":
-                cells += [value_of(x.l[m], u, e).alias(m) for m, _, u, e in LINKS]
+                cells |= {m: value_of(of(f"{x}.l", m), u, e) for m, _, u, e in LINKS}
             if n != "assets":
-                cell = part[n](x.p[n]) if n in part else value_of(x.p[n], t, name if n == "finding_id" else d)
-                cells.append((cell.cast("int") if n == "page_number" else cell).alias(n))
-        return F.struct(*cells)
+                cells[n] = bound(own, part[n]) if n in part else value_of(own, t, Sql(f"concat('finding-', {i} + 1)") if n == "finding_id" else d)
+        cells["page_number"] = f"CAST({cells['page_number']} AS INT)"
+        return struct(**cells)
 
-    return F.transform(picked, finished)
+    return mapped(mapped(mapped(list_, lambda v, _: keys_of(v, FINDING + LINKS)), picked), finished)
 
 
-def listing(v: Column) -> Column:
+def listing(v: str) -> str:
     """The elements of an array, none of anything else."""
-    none = F.array().cast("array<variant>")
-    return F.coalesce(F.when(is_array(v), F.try_variant_get(v, "$", "array<variant>")), none)
+    return f"coalesce(if({is_array(v)}, try_variant_get({v}, '$', 'array<variant>'), NULL), CAST(array() AS array<variant>))"
 
 
-def state_of(text: Column) -> Column:
-    out = F.when(text.isin(*STATE_SYNONYMS["completed"]), "completed")
-    return out.when(text.isin(*STATE_SYNONYMS["failed"]), "failed").when(text.isin(*STATE_SYNONYMS["queued"]), "queued").otherwise("processing")
+def state_of(text: str) -> str:
+    cases = " ".join(f"WHEN {text} IN ({', '.join(map(literal, words))}) THEN {literal(name)}" for name, words in STATE_SYNONYMS.items())
+    return f"CASE {cases} ELSE 'processing' END"
 
 
-def error(v: Column) -> Column:
+def error(v: str) -> str:
     """code, message and field from a string or an object."""
     default = {n: d for n, _, _, d in ERROR}
-    plain = F.struct(F.lit(default["code"]).alias("code"), F.try_variant_get(v, "$", "string").alias("message"), F.lit(None).cast("string").alias("field"))
-    return F.when(kind(v) == "STRING", plain).otherwise(bound(read(v, ERROR), lambda e: e.withField("field", F.nullif(e.field, F.lit("")))))
+    plain = struct(code=literal(default["code"]), message=string_of(v), field="CAST(NULL AS STRING)")
+    other = bound(read(v, ERROR), lambda e: struct(code=f"{e}.code", message=f"{e}.message", field=f"nullif({e}.field, '')"))
+    return f"if(coalesce({kind_of(v)} = 'STRING', false), {plain}, {other})"
 
 
-def result_of(v: Column, other_id: Column) -> Column:
+def result_of(payload: str, other_id: str) -> str:
     """The whole result of a payload as one struct."""
 
-    def pages_of(list_: Column, top: Column) -> Column:
-        def one(p: Column, i: Column) -> Column:
-            number = F.greatest(F.lit(1.0), number_of(p.page_number, (i + 1).cast("double"))).cast("int")
-            own = bound(number, lambda n: F.when(is_array(p.findings), findings_of(listing(p.findings))).otherwise(F.filter(top, lambda f: f.page_number == n)))
-            rest = [value_of(p[n], t, d).alias(n) for n, _, t, d in PAGE[1:-1]]
-            return F.struct(number.alias("page_number"), *rest, own.alias("findings"))
-
-        return F.transform(read_all(list_, PAGE), one)
-
-    def whole(r: Column) -> Column:
-        return bound(F.struct(r.alias("r"), findings_of(listing(r.findings)).alias("top"), read(F.when(is_object(r.metrics), r.metrics).otherwise(v), METRICS).alias("m")), paged)
-
-    def paged(x: Column) -> Column:
-        return bound(F.struct(x.r.alias("r"), x.top.alias("top"), x.m.alias("m"), pages_of(listing(x.r.pages), x.top).alias("pages")), flat)
-
-    def flat(x: Column) -> Column:
-        found = F.when(F.size(x.top) > 0, x.top).otherwise(F.flatten(F.transform(x.pages, lambda p: p.findings)))
-        return bound(F.struct(x.r.alias("r"), x.m.alias("m"), x.pages.alias("pages"), found.alias("findings")), finished)
-
-    def finished(x: Column) -> Column:
-        r, m = x.r, x.m
-        nothing = F.lit(None).cast("double")
-        lone = F.struct(F.lit(1).alias("page_number"), nothing.alias("width"), nothing.alias("height"), r.candidate_image_url.alias("candidate_image_url"), r.reference_image_url.alias("reference_image_url"), x.findings.alias("findings"))
-        return F.struct(
-            F.coalesce(r.result_job_id, other_id).alias("result_job_id"), r.schema_version.alias("schema_version"), r.comparison_mode.alias("comparison_mode"),
-            descriptor(r.reference).alias("reference"), descriptor(r.candidate).alias("candidate"),
-            *[m[n].alias(n) for n in ("overall_tampering_risk", "risk_label", "assessment_confidence", "analysis_coverage", "alignment_quality")],
-            F.greatest(F.lit(0.0), F.coalesce(m.finding_count, F.size(x.findings).cast("double"))).alias("finding_count"),
-            F.greatest(F.lit(0.0), F.coalesce(m.processing_duration_ms, m.seconds * 1000)).alias("processing_duration_ms"),
-            F.when(F.size(x.pages) > 0, x.pages).otherwise(F.array(lone)).alias("pages"), x.findings.alias("findings"),
+    def page(top: str) -> Callable[[str, str], str]:
+        def one(p: str, i: str) -> str:
+            number = f"CAST(greatest(1D, {number_of(of(p, 'page_number'), Sql(f'CAST({i} + 1 AS DOUBLE)'))}) AS INT)"
+            own = of(p, "findings")
+            rest = {n: value_of(of(p, n), t, d) for n, _, t, d in PAGE[1:-1]}
+            return bound(number, lambda n: struct(page_number=n, **rest, findings=f"if({is_array(own)}, {findings_of(listing(own))}, filter({top}, f -> f.page_number = {n}))"))
+
+        return one
+
+    def whole(v: str) -> str:
+        measured = lambda r: bound(f"if({is_object(of(r, 'metrics'))}, {of(r, 'metrics')}, {v})", lambda m: read(m, METRICS))
+        return bound(read(v, RESULT), lambda r: bound(struct(top=findings_of(listing(of(r, "findings"))), m=measured(r)), lambda x: paged(r, x)))
+
+    def paged(r: str, x: str) -> str:
+        sheets = mapped(mapped(mapped(listing(of(r, "pages")), lambda v, _: keys_of(v, PAGE)), lambda s, _: first_present(s, PAGE)), page(f"{x}.top"))
+        return bound(sheets, lambda pages: bound(f"if(size({x}.top) > 0, {x}.top, flatten(transform({pages}, p -> p.findings)))", lambda found: finished(r, f"{x}.m", pages, found)))
+
+    def finished(r: str, m: str, pages: str, found: str) -> str:
+        lone = struct(page_number="1", width=NO_NUMBER, height=NO_NUMBER, candidate_image_url=f"{r}.candidate_image_url", reference_image_url=f"{r}.reference_image_url", findings=found)
+        plain = ("overall_tampering_risk", "risk_label", "assessment_confidence", "analysis_coverage", "alignment_quality")
+        return struct(
+            result_job_id=f"coalesce({r}.result_job_id, {other_id})", schema_version=f"{r}.schema_version", comparison_mode=f"{r}.comparison_mode",
+            reference=bound(of(r, "reference"), descriptor), candidate=bound(of(r, "candidate"), descriptor), **{n: of(m, n) for n in plain},
+            finding_count=f"greatest(0D, coalesce({m}.finding_count, CAST(size({found}) AS DOUBLE)))", processing_duration_ms=f"greatest(0D, coalesce({m}.processing_duration_ms, {m}.seconds * 1000))",
+            pages=f"if(size({pages}) > 0, {pages}, array({lone}))", findings=found,
         )
 
-    return bound(read(v, RESULT), whole)
+    return bound(payload, whole)
+
+
+def kind(v: Column) -> Column:
+    return F.schema_of_variant(v)
+
+
+def asset_url(v: Column, base: str = "") -> Column:
+    """A link of a variant: absolute ones and blanks as they are, others behind base."""
+    url = F.when(kind(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise("")
+    return F.when((url == "") | url.rlike(ABSOLUTE), url).when(url.startswith("/"), F.concat(F.lit(base), url)).otherwise(F.concat(F.lit(f"{base}/"), url))
 
 
 def harmonise_results(df: DataFrame, payload: str, job_id: str | None = None) -> DataFrame:
     """df with one column for each part of the result in its JSON payload; a payload that isn't an object gives defaults."""
-    other_id = F.col(job_id).cast("string") if job_id else F.lit("")
-    found = df.withColumn("_r", result_of(F.try_parse_json(payload), other_id))
+    other_id = f"CAST(`{job_id}` AS STRING)" if job_id else "''"
+    found = df.withColumn("_r", F.expr(result_of(f"try_parse_json(`{payload}`)", other_id)))
     return found.select(*[F.col(f"`{c}`") for c in df.columns], "_r.*")
 
 
 def harmonise_jobs(df: DataFrame, payload: str) -> DataFrame:
     """State, progress, stage, message, error and nested result of job payloads; findings are counted from the result where no count is given."""
-    df = df.withColumn("_v", F.try_parse_json(payload)).withColumn("_j", read(F.col("_v"), JOB))
-    df = df.withColumn("_result", F.when(F.col("_j.result").isNotNull(), result_of(F.col("_j.result"), F.col("_j.job_id"))))
-    j, status = F.col("_j"), F.col("_s")
-    df = df.withColumn("_s", state_of(F.lower(j.state)))
-    return df.select(
-        *[f"`{c}`" for c in df.columns if not c.startswith("_")],
-        j.job_id.alias("job_id"), status.alias("state"), j.progress.alias("progress"), F.coalesce(j.current_stage, status).alias("current_stage"), j.message.alias("message"),
-        F.greatest(F.lit(0.0), F.coalesce(j.finding_count, F.col("_result.finding_count"), F.lit(0.0))).alias("finding_count"),
-        F.nullif(j.candidate_page_url, F.lit("")).alias("candidate_page_url"), F.when(j.error.isNotNull() | (status == "failed"), error(j.error)).alias("error"), F.col("_result").alias("result"),
-    )
+    found = df.withColumn("_j", F.expr(read(f"try_parse_json(`{payload}`)", JOB)))
+    found = found.withColumn("_s", F.expr(state_of("lower(_j.state)"))).withColumn("_result", F.expr(f"if(_j.result IS NOT NULL, {result_of('_j.result', '_j.job_id')}, NULL)"))
+    cells = {
+        "job_id": "_j.job_id", "state": "_s", "progress": "_j.progress", "current_stage": "coalesce(_j.current_stage, _s)", "message": "_j.message",
+        "finding_count": "greatest(0D, coalesce(_j.finding_count, _result.finding_count, 0D))", "candidate_page_url": "nullif(_j.candidate_page_url, '')",
+        "error": f"if(_j.error IS NOT NULL OR _s = 'failed', {bound('_j.error', error)}, NULL)", "result": "_result",
+    }
+    return found.select(*[F.col(f"`{c}`") for c in df.columns], *[F.expr(c).alias(n) for n, c in cells.items()])
 
 
 def harmonise_events(df: DataFrame, payload: str) -> DataFrame:
     """Progress events with their defaults; an event without a time of its own has none."""
-    found = df.withColumn("_e", read(F.try_parse_json(payload), EVENT))
-    e = F.col("_e")
-    cells = {"progress_event_id": F.coalesce(F.try_variant_get(e.progress_event_id, "$", "string"), F.lit("")), "candidate_page_url": F.nullif(e.candidate_page_url, F.lit(""))}
-    return found.select(*[F.col(f"`{c}`") for c in df.columns], *[cells.get(n, e[n]).alias(n) for n, _, _, _ in EVENT])
+    found = df.withColumn("_e", F.expr(read(f"try_parse_json(`{payload}`)", EVENT)))
+    cells = {"progress_event_id": f"coalesce({string_of('_e.progress_event_id')}, '')", "candidate_page_url": "nullif(_e.candidate_page_url, '')"}
+    return found.select(*[F.col(f"`{c}`") for c in df.columns], *[F.expr(cells.get(n, of("_e", n))).alias(n) for n, _, _, _ in EVENT])
 
 
 def duration_text(ms: Column) -> Column:
