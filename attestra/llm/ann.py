@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from attestra.llm.common import Workspace, bounded_batches
 
-#: A shard has so many nodes or bytes of vectors at most.
-SHARD_ROWS, SHARD_BYTES, MIN_SHARDS = 50_000, 32 << 20, 4
+#: A shard has so many nodes or bytes of vectors at most; with EF_SEARCH, recall falls with its size (README).
+SHARD_ROWS, SHARD_BYTES, MIN_SHARDS = 16_000, 32 << 20, 4
 #: Links of a node on upper levels and on the lowest; a list grows by SPARE before it is chosen anew.
 M, M0, SPARE = 16, 32, 16
 EF_BUILD, EF_SEARCH = 80, 128
