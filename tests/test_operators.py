@@ -281,6 +281,17 @@ def test_log_files(spark, tmp_path):
     assert files.stream_events(spark, path).isStreaming
 
 
+def test_results_as_json(spark, tmp_path):
+    """Nested results written one object a line and read back; the JSON column says the same."""
+    rows = [(1, 93.6, [(1, [("finding-001", 80.5)])]), (2, 0.0, [(1, [])])]
+    docs = spark.createDataFrame(rows, "pair_id long, overall_tampering_risk double, pages array<struct<page_number:int,findings:array<struct<finding_id:string,risk_score:double>>>>")
+    files.write_results(docs, str(tmp_path / "out"))
+    back = spark.read.schema(docs.schema).json(str(tmp_path / "out"))
+    assert back.exceptAll(docs).count() == 0 and back.count() == 2
+    texts = files.results_json(docs).select("pair_id", F.from_json("payload", docs.schema).alias("p")).select("p.*")
+    assert texts.exceptAll(docs).count() == 0 and texts.count() == 2
+
+
 def test_manifest_and_binding(spark, tmp_path):
     (tmp_path / "m.json").write_text('{"fixture": "f", "alterations": [{"field": "R", "before": "A", "after": "B", "expected_category": "c",\n "normalized_bbox": {"x": 0.1, "y": 0.2, "width": 0.3, "height": 0.4}}], "thresholds": {"clean_max_risk": 15}}')
     row = files.scan_expected(spark, str(tmp_path / "m.json")).first()
