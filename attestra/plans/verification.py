@@ -90,7 +90,7 @@ def verify_pairs(pairs: DataFrame, docs: DataFrame, width: int = PAGE_WIDTH, hei
     matched = space.written(text.token_align(words), "matched")
     changes = text.text_changes(words, space.written(text.hunks(words, matched), "gaps"))
     aligned = space.written(align_by_words(pairs, words, matched, width, height), "aligned")
-    runs = space.written(pages.changed_runs(pages.word_rasters(words, width, height), aligned), "runs") if visual else None
+    runs = space.written(pages.word_runs(words, width, height), "runs") if visual else None
     documents, found = verified(pairs, space.written(changes, "changes"), aligned, runs, width, height, space)
     documents, found = written(documents, "documents"), written(found, "findings")
     space.close()
