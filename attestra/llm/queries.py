@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import ann, bpe, chat, mixing, ngram_join, pii, quality, sharding, toxicity, warc
+from attestra.llm import ann, bpe, chat, fim, mixing, ngram_join, pii, quality, sharding, toxicity, warc
 from attestra.llm.common import read_table
 
 RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -185,6 +185,26 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~toxicity.in_fit(F.col("doc_id"))).alias("held_out"), "score", "predicted")
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = fim.transform(docs, keep=["doc_id"])
+    return cut.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    )
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+h AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u, [CAST('0x' || x[8 * i + 1:8 * i + 8] AS BIGINT) for i in range(4)] AS h FROM d),
+c AS (SELECT doc_id, t, u, len(u) AS n, t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 100 AS plain, h[4] % 100 < 50 AS spm,
+  least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b FROM h),
+p AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM c)
+SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form, CASE WHEN NOT plain THEN length(p) END AS prefix_chars, CASE WHEN NOT plain THEN length(m) END AS middle_chars,
+  sha256(CASE WHEN plain THEN t WHEN spm THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_warc": op2_warc,
@@ -196,6 +216,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_ngram_join": op9_ngram_join,
     "op10_toxicity": op10_toxicity,
+    "op11_fim": op11_fim,
 }
 
-ORACLES = {"op2_warc": OP2_SQL, "op3_quality": OP3_SQL, "op4_chat": OP4_SQL, "op8_mixing": OP8_SQL, "op9_ngram_join": OP9_SQL}
+ORACLES = {"op2_warc": OP2_SQL, "op3_quality": OP3_SQL, "op4_chat": OP4_SQL, "op8_mixing": OP8_SQL, "op9_ngram_join": OP9_SQL, "op11_fim": OP11_SQL}
