@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import ann, bpe, chat, fim, mixing, ngram_join, pii, quality, sharding, toxicity, warc
+from attestra.llm import ann, bpe, chat, fim, mixing, ngram_join, pii, quality, repair, sharding, toxicity, warc
 from attestra.llm.common import read_table
 
 RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -205,6 +205,48 @@ FROM p
 """
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = repair.damaged(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    made = F.array_join(F.transform("repaired", lambda t: F.concat(t.role, F.lit(":"), t.text)), "\n")
+    return repair.repair(turns, F.col("lost")).withColumn("repaired_sha256", F.sha2(made, 256)).drop("repaired")
+
+
+OP12_SQL = r"""
+WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(k, ''), lambda c: [CAST(unicode(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+  lambda c, x: CASE WHEN xor(c, x) % 2 = 1 THEN xor(xor(c, x) >> 1, 3988292384::BIGINT) ELSE xor(c, x) >> 1 END), 4294967295::BIGINT) % 20 AS h FROM o),
+d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(range(0, CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, left(role, 1) AS i,
+  rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM d),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS dup, lag(i) OVER (PARTITION BY conv_id ORDER BY pos) AS prev FROM n),
+g AS (SELECT *, CASE WHEN t = '' THEN 'blank' WHEN dup THEN 'duplicate' WHEN right(t, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault FROM f),
+s AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+  count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE prev IS NOT NULL AND prev || i NOT IN ('su', 'ua', 'au')) AS illegal, max(pos) AS rows FROM g GROUP BY conv_id),
+q AS (SELECT *, fault IN ('none', 'truncated') AS stays, CASE WHEN fault = 'truncated' THEN 5::BIGINT ELSE 0::BIGINT END AS e FROM g),
+r(conv_id, pos, b0, b1, b2, b3) AS (
+  SELECT conv_id, rows + 1, {'c': 0::BIGINT, 'a': ''}, {'c': 10::BIGINT, 'a': 'II'}, {'c': 5::BIGINT, 'a': 'I'}, {'c': 0::BIGINT, 'a': ''} FROM s
+  UNION ALL
+  SELECT conv_id, pos, list_min([p0, {'c': 5 + c2.c, 'a': 'I' || c2.a}]), list_min([p1, {'c': 5 + c2.c, 'a': 'I' || c2.a}]), c2, list_min([p3, {'c': 5 + p2.c, 'a': 'I' || p2.a}])
+  FROM (SELECT *, list_min([p2, {'c': 5 + p3.c, 'a': 'I' || p3.a}]) AS c2 FROM (
+    SELECT r.conv_id, q.pos,
+      list_min([{'c': 2 + b0.c, 'a': 'D' || b0.a}, CASE WHEN stays AND i = 's' THEN {'c': e + b1.c, 'a': 'K' || b1.a} END, CASE WHEN stays AND i = 'u' THEN {'c': e + b2.c, 'a': 'K' || b2.a} END, CASE WHEN stays THEN {'c': 1 + e + b2.c, 'a': 'R' || b2.a} END]) AS p0,
+      list_min([{'c': 2 + b1.c, 'a': 'D' || b1.a}, CASE WHEN stays AND i = 'u' THEN {'c': e + b2.c, 'a': 'K' || b2.a} END, CASE WHEN stays THEN {'c': 1 + e + b2.c, 'a': 'R' || b2.a} END]) AS p1,
+      list_min([{'c': 2 + b2.c, 'a': 'D' || b2.a}, CASE WHEN stays AND i = 'a' THEN {'c': e + b3.c, 'a': 'K' || b3.a} END, CASE WHEN stays THEN {'c': 1 + e + b3.c, 'a': 'R' || b3.a} END]) AS p2,
+      list_min([{'c': 2 + b3.c, 'a': 'D' || b3.a}, CASE WHEN stays AND i = 'u' THEN {'c': e + b2.c, 'a': 'K' || b2.a} END, CASE WHEN stays THEN {'c': 1 + e + b2.c, 'a': 'R' || b2.a} END]) AS p3
+    FROM r JOIN q ON q.conv_id IS NOT DISTINCT FROM r.conv_id AND q.pos = r.pos - 1))),
+best AS (SELECT conv_id, b0.c AS cost, b0.a AS audit FROM r WHERE pos = 1),
+l AS (SELECT conv_id, unnest(string_split(audit, '')) AS letter, generate_subscripts(string_split(audit, ''), 1) AS k FROM best WHERE audit <> ''),
+m AS (SELECT *, count(*) FILTER (WHERE letter <> 'I') OVER w AS row, count(*) FILTER (WHERE letter <> 'D') OVER w AS nth FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY k ROWS UNBOUNDED PRECEDING)),
+x AS (SELECT m.conv_id, m.k, m.letter, m.nth, q.role, q.text, q.i FROM m LEFT JOIN q ON m.letter <> 'I' AND q.conv_id IS NOT DISTINCT FROM m.conv_id AND q.pos = m.row WHERE m.letter <> 'D'),
+y AS (SELECT *, max(CASE WHEN nth = 1 AND letter = 'K' AND i = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS sys FROM x),
+z AS (SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (nth - sys) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS made FROM y GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(made, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_warc": op2_warc,
@@ -217,6 +259,7 @@ QUERIES = {
     "op9_ngram_join": op9_ngram_join,
     "op10_toxicity": op10_toxicity,
     "op11_fim": op11_fim,
+    "op12_repair": op12_repair,
 }
 
-ORACLES = {"op2_warc": OP2_SQL, "op3_quality": OP3_SQL, "op4_chat": OP4_SQL, "op8_mixing": OP8_SQL, "op9_ngram_join": OP9_SQL, "op11_fim": OP11_SQL}
+ORACLES = {"op2_warc": OP2_SQL, "op3_quality": OP3_SQL, "op4_chat": OP4_SQL, "op8_mixing": OP8_SQL, "op9_ngram_join": OP9_SQL, "op11_fim": OP11_SQL, "op12_repair": OP12_SQL}
