@@ -96,8 +96,8 @@ class _Powers:
 _powers = _Powers()
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Document number and hash of every word of UTF-8 texts that lie at data[starts[i]:ends[i]]."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _byte) -> tuple[np.ndarray, np.ndarray]:
+    """Document number and hash of every word of UTF-8 texts that lie at data[starts[i]:ends[i]]. values: a number for each byte."""
     if not len(data):
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     blank = _blank[data]
@@ -116,7 +116,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
         part = data[base : last[b - 1]]
         up, down = _powers.to(len(part) + 1)
         sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_byte[part] * up[:-1], out=sums[1:])
+        np.cumsum(values[part] * up[:-1], out=sums[1:])
         s, e = first[a:b] - base, last[a:b] - base
         hashes[a:b] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
         a = b

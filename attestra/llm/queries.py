@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import ann, bpe, chat, fim, mixing, ngram_join, pii, quality, repair, sharding, toxicity, warc
+from attestra.llm import ann, bpe, chat, fim, mixing, ngram_join, pii, quality, repair, repeats, sharding, toxicity, warc
 from attestra.llm.common import read_table
 
 RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -247,6 +247,22 @@ FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s ON s.conv_id IS
 """
 
 
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeats.remove_repeats(docs, keep=["doc_id"]).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP13_SQL = rf"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+w AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + {repeats.WINDOW - 1}], ' ')) AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {repeats.WINDOW - 2})) AS i FROM d)),
+f AS (SELECT *, min(doc_id) OVER (PARTITION BY g) AS m FROM w),
+c AS (SELECT DISTINCT doc_id, i + j AS p FROM f, range(0, {repeats.WINDOW}) AS r(j) WHERE m < doc_id),
+e AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM d),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM e ANTI JOIN c USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_warc": op2_warc,
@@ -260,6 +276,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_fim": op11_fim,
     "op12_repair": op12_repair,
+    "op13_repeats": op13_repeats,
 }
 
-ORACLES = {"op2_warc": OP2_SQL, "op3_quality": OP3_SQL, "op4_chat": OP4_SQL, "op8_mixing": OP8_SQL, "op9_ngram_join": OP9_SQL, "op11_fim": OP11_SQL, "op12_repair": OP12_SQL}
+ORACLES = {"op2_warc": OP2_SQL, "op3_quality": OP3_SQL, "op4_chat": OP4_SQL, "op8_mixing": OP8_SQL, "op9_ngram_join": OP9_SQL, "op11_fim": OP11_SQL, "op12_repair": OP12_SQL, "op13_repeats": OP13_SQL}
