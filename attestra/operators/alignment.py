@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from attestra.functions.geometry import project
 from attestra.functions.scores import clip
 
+# Ratio of a match to the second best, least matches and inliers, largest error of an inlier, largest corner movement that snaps.
 RATIO, MIN_GOOD, MIN_INLIERS, MAX_ERROR, SNAP = 0.76, 10, 8, 4.0, 0.75
+#: Rounds in which a fit is weighted anew.
+FIT_ROUNDS = 5
 # Names of methods.
 IDENTICAL, HOMOGRAPHY, SNAPPED, BY_SIZE = "exact_pixel_identity", "orb_homography", "orb_identity_snap", "page_dimension_fallback"
 
@@ -41,18 +44,44 @@ def ratio_matches(reference: DataFrame, candidate: DataFrame) -> DataFrame:
     return two.where((F.col("rank") == 1) & (F.col("distance") < RATIO * F.col("second"))).drop("rank", "second")
 
 
-def reprojection(points: DataFrame) -> DataFrame:
-    """pair_id, match_count, inliers, inlier_ratio, reprojection_error (median over inliers) of matched points.
+def fitted(points: DataFrame, *keys: str) -> DataFrame:
+    """points (keys, rx, ry, cx, cy) with `matrix`, the affine map from (rx, ry) to (cx, cy) of each key, by weighted least squares.
 
-    points: pair_id, rx, ry, cx, cy, matrix.
+    The first weights favour points that move like the median; each round then weighs a point down by its distance from the last
+    fit, so points that moved on their own lose their say. The normal equations are sums over a key's points: windows on
+    one partitioning, no join. Points on one line only give a shift.
     """
+    all_ = Window.partitionBy(*keys)
+    weight = lambda square: f"1 / pow(1 + ({square}) / {MAX_ERROR**2}, 2)"
+    out = points.withColumns({"_dx": F.percentile(F.col("cx") - F.col("rx"), F.lit(0.5)).over(all_), "_dy": F.percentile(F.col("cy") - F.col("ry"), F.lit(0.5)).over(all_)})
+    out = out.withColumn("_w", F.expr(weight("pow(cx - rx - _dx, 2) + pow(cy - ry - _dy, 2)")))
+    terms = {"_1": "1", "_x": "rx", "_y": "ry", "_u": "cx", "_v": "cy", "_xx": "rx * rx", "_xy": "rx * ry", "_yy": "ry * ry", "_xu": "rx * cx", "_yu": "ry * cx", "_xv": "rx * cy", "_yv": "ry * cy"}
+    for _ in range(FIT_ROUNDS):
+        out = out.withColumns({k: F.sum(F.expr(f"_w * ({v})")).over(all_) for k, v in terms.items()})
+        # Moments about the mean, then the two unknowns of each side by Cramer's rule.
+        out = out.withColumns({f"_c{a}{b}": F.expr(f"_{a}{b} / _1 - _{a} * _{b} / (_1 * _1)") for a, b in ("xx", "xy", "yy", "xu", "yu", "xv", "yv")})
+        out = out.withColumn("_det", F.expr("CASE WHEN _cxx * _cyy - _cxy * _cxy > 1e-9 * pow(_cxx + _cyy, 2) THEN _cxx * _cyy - _cxy * _cxy END"))
+        solved = {"_a": ("_cxu * _cyy - _cyu * _cxy", 1), "_b": ("_cyu * _cxx - _cxu * _cxy", 0), "_d": ("_cxv * _cyy - _cyv * _cxy", 0), "_e": ("_cyv * _cxx - _cxv * _cxy", 1)}
+        out = out.withColumns({k: F.expr(f"coalesce(({up}) / _det, {rest}D)") for k, (up, rest) in solved.items()})
+        out = out.withColumns({"_c": F.expr("(_u - _a * _x - _b * _y) / _1"), "_f": F.expr("(_v - _d * _x - _e * _y) / _1")})
+        out = out.withColumn("_w", F.expr(weight("pow(_a * rx + _b * ry + _c - cx, 2) + pow(_d * rx + _e * ry + _f - cy, 2)")))
+    nine = [F.col("_a"), F.col("_b"), F.col("_c"), F.col("_d"), F.col("_e"), F.col("_f"), 0, 0, 1]
+    return out.select(*points.columns, matrix(*nine).alias("matrix"))
+
+
+def reprojection(points: DataFrame, *keys: str) -> DataFrame:
+    """keys (pair_id), match_count, inliers, inlier_ratio, reprojection_error (median over inliers) of matched points.
+
+    points: keys, rx, ry, cx, cy, matrix.
+    """
+    keys = keys or ("pair_id",)
     p = project(F.col("rx"), F.col("ry"), F.col("matrix"))
     error = F.sqrt(F.pow(p.x - F.col("cx"), 2) + F.pow(p.y - F.col("cy"), 2))
     each = points.withColumn("error", error).withColumn("inlier", F.col("error") <= MAX_ERROR)
-    out = each.groupBy("pair_id").agg(
+    out = each.groupBy(*keys).agg(
         F.count("*").alias("match_count"), F.count_if("inlier").alias("inliers"), F.percentile(F.when(F.col("inlier"), F.col("error")), F.lit(0.5)).alias("median")
     )
-    return out.select("pair_id", "match_count", "inliers", (F.col("inliers") / F.col("match_count")).alias("inlier_ratio"), F.coalesce("median", F.lit(MAX_ERROR)).alias("reprojection_error"))
+    return out.select(*keys, "match_count", "inliers", (F.col("inliers") / F.col("match_count")).alias("inlier_ratio"), F.coalesce("median", F.lit(MAX_ERROR)).alias("reprojection_error"))
 
 
 def passes_gates(match_count: Column, inliers: Column) -> Column:
@@ -67,20 +96,18 @@ def corners(w: Column, h: Column, m: Column) -> Column:
 def plausible(m: Column, rw: Column, rh: Column, cw: Column, ch: Column) -> Column:
     """Finite, not degenerate, corners within 15 % of the page, area within 0.65 to 1.35 of it."""
     finite = F.forall(m, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & (F.abs(F.get(m, F.lit(8))) >= 1e-8)
-    c = corners(rw.cast("double"), rh.cast("double"), m)
-    xs, ys = F.transform(c, lambda p: p.x), F.transform(c, lambda p: p.y)
-    inside = (F.array_min(xs) >= -0.15 * cw) & (F.array_max(xs) <= 1.15 * cw) & (F.array_min(ys) >= -0.15 * ch) & (F.array_max(ys) <= 1.15 * ch)
-    at = lambda i: F.get(c, F.lit(i % 4))
-    twice = sum((at(i).x * at(i + 1).y - at(i + 1).x * at(i).y for i in range(1, 4)), at(0).x * at(1).y - at(1).x * at(0).y)
-    ratio = F.abs(twice) / 2 / F.greatest(cw * ch, F.lit(1.0))
-    return finite & F.coalesce(inside & ratio.between(0.65, 1.35), F.lit(False))
+    # Bound once by the transform of an array of one, as each corner is looked at several times.
+    inside = lambda c: (F.array_min(F.transform(c, lambda p: p.x)) >= -0.15 * cw) & (F.array_max(F.transform(c, lambda p: p.x)) <= 1.15 * cw) & (F.array_min(F.transform(c, lambda p: p.y)) >= -0.15 * ch) & (F.array_max(F.transform(c, lambda p: p.y)) <= 1.15 * ch)
+    twice = lambda c: F.aggregate(F.zip_with(c, F.concat(F.slice(c, 2, 3), F.slice(c, 1, 1)), lambda p, q: p.x * q.y - q.x * p.y), F.lit(0.0), lambda s, v: s + v)
+    fits = F.transform(F.array(corners(rw.cast("double"), rh.cast("double"), m)), lambda c: inside(c) & (F.abs(twice(c)) / 2 / F.greatest(cw * ch, F.lit(1.0))).between(0.65, 1.35))
+    return finite & F.coalesce(F.get(fits, F.lit(0)), F.lit(False))
 
 
 def corner_displacement(m: Column, w: Column, h: Column) -> Column:
     """The farthest that a page corner moves."""
-    c = corners(w.cast("double"), h.cast("double"), m)
-    own = [(F.lit(0.0), F.lit(0.0)), (w, F.lit(0.0)), (w, h), (F.lit(0.0), h)]
-    return F.greatest(*[F.sqrt(F.pow(F.get(c, F.lit(i)).x - x, 2) + F.pow(F.get(c, F.lit(i)).y - y, 2)) for i, (x, y) in enumerate(own)])
+    w, h, zero = w.cast("double"), h.cast("double"), F.lit(0.0)
+    own = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((zero, zero), (w, zero), (w, h), (zero, h))])
+    return F.array_max(F.zip_with(corners(w, h, m), own, lambda p, q: F.sqrt(F.pow(p.x - q.x, 2) + F.pow(p.y - q.y, 2))))
 
 
 def match_quality(inlier_ratio: Column, match_count: Column, error: Column) -> Column:
@@ -88,18 +115,20 @@ def match_quality(inlier_ratio: Column, match_count: Column, error: Column) -> C
     return clip(0.30 + 0.40 * inlier_ratio + 0.15 * strength + 0.15 * F.greatest(F.lit(0.0), 1.0 - error / 8.0), 0.0, 1.0)
 
 
-def align(pairs: DataFrame) -> DataFrame:
-    """matrix, method, quality, match_count, inlier_ratio, reprojection_error of each pair: identity, then matches, then sizes.
+def align(pairs: DataFrame, *keys: str) -> DataFrame:
+    """keys (pair_id), matrix, method, quality, match_count, inlier_ratio, reprojection_error of each pair: identity, then matches, then sizes.
 
-    pairs: pair_id, rw, rh, cw, ch, identical, and from matching (null if there was none) m, match_count, inliers, inlier_ratio, error.
+    pairs: keys, rw, rh, cw, ch, identical, and from matching (null if there was none) m, match_count, inliers, inlier_ratio, error.
     """
     rw, rh, cw, ch = (F.col(c).cast("double") for c in ("rw", "rh", "cw", "ch"))
     sized, size_quality = by_size(rw, rh, cw, ch)
     usable = F.col("m").isNotNull() & F.coalesce(passes_gates(F.col("match_count"), F.col("inliers")), F.lit(False)) & plausible(F.col("m"), rw, rh, cw, ch)
     snaps = (rw == cw) & (rh == ch) & (corner_displacement(F.col("m"), rw, rh) < SNAP)
-    pick = lambda same, matched, rest: F.when(F.col("identical"), same).when(usable, matched).otherwise(rest)
+    pairs = pairs.withColumns({"_usable": usable, "_snaps": F.coalesce(snaps, F.lit(False))})
+    snaps = F.col("_snaps")
+    pick = lambda same, matched, rest: F.when(F.col("identical"), same).when(F.col("_usable"), matched).otherwise(rest)
     return pairs.select(
-        "pair_id",
+        *(keys or ("pair_id",)),
         pick(identity(), F.when(snaps, identity()).otherwise(F.col("m")), sized).alias("matrix"),
         pick(F.lit(IDENTICAL), F.when(snaps, SNAPPED).otherwise(HOMOGRAPHY), F.lit(BY_SIZE)).alias("method"),
         pick(F.lit(1.0), match_quality(F.col("inlier_ratio"), F.col("match_count"), F.col("error")), size_quality).alias("quality"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from attestra.sources.tables import written
+
 # Stage and percent of progress, in order; terminal events and states.
 STAGE_PROGRESS = (
     ("validating_uploads", 5), ("rendering_documents", 16), ("normalizing_pages", 27), ("aligning_reference", 39), ("extracting_text", 50),
@@ -29,6 +31,18 @@ def numbered(events: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     return out
 
 
+def numbered_in_ranges(events: DataFrame) -> DataFrame:
+    """As numbered(), for jobs of any size: events are dealt into ranges of job, time and source id, a range's jobs are counted, and the
+    counts of the ranges in front are added to the numbers within a range. No task holds more of a job than one range."""
+    order = ["job_id", "timestamp", "source_id"]
+    dealt = written(events.repartitionByRange(*[F.col(c) for c in order]).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("job_id", "_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("job_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("job_id", "_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range", "job_id").orderBy("timestamp", "source_id"))
+    return dealt.withColumn("_own", own).join(offsets, ["job_id", "_range"]).withColumn("event_id", F.col("_before") + F.col("_own")).drop("_range", "_own", "_before")
+
+
 def with_stage(events: DataFrame) -> DataFrame:
     """The stage and its progress by event number; numbers beyond the last stage keep it. The stage table has ten rows."""
     stages = F.broadcast(stage_table(events.sparkSession))

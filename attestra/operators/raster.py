@@ -3,7 +3,7 @@ a column, or small explodes; mirrored edges follow gfedcb|abcdefgh|gfedcba."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -195,14 +195,42 @@ def component_stats(labelled: DataFrame) -> DataFrame:
     )
 
 
-def large_enough(width: int, height: int, min_area: int | None = None, min_side: int = MIN_SIDE, min_mean: float = MIN_MEAN) -> Column:
+def large_enough(width: int, height: int, min_area: int | None = None, min_side: int = MIN_SIDE, min_mean: float = MIN_MEAN, of: Callable[[str], Column] = F.col) -> Column:
+    """Whether a component is large and different enough. of: how to get its fields, columns by default."""
     least = min_area if min_area is not None else max(MIN_AREA, round(width * height * AREA_SHARE))
-    return (F.col("area") >= least) & (F.col("x1") - F.col("x0") >= min_side) & (F.col("y1") - F.col("y0") >= min_side) & (F.col("mean_delta") >= min_mean)
+    return (of("area") >= least) & (of("x1") - of("x0") >= min_side) & (of("y1") - of("y0") >= min_side) & (of("mean_delta") >= min_mean)
 
 
-def padded(stats: DataFrame, width: int, height: int, pad: int | None = None) -> DataFrame:
+def padded_box(width: int, height: int, pad: int | None = None, of: Callable[[str], Column] = F.col) -> dict[str, Column]:
     p = pad if pad is not None else max(PAD, round(min(width, height) * PAD_SHARE))
-    return stats.withColumns({"x0": F.greatest(F.lit(0), F.col("x0") - p), "y0": F.greatest(F.lit(0), F.col("y0") - p), "x1": F.least(F.lit(width), F.col("x1") + p), "y1": F.least(F.lit(height), F.col("y1") + p)})
+    return {"x0": F.greatest(F.lit(0), of("x0") - p), "y0": F.greatest(F.lit(0), of("y0") - p), "x1": F.least(F.lit(width), of("x1") + p), "y1": F.least(F.lit(height), of("y1") + p)}
+
+
+def padded(stats: DataFrame, width: int, height: int, pad: int | None = None) -> DataFrame:
+    return stats.withColumns(padded_box(width, height, pad))
+
+
+def summed(mask: DataFrame, width: int, height: int) -> DataFrame:
+    """Summed-area table of mask cells (pair_id, x, y, raw, edge_delta): for each corner x in 0..width, y in 0..height of a page, n, raw and edges of
+    the cells left of and above it. Two running sums, along rows and then along columns."""
+    corners = mask.select("pair_id").distinct().select("pair_id", F.explode(F.sequence(F.lit(0), F.lit(height))).alias("y"))
+    corners = corners.select("pair_id", "y", F.explode(F.sequence(F.lit(0), F.lit(width))).alias("x"))
+    here = mask.select("pair_id", (F.col("x") + 1).alias("x"), (F.col("y") + 1).alias("y"), F.lit(1).alias("n"), F.col("raw").alias("raw"), (F.col("edge_delta") > 0).cast("int").alias("edges"))
+    grid = corners.join(here, ["pair_id", "x", "y"], "left")
+    row = Window.partitionBy("pair_id", "y").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    column = Window.partitionBy("pair_id", "x").orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
+    sums = ("n", "raw", "edges")
+    grid = grid.withColumns({c: F.coalesce(F.sum(c).over(row), F.lit(0)) for c in sums})
+    return grid.withColumns({c: F.sum(c).over(column) for c in sums})
+
+
+def box_sums(boxes: DataFrame, table: DataFrame) -> DataFrame:
+    """pair_id, region_no, n, raw and edges of the mask cells inside each box (pair_id, region_no, x0, y0, x1, y1): four lookups in a
+    summed-area table, by equality. Boxes of pages without a mask cell have none."""
+    corner = lambda x, y, sign: F.struct(F.col(x).cast("int").alias("x"), F.col(y).cast("int").alias("y"), F.lit(sign).alias("sign"))
+    four = boxes.select("pair_id", "region_no", F.explode(F.array(corner("x1", "y1", 1), corner("x0", "y1", -1), corner("x1", "y0", -1), corner("x0", "y0", 1))).alias("c")).select("pair_id", "region_no", "c.*")
+    met = four.join(table, ["pair_id", "x", "y"], "left")
+    return met.groupBy("pair_id", "region_no").agg(*[F.coalesce(F.sum(F.col("sign") * F.col(c)), F.lit(0)).cast("long").alias(c) for c in ("n", "raw", "edges")])
 
 
 def changed_ratio(pages: DataFrame, kept: DataFrame) -> DataFrame:

@@ -1,10 +1,9 @@
-"""Text comparison of document pairs: words on a page grid, token alignment, hunks.
+"""Text comparison of document pairs: words on pages, token alignment, hunks.
 
-Alignment is relational: bigrams that are unique on both sides of a pair are
-anchors, an anchor survives if no other anchor crosses it, anchors expand to
-token pairs, and the same test is made on those. It approximates a longest
-matching-blocks diff: matched tokens are always equal, a moved passage is
-unmatched on both sides.
+Alignment is relational and goes in rounds. In each gap between matched tokens, the beginning and the end that are equal are matched;
+then n-grams that are unique on both sides of the gap are anchors (where there are none, equal tokens by their number in the gap), and of
+those the ones stay that no other crosses, and the longest run. What is left forms smaller gaps, until no gap has a token in
+common. Matched tokens are always equal and never cross.
 """
 
 from __future__ import annotations
@@ -12,8 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-GRID_COLUMNS = 12
+from attestra.sources.tables import Workspace
+
+#: Words of a line and lines of a page, where plain text is laid out.
+GRID_COLUMNS, GRID_LINES = 12, 60
 NEAR_TENTHS = 3
+#: Texts of one 3-gram that meet pairwise; a commoner one brings each text to the first that has it.
+MEET = 30
 # Placeholders for an empty side of a change.
 MISSING, REMOVED = "(missing)", "(removed)"
 
@@ -28,119 +32,157 @@ def normalized_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), r"(?U)\s+", " "))
 
 
-def words_from_text(docs: DataFrame, columns: int = GRID_COLUMNS) -> DataFrame:
-    """doc_id, pos, text and box of each word, laid out line by line on a grid of so many columns."""
+def words_from_text(docs: DataFrame, *keys: str, columns: int = GRID_COLUMNS, lines: int = GRID_LINES) -> DataFrame:
+    """keys (doc_id), page_number, pos, text and box on the page of each word, laid out line by line on pages of so many lines and columns."""
     split = F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
-    # The count is taken before the explode: behind it, the text would be split again for every word.
-    counted = docs.select("doc_id", split.alias("ws")).withColumn("n", F.size("ws"))
-    each = counted.select("doc_id", "n", F.posexplode("ws").alias("pos", "text"))
-    lines = F.ceil(F.col("n") / columns)
-    column, line = F.col("pos") % columns, F.floor(F.col("pos") / columns)
+    keys = keys or ("doc_id",)
+    each = docs.select(*keys, F.posexplode(split).alias("pos", "text"))
+    line, column = F.floor(F.col("pos") / columns), F.col("pos") % columns
+    row = line % lines
     return each.select(
-        "doc_id",
+        *keys,
+        (F.floor(line / lines) + 1).cast("int").alias("page_number"),
         "pos",
         "text",
         (column / columns).alias("x0"),
-        (line / lines).alias("y0"),
+        (row / lines).alias("y0"),
         ((column + 1) / columns).alias("x1"),
-        ((line + 1) / lines).alias("y1"),
+        ((row + 1) / lines).alias("y1"),
     )
 
 
-def pair_by_shared_lines(docs: DataFrame, min_chars: int = 100) -> DataFrame:
-    """pair_id, reference_id, candidate_id: each document with the one it shares most characters of long lines with.
-
-    A fixture: pairs are given in real use. A line's documents are only held against the least id among them, so a
-    line that many share gives one row a document.
-    """
-    lines = F.filter(F.array_distinct(F.split(F.coalesce("text", F.lit("")), "\n")), lambda x: F.length(x) >= min_chars)
-    each = docs.select("doc_id", F.explode(F.transform(lines, lambda x: F.struct(F.md5(x).alias("key"), F.length(x).alias("n")))).alias("l"))
-    each = each.select("doc_id", "l.key", "l.n")
-    least = each.groupBy("key").agg(F.min("doc_id").alias("reference_id"))
-    shared = each.join(least, "key").where(F.col("doc_id") != F.col("reference_id")).groupBy("doc_id", "reference_id").agg(F.sum("n").alias("n"))
-    best = shared.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("reference_id")).alias("r"))).alias("m"))
-    return best.select(F.col("doc_id").alias("pair_id"), (-F.col("m.r")).alias("reference_id"), F.col("doc_id").alias("candidate_id"))
-
-
 def word_trigrams(docs: DataFrame) -> DataFrame:
-    """doc_id and g: 64-bit hashes of each text's runs of three words, once each."""
+    """doc_id and gs: 64-bit hashes of each text's runs of three words, once each; texts of fewer words are left out."""
     ws = docs.select("doc_id", F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda w: w != "").alias("ws")).where(F.size("ws") >= 3)
-    two = F.zip_with("ws", F.slice("ws", 2, F.size("ws")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    three = F.zip_with(two, F.slice("ws", 3, F.size("ws")), lambda t, c: F.when(c.isNotNull(), F.xxhash64(t.a, t.b, c)))
-    return ws.select("doc_id", F.explode(F.array_distinct(F.array_compact(three))).alias("g"))
+    three = F.transform(F.slice("ws", F.lit(3), F.size("ws")), lambda c, i: F.xxhash64(F.get("ws", i), F.get("ws", i + 1), c))
+    return ws.select("doc_id", F.array_distinct(three).alias("gs"))
 
 
 def pair_near_copies(docs: DataFrame) -> DataFrame:
     """pair_id, reference_id, candidate_id: each document with the least id of its text, and each first of a text with
     the lower one whose word 3-grams are most alike, by a Jaccard index above NEAR_TENTHS tenths.
 
-    Rare-first prefixes: two texts that are alike enough share a 3-gram among the first n - ceil(0.3 n) + 1 of each.
-    No 3-gram is left out for being common.
+    A fixture: pairs are given in real use. Texts meet over the 3-grams that they share: over one that MEET texts at most have, all of them
+    do; over a commoner one, each meets the first text that has it, so a group of n near copies makes n pairs a 3-gram, not
+    n * n. No 3-gram is left out of the index. What rare 3-grams two texts share is counted as they meet; only where the
+    common ones could still bring them over the bound are those compared.
     """
+    space = Workspace(docs.sparkSession, "pairing")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.sha2("text", 256))
     firsts = texts.groupBy("h").agg(F.min("doc_id").alias("first"))
     copies = texts.drop("text").join(firsts, "h").where("doc_id <> first").select("doc_id", F.col("first").alias("reference_id"))
-    grams = word_trigrams(texts.join(firsts.select(F.col("first").alias("doc_id")), "doc_id", "left_semi"))
-    common = grams.groupBy("g").agg(F.count("*").alias("df"))
-    rare_first = Window.partitionBy("doc_id").orderBy("df", "g")
-    ranked = grams.join(common, "g").withColumns({"k": F.row_number().over(rare_first), "n": F.count("*").over(Window.partitionBy("doc_id"))})
-    prefix = ranked.where((F.col("df") > 1) & (F.col("k") <= F.col("n") - F.ceil(F.col("n") * NEAR_TENTHS / 10) + 1))
-    side = lambda f, x: f.select("g", F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"))
-    fits = (10 * F.col("na") > NEAR_TENTHS * F.col("nb")) & (10 * F.col("nb") > NEAR_TENTHS * F.col("na"))
-    met = side(prefix, "a").join(side(prefix, "b"), "g").where((F.col("a") < F.col("b")) & fits).select("a", "b", "na", "nb").distinct()
-    shared = met.join(grams.select(F.col("doc_id").alias("a"), "g"), "a").join(grams.select(F.col("doc_id").alias("b"), "g"), ["b", "g"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    near = shared.where(10 * F.col("c") > NEAR_TENTHS * (F.col("na") + F.col("nb") - F.col("c")))
-    best = near.groupBy("b").agg(F.max(F.struct((F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("j"), (-F.col("a")).alias("r"))).alias("m"))
+    sets = space.written(word_trigrams(texts.join(firsts.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")), "sets")
+    grams = sets.select("doc_id", F.explode("gs").alias("g"))
+    shared = grams.groupBy("g").agg(F.count("*").alias("df"), F.min("doc_id").alias("hub")).where("df > 1")
+    entries = space.written(grams.join(shared, "g"), "entries")
+    rare = entries.where(F.col("df") <= MEET).groupBy("g").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
+    below = F.flatten(F.transform("ids", lambda b, i: F.transform(F.slice("ids", F.lit(1), i), lambda a: F.struct(a.alias("a"), b.alias("b")))))
+    met = rare.select(F.explode(below).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("c"))
+    common = entries.where(F.col("df") > MEET)
+    hubs = common.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"), F.lit(0).cast("long").alias("c")).distinct()
+    met = met.unionByName(hubs).groupBy("a", "b").agg(F.sum("c").alias("c"))
+    sizes = sets.select("doc_id", F.size("gs").alias("n"))
+    commons = common.groupBy("doc_id").agg(F.collect_list("g").alias("gs"))
+    sizes = space.written(sizes.join(commons, "doc_id", "left").select("doc_id", "n", F.coalesce(F.size("gs"), F.lit(0)).alias("k"), F.coalesce("gs", F.array().cast("array<bigint>")).alias("gs")), "sizes")
+    side = lambda x, *more: sizes.select(F.col("doc_id").alias(x), *[F.col(c).alias(c + x) for c in more])
+    alike = lambda c: 10 * c > NEAR_TENTHS * (F.col("na") + F.col("nb") - c)
+    met = met.join(side("a", "n", "k"), "a").join(side("b", "n", "k"), "b").where(alike(F.col("c") + F.least("ka", "kb")))
+    both = met.join(side("a", "gs"), "a").join(side("b", "gs"), "b").withColumn("c", F.col("c") + F.size(F.array_intersect("gsa", "gsb")))
+    jaccard = F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))
+    best = both.where(alike(F.col("c"))).groupBy("b").agg(F.max(F.struct(jaccard.alias("j"), (-F.col("a")).alias("r"))).alias("m"))
     found = copies.unionByName(best.select(F.col("b").alias("doc_id"), (-F.col("m.r")).alias("reference_id")))
-    return found.select(F.col("doc_id").alias("pair_id"), "reference_id", F.col("doc_id").alias("candidate_id"))
+    return space.finish(found.select(F.col("doc_id").alias("pair_id"), "reference_id", F.col("doc_id").alias("candidate_id")))
+
+
+def pair_words(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """pair_id, side (r or c), the columns of words and tokens of the texts of pairs (pair_id, reference_id, candidate_id); docs: doc_id, text.
+
+    Texts are joined, not words, so only those of the pairs are taken apart.
+    """
+    side = lambda name, role: F.struct(F.lit(name).alias("side"), F.col(f"{role}_id").alias("doc_id"))
+    sides = pairs.select("pair_id", F.explode(F.array(side("r", "reference"), side("c", "candidate"))).alias("s")).select("pair_id", "s.side", "s.doc_id")
+    return words_from_text(sides.join(docs, "doc_id"), "pair_id", "side").withColumn("token", token(F.col("text")))
+
 
+GAP = ["pair_id", "gap"]
 
-def pair_words(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """pair_id, side (r or c) and the word columns, with tokens."""
-    sides = pairs.select("pair_id", F.explode(F.array(F.struct(F.lit("r").alias("side"), F.col("reference_id").alias("doc_id")), F.struct(F.lit("c").alias("side"), F.col("candidate_id").alias("doc_id")))).alias("s"))
-    sides = sides.select("pair_id", "s.side", "s.doc_id")
-    return sides.join(words, "doc_id").withColumn("token", token(F.col("text")))
 
+def _by_gap(df: DataFrame) -> DataFrame:
+    """A stated number of partitions, which is not coalesced by size: a token is little to shuffle, and much is done with it."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *GAP)
 
-def _uncrossed(pairs: DataFrame, once: bool) -> DataFrame:
-    """Rows (pair_id, rp, cp) that no other row of the pair crosses or shares a position with; once: no two rows share one anyway."""
-    before = Window.partitionBy("pair_id").orderBy("rp").rangeBetween(Window.unboundedPreceding, -1)
-    behind = Window.partitionBy("pair_id").orderBy(F.desc("rp")).rangeBetween(Window.unboundedPreceding, -1)
-    marked = pairs.withColumn("hi", F.max("cp").over(before)).withColumn("lo", F.min("cp").over(behind))
-    fits = (F.col("hi").isNull() | (F.col("cp") > F.col("hi"))) & (F.col("lo").isNull() | (F.col("cp") < F.col("lo")))
-    if not once:
-        for c in ("rp", "cp"):
-            marked = marked.withColumn(f"n{c}", F.count("*").over(Window.partitionBy("pair_id", c)))
-            fits = fits & (F.col(f"n{c}") == 1)
-    return marked.where(fits).select("pair_id", "rp", "cp")
+
+def _matched_in_gaps(tokens: DataFrame) -> DataFrame:
+    """pair_id, gap, rp, cp of what one round matches. tokens: pair_id, gap, side, pos, token of gaps that have both sides.
+
+    Everything is a window or a grouping within a gap, on one partitioning by gap.
+    """
+    within = lambda *more: Window.partitionBy(*GAP, *more)
+    of = lambda c, side: F.max(F.when(F.col("side") == side, F.col(c)))
+    n_of = lambda side: F.count_if(F.col("side") == side).over(within())
+    t = _by_gap(tokens).withColumns({"k": F.row_number().over(within("side").orderBy("pos")), "n": F.count("*").over(within("side")), "least": F.least(n_of("r"), n_of("c"))})
+    t = t.withColumn("j", F.col("n") - F.col("k") + 1)
+    # Equal from the gap's beginning on (number k), and from its end (number j) as far as that leaves room.
+    equal = lambda number: F.coalesce(of("token", "r").over(within(number)) == of("token", "c").over(within(number)), F.lit(False))
+    t = t.withColumns({"ek": equal("k"), "ej": equal("j")})
+    t = t.withColumns({"head": F.min("ek").over(within("side").orderBy("k")), "foot": F.min("ej").over(within("side").orderBy("j"))})
+    t = t.withColumn("foot", ~F.col("head") & F.col("foot") & (F.col("least") - F.col("j") >= F.count_if("head").over(within("side"))))
+    t = t.withColumn("rest", ~F.col("head") & ~F.col("foot"))
+    t = t.withColumns({"next": F.lead("token").over(within("side", "rest").orderBy("pos")), "nth": F.row_number().over(within("side", "rest", "token").orderBy("pos"))})
+    # Of the rest, unique tokens and bigrams, and equal tokens by number for gaps that have none of those.
+    gram = lambda size, nth, g: F.struct(F.lit(size).alias("size"), nth.alias("nth"), g.alias("g"))
+    free = F.array(gram(1, F.lit(0), F.col("token")), gram(2, F.lit(0), F.concat("token", F.lit("\u0003"), "next")), gram(1, F.col("nth"), F.col("token")))
+    fixed = F.array(F.when(F.col("head"), gram(0, F.col("k"), F.lit(""))).otherwise(gram(-1, F.col("j").cast("int"), F.lit(""))))
+    each = t.select(*GAP, "side", "pos", F.explode(F.when(F.col("rest"), free).otherwise(fixed)).alias("b")).select(*GAP, "side", "pos", "b.*").where("g IS NOT NULL")
+    once = each.groupBy(*GAP, "size", "nth", "g").agg(F.count_if(F.col("side") == "r").alias("nr"), F.count_if(F.col("side") == "c").alias("nc"), of("pos", "r").alias("rp"), of("pos", "c").alias("cp"))
+    once = once.where("nr = 1 AND nc = 1").withColumns({"fixed": F.col("size") <= 0, "level": F.least("nth", F.lit(1))})
+    anchors = once.withColumn("first", F.min("level").over(within("fixed"))).where("fixed OR level = first")
+    anchors = anchors.select(*GAP, "fixed", "rp", "cp", F.explode(F.sequence(F.lit(0), F.greatest("size", F.lit(1)) - 1)).alias("o"))
+    anchors = anchors.groupBy(*GAP, "fixed", (F.col("rp") + F.col("o")).alias("rp"), (F.col("cp") + F.col("o")).alias("cp")).agg(F.lit(1))
+    # Those that no other crosses or shares a position with.
+    before, behind = (within("fixed").orderBy(o).rangeBetween(Window.unboundedPreceding, -1) for o in (F.asc("rp"), F.desc("rp")))
+    marked = anchors.withColumns({"hi": F.max("cp").over(before), "lo": F.min("cp").over(behind), "nr": F.count("*").over(within("fixed", "rp")), "nc": F.count("*").over(within("fixed", "cp"))})
+    alone = (F.col("hi").isNull() | (F.col("cp") > F.col("hi"))) & (F.col("lo").isNull() | (F.col("cp") < F.col("lo"))) & (F.col("nr") == 1) & (F.col("nc") == 1)
+    # And the longest run of tokens that follow one another on both sides; of equally long ones the first.
+    marked = marked.withColumn("d", F.col("rp") - F.col("cp")).withColumn("i", F.col("rp") - F.row_number().over(within("fixed", "d").orderBy("rp")))
+    run = within("fixed", "d", "i")
+    marked = marked.withColumn("run", F.struct((-F.count("*").over(run)).alias("n"), F.min("rp").over(run).alias("start"), F.min("cp").over(run).alias("c")))
+    longest = F.col("run") == F.min("run").over(within("fixed"))
+    return marked.withColumn("stays", F.col("fixed") | alone | longest).where("stays").select(*GAP, "rp", "cp")
+
+
+def _left_over(tokens: DataFrame, found: DataFrame) -> DataFrame:
+    """Tokens without those found, by the gaps that these leave; only gaps in which some were found, and that have both sides. A gap is
+    named by the reference position that it begins at."""
+    match = lambda side, pos: F.struct(F.lit(side).alias("side"), F.col(pos).alias("pos"), F.col("rp").alias("at"))
+    ends = found.select(*GAP, F.explode(F.array(match("r", "rp"), match("c", "cp"))).alias("e")).select(*GAP, "e.side", "e.pos", F.lit(None).cast("string").alias("token"), "e.at")
+    both = tokens.withColumn("at", F.lit(None).cast("int")).unionByName(ends)
+    marked = _by_gap(both).groupBy(*GAP, "side", "pos").agg(F.max("token").alias("token"), F.max("at").alias("at"))
+    behind = Window.partitionBy(*GAP, "side").orderBy("pos")
+    marked = marked.withColumns({"some": F.count("at").over(Window.partitionBy(*GAP)), "new": F.last(F.col("at") + 1, True).over(behind)})
+    rest = marked.where("some > 0 AND at IS NULL").withColumn("new", F.coalesce("new", "gap"))
+    rest = rest.withColumn("sides", F.min("side").over(Window.partitionBy(*GAP, "new")) != F.max("side").over(Window.partitionBy(*GAP, "new")))
+    return rest.where("sides").select("pair_id", F.col("new").alias("gap"), "side", "pos", "token")
 
 
 def token_align(words: DataFrame) -> DataFrame:
-    """pair_id, rp, cp of matched tokens. words: pair_id, side, pos, token."""
-    order = Window.partitionBy("pair_id", "side").orderBy("pos")
-    ahead = words.select("pair_id", "side", "pos", "token", F.lag("token", 1).over(order).alias("prev"), F.lead("token", 1).over(order).alias("next"))
-    # Bigram p covers tokens p - 1 and p; both ends of a text are padded.
-    start, end = "\u0001", "\u0002"
-    grams = ahead.select(
-        "pair_id",
-        "side",
-        F.explode(
-            F.array_compact(
-                F.array(
-                    F.struct(F.col("pos").alias("p"), F.concat(F.coalesce("prev", F.lit(start)), F.lit("\u0003"), "token").alias("g")),
-                    F.when(F.col("next").isNull(), F.struct((F.col("pos") + 1).alias("p"), F.concat("token", F.lit("\u0003" + end)).alias("g"))),
-                )
-            )
-        ).alias("b"),
-    ).select("pair_id", "side", "b.p", "b.g")
-    once = grams.groupBy("pair_id", "g").agg(
-        F.count_if(F.col("side") == "r").alias("nr"), F.count_if(F.col("side") == "c").alias("nc"), F.max(F.when(F.col("side") == "r", F.col("p"))).alias("rp"), F.max(F.when(F.col("side") == "c", F.col("p"))).alias("cp")
-    )
-    anchors = _uncrossed(once.where("nr = 1 AND nc = 1").select("pair_id", "rp", "cp"), once=True)
-    each = anchors.select("pair_id", F.explode(F.array(F.struct((F.col("rp") - 1).alias("rp"), (F.col("cp") - 1).alias("cp")), F.struct("rp", "cp"))).alias("t")).select("pair_id", "t.rp", "t.cp").distinct()
-    n = words.groupBy("pair_id").agg(F.count_if(F.col("side") == "r").alias("n_r"), F.count_if(F.col("side") == "c").alias("n_c"))
-    inside = each.join(n, "pair_id").where("rp >= 0 AND cp >= 0 AND rp < n_r AND cp < n_c").select("pair_id", "rp", "cp")
-    return _uncrossed(inside, once=False)
+    """pair_id, rp, cp of matched tokens. words: pair_id, side, pos, token.
+
+    Each round matches at least one token in every gap that is left and has one in common; gaps are partitions of their own, so a
+    pair's tokens meet in one task in the first round only. Rounds are written.
+    """
+    space = Workspace(words.sparkSession, "alignment")
+    tokens = words.select("pair_id", F.lit(0).alias("gap"), "side", "pos", "token")
+    pair = Window.partitionBy("pair_id")
+    left = space.written(tokens.withColumn("_s", F.min("side").over(pair) != F.max("side").over(pair)).where("_s").drop("_s"), "tokens")
+    none = words.select("pair_id", F.col("pos").alias("rp"), F.col("pos").alias("cp")).where("false")
+    found = none
+    while not left.isEmpty():
+        new = space.written(_matched_in_gaps(left), "matched")
+        found = found.unionByName(new.drop("gap"))
+        before, left = left, space.written(_left_over(left, new), "tokens")
+        space.dropped(before)
+    return space.finish(found)
 
 
 def hunks(words: DataFrame, matched: DataFrame) -> DataFrame:
@@ -156,18 +198,27 @@ def hunks(words: DataFrame, matched: DataFrame) -> DataFrame:
 
 
 def text_changes(words: DataFrame, gaps: DataFrame) -> DataFrame:
-    """hunks with before, after and the box of the candidate's words, or of the reference's if it has none there."""
-    own = gaps.select("pair_id", "hunk_no", "kind", F.explode(F.array(F.struct(F.lit("r").alias("side"), F.col("r0").alias("a"), F.col("r1").alias("b")), F.struct(F.lit("c").alias("side"), F.col("c0").alias("a"), F.col("c1").alias("b")))).alias("s"))
+    """hunks by page with before, after and the box of the candidate's words, or of the reference's if it has none there.
+
+    A hunk of several candidate pages has a row on each; its reference words are on the first. One without candidate words has a row for
+    each reference page that has lost words, on the candidate's page of the word in front of it.
+    """
+    span = lambda side, a, b, real: F.struct(F.lit(side).alias("side"), a.alias("a"), b.alias("b"), F.lit(real).alias("real"))
+    front = F.greatest(F.col("c0") - 1, F.lit(0))
+    own = gaps.select("pair_id", "hunk_no", "kind", F.explode(F.array(span("r", F.col("r0"), F.col("r1"), True), span("c", F.col("c0"), F.col("c1"), True), span("c", front, F.when(F.col("c0") == F.col("c1"), front + 1).otherwise(front), False))).alias("s"))
     # One row a changed word: an equi-join, as word positions are whole numbers.
-    spots = own.where("s.a < s.b").select("pair_id", "hunk_no", "s.side", F.explode(F.sequence(F.col("s.a"), F.col("s.b") - 1)).alias("pos"))
-    changed = spots.join(words, ["pair_id", "side", "pos"])
+    spots = own.where("s.a < s.b").select("pair_id", "hunk_no", "kind", "s.side", "s.real", F.explode(F.sequence(F.col("s.a"), F.col("s.b") - 1)).alias("pos"))
+    hunk = Window.partitionBy("pair_id", "hunk_no")
+    here = F.col("real") & (F.col("side") == "c")
+    changed = spots.join(words, ["pair_id", "side", "pos"]).withColumns({"first": F.min(F.when(here, F.col("page_number"))).over(hunk), "front": F.min(F.when(~F.col("real"), F.col("page_number"))).over(hunk)}).where("real")
+    changed = changed.withColumn("part", F.when(F.col("side") == "c", F.col("page_number")).otherwise(F.coalesce("first", "page_number")))
+    changed = changed.withColumn("page_number", F.when(F.col("first").isNull(), F.coalesce("front", F.lit(1))).otherwise(F.col("part")))
     text = lambda side: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("pos", "text")))), lambda w: w.text), " ")
     edge = lambda f, c: F.coalesce(f(F.when(F.col("side") == "c", F.col(c))), f(F.col(c)))
-    merged = changed.groupBy("pair_id", "hunk_no").agg(
+    merged = changed.groupBy("pair_id", "hunk_no", "kind", "page_number", "part").agg(
         text("r").alias("before"), text("c").alias("after"), edge(F.min, "x0").alias("x0"), edge(F.min, "y0").alias("y0"), edge(F.max, "x1").alias("x1"), edge(F.max, "y1").alias("y1")
     )
-    merged = merged.withColumns({"before": F.when(F.col("before") == "", MISSING).otherwise(F.col("before")), "after": F.when(F.col("after") == "", REMOVED).otherwise(F.col("after"))})
-    return merged.join(gaps.select("pair_id", "hunk_no", "kind"), ["pair_id", "hunk_no"])
+    return merged.withColumns({"before": F.when(F.col("before") == "", MISSING).otherwise(F.col("before")), "after": F.when(F.col("after") == "", REMOVED).otherwise(F.col("after"))})
 
 
 def character_counts(text: Column) -> Column:

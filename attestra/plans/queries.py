@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attestra.functions import geometry, scores
-from attestra.operators import alignment, contracts, evaluation, harmonise, joblog, raster, text, validation
+from attestra.operators import alignment, contracts, evaluation, harmonise, joblog, raster, regions, text, validation
 from attestra.plans import verification
 from attestra.sources import files as sources
 from attestra.sources.tables import written
@@ -35,36 +35,55 @@ def query(sql: str | None = None):
 # Words and pairs, as SQL.
 PAIRS = r"""
 k AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-ln AS (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM k) WHERE length(line) >= 100),
-fl AS (SELECT line, min(doc_id) AS reference_id FROM ln GROUP BY line),
-sh AS (SELECT doc_id, reference_id, sum(length(line)) AS n FROM ln JOIN fl USING (line) WHERE doc_id <> reference_id GROUP BY doc_id, reference_id),
-bp AS (SELECT doc_id, max(struct_pack(n := n, r := -reference_id)) AS m FROM sh GROUP BY doc_id),
-pairs AS (SELECT bp.doc_id AS pair_id, -bp.m.r AS reference_id, bp.doc_id AS candidate_id, k.t = r.t AS identical, trim(k.t) <> '' AND trim(r.t) <> '' AS has_text
-  FROM bp JOIN k USING (doc_id) JOIN k r ON r.doc_id = -bp.m.r)
+pf AS (SELECT t, min(doc_id) AS doc_id FROM k GROUP BY t),
+pw AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '[ \x09-\x0D]+'), lambda x: x <> '') AS ws FROM pf),
+pg AS (SELECT DISTINCT doc_id, ws[i:i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM pw)),
+pn AS (SELECT doc_id, count(*) AS n FROM pg GROUP BY doc_id),
+pd AS (SELECT *, count(*) OVER (PARTITION BY g) AS df, min(doc_id) OVER (PARTITION BY g) AS hub FROM pg),
+pm AS (SELECT x.doc_id AS a, y.doc_id AS b FROM pd x JOIN pd y ON x.g = y.g AND x.doc_id < y.doc_id WHERE x.df <= 30 UNION SELECT hub, doc_id FROM pd WHERE df > 30 AND hub <> doc_id),
+po AS (SELECT a, b, count(*) AS c FROM pm JOIN pd x ON x.doc_id = a JOIN pd y ON y.doc_id = b AND y.g = x.g GROUP BY ALL),
+pj AS (SELECT b, max(struct_pack(j := CAST(c AS DOUBLE) / (nx.n + ny.n - c), r := -a)) AS m FROM po JOIN pn nx ON nx.doc_id = a JOIN pn ny ON ny.doc_id = b WHERE 10 * c > 3 * (nx.n + ny.n - c) GROUP BY b),
+bp AS (SELECT b AS candidate_id, -m.r AS reference_id FROM pj UNION ALL SELECT k.doc_id, pf.doc_id FROM k JOIN pf USING (t) WHERE k.doc_id <> pf.doc_id),
+pairs AS (SELECT candidate_id AS pair_id, reference_id, candidate_id, c.t = r.t AS identical, trim(c.t) <> '' AND trim(r.t) <> '' AS has_text FROM bp JOIN k c ON c.doc_id = candidate_id JOIN k r ON r.doc_id = reference_id)
 """
 WORDS = r"""
 sides AS (SELECT pair_id, 'r' AS side, reference_id AS doc_id FROM pairs WHERE NOT identical UNION ALL SELECT pair_id, 'c', candidate_id FROM pairs WHERE NOT identical),
 w0 AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS ws FROM k),
-w1 AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS text, generate_subscripts(ws, 1) - 1 AS pos FROM w0),
-words AS (SELECT s.pair_id, s.side, w.pos, w.text, replace(lower(regexp_replace(w.text, '[^\p{L}\p{N}\p{M}\p{Pc}]+', '', 'g')), 'ß', 'ss') AS token,
-  (pos % 12) / 12.0::DOUBLE AS x0, (pos // 12) / ceil(n / 12.0::DOUBLE) AS y0, (pos % 12 + 1) / 12.0::DOUBLE AS x1, (pos // 12 + 1) / ceil(n / 12.0::DOUBLE) AS y1 FROM sides s JOIN w1 w USING (doc_id))
+w1 AS (SELECT doc_id, unnest(ws) AS text, generate_subscripts(ws, 1) - 1 AS pos FROM w0),
+words AS (SELECT s.pair_id, s.side, w.pos, w.text, replace(lower(regexp_replace(w.text, '[^\p{L}\p{N}\p{M}\p{Pc}]+', '', 'g')), 'ß', 'ss') AS token, CAST(pos // 720 + 1 AS INT) AS page_number,
+  (pos % 12) / 12.0::DOUBLE AS x0, (pos // 12 % 60) / 60.0::DOUBLE AS y0, (pos % 12 + 1) / 12.0::DOUBLE AS x1, (pos // 12 % 60 + 1) / 60.0::DOUBLE AS y1 FROM sides s JOIN w1 w USING (doc_id))
 """
+# Alignment by recursion: a row is an open token (kind 0) or a match (kind 1, pos and cp); a step does all gaps that are open.
 MATCHED = r"""
-nn AS (SELECT pair_id, count(*) FILTER (WHERE side = 'r') AS n_r, count(*) FILTER (WHERE side = 'c') AS n_c FROM words GROUP BY pair_id),
-g0 AS (SELECT pair_id, side, pos, token, lag(token) OVER o AS prev, lead(token) OVER o AS next FROM words WINDOW o AS (PARTITION BY pair_id, side ORDER BY pos)),
-grams AS (SELECT pair_id, side, pos AS p, coalesce(prev, chr(1)) || chr(3) || token AS g FROM g0
-  UNION ALL SELECT pair_id, side, pos + 1, token || chr(3) || chr(2) FROM g0 WHERE next IS NULL),
-once AS (SELECT pair_id, max(p) FILTER (WHERE side = 'r') AS rp, max(p) FILTER (WHERE side = 'c') AS cp FROM grams GROUP BY pair_id, g
-  HAVING count(*) FILTER (WHERE side = 'r') = 1 AND count(*) FILTER (WHERE side = 'c') = 1),
-f1 AS (SELECT *, max(cp) OVER (PARTITION BY pair_id ORDER BY rp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hi,
-  min(cp) OVER (PARTITION BY pair_id ORDER BY rp ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS lo FROM once),
-a AS (SELECT pair_id, rp, cp FROM f1 WHERE (hi IS NULL OR cp > hi) AND (lo IS NULL OR cp < lo)),
-t0 AS (SELECT DISTINCT pair_id, rp, cp FROM (SELECT pair_id, rp - 1 AS rp, cp - 1 AS cp FROM a UNION ALL SELECT pair_id, rp, cp FROM a)
-  JOIN nn USING (pair_id) WHERE rp >= 0 AND cp >= 0 AND rp < n_r AND cp < n_c),
-f2 AS (SELECT *, count(*) OVER (PARTITION BY pair_id, rp) AS nr, count(*) OVER (PARTITION BY pair_id, cp) AS nc,
-  max(cp) OVER (PARTITION BY pair_id ORDER BY rp RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hi,
-  min(cp) OVER (PARTITION BY pair_id ORDER BY rp RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS lo FROM t0),
-matched AS (SELECT pair_id, rp, cp FROM f2 WHERE nr = 1 AND nc = 1 AND (hi IS NULL OR cp > hi) AND (lo IS NULL OR cp < lo))
+al(kind, pair_id, gap, side, pos, token, cp) AS (
+  (SELECT 0, pair_id, 0::BIGINT, side, pos, token, NULL::BIGINT FROM words QUALIFY min(side) OVER (PARTITION BY pair_id) <> max(side) OVER (PARTITION BY pair_id))
+  UNION ALL
+  (WITH o AS (SELECT pair_id, gap, side, pos, token, row_number() OVER w AS k, count(*) OVER (PARTITION BY pair_id, gap, side) AS n FROM al WHERE kind = 0 WINDOW w AS (PARTITION BY pair_id, gap, side ORDER BY pos)),
+  oj AS (SELECT *, n - k + 1 AS j FROM o),
+  hd AS (SELECT * FROM (SELECT r.pair_id, r.gap, r.k, r.pos AS rp, c.pos AS cp, bool_and(r.token = c.token) OVER (PARTITION BY r.pair_id, r.gap ORDER BY r.k) AS eq FROM oj r JOIN oj c ON c.pair_id = r.pair_id AND c.gap = r.gap AND c.k = r.k WHERE r.side = 'r' AND c.side = 'c') WHERE eq),
+  hl AS (SELECT pair_id, gap, max(k) AS lead FROM hd GROUP BY pair_id, gap),
+  ft AS (SELECT t.pair_id, t.gap, rp, cp FROM (SELECT r.pair_id, r.gap, r.j, r.pos AS rp, c.pos AS cp, least(r.n, c.n) AS m, bool_and(r.token = c.token) OVER (PARTITION BY r.pair_id, r.gap ORDER BY r.j) AS eq FROM oj r JOIN oj c ON c.pair_id = r.pair_id AND c.gap = r.gap AND c.j = r.j WHERE r.side = 'r' AND c.side = 'c') t
+    LEFT JOIN hl ON hl.pair_id = t.pair_id AND hl.gap = t.gap WHERE eq AND m - j >= coalesce(lead, 0)),
+  fx AS (SELECT pair_id, gap, rp, cp FROM hd UNION ALL SELECT pair_id, gap, rp, cp FROM ft),
+  fe AS (SELECT pair_id, 'r' AS side, rp AS pos FROM fx UNION ALL SELECT pair_id, 'c', cp FROM fx),
+  rs AS (SELECT oj.pair_id, gap, oj.side, oj.pos, token FROM oj ANTI JOIN fe ON fe.pair_id = oj.pair_id AND fe.side = oj.side AND fe.pos = oj.pos),
+  nx AS (SELECT *, lead(token) OVER (PARTITION BY pair_id, gap, side ORDER BY pos) AS next, row_number() OVER (PARTITION BY pair_id, gap, side, token ORDER BY pos) AS nth FROM rs),
+  gm AS (SELECT pair_id, gap, side, pos, 1 AS size, 0 AS nth, token AS g FROM nx UNION ALL SELECT pair_id, gap, side, pos, 2, 0, token || chr(3) || next FROM nx WHERE next IS NOT NULL UNION ALL SELECT pair_id, gap, side, pos, 1, nth, token FROM nx),
+  oc AS (SELECT pair_id, gap, size, nth, max(pos) FILTER (WHERE side = 'r') AS rp, max(pos) FILTER (WHERE side = 'c') AS cp FROM gm GROUP BY pair_id, gap, size, nth, g HAVING count(*) FILTER (WHERE side = 'r') = 1 AND count(*) FILTER (WHERE side = 'c') = 1),
+  lv AS (SELECT * FROM oc QUALIFY least(nth, 1) = min(least(nth, 1)) OVER (PARTITION BY pair_id, gap)),
+  an AS (SELECT DISTINCT pair_id, gap, rp, cp FROM (SELECT pair_id, gap, rp, cp FROM lv UNION ALL SELECT pair_id, gap, rp + 1, cp + 1 FROM lv WHERE size = 2)),
+  un AS (SELECT * FROM an QUALIFY count(*) OVER (PARTITION BY pair_id, gap, rp) = 1 AND count(*) OVER (PARTITION BY pair_id, gap, cp) = 1
+    AND coalesce(cp > max(cp) OVER (PARTITION BY pair_id, gap ORDER BY rp RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AND coalesce(cp < min(cp) OVER (PARTITION BY pair_id, gap ORDER BY rp RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), true)),
+  rn AS (SELECT *, rp - row_number() OVER (PARTITION BY pair_id, gap, rp - cp ORDER BY rp) AS i FROM an),
+  rl AS (SELECT pair_id, gap, rp - cp AS d, i, count(*) AS n, min(rp) AS start FROM rn GROUP BY ALL),
+  rb AS (SELECT pair_id, gap, d, i FROM rl QUALIFY row_number() OVER (PARTITION BY pair_id, gap ORDER BY n DESC, start, start - d) = 1),
+  fd AS (SELECT pair_id, gap, rp, cp FROM fx UNION SELECT pair_id, gap, rp, cp FROM un UNION SELECT rn.pair_id, rn.gap, rp, cp FROM rn JOIN rb ON rb.pair_id = rn.pair_id AND rb.gap = rn.gap AND rb.d = rn.rp - rn.cp AND rb.i = rn.i),
+  en AS (SELECT pair_id, 'r' AS side, rp AS pos, rp AS ap FROM fd UNION ALL SELECT pair_id, 'c', cp, rp FROM fd),
+  mk AS (SELECT o.pair_id, o.gap, o.side, o.pos, o.token, ap, count(ap) OVER (PARTITION BY o.pair_id, o.gap) AS hits, coalesce(last_value(ap + 1 IGNORE NULLS) OVER (PARTITION BY o.pair_id, o.gap, o.side ORDER BY o.pos ROWS UNBOUNDED PRECEDING), o.gap) AS new FROM o LEFT JOIN en ON en.pair_id = o.pair_id AND en.side = o.side AND en.pos = o.pos),
+  op AS (SELECT pair_id, new, side, pos, token FROM (SELECT * FROM mk WHERE hits > 0 AND ap IS NULL) QUALIFY min(side) OVER (PARTITION BY pair_id, gap, new) <> max(side) OVER (PARTITION BY pair_id, gap, new))
+  SELECT 1, pair_id, gap, 'm', rp, NULL, cp FROM fd UNION ALL SELECT 0, pair_id, new, side, pos, token, NULL FROM op)),
+matched AS (SELECT pair_id, pos AS rp, cp FROM al WHERE kind = 1),
+nn AS (SELECT pair_id, count(*) FILTER (WHERE side = 'r') AS n_r, count(*) FILTER (WHERE side = 'c') AS n_c FROM words GROUP BY pair_id)
 """
 HUNKS = r"""
 e0 AS (SELECT pair_id, rp, cp FROM matched UNION ALL SELECT pair_id, n_r, n_c FROM nn),
@@ -72,12 +91,13 @@ h0 AS (SELECT pair_id, coalesce(lag(rp) OVER o, -1) + 1 AS r0, rp AS r1, coalesc
 hunks AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY r0, c0) AS hunk_no, CASE WHEN r0 = r1 THEN 'insert' WHEN c0 = c1 THEN 'delete' ELSE 'replace' END AS kind FROM h0 WHERE r0 < r1 OR c0 < c1)
 """
 CHANGES = r"""
-ch AS (SELECT h.pair_id, h.hunk_no, h.kind, w.side, w.pos, w.text, w.x0, w.y0, w.x1, w.y1 FROM hunks h JOIN words w ON w.pair_id = h.pair_id
+hx AS (SELECT h.*, w.side, w.pos, w.text, w.page_number AS page, w.x0, w.y0, w.x1, w.y1, min(w.page_number) FILTER (WHERE w.side = 'c') OVER (PARTITION BY h.pair_id, h.hunk_no) AS first FROM hunks h JOIN words w ON w.pair_id = h.pair_id
   AND ((w.side = 'r' AND w.pos >= r0 AND w.pos < r1) OR (w.side = 'c' AND w.pos >= c0 AND w.pos < c1))),
-changes AS (SELECT pair_id, hunk_no, kind, coalesce(string_agg(text, ' ' ORDER BY pos) FILTER (WHERE side = 'r'), '(missing)') AS before,
+hp AS (SELECT hx.*, CASE WHEN hx.side = 'c' THEN page ELSE coalesce(first, page) END AS part, f.page_number AS front FROM hx LEFT JOIN words f ON f.pair_id = hx.pair_id AND f.side = 'c' AND f.pos = greatest(c0 - 1, 0)),
+changes AS (SELECT pair_id, hunk_no, kind, CASE WHEN first IS NULL THEN coalesce(front, 1) ELSE part END AS page_number, part, coalesce(string_agg(text, ' ' ORDER BY pos) FILTER (WHERE side = 'r'), '(missing)') AS before,
   coalesce(string_agg(text, ' ' ORDER BY pos) FILTER (WHERE side = 'c'), '(removed)') AS after,
   coalesce(min(x0) FILTER (WHERE side = 'c'), min(x0)) AS x0, coalesce(min(y0) FILTER (WHERE side = 'c'), min(y0)) AS y0,
-  coalesce(max(x1) FILTER (WHERE side = 'c'), max(x1)) AS x1, coalesce(max(y1) FILTER (WHERE side = 'c'), max(y1)) AS y1 FROM ch GROUP BY pair_id, hunk_no, kind)
+  coalesce(max(x1) FILTER (WHERE side = 'c'), max(x1)) AS x1, coalesce(max(y1) FILTER (WHERE side = 'c'), max(y1)) AS y1 FROM hp GROUP BY pair_id, hunk_no, kind, CASE WHEN first IS NULL THEN coalesce(front, 1) ELSE part END, part)
 """
 
 
@@ -86,45 +106,41 @@ def a4_bound_pairs(spark, sf_dir):
     return verification.text_pairs(spark, sf_dir)[0]
 
 
-@query(r"""WITH k AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS (SELECT t, min(doc_id) AS doc_id FROM k GROUP BY t),
-w AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '[ \x09-\x0D]+'), lambda x: x <> '') AS ws FROM f),
-g AS (SELECT DISTINCT doc_id, ws[i:i+2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
-n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
-s AS (SELECT a, b, c, nx.n + ny.n - c AS u FROM o JOIN n nx ON nx.doc_id = a JOIN n ny ON ny.doc_id = b WHERE 10 * c > 3 * (nx.n + ny.n - c)),
-m AS (SELECT b, max(struct_pack(j := CAST(c AS DOUBLE) / u, r := -a)) AS m FROM s GROUP BY b)
-SELECT b AS pair_id, -m.r AS reference_id, b AS candidate_id FROM m UNION ALL SELECT k.doc_id, f.doc_id, k.doc_id FROM k JOIN f USING (t) WHERE k.doc_id <> f.doc_id""")
+@query(f"WITH {PAIRS} SELECT pair_id, reference_id, candidate_id FROM pairs")
 def a4_near_copy_pairs(spark, sf_dir):
-    """Pairs as planned: exact copies and word 3-grams alike, whatever the length of lines."""
+    """Pairs as planned: exact copies and word 3-grams alike."""
     return text.pair_near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query()
-def g3_g6_near_copies(spark, sf_dir):
-    """The flagship on those pairs."""
-    return verification.verify(spark, sf_dir, text.pair_near_copies)[0].drop("pages")
-
-
-@query(f"WITH {PAIRS}, {WORDS} SELECT pair_id, side, count(*) AS n, count(DISTINCT token) AS n_tokens, CAST(sum(length(token)) AS BIGINT) AS token_chars, CAST(round(sum(x0), 3) AS DOUBLE) AS sx, CAST(round(sum(y1), 3) AS DOUBLE) AS sy FROM words GROUP BY pair_id, side")
+@query(f"WITH {PAIRS}, {WORDS} SELECT pair_id, side, page_number, count(*) AS n, count(DISTINCT token) AS n_tokens, CAST(sum(length(token)) AS BIGINT) AS token_chars, CAST(round(sum(x0), 3) AS DOUBLE) AS sx, CAST(round(sum(y1), 3) AS DOUBLE) AS sy FROM words GROUP BY pair_id, side, page_number")
 def a3_e2_words(spark, sf_dir):
     words = verification.changed_words(*verification.text_pairs(spark, sf_dir))
-    return words.groupBy("pair_id", "side").agg(
+    return words.groupBy("pair_id", "side", "page_number").agg(
         F.count("*").alias("n"), F.countDistinct("token").alias("n_tokens"), F.sum(F.length("token")).alias("token_chars"), F.round(F.sum("x0"), 3).alias("sx"), F.round(F.sum("y1"), 3).alias("sy")
     )
 
 
-@query(f"WITH {PAIRS}, {WORDS}, {MATCHED} SELECT pair_id, CAST(rp AS INT) AS rp, CAST(cp AS INT) AS cp FROM matched")
+@query(f"WITH RECURSIVE {PAIRS}, {WORDS}, {MATCHED} SELECT pair_id, CAST(rp AS INT) AS rp, CAST(cp AS INT) AS cp FROM matched")
 def e6_token_align(spark, sf_dir):
     return text.token_align(verification.changed_words(*verification.text_pairs(spark, sf_dir)))
 
 
-@query(f"WITH {PAIRS}, {WORDS}, {MATCHED}, {HUNKS}, {CHANGES} SELECT * REPLACE (CAST(hunk_no AS INT) AS hunk_no) FROM changes")
+@query(f"""WITH RECURSIVE {PAIRS}, {WORDS}, {MATCHED}, v AS (SELECT m.pair_id, r.page_number AS r_page, c.page_number, count(*) AS n FROM matched m JOIN words r ON r.pair_id = m.pair_id AND r.side = 'r' AND r.pos = m.rp JOIN words c ON c.pair_id = m.pair_id AND c.side = 'c' AND c.pos = m.cp GROUP BY ALL)
+SELECT pair_id, r_page, page_number FROM v QUALIFY row_number() OVER (PARTITION BY pair_id, r_page ORDER BY n DESC, page_number) = 1 AND row_number() OVER (PARTITION BY pair_id, page_number ORDER BY n DESC, r_page) = 1""")
+def a3_page_matches(spark, sf_dir):
+    """Which reference page each candidate page is held against."""
+    words = verification.changed_words(*verification.text_pairs(spark, sf_dir))
+    points = verification.matched_points(words, text.token_align(words), verification.PAGE_WIDTH, verification.PAGE_HEIGHT)
+    return verification.page_matches(points)
+
+
+@query(f"WITH RECURSIVE {PAIRS}, {WORDS}, {MATCHED}, {HUNKS}, {CHANGES} SELECT * REPLACE (CAST(hunk_no AS INT) AS hunk_no) FROM changes")
 def e7_e9_text_changes(spark, sf_dir):
     words = verification.changed_words(*verification.text_pairs(spark, sf_dir))
     return text.text_changes(words, written(text.hunks(words, text.token_align(words)), "gaps"))
 
 
-@query(f'WITH {PAIRS}, {WORDS}, {MATCHED}, {HUNKS} SELECT pair_id, count(*) FILTER (WHERE kind = \'delete\') AS "delete", count(*) FILTER (WHERE kind = \'insert\') AS "insert", count(*) FILTER (WHERE kind = \'replace\') AS "replace" FROM hunks GROUP BY pair_id')
+@query(f'WITH RECURSIVE {PAIRS}, {WORDS}, {MATCHED}, {HUNKS} SELECT pair_id, count(*) FILTER (WHERE kind = \'delete\') AS "delete", count(*) FILTER (WHERE kind = \'insert\') AS "insert", count(*) FILTER (WHERE kind = \'replace\') AS "replace" FROM hunks GROUP BY pair_id')
 def e10_opcode_counts(spark, sf_dir):
     words = verification.changed_words(*verification.text_pairs(spark, sf_dir))
     return text.opcode_counts(text.hunks(words, text.token_align(words)))
@@ -152,15 +168,15 @@ def e1_text_source(spark, sf_dir):
 
 
 BOXES = """
-b AS (SELECT pair_id, hunk_no, greatest(0, CAST(round(x0 * 1272) AS INT) - 10) AS x0, greatest(0, CAST(round(y0 * 1800) AS INT) - 9) AS y0,
+b AS (SELECT pair_id, hunk_no, page_number, part, greatest(0, CAST(round(x0 * 1272) AS INT) - 10) AS x0, greatest(0, CAST(round(y0 * 1800) AS INT) - 9) AS y0,
   least(1272, CAST(round(x1 * 1272) AS INT) + 10) AS x1, least(1800, CAST(round(y1 * 1800) AS INT) + 9) AS y1 FROM changes),
 risk AS (SELECT *, round(least(greatest(32.0 + 11.0 * least(1.0, (x1 - x0) * (y1 - y0) / 2289600.0::DOUBLE / 0.008) + 15.0, 1.0), 99.0), 1) AS risk_score,
   round(least(greatest(50.0 + 35.0 * 0.65 + 7.0, 1.0), 99.0), 1) AS confidence_score FROM b)
 """
 
 
-@query(f"""WITH {PAIRS}, {WORDS}, {MATCHED}, {HUNKS}, {CHANGES}, {BOXES}
-SELECT pair_id, CAST(hunk_no AS INT) AS hunk_no, x0, y0, x1, y1, CAST(risk_score AS DOUBLE) AS risk_score, CAST(confidence_score AS DOUBLE) AS confidence_score,
+@query(f"""WITH RECURSIVE {PAIRS}, {WORDS}, {MATCHED}, {HUNKS}, {CHANGES}, {BOXES}
+SELECT pair_id, CAST(hunk_no AS INT) AS hunk_no, page_number, part, x0, y0, x1, y1, CAST(risk_score AS DOUBLE) AS risk_score, CAST(confidence_score AS DOUBLE) AS confidence_score,
  CASE WHEN risk_score >= 85 THEN 'critical' WHEN risk_score >= 65 THEN 'high' WHEN risk_score >= 40 THEN 'medium' WHEN risk_score >= 15 THEN 'low' ELSE 'info' END AS severity,
  round(x0 / 1272.0::DOUBLE, 6) AS bx, round(y0 / 1800.0::DOUBLE, 6) AS by_,
  greatest(least(round((x1 - x0) / 1272.0::DOUBLE, 6), round(1.0 - round(x0 / 1272.0::DOUBLE, 6), 6)), 0.000001) AS bw,
@@ -169,7 +185,7 @@ def c3_c4_g1_g5_hunk_scores(spark, sf_dir):
     """Every text change scored as a region of its own, before any merge."""
     w, h = F.lit(verification.PAGE_WIDTH), F.lit(verification.PAGE_HEIGHT)
     changes = e7_e9_text_changes(spark, sf_dir)
-    boxed = changes.select("pair_id", "hunk_no", geometry.padded_pixel_box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), w, h).alias("b")).select("pair_id", "hunk_no", "b.*")
+    boxed = changes.select("pair_id", "hunk_no", "page_number", "part", geometry.padded_pixel_box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), w, h).alias("b")).select("pair_id", "hunk_no", "page_number", "part", "b.*")
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     zero, yes = F.lit(0), F.lit(True)
     scored = boxed.withColumns({"risk_score": scores.finding_risk(F.lit(0.0), zero, area, w * h, yes), "confidence_score": scores.finding_confidence(F.lit(0.65), zero, area, yes)})
@@ -180,7 +196,7 @@ def c3_c4_g1_g5_hunk_scores(spark, sf_dir):
 @query()
 def f12_f17_regions(spark, sf_dir):
     """Text and visual regions of every pair, merged, measured again and ranked."""
-    return verification.verify(spark, sf_dir)[1].select("pair_id", "finding_id", "risk_score", "confidence_score", "severity", "category", "bounding_box.*")
+    return verification.verify(spark, sf_dir)[1].select("pair_id", "page_number", "finding_id", "risk_score", "confidence_score", "severity", "category", "bounding_box.*")
 
 
 @query()
@@ -194,12 +210,16 @@ def g3_g6_flagship(spark, sf_dir):
     return verification.flagship(spark, sf_dir)
 
 
+@query()
+def g3_g6_near_copies(spark, sf_dir):
+    """The flagship from text alone: no page is drawn."""
+    return verification.verify(spark, sf_dir, visual=False)[0].drop("pages")
+
+
 @query()
 def g12_rollup(spark, sf_dir):
     """Findings and pairs by label, severity and category."""
-    documents, found = verification.verify(spark, sf_dir)
-    met = found.select("pair_id", "severity", "category").join(documents.select("pair_id", "risk_label"), "pair_id")
-    return met.rollup("risk_label", "severity", "category").agg(F.count("*").alias("findings"), F.countDistinct("pair_id").alias("pairs"))
+    return regions.rolled_up(*verification.verify(spark, sf_dir))
 
 
 @query()
@@ -632,11 +652,22 @@ def f10_f11_kept(spark, sf_dir):
     return raster.padded(stats.where(raster.large_enough(SIDE, SIDE, 4, 2)), SIDE, SIDE, 1).select("pair_id", "label", "x0", "y0", "x1", "y1", "area")
 
 
-@query(f"WITH {CELLS}, {BLUR}, {MASK} SELECT vec_id AS pair_id, count(m.n) AS has, coalesce(any_value(m.n), 0) / 64.0::DOUBLE AS changed_ratio FROM (SELECT DISTINCT pair_id AS vec_id FROM j) LEFT JOIN (SELECT pair_id, count(*) AS n FROM m0 GROUP BY pair_id) m ON m.pair_id = vec_id GROUP BY vec_id")
+@query(f"WITH {CELLS}, {BLUR}, {MASK} SELECT vec_id AS pair_id, coalesce(any_value(m.n), 0) / 64.0::DOUBLE AS changed_ratio FROM (SELECT DISTINCT pair_id AS vec_id FROM j) LEFT JOIN (SELECT pair_id, count(*) AS n FROM m0 GROUP BY pair_id) m ON m.pair_id = vec_id GROUP BY vec_id")
 def f18_changed_ratio(spark, sf_dir):
-    counts = mask_cells(spark, sf_dir).groupBy("pair_id").agg(F.count("*").alias("n"))
-    pairs = raster_cells(spark, sf_dir).select("pair_id").distinct()
-    return pairs.join(counts, "pair_id", "left").groupBy("pair_id").agg(F.count("n").alias("has"), (F.coalesce(F.max("n"), F.lit(0)) / (SIDE * SIDE)).alias("changed_ratio"))
+    """Every mask cell as a kept component of its own."""
+    pages = raster_cells(spark, sf_dir).select("pair_id", F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height")).distinct()
+    return raster.changed_ratio(pages, mask_cells(spark, sf_dir).select("pair_id", F.lit(1).alias("area")))
+
+
+@query(f"""WITH {CELLS}, {BLUR}, {MASK}, b AS (SELECT pair_id, 1 AS region_no, pair_id % 5 AS x0, pair_id % 3 AS y0, pair_id % 5 + 3 AS x1, 6 AS y1 FROM (SELECT DISTINCT pair_id FROM j) UNION ALL SELECT pair_id, 2, 0, 0, 8, 8 FROM (SELECT DISTINCT pair_id FROM j))
+SELECT b.pair_id, region_no, count(m0.x) AS n, CAST(coalesce(sum(raw), 0) AS BIGINT) AS raw, 0::BIGINT AS edges FROM b LEFT JOIN m0 ON m0.pair_id = b.pair_id AND x >= x0 AND x < x1 AND y >= y0 AND y < y1 GROUP BY b.pair_id, region_no""")
+def f16_box_sums(spark, sf_dir):
+    """Measures of two boxes a page, by four lookups each in its summed-area table."""
+    k = F.col("pair_id")
+    box = lambda no, *edges: F.struct(F.lit(no).alias("region_no"), *[F.lit(v).cast("int").alias(c) if isinstance(v, int) else v.cast("int").alias(c) for c, v in zip(("x0", "y0", "x1", "y1"), edges, strict=True)])
+    pages = raster_cells(spark, sf_dir).select("pair_id").distinct()
+    boxes = pages.select("pair_id", F.explode(F.array(box(1, k % 5, k % 3, k % 5 + 3, 6), box(2, 0, 0, SIDE, SIDE))).alias("b")).select("pair_id", "b.*")
+    return raster.box_sums(boxes, raster.summed(mask_cells(spark, sf_dir), SIDE, SIDE))
 
 
 @query(f"WITH {CELLS} SELECT pair_id, count(*) AS cells, CAST(sum(gc) AS BIGINT) AS total FROM j WHERE x >= pair_id % 3 AND x < 6 AND y >= 2 AND y < 7 GROUP BY pair_id")

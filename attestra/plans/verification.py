@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attestra.operators import alignment, pages, raster, regions, text
+from attestra.operators.pages import PAGE
 from attestra.sources.tables import Workspace, written
 
 #: Cells of a normalized page.
 PAGE_WIDTH, PAGE_HEIGHT = 1272, 1800
 
 
-def text_pairs(spark: SparkSession, sf_dir: str, pairing: Callable[[DataFrame], DataFrame] = text.pair_by_shared_lines) -> tuple[DataFrame, DataFrame]:
+def text_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(pairs, docs) of the documents table; pairs also say whether both texts are the same."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    pairs = pairing(docs)
+    pairs = text.pair_near_copies(docs)
     prints = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"), (F.length(F.trim(F.coalesce("text", F.lit("")))) > 0).alias("has"))
     r = prints.select(F.col("doc_id").alias("reference_id"), F.col("h").alias("hr"), F.col("has").alias("tr"))
     c = prints.select(F.col("doc_id").alias("candidate_id"), F.col("h").alias("hc"), F.col("has").alias("tc"))
@@ -27,79 +26,111 @@ def text_pairs(spark: SparkSession, sf_dir: str, pairing: Callable[[DataFrame],
 
 def changed_words(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Words of both sides of the pairs that differ, written once; identical pairs never reach the token joins."""
-    return written(text.pair_words(pairs.where("NOT identical"), text.words_from_text(docs)), "words")
+    return written(text.pair_words(pairs.where("NOT identical"), docs), "words")
 
 
-def align_by_words(pairs: DataFrame, words: DataFrame, matched: DataFrame, width: int, height: int) -> DataFrame:
-    """Alignment of each pair's pages: the centres of matched words stand for matched keypoints, and the identity for the fitted
-    matrix, as both pages are laid out in one frame."""
+def matched_points(words: DataFrame, matched: DataFrame, width: int, height: int) -> DataFrame:
+    """pair_id, r_page, page_number and the centres (rx, ry), (cx, cy) in cells of each matched word: they stand for matched keypoints."""
     middle = lambda a, b, n: (F.col(a) + F.col(b)) / 2 * n
-    spots = words.select("pair_id", "side", "pos", middle("x0", "x1", width).alias("x"), middle("y0", "y1", height).alias("y"))
-    r = spots.where("side = 'r'").select("pair_id", F.col("pos").alias("rp"), F.col("x").alias("rx"), F.col("y").alias("ry"))
-    c = spots.where("side = 'c'").select("pair_id", F.col("pos").alias("cp"), F.col("x").alias("cx"), F.col("y").alias("cy"))
-    points = matched.join(r, ["pair_id", "rp"]).join(c, ["pair_id", "cp"]).withColumn("matrix", alignment.identity())
-    measured = alignment.reprojection(points).select("pair_id", alignment.identity().alias("m"), "match_count", "inliers", "inlier_ratio", F.col("reprojection_error").alias("error"))
+    spots = words.select("pair_id", "side", "pos", "page_number", middle("x0", "x1", width).alias("x"), middle("y0", "y1", height).alias("y"))
+    r = spots.where("side = 'r'").select("pair_id", F.col("pos").alias("rp"), F.col("page_number").alias("r_page"), F.col("x").alias("rx"), F.col("y").alias("ry"))
+    c = spots.where("side = 'c'").select("pair_id", F.col("pos").alias("cp"), "page_number", F.col("x").alias("cx"), F.col("y").alias("cy"))
+    return matched.join(r, ["pair_id", "rp"]).join(c, ["pair_id", "cp"]).drop("rp", "cp")
+
+
+def page_matches(points: DataFrame) -> DataFrame:
+    """pair_id, r_page, page_number: pages that have most words in common with each other, ties to the lower page. Matched words don't cross, so
+    neither do matched pages."""
+    votes = points.groupBy("pair_id", "r_page", "page_number").agg(F.count("*").alias("n"))
+    best = lambda own, other: F.row_number().over(Window.partitionBy("pair_id", own).orderBy(F.desc("n"), other))
+    return votes.withColumns({"a": best("r_page", "page_number"), "b": best("page_number", "r_page")}).where("a = 1 AND b = 1").select("pair_id", "r_page", "page_number")
+
+
+def page_prints(words: DataFrame) -> DataFrame:
+    """pair_id, side, page_number and the fingerprint of each page's words and where they stand."""
+    each = F.struct("y0", "x0", "y1", "x1", "text")
+    return words.groupBy("pair_id", "side", "page_number").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(each))), 256).alias("print"))
+
+
+def aligned_sheets(pairs: DataFrame, words: DataFrame, matched: DataFrame, width: int, height: int) -> DataFrame:
+    """A row for each candidate page of pairs (pair_id, identical, has_text): r_page (the reference page it is held against, null if none), same (whether the
+    two are equal) and the alignment: a matrix fitted to the words that both have, if it is plausible, else by size."""
+    points = matched_points(words, matched, width, height)
+    matches = page_matches(points)
+    fit = alignment.fitted(points.join(matches, ["pair_id", "r_page", "page_number"]), *PAGE)
+    # A page has one matrix, so it is a key of its points as well.
+    measured = alignment.reprojection(fit, *PAGE, "matrix").withColumnsRenamed({"reprojection_error": "error", "matrix": "m"})
+    prints = page_prints(words)
+    of = lambda side, page, name: prints.where(F.col("side") == side).select("pair_id", F.col("page_number").alias(page), F.col("print").alias(name))
+    sheets = pairs.select("pair_id", "identical", "has_text").join(of("c", "page_number", "hc"), "pair_id", "left").withColumn("page_number", F.coalesce("page_number", F.lit(1)))
+    sheets = sheets.join(matches, PAGE, "left").join(of("r", "r_page", "hr"), ["pair_id", "r_page"], "left")
     sized = [F.lit(v).alias(c) for c, v in (("rw", width), ("rh", height), ("cw", width), ("ch", height))]
-    return alignment.align(pairs.select("pair_id", "identical", *sized).join(measured, "pair_id", "left"))
-
+    sheets = sheets.select(*PAGE, "r_page", "has_text", (F.col("identical") | F.coalesce(F.col("hr") == F.col("hc"), F.lit(False))).alias("same"), *sized)
+    aligned = alignment.align(sheets.withColumnRenamed("same", "identical").join(measured, PAGE, "left"), *PAGE)
+    return sheets.select(*PAGE, "r_page", "has_text", "same", F.lit(width).alias("width"), F.lit(height).alias("height")).join(aligned, PAGE)
 
-def page_evidence(runs: DataFrame, width: int, height: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(components, kept runs, changed share) of each page from its runs of changed cells: components that are large and different
-    enough, padded, as an array of regions by label; their runs; the share of the page that they cover."""
-    stats = pages.run_stats(runs)
-    kept = stats.where(raster.large_enough(width, height))
-    region = F.struct(
-        *[F.col(c).cast("int") for c in ("x0", "y0", "x1", "y1")], F.col("area"), "mean_delta", "max_delta", "edge_changed_pixels",
-        F.array(F.lit(regions.VISUAL)), F.array().cast("array<struct<hunk_no:int,before:string,after:string>>"),
-    ).cast(regions.REGION)
-    boxed = raster.padded(kept, width, height).select("pair_id", F.struct("label", region.alias("r")).alias("k"))
-    components = boxed.groupBy("pair_id").agg(F.transform(F.array_sort(F.collect_list("k")), lambda k: k.r).alias("components"))
-    own = runs.join(kept.select("pair_id", "label"), ["pair_id", "label"], "left_semi").select("pair_id", "y", "x0", "x1", "raw", "edge")
-    return components, own, kept.select("pair_id", "area")
 
+def located(sheets: DataFrame, words: DataFrame, changes: DataFrame, width: int, height: int, visual: bool = True) -> DataFrame:
+    """PAGE, changed_cells, regions and measures of each page with a text change or a picture to compare.
 
-def verified(pairs: DataFrame, changes: DataFrame, aligned: DataFrame, runs: DataFrame | None, width: int, height: int, space: Workspace) -> tuple[DataFrame, DataFrame]:
-    """(documents, findings) of pairs (pair_id, has_text) from text changes, alignment and the runs of changed cells (none: text alone)."""
-    sheets = pairs.select("pair_id", "has_text", F.lit(width).alias("width"), F.lit(height).alias("height"))
+    Behind one shuffle by page, drawing, comparing, merging and measuring follow one another on a page's row.
+    """
     told = regions.text_regions(changes, width, height)
-    none = F.array().cast(f"array<{regions.REGION}>")
-    if runs is None:
-        both, own, ratio = told.withColumn("components", none), None, sheets.select("pair_id", F.lit(0.0).alias("changed_ratio"))
+    rows = sheets.select(*PAGE, "r_page", "same", "matrix", "method").join(told, PAGE, "left")
+    if visual:
+        bars = pages.page_bars(words, width, height)
+        of = lambda side, page: bars.where(F.col("side") == side).select("pair_id", F.col("page_number").alias(page), F.col("bars").alias(side))
+        seen = rows.where("r_page IS NOT NULL AND NOT same").select(*PAGE, "r_page").join(of("r", "r_page"), ["pair_id", "r_page"]).join(of("c", "page_number"), PAGE).drop("r_page")
+        rows = rows.drop("r_page").join(seen, PAGE, "left").where("text_regions IS NOT NULL OR r IS NOT NULL")
+        # A page is little to shuffle and much to draw: a stated number of partitions by a key of its own, which is not coalesced by size.
+        rows = rows.drop("same").repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*PAGE))
+        rows = pages.drawn_differences(rows, width, height)
     else:
-        seen, own, kept = (space.written(t, n) for t, n in zip(page_evidence(runs, width, height), ("seen", "own", "kept"), strict=True))
-        both, ratio = seen.join(told, "pair_id", "full"), raster.changed_ratio(sheets, kept)
-    located = regions.localize(both.select("pair_id", F.lit(width).alias("width"), F.lit(height).alias("height"), "components", "text_regions"))
-    each = space.written(located.select("pair_id", F.posexplode("regions").alias("region_no", "r")), "regions")
-    if own is None:
-        measured = each.select("pair_id", "region_no", "r.*")
-    else:
-        boxes = each.select("pair_id", "region_no", "r.x0", "r.y0", "r.x1", "r.y1")
-        measured = regions.raised(each, pages.box_measures(boxes, own))
-    sheets = sheets.join(ratio, "pair_id").join(aligned.select("pair_id", F.col("method").alias("alignment_method"), F.col("quality").alias("alignment_quality"), "inlier_ratio"), "pair_id")
-    sheets = space.written(sheets, "sheets")
-    found = space.written(regions.findings(regions.ranked(measured), sheets), "findings")
-    return regions.documents(sheets, found), found
-
-
-def verify_pairs(pairs: DataFrame, docs: DataFrame, width: int = PAGE_WIDTH, height: int = PAGE_HEIGHT, visual: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(documents, findings) of pairs (pair_id, reference_id, candidate_id, identical, has_text) of docs (doc_id, text): words aligned,
-    pages drawn from them, compared and localized, text and visual regions merged, measured, ranked and scored."""
+        rows = rows.where("text_regions IS NOT NULL").select(*PAGE, "text_regions", F.array().cast(f"array<{pages.COMPONENT}>").alias("components"), F.lit(None).cast(pages.RUNS).alias("runs"))
+    rows = rows.withColumn("large", F.filter("components", lambda c: raster.large_enough(width, height, of=c.getField)))
+    region = lambda c: F.struct(
+        *[v.cast("int").alias(k) for k, v in raster.padded_box(width, height, of=c.getField).items()], c["area"], c["mean_delta"], c["max_delta"], c["edge_changed_pixels"],
+        F.array(F.lit(regions.VISUAL)), F.array().cast("array<struct<hunk_no:int,before:string,after:string>>"),
+    ).cast(regions.REGION)
+    rows = rows.select(
+        *PAGE, "components", "runs", "text_regions", F.transform("large", lambda c: c["label"]).alias("kept"), F.transform("large", region).alias("seen"),
+        F.aggregate("large", F.lit(0).cast("long"), lambda s, c: s + c["area"]).alias("changed_cells"),
+    )
+    merged = regions.localized(rows, width, height, components="seen")
+    return pages.with_measures(merged).select(*PAGE, "changed_cells", "regions", "measures")
+
+
+def verify_words(pairs: DataFrame, words: DataFrame, width: int = PAGE_WIDTH, height: int = PAGE_HEIGHT, visual: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(documents, findings) of pairs (pair_id, identical, has_text) from the words of those that differ (pair_id, side, page_number, pos, text,
+    token and box): words aligned, pages matched, aligned, drawn, compared and localized, text and visual regions merged, measured, ranked and
+    scored."""
     space = Workspace(pairs.sparkSession, "verification")
-    pairs = space.written(pairs, "pairs")
-    words = space.written(text.pair_words(pairs.where("NOT identical"), text.words_from_text(docs)), "words")
+    pairs, words = space.written(pairs, "pairs"), space.written(words, "words")
     matched = space.written(text.token_align(words), "matched")
-    changes = text.text_changes(words, space.written(text.hunks(words, matched), "gaps"))
-    aligned = space.written(align_by_words(pairs, words, matched, width, height), "aligned")
-    runs = space.written(pages.word_runs(words, width, height), "runs") if visual else None
-    documents, found = verified(pairs, space.written(changes, "changes"), aligned, runs, width, height, space)
-    documents, found = written(documents, "documents"), written(found, "findings")
+    changes = space.written(text.text_changes(words, space.written(text.hunks(words, matched), "gaps")), "changes")
+    sheets = space.written(aligned_sheets(pairs, words, matched, width, height), "sheets")
+    found = space.written(located(sheets, words, changes, width, height, visual), "located")
+    each = found.select(*PAGE, F.posexplode(F.arrays_zip("regions", "measures")).alias("region_no", "z"))
+    top = regions.ranked(each.select(*PAGE, "region_no", *regions.raised_columns(F.col("z.regions"), F.col("z.measures"))))
+    scored = sheets.join(found.select(*PAGE, "changed_cells"), PAGE, "left").select(
+        *PAGE, "has_text", "width", "height", (F.coalesce("changed_cells", F.lit(0)) / (F.col("width") * F.col("height"))).alias("changed_ratio"),
+        F.col("method").alias("alignment_method"), F.col("quality").alias("alignment_quality"), "inlier_ratio",
+    )
+    listed = written(regions.findings(top, scored), "findings")
+    documents = written(regions.documents(scored, listed), "documents")
     space.close()
-    return documents, found
+    return documents, listed
+
+
+def verify_pairs(pairs: DataFrame, docs: DataFrame, width: int = PAGE_WIDTH, height: int = PAGE_HEIGHT, visual: bool = True) -> tuple[DataFrame, DataFrame]:
+    """verify_words() on pairs (pair_id, reference_id, candidate_id, identical, has_text) of docs (doc_id, text), laid out on pages."""
+    words = text.pair_words(pairs.where("NOT identical"), docs)
+    return verify_words(pairs.select("pair_id", "identical", "has_text"), words, width, height, visual)
 
 
-def verify(spark: SparkSession, sf_dir: str, pairing: Callable[[DataFrame], DataFrame] = text.pair_by_shared_lines, visual: bool = True) -> tuple[DataFrame, DataFrame]:
+def verify(spark: SparkSession, sf_dir: str, visual: bool = True) -> tuple[DataFrame, DataFrame]:
     """(documents, findings) of all pairs of the documents table."""
-    return verify_pairs(*text_pairs(spark, sf_dir, pairing), visual=visual)
+    return verify_pairs(*text_pairs(spark, sf_dir), visual=visual)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

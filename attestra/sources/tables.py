@@ -8,6 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes at which an Arrow batch on its way to Python is closed; a longer row is a batch of its own.
+BATCH_BYTES = 2 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Close the session's Arrow batches by their bytes, as rows can be long; a setting of the user's own stays."""
+    if BATCH_SETTING not in spark.conf.getAll:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a temporary one only where one machine runs everything."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

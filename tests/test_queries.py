@@ -1,7 +1,7 @@
 import pytest
 
 import __spark_entry__
-from attestra.plans import queries
+from attestra.plans import queries, roundtrips  # noqa: F401
 from tests.compare import check, duck
 
 
