@@ -8,8 +8,10 @@ go down the upper levels together and keep the best EF_BUILD or EF_SEARCH nodes
 shard; a shard's queries are cut into blocks of tasks, each of which has the shard's arrays.
 
 Nearness is the inner product in double precision. Graphs are built on vectors
-extended by one component, sqrt(largest squared norm - squared norm), which makes
-the order by distance the order by inner product; what a search keeps is scored on the original vectors.
+extended by one component, sqrt(1 - squared norm), which makes
+the order by distance the order by inner product; what a search keeps is scored on the original vectors. A shard only has nodes whose
+norms lie within a factor of four, scaled by a power of two to norms below one, and queries are scaled to norm one; so single
+precision tells a shard's nodes apart whatever the norms of others are, and neither very large nor very small vectors leave its range.
 
 Defined results: vectors that are null or zero, or hold null or non-finite
 components, take no part, neither do rows without an id or with a number of
@@ -37,7 +39,7 @@ M, M0, SPARE = 16, 32, 16
 EF_BUILD, EF_SEARCH = 80, 128
 #: Nodes inserted or queries answered together, neighbours looked for within such a block, queries of a task, nodes of a stored chunk.
 BLOCK, WITHIN, TASK_QUERIES, CHUNK = 256, 16, 16_384, 4_096
-INDEX = "shard int, part int, n long, entry int, ids binary, vectors binary, levels array<binary>"
+INDEX = "shard int, part int, n long, entry int, power int, ids binary, vectors binary, levels array<binary>"
 
 
 def usable(vector: Column) -> Column:
@@ -47,10 +49,29 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & fine & F.exists(v, lambda x: x != 0)
 
 
-def extended(vectors: np.ndarray, largest: float) -> np.ndarray:
-    """Vectors with the component that brings each to the largest squared norm, in single precision."""
-    rest = np.sqrt(np.maximum(0.0, largest - np.einsum("ij,ij->i", vectors, vectors)))
-    return np.column_stack((vectors, rest)).astype(np.float32)
+def norm(vector: Column) -> Column:
+    """The norm of an array of doubles, by way of its largest component, so that no square leaves the range."""
+    most = F.array_max(F.transform(vector, lambda x: F.abs(x)))
+    return most * F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + F.pow(x / most, 2)))
+
+
+def power(vector: Column) -> Column:
+    """The power of two that brings a vector's norm below one, in steps of two; bounds are no powers of two, as norms often are one."""
+    return (2 * F.floor((F.log2(norm(vector)) + 0.5) / 2) + 2).cast("int")
+
+
+def extended(vectors: np.ndarray, power: int) -> np.ndarray:
+    """Vectors scaled down by the power of two, with the component that brings each to norm one, in single precision."""
+    x = np.ldexp(vectors, -power)
+    rest = np.sqrt(np.maximum(0.0, 1.0 - np.einsum("ij,ij->i", x, x)))
+    return np.column_stack((x, rest)).astype(np.float32)
+
+
+def directions(vectors: np.ndarray) -> np.ndarray:
+    """Queries scaled to norm one, with a zero for the extra component."""
+    x = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    return np.column_stack((x, np.zeros(len(x)))).astype(np.float32)
 
 
 class Graph:
@@ -190,34 +211,33 @@ def matrix(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
 
 
-def build_index(nodes: DataFrame, shards: int, dims: int, largest: float) -> DataFrame:
-    """The chunks of each shard. nodes: _node long, _v array<double> of dims components, squared norms up to largest."""
+def build_index(nodes: DataFrame, shards: int, dims: int) -> DataFrame:
+    """The chunks of each shard. nodes: shard, power (one for all nodes of a shard), _node long, _v array<double> of dims components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors, shard = [], [], None
         for batch in batches:
             if len(batch):
-                shard = batch.column(0)[0].as_py()
-                ids.append(batch.column(1).to_numpy())
-                vectors.append(matrix(batch.column(2), dims))
+                shard, power = batch.column(0)[0].as_py(), batch.column(1)[0].as_py()
+                ids.append(batch.column(2).to_numpy())
+                vectors.append(matrix(batch.column(3), dims))
         if shard is None:
             return
         ids, vectors = np.concatenate(ids), np.concatenate(vectors)
         # Insertion in a hashed order, so that runs of near vectors are not inserted together, whatever order rows came in.
         order = np.argsort(ids, kind="stable")[np.random.default_rng(3).permutation(len(ids))]
         ids, vectors = ids[order], np.ascontiguousarray(vectors[order])
-        graph = Graph(extended(vectors, largest)).build()
+        graph = Graph(extended(vectors, power)).build()
         for part, a in enumerate(range(0, len(ids), CHUNK)):
             cut = slice(a, a + CHUNK)
-            row = [[shard], [part], [len(ids)], [graph.entry], [ids[cut].tobytes()], [vectors[cut].tobytes()], [[x[cut].tobytes() for x in graph.levels]]]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.binary())]
+            row = [[shard], [part], [len(ids)], [graph.entry], [power], [ids[cut].tobytes()], [vectors[cut].tobytes()], [[x[cut].tobytes() for x in graph.levels]]]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], names=[c.split()[0] for c in INDEX.split(", ")])
 
-    dealt = nodes.select(F.pmod(F.xxhash64("_node"), F.lit(shards)).cast("int").alias("shard"), "_node", "_v")
-    return dealt.repartitionById(shards, F.col("shard")).mapInArrow(run, INDEX)
+    return nodes.select("shard", "power", "_node", "_v").repartitionById(shards, F.col("shard")).mapInArrow(run, INDEX)
 
 
-def search_index(index: DataFrame, queries: DataFrame, shards: int, tasks: int, k: int, dims: int, largest: float) -> DataFrame:
+def search_index(index: DataFrame, queries: DataFrame, shards: int, tasks: int, k: int, dims: int) -> DataFrame:
     """query_id, _node and score: the k + 1 best nodes of each shard for every query (_q long, _v). tasks: blocks that a shard's queries
     are cut into."""
 
@@ -229,7 +249,7 @@ def search_index(index: DataFrame, queries: DataFrame, shards: int, tasks: int,
             out: list[tuple] = []
             for a in range(0, len(q), BLOCK):
                 part = v[a : a + BLOCK]
-                kept = graph.search(np.column_stack((part, np.zeros(len(part)))).astype(np.float32))
+                kept = graph.search(directions(part))
                 scores = np.einsum("ijk,ik->ij", points[kept], part)
                 scores[kept < 0] = -np.inf
                 node = ids[kept]
@@ -241,16 +261,16 @@ def search_index(index: DataFrame, queries: DataFrame, shards: int, tasks: int,
         for batch in batches:
             kind = batch.column(1).to_numpy()
             stored, asked = batch.filter(pa.array(kind == 0)), batch.filter(pa.array(kind == 1))
-            chunks += stored.select([3, 4, 5, 6, 7]).to_pylist()
+            chunks += stored.select([3, 4, 5, 6, 7, 8]).to_pylist()
             if len(asked) and chunks:
                 if graph is None:
                     ids = np.frombuffer(b"".join(c["ids"] for c in chunks), np.int64)
                     points = np.frombuffer(b"".join(c["vectors"] for c in chunks), np.float64).reshape(-1, dims)
                     levels = [np.frombuffer(b"".join(c["levels"][i] for c in chunks), np.int32).reshape(len(ids), -1) for i in range(len(chunks[0]["levels"]))]
-                    graph = Graph(extended(points, largest), levels, chunks[0]["entry"])
+                    graph = Graph(extended(points, chunks[0]["power"]), levels, chunks[0]["entry"])
                     chunks = [None]
-                waiting_q.append(asked.column(8).to_numpy())
-                waiting_v.append(matrix(asked.column(9), dims))
+                waiting_q.append(asked.column(9).to_numpy())
+                waiting_v.append(matrix(asked.column(10), dims))
                 if sum(map(len, waiting_q)) >= BLOCK:
                     yield answers()
                     waiting_q, waiting_v = [], []
@@ -259,10 +279,10 @@ def search_index(index: DataFrame, queries: DataFrame, shards: int, tasks: int,
 
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     each = index.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
-    stored = each.select((F.col("shard") * tasks + F.col("_t")).alias("unit"), F.lit(0).alias("kind"), "part", "n", "entry", "ids", "vectors", "levels", none("long", "_q"), none("array<double>", "_v"))
+    stored = each.select((F.col("shard") * tasks + F.col("_t")).alias("unit"), F.lit(0).alias("kind"), "part", "n", "entry", "power", "ids", "vectors", "levels", none("long", "_q"), none("array<double>", "_v"))
     there = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     unit = F.col("shard") * tasks + F.pmod(F.xxhash64("_q"), F.lit(tasks)).cast("int")
-    missing = [none(t, c) for t, c in (("int", "part"), ("long", "n"), ("int", "entry"), ("binary", "ids"), ("binary", "vectors"), ("array<binary>", "levels"))]
+    missing = [none(t, c) for t, c in (("int", "part"), ("long", "n"), ("int", "entry"), ("int", "power"), ("binary", "ids"), ("binary", "vectors"), ("array<binary>", "levels"))]
     asked = there.select(unit.alias("unit"), F.lit(1).alias("kind"), *missing, "_q", "_v")
     both = stored.unionByName(asked).repartitionById(shards * tasks, F.col("unit")).sortWithinPartitions("kind", "part")
     return both.mapInArrow(run, "query_id long, _node long, score double")
@@ -274,21 +294,28 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", v
     bounded_batches(spark)
     rows = df.select(F.col(key).alias("_id"), F.col(vector).cast("array<double>").alias("_v"), is_query.alias("_is_query"))
     rows = rows.where(F.col("_id").isNotNull() & usable(F.col("_v")))
-    norm = F.aggregate("_v", F.lit(0.0), lambda s, x: s + x * x)
-    totals = rows.groupBy(F.size("_v").alias("d")).agg(F.count("*").alias("n"), F.max(norm).alias("m"), F.count_if("_is_query").alias("q")).orderBy(F.desc("n"), "d").first()
+    totals = rows.groupBy(F.size("_v").alias("d")).agg(F.count("*").alias("n"), F.count_if("_is_query").alias("q")).orderBy(F.desc("n"), "d").first()
     if totals is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dims, space = totals["d"], Workspace(spark, "ann")
-    shards = shards or max(MIN_SHARDS, -(-totals["n"] // max(1_000, min(SHARD_ROWS, SHARD_BYTES // (8 * dims)))))
+    most = max(1_000, min(SHARD_ROWS, SHARD_BYTES // (8 * dims)))
+    shards = shards or max(MIN_SHARDS, -(-totals["n"] // most))
+    rows = rows.where(F.size("_v") == dims).withColumn("power", power(F.col("_v")))
+    # Doubles have some 1,100 ranges of norms; each gets shards of its own.
+    ranges = {r["power"]: r["n"] for r in rows.groupBy("power").agg(F.count("*").alias("n")).collect()}
+    own = {p: max(1, -(-n // most), shards * n // totals["n"]) for p, n in ranges.items()}
+    start = dict(zip(sorted(own), np.cumsum([0, *[own[p] for p in sorted(own)]]).tolist(), strict=False))
+    shards = sum(own.values())
+    place = F.create_map(*[F.lit(v) for p in own for v in (p, start[p])])[F.col("power")], F.create_map(*[F.lit(v) for p, n in own.items() for v in (p, n)])[F.col("power")]
     tasks = max(1, -(-totals["q"] // TASK_QUERIES), -(-spark.sparkContext.defaultParallelism // shards))
-    rows = rows.where(F.size("_v") == dims)
     # Equal vectors: one node; hashing first keeps the grouping key short.
     print_ = F.sha1(F.array_join(F.col("_v").cast("array<string>"), ","))
     rows = space.written(rows.withColumn("_same", print_).dropDuplicates(["_id", "_same"]), "vectors")
-    first = rows.groupBy("_same").agg(F.min_by(F.struct("_id", "_v"), "_id").alias("r"))
-    index = space.written(build_index(first.select(F.col("r._id").alias("_node"), F.col("r._v").alias("_v")), shards, dims, totals["m"]), "graphs")
+    first = rows.groupBy("_same").agg(F.min_by(F.struct("_id", "_v", "power"), "_id").alias("r")).select(F.col("r._id").alias("_node"), F.col("r._v").alias("_v"), "r.power")
+    dealt = first.withColumn("shard", (place[0] + F.pmod(F.xxhash64("_node"), place[1])).cast("int"))
+    index = space.written(build_index(dealt, shards, dims), "graphs")
     queries = rows.where("_is_query").select(F.col("_id").alias("_q"), "_v")
-    found = search_index(index, queries, shards, tasks, k, dims, totals["m"])
+    found = search_index(index, queries, shards, tasks, k, dims)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "_node")
     found = found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1).drop("_r")
     # The k + 1 smallest ids of each group of equal vectors are all that a result can hold.

@@ -77,3 +77,28 @@ def test_ties_copies_and_unfit_vectors(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") == 1).count() == 0
     few = ann.nearest(df.where("vec_id IN (1, 2, 100)"), F.col("vec_id") == 1, k=5).orderBy("rank").collect()
     assert [(r.vec_id, r.score) for r in few] == [(2, 1.0), (100, 0.5)]
+
+
+def test_recall_whatever_the_norms(spark):
+    """One vector of 10,000 times the others' norm, all at 1e25 or 1e-25, norms spread over many powers: full results, recall as ever."""
+    rng = np.random.default_rng(4)
+    unit = rng.normal(size=(3_000, 24))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    one = unit.copy()
+    one[17] *= 10_000
+    for points in (one, unit * 1e25, unit * 1e-25, unit * np.exp(rng.normal(0, 3, (3_000, 1)))):
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(points.tolist())], "vec_id long, embedding array<double>")
+        got = {}
+        for r in ann.nearest(df, F.col("vec_id") % 60 == 0).collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        assert all(len(got[i]) == 20 for i in range(0, 3_000, 60))
+        hits = sum(len(set(got[i]) & {v for v, _ in brute(np.arange(3_000), points, i, 20)}) for i in range(0, 3_000, 60))
+        assert hits >= 0.95 * 20 * 50
+
+
+def test_norms_at_the_ends_of_doubles(spark):
+    rows = [(i, [s * c, s]) for i, (s, c) in enumerate((s, c) for s in (1e-300, 1e-160, 1.0, 1e160, 1e300) for c in (0.5, 1.0, 2.0))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = ann.nearest(df, F.col("vec_id") == 7, k=20).orderBy("rank").collect()
+    want = sorted(((-(v[0] * rows[7][1][0] + v[1] * rows[7][1][1]), i) for i, v in rows if i != 7))
+    assert [(r.vec_id, r.score) for r in out] == [(i, -s) for s, i in want]
