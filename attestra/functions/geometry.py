@@ -88,7 +88,7 @@ def iou(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
 
 
 def project(x: Column, y: Column, m: Column) -> Column:
-    """A point through a 3x3 matrix given as an array of nine, row by row."""
+    """A point through a 3x3 matrix given as an array of nine, row by row; null where it goes to infinity."""
     at = lambda i: F.get(m, F.lit(i))
     w = at(6) * x + at(7) * y + at(8)
-    return F.struct(((at(0) * x + at(1) * y + at(2)) / w).alias("x"), ((at(3) * x + at(4) * y + at(5)) / w).alias("y"))
+    return F.struct(F.try_divide(at(0) * x + at(1) * y + at(2), w).alias("x"), F.try_divide(at(3) * x + at(4) * y + at(5), w).alias("y"))

@@ -97,7 +97,7 @@ def plausible(m: Column, rw: Column, rh: Column, cw: Column, ch: Column) -> Colu
     """Finite, not degenerate, corners within 15 % of the page, area within 0.65 to 1.35 of it."""
     finite = F.forall(m, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & (F.abs(F.get(m, F.lit(8))) >= 1e-8)
     # Bound once by the transform of an array of one, as each corner is looked at several times.
-    inside = lambda c: (F.array_min(F.transform(c, lambda p: p.x)) >= -0.15 * cw) & (F.array_max(F.transform(c, lambda p: p.x)) <= 1.15 * cw) & (F.array_min(F.transform(c, lambda p: p.y)) >= -0.15 * ch) & (F.array_max(F.transform(c, lambda p: p.y)) <= 1.15 * ch)
+    inside = lambda c: F.forall(c, lambda p: p.x.isNotNull() & p.y.isNotNull()) & (F.array_min(F.transform(c, lambda p: p.x)) >= -0.15 * cw) & (F.array_max(F.transform(c, lambda p: p.x)) <= 1.15 * cw) & (F.array_min(F.transform(c, lambda p: p.y)) >= -0.15 * ch) & (F.array_max(F.transform(c, lambda p: p.y)) <= 1.15 * ch)
     twice = lambda c: F.aggregate(F.zip_with(c, F.concat(F.slice(c, 2, 3), F.slice(c, 1, 1)), lambda p, q: p.x * q.y - q.x * p.y), F.lit(0.0), lambda s, v: s + v)
     fits = F.transform(F.array(corners(rw.cast("double"), rh.cast("double"), m)), lambda c: inside(c) & (F.abs(twice(c)) / 2 / F.greatest(cw * ch, F.lit(1.0))).between(0.65, 1.35))
     return finite & F.coalesce(F.get(fits, F.lit(0)), F.lit(False))
