@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from attestra.functions.geometry import project
 from attestra.functions.scores import clip
+from attestra.sources.tables import written
 
 # Ratio of a match to the second best, least matches and inliers, largest error of an inlier, largest corner movement that snaps.
 RATIO, MIN_GOOD, MIN_INLIERS, MAX_ERROR, SNAP = 0.76, 10, 8, 4.0, 0.75
+#: Descriptors nearer than this have an equal band; keypoints of a page with one band up to which they meet over it.
+SURE, CROWD = 16, 64
 #: Rounds in which a fit is weighted anew.
 FIT_ROUNDS = 5
 # Names of methods.
@@ -31,17 +34,51 @@ def by_size(rw: Column, rh: Column, cw: Column, ch: Column) -> tuple[Column, Col
     return matrix(cw / rw, 0, 0, 0, ch / rh, 0, 0, 0, 1), clip(0.65 - 2.5 * error, 0.25, 0.65)
 
 
+def hamming(a: str, b: str) -> Column:
+    """Bits in which the descriptors a.d0..d3 and b.d0..d3 differ."""
+    each = [F.bit_count(F.col(f"{a}.d{i}").bitwiseXOR(F.col(f"{b}.d{i}"))) for i in range(4)]
+    return each[0] + each[1] + each[2] + each[3]
+
+
+def bands(points: DataFrame) -> DataFrame:
+    """pair_id, kp_id, band, value and d: a row for each of a descriptor's sixteen parts of 16 bits."""
+    parts = [F.shiftright(f"d{i}", 16 * k).bitwiseAND(F.lit(0xFFFF)).cast("int") for i in range(4) for k in range(4)]
+    return points.select("pair_id", "kp_id", F.struct("d0", "d1", "d2", "d3").alias("d"), F.posexplode(F.array(*parts)).alias("band", "value"))
+
+
+def band_candidates(reference: DataFrame, candidate: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pair_id, kp_r, kp_c, distance of keypoints with an equal band; pair_id, kp_r of those that share a crowded band and must be held
+    against all). Two descriptors that differ in fewer than sixteen bits have an equal band."""
+    of = bands(candidate)
+    crowded = of.groupBy("pair_id", "band", "value").agg(F.count("*").alias("n")).where(F.col("n") > CROWD)
+    own = bands(reference)
+    many = own.join(crowded, ["pair_id", "band", "value"]).select("pair_id", F.col("kp_id").alias("kp_r")).distinct()
+    free = own.withColumnRenamed("kp_id", "kp_r").join(many, ["pair_id", "kp_r"], "left_anti")
+    key = ["pair_id", "band", "value"]
+    met = free.alias("x").join(of.alias("y"), key).select("pair_id", "kp_r", F.col("y.kp_id").alias("kp_c"), F.col("x.d").alias("a"), F.col("y.d").alias("b"))
+    return met.groupBy("pair_id", "kp_r", "kp_c").agg(F.any_value(hamming("a", "b")).alias("distance")), many
+
+
 def ratio_matches(reference: DataFrame, candidate: DataFrame) -> DataFrame:
     """pair_id, kp_r, kp_c, distance of each reference keypoint's best match that beats its second by the ratio.
 
-    Both: pair_id, kp_id, d0..d3 (256 bits as four longs). All keypoints of one page meet all of the other within the pair.
+    Both: pair_id, kp_id, d0..d3 (256 bits as four longs). Keypoints meet over equal bands of their bits, which finds all that are nearer than
+    SURE bits. That settles a keypoint if its two nearest are, or if its nearest beats even a second at SURE bits; those it does
+    not settle, and those with a band that more than CROWD keypoints of the page have, meet all of the page.
     """
-    bits = sum((F.bit_count(F.col(f"r.d{i}").bitwiseXOR(F.col(f"c.d{i}"))) for i in range(1, 4)), F.bit_count(F.col("r.d0").bitwiseXOR(F.col("c.d0"))))
-    met = reference.alias("r").join(candidate.alias("c"), F.col("r.pair_id") == F.col("c.pair_id"))
-    met = met.select(F.col("r.pair_id").alias("pair_id"), F.col("r.kp_id").alias("kp_r"), F.col("c.kp_id").alias("kp_c"), bits.alias("distance"))
+    near, _ = band_candidates(reference, candidate)
     order = Window.partitionBy("pair_id", "kp_r").orderBy("distance", "kp_c")
-    two = met.withColumn("rank", F.row_number().over(order)).withColumn("second", F.lead("distance").over(order))
-    return two.where((F.col("rank") == 1) & (F.col("distance") < RATIO * F.col("second"))).drop("rank", "second")
+    size = candidate.groupBy("pair_id").agg(F.count("*").alias("n"))
+    first = near.withColumns({"rank": F.row_number().over(order), "second": F.lead("distance").over(order)}).where((F.col("rank") == 1) & (F.col("distance") < SURE)).join(size, "pair_id")
+    known = F.coalesce(F.col("second") < SURE, F.lit(False))
+    beats = F.col("distance") < RATIO * F.when(known, F.col("second")).otherwise(F.lit(SURE))
+    settled = written(first.withColumn("beats", beats & (F.col("n") > 1)).where(known | beats | (F.col("n") == 1)).select("pair_id", "kp_r", "kp_c", "distance", "beats"), "settled")
+    rest = reference.withColumnRenamed("kp_id", "kp_r").join(settled, ["pair_id", "kp_r"], "left_anti")
+    met = rest.alias("r").join(candidate.alias("c"), "pair_id").select("pair_id", "kp_r", F.col("c.kp_id").alias("kp_c"), hamming("r", "c").alias("distance"))
+    two = met.withColumns({"rank": F.row_number().over(order), "second": F.lead("distance").over(order)})
+    others = two.where((F.col("rank") == 1) & (F.col("distance") < RATIO * F.col("second")))
+    columns = ["pair_id", "kp_r", "kp_c", "distance"]
+    return settled.where("beats").select(columns).unionByName(others.select(columns))
 
 
 def fitted(points: DataFrame, *keys: str) -> DataFrame:

@@ -343,3 +343,29 @@ def test_contract_helpers(spark):
     assert contracts.schema_drift(df, df.drop("s").schema.json()) == ["s"]
     runs = spark.createDataFrame([(1, 1.0)], "a int, b double")
     assert evaluation.differences_between(runs, runs).count() == 0
+
+
+def test_ratio_matches_by_brute_force(spark):
+    """Noisy copies of descriptors, unlike ones, pages with one keypoint, and a page whose keypoints share most of their bits."""
+    rng = random.Random(11)
+    signed = lambda v: v - (1 << 64) if v >= 1 << 63 else v
+    flipped = lambda d, n, of=64: [x ^ sum(1 << b for b in {rng.randrange(of) for _ in range(n)}) for x in d]
+    reference, candidate = [], []
+    for page in range(4):
+        for k in range(1 if page == 2 else 90):
+            d = [rng.getrandbits(64 if page != 3 else 9) for _ in range(4)]
+            reference.append((page, k, *map(signed, d)))
+            if k % 9:
+                candidate.append((page, k + 500, *map(signed, flipped(d, rng.choice([0, 1, 2, 3, 4, 12]), 64 if page != 3 else 9))))
+            if k % 7 == 0:
+                candidate.append((page, k + 900, *map(signed, flipped(d, 3, 64 if page != 3 else 9))))
+    schema = "pair_id long, kp_id int, d0 long, d1 long, d2 long, d3 long"
+    got = alignment.ratio_matches(spark.createDataFrame(reference, schema), spark.createDataFrame(candidate, schema)).collect()
+    want = set()
+    for p, k, *d in reference:
+        near = sorted((sum(((a ^ b) & ((1 << 64) - 1)).bit_count() for a, b in zip(d, e, strict=True)), c) for q, c, *e in candidate if q == p)
+        if len(near) > 1 and near[0][0] < 0.76 * near[1][0]:
+            want.add((p, k, near[0][1], near[0][0]))
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 100
+    met, crowded = alignment.band_candidates(spark.createDataFrame(reference, schema), spark.createDataFrame(candidate, schema))
+    assert met.where("pair_id < 2").count() < 2_000 and {r.pair_id for r in crowded.collect()} == {3}
