@@ -758,9 +758,17 @@ def d10_warp(spark, sf_dir):
     return alignment.warp(cells, frames)
 
 
-@query("""SELECT p_partkey AS pair_id, '{"schema_version":"1.0","job_id":"' || p_partkey || '","reference_to_candidate_homography":[[1.0,0.0,0.0],[0.0,1.0,0.0],[0.0,0.0,1.0]],"alignment_method":"exact_pixel_identity","alignment_quality":1.0}' AS metadata FROM part""")
+@query("""SELECT p_partkey AS pair_id, '{"schema_version":"1.0","job_id":"' || p_partkey || '","reference_transform":{"normalized_width":' || (p_size + 600) || ',"scale_x":' || CAST(p_size / 4.0::DOUBLE AS VARCHAR)
+ || ',"orientation_degrees":' || p_partkey % 4 * 90 || '},"candidate_transform":{"normalized_width":' || (p_size + 700) || ',"scale_x":0.5,"orientation_degrees":0},"reference_to_candidate_homography":[[1.0,0.0,' || CAST(p_size / 2.0::DOUBLE AS VARCHAR) || '],[0.0,0.75,'
+ || CAST((p_partkey % 50)::DOUBLE AS VARCHAR) || '],[0.0,0.0,1.0]],"alignment_method":"' || CASE WHEN p_partkey % 2 = 0 THEN 'orb_homography' ELSE 'page_dimension_fallback' END || '","alignment_quality":' || CAST((p_partkey % 8) / 8.0::DOUBLE AS VARCHAR) || '}' AS metadata FROM part""")
 def a8_alignment_metadata(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pair_id"), alignment.identity().alias("matrix"), F.lit("exact_pixel_identity").alias("method"), F.lit(1.0).alias("quality"))
+    """Records with both transforms, matrices, methods and qualities that differ from pair to pair."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    transform = lambda width, scale, turn: F.struct(width.alias("normalized_width"), scale.alias("scale_x"), turn.alias("orientation_degrees"))
+    p = table(spark, sf_dir, "part").select(
+        k.alias("pair_id"), transform(n + 600, n / 4.0, k % 4 * 90).alias("reference_transform"), transform(n + 700, F.lit(0.5), F.lit(0)).alias("candidate_transform"),
+        alignment.matrix(1, 0, n / 2.0, 0, 0.75, k % 50, 0, 0, 1).alias("matrix"), F.when(k % 2 == 0, alignment.HOMOGRAPHY).otherwise(alignment.BY_SIZE).alias("method"), (k % 8 / 8.0).alias("quality"),
+    )
     return sources.alignment_metadata(p)
 
 

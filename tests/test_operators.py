@@ -369,3 +369,20 @@ def test_ratio_matches_by_brute_force(spark):
     assert {tuple(r) for r in got} == want and len(got) == len(want) > 100
     met, crowded = alignment.band_candidates(spark.createDataFrame(reference, schema), spark.createDataFrame(candidate, schema))
     assert met.where("pair_id < 2").count() < 2_000 and {r.pair_id for r in crowded.collect()} == {3}
+
+
+def test_exact_similarity(spark):
+    """The exact ratio is the library's on whole normalized texts, and the bag ratio is never below it."""
+    from difflib import SequenceMatcher
+
+    texts = ["The rent is 940 euro.", "The rent is 960  euro!", "something else", "", None, "ab" * 150, "ba" * 150]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pairs = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate((a, b) for a in range(7) for b in range(7))], "pair_id long, reference_id long, candidate_id long")
+    exact = {r.pair_id: r.similarity for r in text.matched_similarity(pairs, docs).collect()}
+    bag = {r.pair_id: r.similarity for r in text.similarity(pairs, docs).collect()}
+    plain = [" ".join((t or "").lower().split()) for t in texts]
+    for k, (a, b) in enumerate((a, b) for a in range(7) for b in range(7)):
+        if not plain[a] and not plain[b]:
+            assert exact[k] is None and bag[k] is None
+        else:
+            assert exact[k] == SequenceMatcher(None, plain[a], plain[b]).ratio() and bag[k] >= exact[k] - 1e-6
