@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from attestra.operators import alignment, evaluation, joblog, regions, text
 from attestra.operators.pages import PAGE
 from attestra.plans import verification
-from attestra.plans.queries import JOBS, LOG, STAGES, log, query, table, updates
+from attestra.plans.queries import JOBS, LOG, PAIRS, STAGES, WORDS, log, query, table, updates
 from attestra.sources import files as sources
 from attestra.sources.tables import scratch, written
 from attestra.streaming import joblog as streaming
@@ -87,6 +87,15 @@ def j7_summary_of_documents(spark, sf_dir):
     return evaluation.summary(regions.documents(*listed(spark, sf_dir))).withColumn("mean_risk", F.round("mean_risk", 6))
 
 
+@query(f"""WITH {PAIRS}, {WORDS}, d AS (SELECT k.doc_id, sha256(t) AS sha256, CAST(greatest(1, ceil(len(ws) / 720.0::DOUBLE)) AS INT) AS n FROM k JOIN w0 USING (doc_id))
+SELECT pair_id, CAST(reference_id AS VARCHAR) AS reference, r.sha256 AS reference_sha256, r.n AS reference_pages, c.sha256 AS candidate_sha256, c.n AS candidate_pages, '/api/v1/analyses/' || pair_id || '/assets/candidate-page' AS preview_url
+FROM pairs JOIN d r ON r.doc_id = reference_id JOIN d c ON c.doc_id = candidate_id""")
+def g10_descriptors(spark, sf_dir):
+    """What results say of their two documents."""
+    d = verification.described(*verification.text_pairs(spark, sf_dir))
+    return d.select("pair_id", F.col("reference.document_id").alias("reference"), F.col("reference.sha256").alias("reference_sha256"), F.col("reference.page_count").alias("reference_pages"), F.col("candidate.sha256").alias("candidate_sha256"), F.col("candidate.page_count").alias("candidate_pages"), F.col("candidate.preview_url").alias("preview_url"))
+
+
 # Alignment by a fitted matrix: each text against itself on pages that are laid out smaller and aside.
 RELAID = r"""
 k AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),

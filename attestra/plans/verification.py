@@ -24,6 +24,19 @@ def text_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return bound.select("pair_id", "reference_id", "candidate_id", (F.col("hr") == F.col("hc")).alias("identical"), (F.col("tr") & F.col("tc")).alias("has_text")), docs
 
 
+def described(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """pair_id, reference and candidate: what a result says of the two documents of pairs (pair_id, reference_id, candidate_id)."""
+    words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda w: w != ""))
+    count = F.greatest(F.lit(1), F.ceil(words / (text.GRID_COLUMNS * text.GRID_LINES))).cast("int")
+    each = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), count.alias("page_count"))
+    out = pairs.select("pair_id", "reference_id", "candidate_id")
+    for role in ("reference", "candidate"):
+        told = F.struct(F.col("doc_id").cast("string").alias("document_id"), "sha256", "page_count")
+        out = out.join(each.select(F.col("doc_id").alias(f"{role}_id"), told.alias(role)), f"{role}_id")
+        out = out.withColumn(role, F.col(role).withField("preview_url", regions.asset_url(F.col("pair_id"), F.lit(f"{role}-page"))))
+    return out.select("pair_id", "reference", "candidate")
+
+
 def changed_words(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Words of both sides of the pairs that differ, written once; identical pairs never reach the token joins."""
     return written(text.pair_words(pairs.where("NOT identical"), docs), "words")
@@ -123,16 +136,22 @@ def verify_words(pairs: DataFrame, words: DataFrame, width: int = PAGE_WIDTH, he
 
 
 def verify_pairs(pairs: DataFrame, docs: DataFrame, width: int = PAGE_WIDTH, height: int = PAGE_HEIGHT, visual: bool = True) -> tuple[DataFrame, DataFrame]:
-    """verify_words() on pairs (pair_id, reference_id, candidate_id, identical, has_text) of docs (doc_id, text), laid out on pages."""
+    """verify_words() on pairs (pair_id, reference_id, candidate_id, identical, has_text) of docs (doc_id, text), laid out on pages; documents
+    with descriptors of both sides."""
     words = text.pair_words(pairs.where("NOT identical"), docs)
-    return verify_words(pairs.select("pair_id", "identical", "has_text"), words, width, height, visual)
+    documents, found = verify_words(pairs.select("pair_id", "identical", "has_text"), words, width, height, visual)
+    return documents.join(described(pairs, docs), "pair_id", "left"), found
 
 
 def verify(spark: SparkSession, sf_dir: str, visual: bool = True) -> tuple[DataFrame, DataFrame]:
     """(documents, findings) of all pairs of the documents table."""
-    return verify_pairs(*text_pairs(spark, sf_dir), visual=visual)
+    pairs, docs = text_pairs(spark, sf_dir)
+    return verify_pairs(written(pairs, "pairs"), docs, visual=visual)
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+def flagship(spark: SparkSession, sf_dir: str, visual: bool = True) -> DataFrame:
     """One row a pair: risk, label, confidence, coverage, number of findings."""
-    return verify(spark, sf_dir)[0].drop("pages")
+    pairs, docs = text_pairs(spark, sf_dir)
+    pairs = written(pairs, "pairs")
+    words = text.pair_words(pairs.where("NOT identical"), docs)
+    return verify_words(pairs.select("pair_id", "identical", "has_text"), words, visual=visual)[0].drop("pages")
