@@ -16,7 +16,8 @@ Defined results: a null text or role is empty; turns with the same number are
 ordered by role and text, null numbers first; repeated rows are turns of their
 own; a null conv_id is a conversation; an empty table gives no conversation;
 other columns are ignored. A conversation is one string in the end, so its
-rows meet in one task; it must fit a Spark string.
+rows meet in one task; it must fit a Spark string. Writing and reading it take time in
+proportion to its length.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MARK, END = "###", "</turn>"
+#: Code points of the blocks in which a text is searched for a place.
+BLOCK = 1_024
 
 
 def escape(text: Column) -> Column:
@@ -42,27 +45,18 @@ def format_conversations(turns: DataFrame, assistant: str = "assistant") -> Data
         F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"),
     )
     chats = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    # The positions at which the role changes, then the turns between one and the next.
-    starts = F.filter(F.sequence(F.lit(0), F.size("ts") - 1), lambda i: (i == 0) | (F.get("ts", i).role != F.get("ts", i - 1).role))
-    chats = chats.withColumn("starts", starts)
-    messages = F.transform(
-        "starts",
-        lambda s, k: F.struct(
-            F.get("ts", s).role.alias("role"),
-            F.transform(F.slice("ts", s + 1, F.coalesce(F.get("starts", k + 1), F.size("ts")) - s), lambda t: escape(t.text)).alias("texts"),
+    # A turn whose role is not the one before opens a message; those that follow join it, behind their seam.
+    opens = lambda t, i: (i == 0) | (F.get("ts", i - 1).role != t.role)
+    pieces = F.transform(
+        "ts",
+        lambda t, i: F.struct(
+            F.when(opens(t, i), F.concat(F.lit(f"{MARK} "), escape(t.role), F.lit(f" {MARK}\n"))).otherwise(F.lit("")).alias("before"),
+            escape(t.text).alias("text"),
+            (t.role == assistant).alias("loss"),
         ),
     )
-    heads = F.transform(messages, lambda m: F.struct(m.role.alias("role"), m.texts.alias("texts"), F.concat(F.lit(f"{MARK} "), escape(m.role), F.lit(f" {MARK}\n")).alias("head")))
-    pieces = F.flatten(
-        F.transform(
-            heads,
-            lambda m: F.transform(
-                m.texts,
-                lambda x, j: F.struct(F.when(j == 0, m.head).otherwise(F.lit("")).alias("before"), x.alias("text"), (m.role == assistant).alias("loss")),
-            ),
-        )
-    )
-    chats = chats.select("conv_id", F.size("ts").cast("long").alias("n_turns"), F.size("starts").cast("long").alias("n_messages"), pieces.alias("pieces"))
+    chats = chats.select("conv_id", F.size("ts").cast("long").alias("n_turns"), pieces.alias("pieces"))
+    chats = chats.withColumn("n_messages", F.size(F.filter("pieces", lambda p: p.before != "")).cast("long"))
     formatted = F.array_join(F.transform("pieces", lambda p: F.concat(p.before, p.text, F.lit(END))), "")
     # Running offsets: a window within the conversation, on the partitioning that the grouping left.
     each = chats.select("conv_id", F.posexplode("pieces").alias("pos", "p"))
@@ -76,12 +70,21 @@ def format_conversations(turns: DataFrame, assistant: str = "assistant") -> Data
     return out.select("conv_id", "formatted", F.coalesce("loss_spans", none).alias("loss_spans"), "n_turns", "n_messages")
 
 
+def _cut(blocks: str, start: Column, end: Column) -> Column:
+    """Code points start to end of a text given in blocks: finding a place costs a block, not all that stands before it."""
+
+    def part(k: Column) -> Column:
+        first = F.greatest(start - k * BLOCK, F.lit(0))
+        return F.substring(F.get(blocks, k), (first + 1).cast("int"), (F.least(end - k * BLOCK, F.lit(BLOCK)) - first).cast("int"))
+
+    last = F.floor((end - 1) / BLOCK).cast("int")
+    return F.when(end <= start, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(F.floor(start / BLOCK).cast("int"), last), part), ""))
+
+
 def parse_conversations(formatted: DataFrame) -> DataFrame:
     """conv_id, turns array<struct<role, text>> and loss_texts array<string>, read from the output alone."""
-    parts = F.split(F.col("formatted"), MARK, -1)
-    n = F.size(parts)
-    chats = formatted.withColumn("_parts", parts)
-    headers = F.sequence(F.lit(1), n - 2, F.lit(2))
+    chats = formatted.withColumns({"_parts": F.split(F.col("formatted"), MARK, -1), "_blocks": F.regexp_extract_all("formatted", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))})
+    headers = F.sequence(F.lit(1), F.size("_parts") - 2, F.lit(2))
     messages = F.transform(
         headers,
         lambda i: F.struct(
@@ -90,5 +93,5 @@ def parse_conversations(formatted: DataFrame) -> DataFrame:
         ),
     )
     turns = F.flatten(F.transform(messages, lambda m: F.transform(m.texts, lambda x: F.struct(unescape(m.role).alias("role"), unescape(x).alias("text")))))
-    loss = F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), (s.start + 1).cast("int"), (s.end - s.start).cast("int"))))
+    loss = F.transform("loss_spans", lambda s: unescape(_cut("_blocks", s.start, s.end)))
     return chats.select("conv_id", "formatted", turns.alias("turns"), loss.alias("loss_texts"))

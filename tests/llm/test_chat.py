@@ -1,4 +1,5 @@
 import random
+import time
 
 from attestra.llm import chat
 
@@ -45,3 +46,25 @@ def test_columns_of_other_names(spark):
     own = plain.select("*", *[plain.extra.alias(c) for c in ("ts", "starts", "pieces", "formatted", "loss_spans", "t", "pos", "_id")])
     read = lambda df: sorted((str(r.conv_id), r.formatted, str(r.loss_spans)) for r in chat.format_conversations(df).collect())
     assert read(own) == read(plain) and len(read(own)) == 2
+
+
+def test_mask_over_blocks(spark):
+    """Spans that begin, end or stand across the blocks that the reader cuts, code points of two UTF-16 units among them."""
+    rng = random.Random(4)
+    rows = [(c, i, rng.choice(["user", "assistant"]), "".join(rng.choice("aé\U0001f600\\#\n") for _ in range(rng.choice([0, 1, 900, 1_024, 1_025, 5_000])))) for c in range(12) for i in range(6)]
+    back = {r.conv_id: r.loss_texts for r in chat.parse_conversations(formatted(spark, rows)).collect()}
+    assert back == {c: [t for k, _, r, t in rows if k == c and r == "assistant"] for c in range(12)}
+
+
+def test_time_grows_with_the_length(spark):
+    """One conversation of 20,000 turns takes seconds, written and read back; at four times the turns a quadratic form takes sixteen times as long."""
+
+    def seconds(n):
+        turns = spark.range(n).selectExpr("1L AS conv_id", "id AS turn", "IF(id % 2 = 0, 'user', 'assistant') AS role", "repeat('word # ', 16) AS text")
+        began = time.monotonic()
+        back = chat.parse_conversations(chat.format_conversations(turns)).first()
+        assert len(back.turns) == n and len(back.loss_texts) == n // 2
+        return time.monotonic() - began
+
+    seconds(100)
+    assert seconds(20_000) < 10 * max(seconds(5_000), 1.0)
