@@ -13,8 +13,7 @@ quotation marks that pair up within QUOTE_WORDS words, else REPORTED if a report
 CONTEXT_WORDS words before it. Its weight counts as abuse by what is left of 1.
 
 Defined results: a null or empty text has no hit and gets the score of such
-texts; texts of any length are scored whole, word by word, and a word longer than TERM_CHARS characters can
-meet a beginning only; rows without a label, with a null label or a null text are not fitted on; of
+texts; texts and words of any length are learned from and scored whole; rows without a label, with a null label or a null text are not fitted on; of
 rows that repeat an id the least text is, with the largest label; without any toxic or clean row to fit on,
 the lexicon is empty and every score is the share of toxic rows; of terms equally near the heaviest counts, and
 terms equally near and heavy count alike; an empty table gives no row; repeated rows score alike; columns named
@@ -41,12 +40,12 @@ from attestra.llm.common import Workspace, add_with_arrow, bounded_batches, clai
 #: The bound on what is learned from; nothing else of the fit grows beyond it.
 MAX_FIT_ROWS = 16_000
 MIN_DF, MIN_WEIGHT, FUZZY_FROM = 4, 2.0, 5
-#: Beginnings of words, of these lengths, are terms too: they hold for every word that starts so. The last one stands for words longer than itself.
-TERM_CHARS = 48
-STEMS = (4, 5, 6, TERM_CHARS)
+#: Beginnings of words, of these lengths, are terms too: they hold for every word that starts so.
+STEMS = (4, 5, 6)
 CONTEXT_WORDS, QUOTE_WORDS = 8, 64
 QUOTED, REPORTED = 1.0, 0.75
-MEMO_ENTRIES = 150_000
+#: Words that are remembered with their hit: so many, of so many bytes each at most; others are looked up each time.
+MEMO_ENTRIES, MEMO_BYTES = 150_000, 48
 THRESHOLD = 0.3
 #: Words that report what another says.
 REPORTING = frozenset("said says called quoted wrote term word phrase insult slur dit sagte dijo".split())
@@ -69,8 +68,7 @@ def bare(word: bytes) -> str:
 def terms_in(text: str | None) -> list[str]:
     """What a text holds that may be a term: its words without the marks around them, and their beginnings."""
     words = {bare(w) for w in set(words_of(text))} - {""}
-    stems = {w[:k] + "*" for w in words for k in STEMS if len(w) > k or len(w) == k < TERM_CHARS}
-    return sorted({w for w in words if len(w) <= TERM_CHARS} | stems)
+    return sorted(words | {w[:k] + "*" for w in words for k in STEMS if len(w) >= k})
 
 
 class LexiconAutomaton:
@@ -133,7 +131,7 @@ class LexiconAutomaton:
     def find(self, word: str) -> tuple[float, int] | None:
         """(weight, edits) of the closest term, the heaviest of equally close ones; None if none is near."""
         node, known = 0, None
-        for c in word[:TERM_CHARS]:
+        for c in word:
             node = self.children[node].get(c, -1)
             if node < 0:
                 break
@@ -193,9 +191,9 @@ class Scorer(dict):
     def __missing__(self, raw: bytes):
         word = bare(raw)
         hit = None if word in self.fine else self.automaton.find(word)
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
-        if len(raw) <= TERM_CHARS:
+        if len(raw) <= MEMO_BYTES:
+            if len(self) >= MEMO_ENTRIES:
+                self.clear()
             self[raw] = hit
         return hit
 

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -53,16 +54,68 @@ def test_words_are_cut_alike_for_fit_and_score():
 
 
 def test_long_words_and_texts(spark):
-    """A word beyond TERM_CHARS meets a beginning; a long text with one hit is searched to its end."""
+    """A word of any length is a term as itself, with its misspellings; a long text with one hit is searched to its end."""
     long = "badword" * 200
-    scorer = toxicity.Scorer(toxicity.Model((("blorgig", 5.0), (long[: toxicity.TERM_CHARS] + "*", 3.0)), (), (-4.0, 1.0, 1.0, 1.0, 0.0, 1.0)))
-    assert scorer[long.encode()] == (3.0, 0) and scorer[b"x" * 2_000_000] is None
-    assert long[: toxicity.TERM_CHARS] + "*" in toxicity.terms_in(long) and max(map(len, toxicity.terms_in(long))) <= toxicity.TERM_CHARS + 1
+    scorer = toxicity.Scorer(toxicity.Model((("blorgig", 5.0), (long, 3.0), ("badw*", 2.5)), (), (-4.0, 1.0, 1.0, 1.0, 0.0, 1.0)))
+    slip = long[:700] + "x" + long[701:]
+    assert scorer[long.encode()] == (3.0, 0) and scorer.automaton._walk(slip) == (3.0, 1) and scorer[b"x" * 2_000_000] is None
+    assert scorer[slip.encode()] == (2.5, 0), "a beginning is nearer than a misspelled term"
+    assert {long, "badw*", "badwo*", "badwor*"} == set(toxicity.terms_in(long))
     text = "word " * 300_000
     assert scorer.score(text + "blorgig") > scorer.score(text)
     assert scorer.score("you blorgig") > scorer.score('they said "you blorgig"')
 
 
+def test_learns_long_words(spark):
+    long = "zq" * 40
+    rows, labels = table(400, random.Random(3))
+    docs = spark.createDataFrame([(i, t + (f" {long}" if i % 5 == 0 else "")) for i, t in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert long in dict(model.terms) and toxicity.Scorer(model).automaton._walk(long[:50] + long[51:]) == (dict(model.terms)[long], 1)
+
+
+def plain_hit(word, terms, exceptions):
+    """(weight, edits) of a word, by comparing it with every term."""
+    if word in exceptions:
+        return None
+    near = [(e, -w) for t, w in terms.items() if not t.endswith("*") and abs(len(t) - len(word)) < 2 and (e := distance(word, t)) <= (len(t) >= toxicity.FUZZY_FROM)]
+    best = min(near, default=None)
+    if best and not best[0]:
+        return -best[1], 0
+    stems = [(len(t), w) for t, w in terms.items() if t.endswith("*") and word.startswith(t[:-1])]
+    return (max(stems)[1], 0) if stems else best and (-best[1], best[0])
+
+
+def test_scores_by_brute_force(spark, sf_dir):
+    """Every score of the query, with each word held against each term; which words are quoted has its own test."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model, known = toxicity.fit(docs, labels), {}
+    terms, exceptions = dict(model.terms), set(model.exceptions)
+    want = {}
+    for doc, text in docs.select("doc_id", "text").collect():
+        words = [w.decode() for w in (text or "").lower().encode().split()]
+        inside = toxicity.quoted_words([w.encode() for w in words])
+        direct = fuzzy = quoted = heaviest = n = 0.0
+        for i, raw in enumerate(words):
+            word = raw.strip(toxicity.EDGES)
+            if word not in known:
+                known[word] = plain_hit(word, terms, exceptions)
+            if known[word] is None:
+                continue
+            weight, edits = known[word]
+            before = {w.strip(toxicity.EDGES) for w in words[max(0, i - 8) : i]}
+            told = 1.0 if inside[i] else 0.75 if before & toxicity.REPORTING else 0.0
+            quoted += told
+            fuzzy += (1 - told) * (edits > 0)
+            direct += weight * (1 - told) * (edits == 0)
+            n += (1 - told) * (edits == 0)
+            heaviest = max(heaviest, weight * (1 - told) * (edits == 0))
+        values = [1, math.log1p(direct), heaviest, math.log1p(fuzzy), math.log1p(quoted), math.log1p(100 * (n + fuzzy) / max(len(words), 1))]
+        want[doc] = 1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(values, model.beta, strict=True))))))
+    got = {r.doc_id: r for r in queries.op10_toxicity(spark, sf_dir).collect()}
+    assert got.keys() == want.keys() and all(abs(got[d].score - want[d]) < 1e-9 for d in want)
+
+
 @pytest.mark.parametrize(("sf", "recall", "precision"), [("sf0.01", 0.5, 0.7), ("sf0.1", 0.9, 0.9)])
 def test_query_on_held_out_labels(spark, sf, recall, precision):
     """With the 37 toxic rows that sf0.01 has to learn from, words of rare languages are not learned."""
