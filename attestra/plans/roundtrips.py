@@ -161,20 +161,24 @@ def a7_result_files(spark, sf_dir):
 
 
 # Streams: each runs to the end of what is there, stops, and goes on from its checkpoint when more has come.
-def ran(parts: list[DataFrame], sink) -> None:
+def ran(parts: list[DataFrame], sink, timers: bool = False) -> None:
     """Write each part behind the others and run the stream that sink starts (given the source and a checkpoint folder) to its end."""
     spark = parts[0].sparkSession
     source, checkpoint = scratch(spark, "source"), scratch(spark, "checkpoint")
     for part in parts:
         part.write.mode("append").parquet(source)
-        sink(spark.readStream.schema(part.schema).parquet(source)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        writer = sink(spark.readStream.schema(part.schema).parquet(source)).option("checkpointLocation", checkpoint)
+        if timers:
+            streaming.run_to_end(writer, spark)
+        else:
+            writer.trigger(availableNow=True).start().awaitTermination()
 
 
 MIDDLE = "2024-01-16"
 
 
 def halves(df: DataFrame) -> list[DataFrame]:
-    early = F.col("timestamp") < F.to_timestamp(F.lit(MIDDLE))
+    early = F.coalesce(F.col("timestamp") < F.to_timestamp(F.lit(MIDDLE)), F.lit(False))
     return [df.where(early), df.where(~early)]
 
 
@@ -212,10 +216,10 @@ def h16_stream_windows(spark, sf_dir):
 
 @query(f"WITH {LOG}, f AS (SELECT job_id, min(event_id) FILTER (WHERE event_type IN ('complete', 'error')) AS e FROM ev GROUP BY job_id) SELECT job_id, event_id, event_type FROM ev JOIN f USING (job_id) WHERE e IS NULL OR event_id <= e")
 def h1_h5_stream_numbered(spark, sf_dir):
-    """Numbers from keyed state, none behind a terminal event."""
+    """Numbers from keyed state over a restart in the middle of the month, none behind a terminal event."""
     root = scratch(spark, "numbered")
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("source_id"), "event_type", F.col("ts").cast("timestamp").alias("timestamp"))
-    ran([e], lambda stream: streaming.numbered_stream(stream).where("kind = 'event'").writeStream.format("parquet").option("path", root))
+    ran(halves(e), lambda stream: streaming.numbered_stream(stream).where("kind = 'event'").writeStream.format("parquet").option("path", root), timers=True)
     return spark.read.parquet(root).select("job_id", "event_id", "event_type")
 
 

@@ -7,44 +7,86 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from attestra.operators.joblog import IDLE_SECONDS, TERMINAL_EVENTS
 
 #: Parts of the table of current jobs that are rewritten on their own.
 BUCKETS = 64
+#: How long an ended job is remembered.
+KEPT_HOURS = 48
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 NUMBERED = "job_id long, event_id long, event_type string, timestamp timestamp, kind string"
 
 
-def _number(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        last, ended = state.get
-        if not ended:
-            yield pd.DataFrame({"job_id": [key[0]], "event_id": [last], "event_type": [None], "timestamp": [pd.NaT], "kind": ["keep_alive"]})
-        state.remove()
-        return
-    last, ended = state.get if state.exists else (0, False)
-    for frame in frames:
+class Numbering(StatefulProcessor):
+    """Keyed state of the job log: the last number of a job that runs (one value), whether it has ended (one value, which Spark lets go `kept` milliseconds
+    later), and a timer for the next keep-alive row of a job that runs. A running job's number has no end of life, so that numbers stay free of gaps
+    however long it is silent."""
+
+    def __init__(self, idle: int, kept: int):
+        self.idle, self.kept = idle, kept
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "last long")
+        self.ended = handle.getValueState("ended", "ended boolean", self.kept)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        if self.ended.exists():
+            return
+        last, ended = self.last.get()[0] if self.last.exists() else 0, False
+        for frame in rows:
+            if ended:
+                continue
+            frame = frame.sort_values(["timestamp", "source_id"])
+            ends = frame["event_type"].isin(TERMINAL_EVENTS).to_numpy().nonzero()[0]
+            ended = len(ends) > 0
+            frame = frame.iloc[: ends[0] + 1] if ended else frame
+            numbers = range(last + 1, last + 1 + len(frame))
+            last += len(frame)
+            yield pd.DataFrame({"job_id": key[0], "event_id": numbers, "event_type": frame["event_type"].to_numpy(), "timestamp": frame["timestamp"].to_numpy(), "kind": "event"})
+        for due in list(self.handle.listTimers()):
+            self.handle.deleteTimer(due)
         if ended:
-            continue
-        frame = frame.sort_values(["timestamp", "source_id"])
-        ends = frame["event_type"].isin(TERMINAL_EVENTS).to_numpy().nonzero()[0]
-        ended = len(ends) > 0
-        frame = frame.iloc[: ends[0] + 1] if ended else frame
-        numbers = range(last + 1, last + 1 + len(frame))
-        last += len(frame)
-        yield pd.DataFrame({"job_id": key[0], "event_id": numbers, "event_type": frame["event_type"].to_numpy(), "timestamp": frame["timestamp"].to_numpy(), "kind": "event"})
-    state.update((last, ended))
-    if not ended:
-        state.setTimeoutDuration(IDLE_SECONDS * 1000)
-
-
-def numbered_stream(events: DataFrame) -> DataFrame:
-    """Gap-free numbers by arrival, nothing behind a terminal event, and a keep-alive row after idle time.
-
-    events: job_id, source_id, event_type, timestamp. State is two values a job.
+            self.ended.update((True,))
+            self.last.clear()
+        else:
+            self.last.update((last,))
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.last.exists():
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
+            yield pd.DataFrame({"job_id": [key[0]], "event_id": [self.last.get()[0]], "event_type": [None], "timestamp": [pd.NaT], "kind": ["keep_alive"]})
+
+    def close(self) -> None:
+        """Nothing is held outside the state store."""
+
+
+def numbered_stream(events: DataFrame, idle_seconds: int = IDLE_SECONDS, kept_hours: int = KEPT_HOURS) -> DataFrame:
+    """Gap-free numbers by arrival, nothing behind a terminal event, and a keep-alive row after every idle_seconds in which a running job is silent.
+
+    events: job_id, source_id, event_type, timestamp. State is two values a job; that of an ended one goes after kept_hours, within which late
+    events of it are dropped. Started streams keep their state in RocksDB, which Spark asks for here; a stream that goes on from an older checkpoint keeps
+    its own store.
     """
-    return events.groupBy("job_id").applyInPandasWithState(_number, NUMBERED, "last long, ended boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return events.groupBy("job_id").transformWithStateInPandas(Numbering(idle_seconds * 1_000, kept_hours * 3_600_000), NUMBERED, "append", "processingTime")
+
+
+def run_to_end(writer: DataStreamWriter, spark: SparkSession) -> None:
+    """Run a stream with timers over what is there, and end. Timers make Spark start batch after batch without data, which `availableNow` would wait
+    for; the query takes the setting with it when it starts, and the session's own is put back."""
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    own = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        query = writer.trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(name, own)
+    query.awaitTermination()
 
 
 def deduplicated_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:

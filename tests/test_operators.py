@@ -7,6 +7,7 @@ import zlib
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from attestra.functions import geometry, scores
 from attestra.operators import alignment, contracts, evaluation, harmonise, joblog, raster, regions, text, validation
@@ -203,14 +204,17 @@ def test_streams(spark, tmp_path):
     df.unionByName(df).write.parquet(src)
     stream = lambda: spark.readStream.schema(df.schema).parquet(src)
 
-    def run(out, name, mode="append"):
-        q = out.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-        q.awaitTermination(120)
+    def run(out, name, mode="append", timers=False):
+        writer = out.writeStream.format("memory").queryName(name).outputMode(mode)
+        if timers:
+            streaming.run_to_end(writer, spark)
+        else:
+            assert writer.trigger(availableNow=True).start().awaitTermination(120)
         return spark.table(name).collect()
 
     distinct = run(streaming.deduplicated_stream(stream()), "distinct_events")
     assert len(distinct) == 14
-    counted = run(streaming.numbered_stream(stream().select("job_id", "source_id", "event_type", "timestamp")), "numbered_events")
+    counted = run(streaming.numbered_stream(stream().select("job_id", "source_id", "event_type", "timestamp")), "numbered_events", timers=True)
     for job in (1, 2):
         own = [r.event_id for r in counted if r.job_id == job and r.kind == "event"]
         assert own == list(range(1, len(own) + 1)) and [r.event_type for r in counted if r.job_id == job][-1] in ("complete", None)
@@ -242,34 +246,69 @@ def test_current_jobs_of_a_stream(spark, tmp_path):
     assert versions.count("version=3") == 64 and len(versions) == 128
 
 
-class State:
-    def __init__(self, held=None, timed_out=False):
-        self.held, self.hasTimedOut, self.timeout = held, timed_out, None
+class Value:
+    def __init__(self):
+        self.held = None
+
+    def exists(self):
+        return self.held is not None
 
-    exists = property(lambda self: self.held is not None)
-    get = property(lambda self: self.held)
+    def get(self):
+        return self.held
 
     def update(self, held):
         self.held = held
 
-    def remove(self):
+    def clear(self):
         self.held = None
 
-    def setTimeoutDuration(self, ms):
-        self.timeout = ms
+
+class Handle:
+    """State and timers of one key."""
+
+    def __init__(self):
+        self.timers, self.lives = [], {}
+
+    def getValueState(self, name, schema, ttl=None):  # noqa: N802
+        self.lives[name] = ttl
+        return Value()
+
+    def registerTimer(self, due):  # noqa: N802
+        self.timers.append(due)
+
+    def deleteTimer(self, due):  # noqa: N802
+        self.timers.remove(due)
+
+    def listTimers(self):  # noqa: N802
+        return iter(self.timers)
 
 
 def test_numbering_and_keep_alive():
     frame = lambda *kinds: pd.DataFrame({"job_id": 7, "source_id": range(len(kinds)), "event_type": kinds, "timestamp": pd.Timestamp("2024-01-01")})
-    state = State()
-    first = list(streaming._number((7,), iter([frame("progress", "progress"), frame("progress")]), state))
-    assert [i for f in first for i in f["event_id"]] == [1, 2, 3] and state.held == (3, False) and state.timeout == 10_000
-    last = list(streaming._number((7,), iter([frame("progress", "complete", "progress"), frame("progress")]), state))
-    assert [(i, k) for f in last for i, k in zip(f["event_id"], f["event_type"], strict=True)] == [(4, "progress"), (5, "complete")] and state.held == (5, True)
-    idle = State((3, False), True)
-    rows = list(streaming._number((7,), iter([]), idle))
-    assert [(r["job_id"][0], r["event_id"][0], r["kind"][0]) for r in rows] == [(7, 3, "keep_alive")] and idle.held is None
-    assert not list(streaming._number((7,), iter([]), State((5, True), True)))
+    handle, job, at = Handle(), streaming.Numbering(10_000, 1_000_000), TimerValues
+    job.init(handle)
+    assert handle.lives == {"last": None, "ended": 1_000_000}
+    rows = lambda now, *frames: [(i, k) for f in job.handleInputRows((7,), iter(frames), at(now)) for i, k in zip(f["event_id"], f["event_type"], strict=True)]
+    assert [i for i, _ in rows(0, frame("progress", "progress"), frame("progress"))] == [1, 2, 3] and handle.timers == [10_000]
+    assert [i for i, _ in rows(5_000, frame("progress"))] == [4] and handle.timers == [15_000]
+    handle.timers.clear()  # as Spark does with a timer that is due
+    alive = list(job.handleExpiredTimer((7,), at(15_500), None))
+    assert [(r["job_id"][0], r["event_id"][0], r["kind"][0]) for r in alive] == [(7, 4, "keep_alive")] and handle.timers == [25_500]
+    assert rows(26_000, frame("progress", "complete", "progress"), frame("progress")) == [(5, "progress"), (6, "complete")], "numbers go on behind silence"
+    assert not handle.timers and not job.last.exists() and job.ended.get() == (True,)
+    assert rows(27_000, frame("progress")) == [] and not handle.timers and not list(job.handleExpiredTimer((7,), at(28_000), None))
+
+
+def test_numbers_over_a_restart(spark, tmp_path):
+    """A stream that stops and goes on from its checkpoint numbers on from its state; an ended job stays ended."""
+    rows = lambda *each: spark.createDataFrame([(j, s, k) for j, s, k in each], "job_id long, source_id long, event_type string").withColumn("timestamp", F.timestamp_seconds(F.col("source_id") + 1_700_000_000))
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in (rows((1, 1, "progress"), (1, 2, "progress"), (2, 1, "complete")), rows((1, 3, "progress"), (1, 4, "error"), (2, 2, "progress"), (3, 1, "progress"))):
+        part.write.mode("append").parquet(source)
+        stream = streaming.numbered_stream(spark.readStream.schema(part.schema).parquet(source), idle_seconds=3_600)
+        streaming.run_to_end(stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")), spark)
+    got = sorted((r.job_id, r.event_id, r.event_type) for r in spark.read.parquet(out).collect())
+    assert got == [(1, 1, "progress"), (1, 2, "progress"), (1, 3, "progress"), (1, 4, "error"), (2, 1, "complete"), (3, 1, "progress")]
 
 
 def test_log_files(spark, tmp_path):
