@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 # Degrees by EXIF orientation; all others are 0.
 EXIF_DEGREES = {3: 180, 6: 90, 8: 270}
-# Weights of blue, green and red in gray.
-GRAY_WEIGHTS = (0.114, 0.587, 0.299)
+# Weights of blue, green and red in gray, in thousandths.
+GRAY_WEIGHTS = (114, 587, 299)
 
 
 def orientation_degrees(exif: Column) -> Column:
@@ -74,8 +74,9 @@ def byte_value(value: Column) -> Column:
 
 
 def gray(blue: Column, green: Column, red: Column) -> Column:
+    """Whole numbers weighted in whole numbers: a half is a half, and goes up."""
     b, g, r = GRAY_WEIGHTS
-    return F.floor(blue * b + green * g + red * r + 0.5).cast("int")
+    return F.floor((blue * b + green * g + red * r + 500) / 1000).cast("int")
 
 
 def iou(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
