@@ -377,6 +377,7 @@ def duration_text(ms: Column) -> Column:
 
 
 def bytes_text(n: Column) -> Column:
+    """Halves go up, as in toFixed."""
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, F.format_string("%.1f KB", n / 1024)).otherwise(F.format_string("%.1f MB", n / 1024**2))
 
 

@@ -37,3 +37,12 @@ def test_gray_of_exact_halves_goes_up(spark, sf_dir, with_tables):
     part = pd.read_parquet(f"{sf_dir}/part.parquet").head(1)
     part = pd.concat([part.assign(p_partkey=k, p_size=s) for k in range(70) for s in range(1, 51)])
     agrees("c5_c8_cells", spark, with_tables(part=part.astype({"p_size": "int32"})))
+
+
+def test_sizes_of_exact_halves_go_up(spark, sf_dir, with_tables):
+    events = pd.read_parquet(f"{sf_dir}/events.parquet").head(1)
+    ids = [131_072 * k + d for k in (1, 3, 5, 13, 21) for d in (-1, 0, 1)] + [64 * k for k in range(1, 40)]
+    data = with_tables(events=pd.concat([events.assign(event_id=i) for i in ids]))
+    agrees("i13_i14_display", spark, data)
+    got = queries.i13_i14_display(spark, data).where("event_id = 131072").first()
+    assert got.bytes == "1.3 MB"
