@@ -13,6 +13,8 @@ from attestra.sources.tables import written
 RATIO, MIN_GOOD, MIN_INLIERS, MAX_ERROR, SNAP = 0.76, 10, 8, 4.0, 0.75
 #: Descriptors nearer than this have an equal band; keypoints of a page with one band up to which they meet over it.
 SURE, CROWD = 16, 64
+#: Keypoints of a candidate page up to which the reference's are held against all of them.
+DIRECT = 128
 #: Rounds in which a fit is weighted anew.
 FIT_ROUNDS = 5
 # Names of methods.
@@ -59,26 +61,38 @@ def band_candidates(reference: DataFrame, candidate: DataFrame) -> tuple[DataFra
     return met.groupBy("pair_id", "kp_r", "kp_c").agg(F.any_value(hamming("a", "b")).alias("distance")), many
 
 
-def ratio_matches(reference: DataFrame, candidate: DataFrame) -> DataFrame:
+def _best_of_page(reference: DataFrame, candidate: DataFrame) -> DataFrame:
+    """pair_id, kp_r, kp_c, distance of the best match that beats its second, each keypoint held against all of its page. On one partitioning by page."""
+    order = Window.partitionBy("pair_id", "kp_r").orderBy("distance", "kp_c")
+    met = reference.alias("r").join(candidate.alias("c"), "pair_id").select("pair_id", "kp_r", F.col("c.kp_id").alias("kp_c"), hamming("r", "c").alias("distance"))
+    two = met.withColumns({"rank": F.row_number().over(order), "second": F.lead("distance").over(order)})
+    return two.where((F.col("rank") == 1) & (F.col("distance") < RATIO * F.col("second"))).select("pair_id", "kp_r", "kp_c", "distance")
+
+
+def ratio_matches(reference: DataFrame, candidate: DataFrame, direct: int = DIRECT) -> DataFrame:
     """pair_id, kp_r, kp_c, distance of each reference keypoint's best match that beats its second by the ratio.
 
-    Both: pair_id, kp_id, d0..d3 (256 bits as four longs). Keypoints meet over equal bands of their bits, which finds all that are nearer than
+    Both: pair_id, kp_id, d0..d3 (256 bits as four longs). On pages with up to `direct` candidate keypoints each meets all of them: a bounded number, and less than
+    its bands have rows. On larger ones keypoints meet over equal bands of their bits, which finds all that are nearer than
     SURE bits. That settles a keypoint if its two nearest are, or if its nearest beats even a second at SURE bits; those it does
     not settle, and those with a band that more than CROWD keypoints of the page have, meet all of the page.
     """
-    near, _ = band_candidates(reference, candidate)
+    reference = reference.withColumnRenamed("kp_id", "kp_r")
+    sized = candidate.withColumn("n", F.count("*").over(Window.partitionBy("pair_id")))
+    found = _best_of_page(reference, sized.where(F.col("n") <= direct))
+    large = written(sized.where(F.col("n") > direct), "large")
+    if large.isEmpty():
+        return found
+    reference = reference.join(large.select("pair_id").distinct(), "pair_id", "left_semi")
+    near, _ = band_candidates(reference.withColumnRenamed("kp_r", "kp_id"), large)
     order = Window.partitionBy("pair_id", "kp_r").orderBy("distance", "kp_c")
-    size = candidate.groupBy("pair_id").agg(F.count("*").alias("n"))
+    size = large.select("pair_id", "n").distinct()
     first = near.withColumns({"rank": F.row_number().over(order), "second": F.lead("distance").over(order)}).where((F.col("rank") == 1) & (F.col("distance") < SURE)).join(size, "pair_id")
     known = F.coalesce(F.col("second") < SURE, F.lit(False))
     beats = F.col("distance") < RATIO * F.when(known, F.col("second")).otherwise(F.lit(SURE))
     settled = written(first.withColumn("beats", beats & (F.col("n") > 1)).where(known | beats | (F.col("n") == 1)).select("pair_id", "kp_r", "kp_c", "distance", "beats"), "settled")
-    rest = reference.withColumnRenamed("kp_id", "kp_r").join(settled, ["pair_id", "kp_r"], "left_anti")
-    met = rest.alias("r").join(candidate.alias("c"), "pair_id").select("pair_id", "kp_r", F.col("c.kp_id").alias("kp_c"), hamming("r", "c").alias("distance"))
-    two = met.withColumns({"rank": F.row_number().over(order), "second": F.lead("distance").over(order)})
-    others = two.where((F.col("rank") == 1) & (F.col("distance") < RATIO * F.col("second")))
-    columns = ["pair_id", "kp_r", "kp_c", "distance"]
-    return settled.where("beats").select(columns).unionByName(others.select(columns))
+    rest = reference.join(settled, ["pair_id", "kp_r"], "left_anti")
+    return found.unionByName(settled.where("beats").select(found.columns)).unionByName(_best_of_page(rest, large))
 
 
 def fitted(points: DataFrame, *keys: str) -> DataFrame:
