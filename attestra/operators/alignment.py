@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from attestra.functions.geometry import project
 from attestra.functions.scores import clip
-from attestra.sources.tables import written
+from attestra.sources.tables import bounded_batches, written
 
 # Ratio of a match to the second best, least matches and inliers, largest error of an inlier, largest corner movement that snaps.
 RATIO, MIN_GOOD, MIN_INLIERS, MAX_ERROR, SNAP = 0.76, 10, 8, 4.0, 0.75
@@ -120,6 +126,62 @@ def fitted(points: DataFrame, *keys: str) -> DataFrame:
     return out.select(*points.columns, matrix(*nine).alias("matrix"))
 
 
+def _medians(values: np.ndarray, of: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The median of each group's values; of: each value's group, in order; n: values of each group (NaN where there are none)."""
+    values, start = values[np.lexsort((values, of))], np.cumsum(n) - n
+    some, out = n > 0, np.full(len(n), np.nan)
+    out[some] = (values[(start + (n - 1) // 2)[some]] + values[(start + n // 2)[some]]) / 2
+    return out
+
+
+def _fits(rx: np.ndarray, ry: np.ndarray, cx: np.ndarray, cy: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The six numbers of each page's affine map as fitted() fits it, its inliers and their median error (NaN without one). n: points of each page, which lie
+    behind one another."""
+    page, start = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+    weight = lambda square: 1 / (1 + square / MAX_ERROR**2) ** 2
+    w = weight(sum((v - _medians(v, page, n)[page]) ** 2 for v in (cx - rx, cy - ry)))
+    for _ in range(FIT_ROUNDS):
+        total = lambda *of: np.add.reduceat(np.prod((w, *of), axis=0), start)  # noqa: B023, E731
+        one, x, y, u, v = total(), total(rx), total(ry), total(cx), total(cy)
+        about = lambda p, q, a, b: total(p, q) / one - a * b / (one * one)  # noqa: B023, E731
+        xx, xy, yy, xu, yu, xv, yv = about(rx, rx, x, x), about(rx, ry, x, y), about(ry, ry, y, y), about(rx, cx, x, u), about(ry, cx, y, u), about(rx, cy, x, v), about(ry, cy, y, v)
+        det = xx * yy - xy * xy
+        told = det > 1e-9 * (xx + yy) ** 2
+        det = np.where(told, det, 1.0)
+        a, b, d, e = (np.where(told, up / det, rest) for up, rest in ((xu * yy - yu * xy, 1.0), (yu * xx - xu * xy, 0.0), (xv * yy - yv * xy, 0.0), (yv * xx - xv * xy, 1.0)))
+        six = a, b, (u - a * x - b * y) / one, d, e, (v - d * x - e * y) / one
+        p = [k[page] for k in six]
+        square = (p[0] * rx + p[1] * ry + p[2] - cx) ** 2 + (p[3] * rx + p[4] * ry + p[5] - cy) ** 2
+        w = weight(square)
+    error = np.sqrt(square)
+    near = error <= MAX_ERROR
+    inliers = np.bincount(page[near], minlength=len(n))
+    return np.column_stack(six), inliers, _medians(error[near], page[near], inliers)
+
+
+def fitted_pages(points: DataFrame, *keys: str) -> DataFrame:
+    """keys, matrix and what reprojection() tells of it, a row for each page of points (keys, rx, ry, cx, cy): as reprojection() of fitted(), for pages, which
+    have a bounded number of points. Each page's points come as one row, and the pages of a batch are fitted together."""
+    bounded_batches(points.sparkSession)
+    rows = points.groupBy(*keys).agg(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in ("rx", "ry", "cx", "cy")])).alias("points"))
+    added = T.StructType.fromDDL("matrix array<double>, match_count long, inliers long, inlier_ratio double, reprojection_error double")
+    schema = T.StructType([*rows.schema.fields[:-1], *added.fields])
+    kinds = [to_arrow_type(f.dataType) for f in added.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            lists = batch.column(len(keys))
+            each, n = lists.flatten(), lists.value_lengths().to_numpy().astype(np.int64)
+            six, inliers, error = _fits(*[each.field(c).to_numpy(zero_copy_only=False) for c in ("rx", "ry", "cx", "cy")], n)
+            nine = np.column_stack((six, np.tile((0.0, 0.0, 1.0), (len(n), 1))))
+            told = (list(nine), n, inliers, inliers / n, np.where(inliers > 0, error, MAX_ERROR))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *[pa.array(v, k) for v, k in zip(told, kinds, strict=True)]], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def reprojection(points: DataFrame, *keys: str) -> DataFrame:
     """keys (pair_id), match_count, inliers, inlier_ratio, reprojection_error (median over inliers) of matched points.
 

@@ -116,7 +116,7 @@ def d5_d9_relaid_pages(spark, sf_dir):
     scale, tx, ty = 1 - key % 6 * 0.02, key % 7 * 4.0, key % 7 * 6.0
     rx, ry = (F.col("x0") + F.col("x1")) / 2 * w, (F.col("y0") + F.col("y1")) / 2 * h
     points = words.select(key.alias("pair_id"), "page_number", rx.alias("rx"), ry.alias("ry"), (rx * scale + tx).alias("cx"), (ry * scale + ty).alias("cy"))
-    fit = written(alignment.reprojection(alignment.fitted(points, *PAGE), *PAGE, "matrix"), "fit")
+    fit = written(alignment.fitted_pages(points, *PAGE), "fit")
     sized = [F.lit(v).alias(c) for c, v in (("rw", w), ("rh", h), ("cw", w), ("ch", h))]
     out = alignment.align(fit.select(*PAGE, F.col("matrix").alias("m"), "match_count", "inliers", "inlier_ratio", F.col("reprojection_error").alias("error"), F.lit(False).alias("identical"), *sized), *PAGE)
     both = out.join(fit.select(*PAGE, F.col("matrix").alias("m"), F.col("match_count").alias("n")), PAGE)
