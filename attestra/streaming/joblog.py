@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,32 +35,37 @@ class Numbering(StatefulProcessor):
         self.ended = handle.getValueState("ended", "ended boolean", self.kept)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        if self.ended.exists():
+        # Each question to a state goes over a socket and back: a job that runs has not ended, and one that does not run has no timer.
+        running = self.last.get()
+        if running is None and self.ended.exists():
             return
-        last, ended = self.last.get()[0] if self.last.exists() else 0, False
+        last, ended = running[0] if running else 0, False
         for frame in rows:
             if ended:
                 continue
-            frame = frame.sort_values(["timestamp", "source_id"])
-            ends = frame["event_type"].isin(TERMINAL_EVENTS).to_numpy().nonzero()[0]
-            ended = len(ends) > 0
-            frame = frame.iloc[: ends[0] + 1] if ended else frame
-            numbers = range(last + 1, last + 1 + len(frame))
-            last += len(frame)
-            yield pd.DataFrame({"job_id": key[0], "event_id": numbers, "event_type": frame["event_type"].to_numpy(), "timestamp": frame["timestamp"].to_numpy(), "kind": "event"})
-        for due in list(self.handle.listTimers()):
-            self.handle.deleteTimer(due)
+            order = np.lexsort((frame["source_id"].to_numpy(), frame["timestamp"].to_numpy()))
+            kinds, times = frame["event_type"].to_numpy()[order], frame["timestamp"].to_numpy()[order]
+            ends = next((i for i, kind in enumerate(kinds) if kind in TERMINAL_EVENTS), None)
+            ended = ends is not None
+            n = ends + 1 if ended else len(kinds)
+            yield pd.DataFrame({"job_id": key[0], "event_id": range(last + 1, last + 1 + n), "event_type": kinds[:n], "timestamp": times[:n], "kind": "event"})
+            last += n
+        if running is not None:
+            for due in list(self.handle.listTimers()):
+                self.handle.deleteTimer(due)
         if ended:
             self.ended.update((True,))
-            self.last.clear()
+            if running is not None:
+                self.last.clear()
         else:
             self.last.update((last,))
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.last.exists():
+        running = self.last.get()
+        if running is not None:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
-            yield pd.DataFrame({"job_id": [key[0]], "event_id": [self.last.get()[0]], "event_type": [None], "timestamp": [pd.NaT], "kind": ["keep_alive"]})
+            yield pd.DataFrame({"job_id": [key[0]], "event_id": [running[0]], "event_type": [None], "timestamp": [pd.NaT], "kind": ["keep_alive"]})
 
     def close(self) -> None:
         """Nothing is held outside the state store."""
