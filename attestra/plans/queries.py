@@ -122,7 +122,7 @@ def a3_e2_words(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {PAIRS}, {WORDS}, {MATCHED} SELECT pair_id, CAST(rp AS INT) AS rp, CAST(cp AS INT) AS cp FROM matched")
 def e6_token_align(spark, sf_dir):
-    return text.token_align(verification.changed_words(*verification.text_pairs(spark, sf_dir)))
+    return text.lines_align(verification.changed_texts(spark, sf_dir)[1])
 
 
 @query(f"""WITH RECURSIVE {PAIRS}, {WORDS}, {MATCHED}, v AS (SELECT m.pair_id, r.page_number AS r_page, c.page_number, count(*) AS n FROM matched m JOIN words r ON r.pair_id = m.pair_id AND r.side = 'r' AND r.pos = m.rp JOIN words c ON c.pair_id = m.pair_id AND c.side = 'c' AND c.pos = m.cp GROUP BY ALL)
@@ -136,14 +136,15 @@ def a3_page_matches(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {PAIRS}, {WORDS}, {MATCHED}, {HUNKS}, {CHANGES} SELECT * REPLACE (CAST(hunk_no AS INT) AS hunk_no) FROM changes")
 def e7_e9_text_changes(spark, sf_dir):
-    words = verification.changed_words(*verification.text_pairs(spark, sf_dir))
-    return text.text_changes(words, written(text.hunks(words, text.token_align(words)), "gaps"))
+    texts, lines = verification.changed_texts(spark, sf_dir)
+    gaps = written(text.hunks(lines.select("pair_id", "n_r", "n_c"), text.lines_align(lines)), "gaps")
+    return text.text_changes(text.words_from_text(texts, "pair_id", "side"), gaps)
 
 
 @query(f'WITH RECURSIVE {PAIRS}, {WORDS}, {MATCHED}, {HUNKS} SELECT pair_id, count(*) FILTER (WHERE kind = \'delete\') AS "delete", count(*) FILTER (WHERE kind = \'insert\') AS "insert", count(*) FILTER (WHERE kind = \'replace\') AS "replace" FROM hunks GROUP BY pair_id')
 def e10_opcode_counts(spark, sf_dir):
-    words = verification.changed_words(*verification.text_pairs(spark, sf_dir))
-    return text.opcode_counts(text.hunks(words, text.token_align(words)))
+    lines = verification.changed_texts(spark, sf_dir)[1]
+    return text.opcode_counts(text.hunks(lines.select("pair_id", "n_r", "n_c"), text.lines_align(lines)))
 
 
 NORMAL = r"trim(regexp_replace(replace(lower(t), 'ß', 'ss'), '[\s\x0B\x85\x{00A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{3000}]+', ' ', 'g'))"
